@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvio.functions.scalars import safe_ratio
-from pluvio.operators.ranks import exact_quantiles, value_edges
+from pluvio.operators.ranks import exact_quantiles
 from pluvio.session import null_safe_join, small_side
 
 
@@ -103,7 +103,7 @@ def box_stats(df: DataFrame, by: Sequence[str], value: str, reach: float = 1.5,
             *by, F.get("_q", F.lit(0)).alias("q1"), F.get("_q", F.lit(1)).alias("median"), F.get("_q", F.lit(2)).alias("q3"))
     else:
         named = {0.25: "q1", 0.5: "median", 0.75: "q3"}
-        q = exact_quantiles(src, by, "_x", list(named), value_edges(src, "_x")).groupBy(*by).agg(
+        q = exact_quantiles(src, by, "_x", list(named)).groupBy(*by).agg(
             *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in named.items()])
     q = small_side(q.withColumn("_reach", (F.col("q3") - F.col("q1")) * reach))
     x = F.col("_x")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvio.functions.scalars import as_col
-from pluvio.session import null_safe_join, small_side, stage
+from pluvio.session import null_safe_join, small_side
 
 # Rows above which a group of `number_rows` is split into buckets; at most rows / HOT_ROWS groups are.
 HOT_ROWS = 2_000_000
@@ -33,7 +33,9 @@ def bucket_of(value: str | Column, edges: Sequence) -> Column:
     """Number of edges below the value: a binary search over a constant array."""
     if not edges:
         return F.lit(0)
-    v, table = as_col(value), F.lit(list(edges))
+    kind = "bigint" if all(isinstance(e, int) for e in edges) else "double"
+    # one text literal instead of a thousand number nodes; the optimizer folds it to a constant array
+    v, table = as_col(value), F.split(F.lit(",".join(repr(e) for e in edges)), ",").cast(f"array<{kind}>")
     steps = [1 << k for k in reversed(range(len(edges).bit_length()))]
     return F.aggregate(
         F.lit(steps), F.lit(0),
@@ -54,10 +56,10 @@ def number_rows(df: DataFrame, by: Sequence[str], order: str, out: str = "row_id
     number is bounded by rows / hot_rows, so their list is small by construction.
     """
     by = list(by)
-    hot = stage(df.groupBy(*by).count().filter(F.col("count") > hot_rows).select(*by, F.lit(True).alias("_hot")))
+    hot = small_side(df.groupBy(*by).count().filter(F.col("count") > hot_rows).select(*by, F.lit(True).alias("_hot")))
     if hot.isEmpty():
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("long") - 1)
-    flagged = null_safe_join(df, small_side(hot), by, "left")
+    flagged = null_safe_join(df, hot, by, "left")
     kind = dict(df.dtypes)[order]
     number = F.unix_micros(F.col(order).cast("timestamp")) if kind.startswith("timestamp") else F.col(order)
     edges = value_edges(flagged.filter("_hot"), number, buckets)
@@ -107,30 +109,52 @@ def values_at_ranks(df: DataFrame, by: Sequence[str], value: str | Column, bucke
             .select(*by, "tag", F.col("_v").alias("value")))
 
 
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the largest group; partial counts combine on the map side."""
+    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+
+
+def _positions(n: Column, probs: Sequence[float]) -> list[tuple[Column, Column, Column]]:
+    """1-based ranks below and above every quantile position, and the fraction between them."""
+    out = []
+    for p in probs:
+        pos = (n - 1) * F.lit(float(p))
+        out.append((F.floor(pos) + 1, F.ceil(pos) + 1, pos - F.floor(pos)))
+    return out
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    edges: Sequence | None = None) -> DataFrame:
-    """One row per (group, prob) with the linearly interpolated quantile; NULL values are skipped."""
-    by = list(by)
+                    hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row per (group, prob) with the linearly interpolated quantile; NULL values are skipped.
+
+    While every group fits one task's sort this is one shuffle of the values; with a larger group it is
+    the bucket method of `values_at_ranks`.
+    """
+    by, ps = list(by), [float(p) for p in probs]
     src = df.select(*by, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    edges = value_edges(src, "_x") if edges is None else edges
-    ps = list(probs)
+    if largest_group(src, by) <= hot_rows:
+        group = Window.partitionBy(*by)
+        ranked = (src.withColumn("_rn", F.row_number().over(group.orderBy("_x")))
+                  .withColumn("_n", F.count("*").over(group)))
+        spots = _positions(F.col("_n"), ps)
+        wanted = F.lit(False)
+        for low, high, _ in spots:
+            wanted = wanted | (F.col("_rn") == low) | (F.col("_rn") == high)
+        at = lambda rank: F.max(F.when(F.col("_rn") == rank, F.col("_x")))
+        cells = [F.struct(F.lit(p).alias("prob"), (at(low) + (at(high) - at(low)) * F.max(frac)).alias("quantile"))
+                 for p, (low, high, frac) in zip(ps, spots)]
+        return ranked.filter(wanted).groupBy(*by).agg(F.array(*cells).alias("_q")).select(*by, F.inline("_q"))
 
     def ranks(n: Column) -> Column:
-        out = []
-        for i, p in enumerate(ps):
-            pos = (n - 1) * F.lit(float(p))
-            for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-                out.append(F.struct(
-                    F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), (pos - F.floor(pos)).alias("frac")).alias("tag"),
-                    (at + 1).alias("rank")))
-        return F.array(*out)
-
-    got = values_at_ranks(src, by, "_x", bucket_of("_x", edges), ranks=ranks)
+        return F.array(*[
+            F.struct(F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), frac.alias("frac")).alias("tag"), rank.alias("rank"))
+            for i, (low, high, frac) in enumerate(_positions(n, ps)) for side, rank in (("lo", low), ("hi", high))])
+
+    got = values_at_ranks(src, by, "_x", bucket_of("_x", value_edges(src, "_x")), ranks=ranks)
     low, high = (F.max(F.when(F.col("tag.side") == s, F.col("value"))) for s in ("lo", "hi"))
     index = F.col("tag.i").alias("_i")
     return (got.groupBy(*by, index).agg((low + (high - low) * F.max("tag.frac")).alias("quantile"))
-            .withColumn("prob", F.get(F.lit([float(p) for p in ps]), F.col("_i"))).drop("_i")
-            .select(*by, "prob", "quantile"))
+            .withColumn("prob", F.get(F.lit(ps), F.col("_i"))).select(*by, "prob", "quantile"))
 
 
 def running_totals(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], descending: bool = False,

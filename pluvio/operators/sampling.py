@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvio.functions.scalars import hash_bucket, hash_int, seeded_hash
-from pluvio.operators.ranks import number_by_hash, values_at_ranks
-from pluvio.session import null_safe_join, small_side, stage
+from pluvio.operators.ranks import HOT_ROWS, number_by_hash, values_at_ranks
+from pluvio.session import null_safe_join, small_side
 
 # Copies made by one explode; keeps a large deficit spread over many tasks.
 COPY_CHUNK = 65_536
@@ -59,16 +59,8 @@ def _allocate(strata: DataFrame, size: str, take: str, out: str) -> DataFrame:
             .withColumn(out, F.col(size) - F.col("_kept")).drop("_floor", "_rest", "_missing", "_kept"))
 
 
-def split_sizes(df: DataFrame, test_size: float, val_size: float, stratify: Sequence[str]) -> DataFrame:
-    """Rows per stratum for test, validation and train; global sizes are exact."""
-    if test_size + val_size >= 1.0:
-        raise ValueError("test and validation shares must sum to less than 1")
-    strata = stage(df.groupBy(*stratify).agg(F.count("*").alias("n")))
-    facts = strata.agg(F.sum("n").alias("n"), F.min("n").alias("least"), F.count("*").alias("strata")).first()
-    if not facts["n"]:
-        raise ValueError("cannot split an empty table")
-    if stratify and facts["least"] < 2:
-        raise ValueError("every stratum needs at least two rows")
+def split_sizes(strata: DataFrame, test_size: float, val_size: float, stratify: Sequence[str]) -> DataFrame:
+    """Rows per stratum for test, validation and train from `stratify..., n`; global sizes are exact."""
     named = strata.withColumn("_name", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in stratify]))
     every = Window.partitionBy()
     named = named.withColumn("_take", F.ceil(F.sum("n").over(every) * F.lit(float(test_size))))
@@ -82,12 +74,30 @@ def split_sizes(df: DataFrame, test_size: float, val_size: float, stratify: Sequ
 
 
 def split_dataset(df: DataFrame, key: Sequence[str], test_size: float = 0.2, val_size: float = 0.0,
-                  stratify: Sequence[str] = (), seed: int = 42) -> DataFrame:
-    """Add `split` in {train, val, test}: in hash order test comes first, then validation, per stratum."""
+                  stratify: Sequence[str] = (), seed: int = 42, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add `split` in {train, val, test}: in hash order test comes first, then validation, per stratum.
+
+    Small strata are ranked directly. Beyond `hot_rows` per stratum two cut hashes per stratum are
+    found first and the rows are only compared with them.
+    """
+    if test_size + val_size >= 1.0:
+        raise ValueError("test and validation shares must sum to less than 1")
     by = list(stratify) or ["_all"]
     src = df if stratify else df.withColumn("_all", F.lit(0))
+    strata = small_side(src.groupBy(*by).agg(F.count("*").alias("n")))
+    facts = strata.agg(F.min("n").alias("least"), F.max("n").alias("most")).first()
+    if not facts["most"]:
+        raise ValueError("cannot split an empty table")
+    if stratify and facts["least"] < 2:
+        raise ValueError("every stratum needs at least two rows")
+    sizes = small_side(split_sizes(strata, test_size, val_size, by).select(*by, "n_test", "n_val"))
     hashed = src.withColumn("_h", seeded_hash(list(key), seed))
-    sizes = stage(split_sizes(src, test_size, val_size, by) if stratify else _whole_sizes(src, test_size, val_size))
+    if facts["most"] <= hot_rows:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("_h"))
+        ranked = null_safe_join(hashed, sizes, by).withColumn("_rn", rank)
+        split = (F.when(F.col("_rn") <= F.col("n_test"), "test")
+                 .when(F.col("_rn") <= F.col("n_test") + F.col("n_val"), "val").otherwise("train"))
+        return ranked.withColumn("split", split).drop("_h", "_rn", "n_test", "n_val", "_all")
     targets = sizes.select(*by, F.explode(F.array(
         F.struct(F.lit("test").alias("tag"), F.col("n_test").alias("rank")),
         F.struct(F.lit("val").alias("tag"), (F.col("n_test") + F.col("n_val")).alias("rank")))).alias("t")).select(*by, "t.*")
@@ -100,17 +110,6 @@ def split_dataset(df: DataFrame, key: Sequence[str], test_size: float = 0.2, val
     return out.withColumn("split", split).drop("_h", "_test", "_val", "_all")
 
 
-def _whole_sizes(df: DataFrame, test_size: float, val_size: float) -> DataFrame:
-    if test_size + val_size >= 1.0:
-        raise ValueError("test and validation shares must sum to less than 1")
-    n = df.groupBy("_all").agg(F.count("*").alias("n"))
-    if n.isEmpty():
-        raise ValueError("cannot split an empty table")
-    out = n.withColumn("n_test", F.ceil(F.col("n") * F.lit(float(test_size))))
-    val = F.ceil(F.lit(val_size / (1.0 - test_size)) * (F.col("n") - F.col("n_test"))) if val_size > 0 else F.lit(0).cast("long")
-    return out.withColumn("n_val", val)
-
-
 def balance_with_copies(df: DataFrame, target: str, classes: Sequence[str], key: Sequence[str], seed: int = 42) -> DataFrame:
     """Raise every listed class to the largest one with flagged copies, drawn with replacement.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Largest row count of a table that may be broadcast. Beyond it the same join runs as a shuffle join.
-MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_ROWS = 100_000
 
 
 def build_session(app: str = "pluvio", master: str | None = None, **conf: str) -> SparkSession:
@@ -56,9 +56,16 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Stage a join side and broadcast it if its counted size allows; else leave it to a shuffle join."""
-    staged = stage(df)
-    return F.broadcast(staged) if staged.limit(max_rows + 1).count() <= max_rows else staged
+    """A join side whose size is checked before it is broadcast.
+
+    At most `max_rows + 1` rows are fetched. If that is all of it, the rows become a local table with a
+    broadcast hint; if there are more, the table is staged and joined by a shuffle.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return stage(df)
+    spark = df.sparkSession
+    return F.broadcast(spark.createDataFrame(rows, df.schema) if rows.num_rows else spark.createDataFrame([], df.schema))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
