@@ -158,16 +158,16 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
 
 
 def running_totals(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], descending: bool = False,
-                   edges: Sequence | None = None) -> DataFrame:
+                   hot_rows: int = HOT_ROWS) -> DataFrame:
     """Inclusive running sums inside each group by a numeric column that is unique in the group."""
     by, sums = list(by), list(sums)
-    edges = value_edges(df, order) if edges is None else edges
-    keyed = df.withColumn("_b", bucket_of(order, edges))
     arrow = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    upto = lambda keys: Window.partitionBy(*keys).orderBy(arrow(order)).rowsBetween(Window.unboundedPreceding, 0)
+    if largest_group(df, by) <= hot_rows:
+        return df.withColumns({f"cum_{c}": F.sum(c).over(upto(by)) for c in sums})
+    keyed = df.withColumn("_b", bucket_of(order, value_edges(df, order)))
     offsets = keyed.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_n_{c}") for c in sums])
     offsets = offsets.select(*by, "_b", *[_before(f"_n_{c}", by, [arrow("_b")]).alias(f"_off_{c}") for c in sums])
-    inside = Window.partitionBy(*by, "_b").orderBy(arrow(order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = null_safe_join(keyed, offsets, [*by, "_b"])
-    for c in sums:
-        out = out.withColumn(f"cum_{c}", F.sum(c).over(inside) + F.col(f"_off_{c}"))
-    return out.drop("_b", *[f"_off_{c}" for c in sums])
+    return (null_safe_join(keyed, offsets, [*by, "_b"])
+            .withColumns({f"cum_{c}": F.sum(c).over(upto([*by, "_b"])) + F.col(f"_off_{c}") for c in sums})
+            .drop("_b", *[f"_off_{c}" for c in sums]))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["curation", "profiles", "sampling"]
+THEMES = ["curation", "profiles", "sampling", "evaluation", "selection", "models"]
 
 
 def all_registries():
