@@ -18,9 +18,6 @@ from pluvio.functions.scalars import finite
 from pluvio.operators.profiles import long_features
 from pluvio.operators.ranks import exact_quantiles
 
-# Expressions per aggregate pass; keeps generated code small.
-CHUNK = 400
-
 
 def q(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -100,42 +97,59 @@ class Standardiser:
 
     @classmethod
     def fit(cls, df: DataFrame, features: Sequence[str]) -> "Standardiser":
-        out = {}
-        for i in range(0, len(features), CHUNK):
-            part = list(features[i:i + CHUNK])
-            row = df.agg(*[F.avg(finite(q(f))).alias(f"m{j}") for j, f in enumerate(part)],
-                         *[F.stddev_pop(finite(q(f))).alias(f"s{j}") for j, f in enumerate(part)]).first()
-            out.update({f: (row[f"m{j}"], row[f"s{j}"]) for j, f in enumerate(part)})
-        return cls(out)
+        rows = (long_features(df, [], features).filter("value is not null").groupBy("feature")
+                .agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).collect())
+        found = {r["feature"]: (r["m"], r["s"]) for r in rows}
+        return cls({f: found[f] for f in features if f in found})
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({f: (q(f) - F.lit(m)) / F.lit(s if s else 1.0) for f, (m, s) in self.moments.items() if m is not None})
+        return df.withColumns({f: (q(f) - F.lit(m)) / F.lit(s if s else 1.0) for f, (m, s) in self.moments.items()})
+
+
+GRAM_SCHEMA = "i int, j int, n double, si double, sj double, qi double, qj double, p double"
 
 
 def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """`i, j, feature_i, feature_j, corr` for i < j, each over the rows where both are present.
 
-    One map-side combined aggregate per chunk of pairs; the column values never leave their rows.
-    A pair with a constant side gives NULL.
+    One pass adds up centred cross products per task (NumPy on Arrow batches, one row per pair and task);
+    Spark sums them per pair. Values are centred and scaled by a first pass, so large means do not
+    cancel. A pair with a constant side gives NULL.
     """
     names = list(features)
+    scales = {r["feature"]: (r["m"], r["r"]) for r in long_features(df, [], names).filter("value is not null").groupBy("feature")
+              .agg(F.avg("value").alias("m"), (F.max("value") - F.min("value")).alias("r")).collect()}
+    live = [f for f in names if f in scales and scales[f][1] > 0]
+    centred = df.select(*[((finite(q(f)) - F.lit(scales[f][0])) / F.lit(scales[f][1])).alias(f"c{k}") for k, f in enumerate(live)])
+    index = [names.index(f) for f in live]
+
+    def gram(batches):
+        import numpy as np
+        import pandas as pd
+        total = None
+        for batch in batches:
+            x = batch.to_numpy(dtype="float64")
+            seen = ~np.isnan(x)
+            x, seen = np.where(seen, x, 0.0), seen.astype("float64")
+            part = np.stack([seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x])
+            total = part if total is None else total + part
+        if total is not None:
+            a, b = np.triu_indices(total.shape[1], 1)
+            n, s, sq, p = total
+            at = np.asarray(index, dtype="int32")
+            yield pd.DataFrame({"i": at[a], "j": at[b], "n": n[a, b], "si": s[a, b], "sj": s[b, a],
+                                "qi": sq[a, b], "qj": sq[b, a], "p": p[a, b]})
+
     spark = df.sparkSession
-    pruned = df.select(*[finite(q(f)).alias(f"c{i}") for i, f in enumerate(names)])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    rows = []
-    for at in range(0, len(pairs), CHUNK):
-        part = pairs[at:at + CHUNK]
-        # covariance parts do not raise on constant columns under ANSI, `corr` does
-        exprs = []
-        for n, (i, j) in enumerate(part):
-            both = F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull()
-            exprs += [F.covar_pop(f"c{i}", f"c{j}").alias(f"v{n}"), F.stddev_pop(F.when(both, F.col(f"c{i}"))).alias(f"a{n}"),
-                      F.stddev_pop(F.when(both, F.col(f"c{j}"))).alias(f"b{n}")]
-        row = pruned.agg(*exprs).first()
-        for n, (i, j) in enumerate(part):
-            v, a, b = row[f"v{n}"], row[f"a{n}"], row[f"b{n}"]
-            rows.append((i, j, names[i], names[j], v / (a * b) if v is not None and a and b else None))
-    return spark.createDataFrame(rows, "i int, j int, feature_i string, feature_j string, corr double")
+    sums = (centred.mapInPandas(gram, GRAM_SCHEMA) if len(live) > 1 else spark.createDataFrame([], GRAM_SCHEMA))
+    sums = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "qi", "qj", "p")])
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    vi, vj = F.col("qi") / n - (F.col("si") / n) ** 2, F.col("qj") / n - (F.col("sj") / n) ** 2
+    cov = F.col("p") / n - (F.col("si") / n) * (F.col("sj") / n)
+    corr = F.when((vi > 1e-18) & (vj > 1e-18), cov / F.sqrt(vi * vj))
+    pairs = spark.createDataFrame([(i, j, names[i], names[j]) for i in range(len(names)) for j in range(i + 1, len(names))],
+                                  "i int, j int, feature_i string, feature_j string")
+    return F.broadcast(pairs).join(sums.select("i", "j", corr.alias("corr")), ["i", "j"], "left")
 
 
 def collinear_features(pairs: DataFrame, threshold: float = 0.85) -> list[str]:
@@ -152,7 +166,7 @@ def drop_collinear(df: DataFrame, features: Sequence[str], threshold: float = 0.
 def varying_features(df: DataFrame, features: Sequence[str], threshold: float = 0.0) -> list[str]:
     """Features whose population variance is above the threshold."""
     moments = Standardiser.fit(df, features).moments
-    return [f for f in features if moments[f][1] is not None and moments[f][1] ** 2 > threshold]
+    return [f for f in features if f in moments and moments[f][1] ** 2 > threshold]
 
 
 @dataclass
