@@ -1,140 +1,161 @@
-"""Numeric array expressions: moments, entropy, Gini, roll, gain, cutout. JVM side, no explode."""
+"""Numeric array formulas as Spark SQL text: moments, entropy, Gini, bands, peaks, roll, cutout.
+
+Each function takes SQL expressions and returns one, to be used with `F.expr` or `selectExpr`. As
+text, a page of nested formulas reaches the JVM in one call. All run on the JVM without an explode.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
+
+_names = count()
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from pluvio.functions.scalars import as_col, safe_ratio
+def _var(prefix: str = "x") -> str:
+    return f"{prefix}{next(_names)}"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: str, body: Callable[[str], str]) -> str:
     """Bind a value once, so that a lambda inside `body` does not evaluate it for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    v = _var("v")
+    return f"get(transform(array({value}), {v} -> {body(v)}), 0)"
 
 
-def total(a, f: Callable[[Column], Column] = lambda x: x) -> Column:
-    return F.aggregate(as_col(a), F.lit(0.0), lambda acc, x: acc + f(x.cast("double")))
+def ratio(num: str, den: str) -> str:
+    """NULL when the denominator is 0."""
+    return f"try_divide(double({num}), double({den}))"
 
 
-def mean(a, f: Callable[[Column], Column] = lambda x: x) -> Column:
-    return safe_ratio(total(a, f), F.size(as_col(a)))
+def total(a: str, f: Callable[[str], str] = lambda x: x) -> str:
+    s, x = _var("s"), _var()
+    return f"aggregate({a}, 0D, ({s}, {x}) -> {s} + double({f(x)}))"
 
 
-def central(a, power: int) -> Column:
-    """Population central moment."""
-    return let(mean(a), lambda m: mean(a, lambda x: F.pow(x - m, F.lit(power))))
+def mean(a: str, f: Callable[[str], str] = lambda x: x) -> str:
+    return ratio(total(a, f), f"size({a})")
 
 
-def variance(a) -> Column:
-    return let(mean(a), lambda m: mean(a, lambda x: (x - m) * (x - m)))
+def central(a: str, power: int) -> str:
+    """Population central moment."""
+    return let(mean(a), lambda m: mean(a, lambda x: f"power({x} - {m}, {power})"))
 
 
-def std(a) -> Column:
-    return F.sqrt(variance(a))
+def std(a: str) -> str:
+    return f"sqrt({central(a, 2)})"
 
 
-def skewness(a) -> Column:
-    return safe_ratio(central(a, 3), F.pow(variance(a), F.lit(1.5)))
+def skewness(a: str) -> str:
+    return ratio(central(a, 3), f"power({central(a, 2)}, 1.5D)")
 
 
-def kurtosis(a) -> Column:
+def kurtosis(a: str) -> str:
     """Fourth standardised moment (3 for a normal shape)."""
-    return safe_ratio(central(a, 4), F.pow(variance(a), F.lit(2)))
+    return ratio(central(a, 4), f"power({central(a, 2)}, 2)")
 
 
-def entropy(a) -> Column:
+def entropy(a: str) -> str:
     """Shannon entropy (natural log) of the shares of a non-negative array."""
-    return let(total(a), lambda s: F.when(s > 0, total(a, lambda x: F.when(x > 0, -(x / s) * F.ln(x / s)).otherwise(0.0))))
+    def body(s: str) -> str:
+        return f"if({s} > 0, {total(a, lambda x: f'if({x} > 0, -({x} / {s}) * ln({x} / {s}), 0D)')}, null)"
+    return let(total(a), body)
 
 
-def evenness_gap(a) -> Column:
+def evenness_gap(a: str) -> str:
     """1 - entropy / log n."""
-    return F.lit(1.0) - safe_ratio(entropy(a), F.ln(F.nullif(F.size(as_col(a)), F.lit(1)).cast("double")))
+    return f"(1D - {ratio(entropy(a), f'ln(nullif(size({a}), 1))')})"
 
 
-def gini(a) -> Column:
+def gini(a: str) -> str:
     """Gini coefficient of a non-negative array."""
-    ordered = F.array_sort(as_col(a))
-    n = F.size(as_col(a))
-    weighted = F.aggregate(F.transform(ordered, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda acc, x: acc + x)
-    return safe_ratio(weighted * 2, n * total(a)) - (n + 1) / n
+    x, i = _var(), _var("i")
+    weighted = total(f"transform(array_sort({a}), ({x}, {i}) -> {x} * ({i} + 1))")
+    return f"({ratio(f'2 * {weighted}', f'size({a}) * {total(a)}')} - {ratio(f'size({a}) + 1', f'size({a})')})"
 
 
-def weighted_mean(values, weights) -> Column:
-    return safe_ratio(total(F.zip_with(as_col(values), as_col(weights), lambda v, w: v * w)), total(weights))
+def zipped(a: str, b: str) -> str:
+    """Array of struct(v, f)."""
+    x, y = _var(), _var()
+    return f"zip_with({a}, {b}, ({x}, {y}) -> named_struct('v', double({x}), 'f', double({y})))"
 
 
-def between(values, freqs, low: float, high: float) -> Column:
+def between(values: str, freqs: str, low: float, high: float) -> str:
     """Values whose frequency lies in [low, high)."""
-    kept = F.filter(F.arrays_zip(as_col(values).alias("v"), as_col(freqs).alias("f")), lambda c: (c["f"] >= low) & (c["f"] < high))
-    return F.transform(kept, lambda c: c["v"])
+    c, d = _var("c"), _var("c")
+    return f"transform(filter({zipped(values, freqs)}, {c} -> {c}.f >= {low}D and {c}.f < {high}D), {d} -> {d}.v)"
 
 
-def slope(x, y) -> Column:
+def divided(a: str, b: str) -> str:
+    """Element-wise a / b."""
+    x, y = _var(), _var()
+    return f"zip_with({a}, {b}, ({x}, {y}) -> {ratio(x, y)})"
+
+
+def slope(x: str, y: str) -> str:
     """Least-squares slope of y on x."""
-    return let(F.struct(mean(x).alias("mx"), mean(y).alias("my")), lambda m: safe_ratio(
-        total(F.zip_with(as_col(x), as_col(y), lambda a, b: (a - m["mx"]) * (b - m["my"]))),
-        total(x, lambda a: (a - m["mx"]) * (a - m["mx"]))))
+    def body(m: str) -> str:
+        a, b = _var(), _var()
+        return ratio(total(f"zip_with({x}, {y}, ({a}, {b}) -> ({a} - {m}.x) * ({b} - {m}.y))"),
+                     total(x, lambda v: f"({v} - {m}.x) * ({v} - {m}.x)"))
+    return let(f"named_struct('x', {mean(x)}, 'y', {mean(y)})", body)
 
 
-def share_frequency(values, freqs, share: float) -> Column:
+def share_frequency(values: str, freqs: str, share: float) -> str:
     """Lowest frequency at which the running sum reaches a share of the total."""
-    def scan(goal: Column) -> Column:
-        zero = F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("double").alias("at"))
-        cells = F.arrays_zip(as_col(values).alias("v"), as_col(freqs).alias("f"))
-        step = lambda acc, c: F.struct((acc["run"] + c["v"]).alias("run"),
-                                       F.coalesce(acc["at"], F.when(acc["run"] + c["v"] >= goal, c["f"])).alias("at"))
-        return F.aggregate(cells, zero, step, lambda acc: acc["at"])
-    return let(total(values) * share * (1 - 1e-12), scan)
+    def scan(goal: str) -> str:
+        s, c, e = _var("s"), _var("c"), _var("e")
+        step = f"named_struct('run', {s}.run + {c}.v, 'at', coalesce({s}.at, if({s}.run + {c}.v >= {goal}, {c}.f, null)))"
+        return f"aggregate({zipped(values, freqs)}, named_struct('run', 0D, 'at', double(null)), ({s}, {c}) -> {step}, {e} -> {e}.at)"
+    return let(f"{total(values)} * {share * (1 - 1e-12)!r}D", scan)
 
 
-def local_maxima(values, freqs) -> Column:
-    """struct(v, f) of the elements above both neighbours."""
-    v, f = as_col(values), as_col(freqs)
-    inner = F.sequence(F.lit(1), F.greatest(F.size(v) - 2, F.lit(1)))
-    peaks = F.filter(inner, lambda i: (F.get(v, i) > F.get(v, i - 1)) & (F.get(v, i) > F.get(v, i + 1)))
-    return F.transform(peaks, lambda i: F.struct(F.get(v, i).alias("v"), F.get(f, i).alias("f")))
+def local_maxima(values: str, freqs: str) -> str:
+    """Array of struct(k, f) of the elements above both neighbours; k is the negated height."""
+    i, j = _var("i"), _var("i")
+    peaks = (f"filter(sequence(1, greatest(size({values}) - 2, 1)), {i} -> get({values}, {i}) > get({values}, {i} - 1) "
+             f"and get({values}, {i}) > get({values}, {i} + 1))")
+    return f"transform({peaks}, {j} -> named_struct('k', -get({values}, {j}), 'f', double(get({freqs}, {j}))))"
 
 
-def spaced_peaks(values, freqs, spacing: float) -> Column:
+def spaced_peaks(values: str, freqs: str, spacing: float) -> str:
     """Number of local maxima when, from the highest down, each keeps others at least `spacing` away."""
-    ranked = F.array_sort(F.transform(local_maxima(values, freqs), lambda p: F.struct((-p["v"]).alias("k"), p["f"].alias("f"))))
-    none = F.array().cast("array<double>")
-    kept = F.aggregate(ranked, none, lambda acc, p: F.when(
-        F.exists(acc, lambda g: F.abs(g - p["f"]) < spacing), acc).otherwise(F.array_append(acc, p["f"].cast("double"))))
-    return F.size(kept)
+    s, p, g = _var("s"), _var("p"), _var("g")
+    kept = (f"aggregate(array_sort({local_maxima(values, freqs)}), cast(array() as array<double>), ({s}, {p}) -> "
+            f"if(exists({s}, {g} -> abs({g} - {p}.f) < {spacing}D), {s}, array_append({s}, {p}.f)))")
+    return f"size({kept})"
 
 
-def sign_changes(a) -> Column:
+def sign_changes(a: str) -> str:
     """Number of neighbours with different sign (zero counts as positive)."""
-    v = as_col(a)
-    n = F.size(v)
-    pairs = F.zip_with(F.slice(v, 1, F.greatest(n - 1, F.lit(0))), F.slice(v, F.lit(2), F.greatest(n - 1, F.lit(0))),
-                       lambda x, y: ((x < 0) != (y < 0)).cast("int"))
-    return F.aggregate(pairs, F.lit(0), lambda acc, x: acc + x)
+    x, y = _var(), _var()
+    head, tail = f"slice({a}, 1, greatest(size({a}) - 1, 0))", f"slice({a}, 2, greatest(size({a}) - 1, 0))"
+    return total(f"zip_with({head}, {tail}, ({x}, {y}) -> int(({x} < 0) != ({y} < 0)))")
 
 
-def frames(a, size: int, hop: int) -> Column:
+def frames(a: str, size: int, hop: int) -> str:
     """Full frames of an array; empty when it is shorter than one frame."""
-    v = as_col(a)
-    starts = F.sequence(F.lit(0), F.greatest(F.size(v) - size, F.lit(0)), F.lit(hop))
-    return F.when(F.size(v) >= size, F.transform(starts, lambda s: F.slice(v, s + 1, size))).otherwise(F.filter(F.array(v), lambda _: F.lit(False)))
+    i = _var("i")
+    starts = f"filter(sequence(0, greatest(size({a}) - {size}, 0), {hop}), {i} -> {i} + {size} <= size({a}))"
+    j = _var("i")
+    return f"transform({starts}, {j} -> slice({a}, {j} + 1, {size}))"
 
 
-def roll(a, shift: Column) -> Column:
+def roll(a: str, shift: str) -> str:
     """Circular shift to the right, 0 <= shift < size."""
-    v = as_col(a)
-    n = F.size(v)
-    return F.concat(F.slice(v, n - shift + 1, shift), F.slice(v, F.lit(1), n - shift))
+    return let(shift, lambda s: f"concat(slice({a}, size({a}) - {s} + 1, {s}), slice({a}, 1, size({a}) - {s}))")
 
 
-def gain(a, factor: Column) -> Column:
-    return let(factor, lambda g: F.transform(as_col(a), lambda x: x * g))
+def gain(a: str, factor: str) -> str:
+    x = _var()
+    return let(factor, lambda g: f"transform({a}, {x} -> {x} * {g})")
 
 
-def cutout(a, start: Column, length: int) -> Column:
+def cutout(a: str, start: str, length: int) -> str:
     """Zero `length` elements from `start`; a NULL start changes nothing."""
-    return let(start, lambda s: F.transform(as_col(a), lambda x, i: F.when((i >= s) & (i < s + length), x * 0).otherwise(x)))
+    x, i = _var(), _var("i")
+    return let(start, lambda s: f"transform({a}, ({x}, {i}) -> if({i} >= {s} and {i} < {s} + {length}, {x} * 0, {x}))")
+
+
+def decibels(a: str) -> str:
+    x = _var()
+    return f"transform({a}, {x} -> 10 * log10({x}))"

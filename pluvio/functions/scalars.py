@@ -41,6 +41,11 @@ def finite(c: ColumnLike) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 
+def finite_sql(name: str) -> str:
+    """`finite` of a column as SQL text, for tables with many features."""
+    return f"if(isnan(double(`{name}`)) or abs(double(`{name}`)) = double('infinity'), null, double(`{name}`))"
+
+
 def bucketize(c: ColumnLike, edges: Sequence[float], labels: Sequence) -> Column:
     """Left-closed bins `[e0, e1), [e1, e2) ...`; values outside and NULL give NULL."""
     if len(edges) != len(labels) + 1:

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from pluvio.functions import arrays as A
 from pluvio.functions import kernels as K
-from pluvio.functions.scalars import finite, safe_ratio
 
 
 @dataclass(frozen=True)
@@ -103,86 +102,90 @@ def signal_summary(samples: str | Column, cfg: MetricsConfig) -> Column:
     return run(F.col(samples) if isinstance(samples, str) else samples)
 
 
-def bin_frequencies(cfg: MetricsConfig) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(cfg.n_fft // 2)), lambda k: k * F.lit(cfg.sample_rate / cfg.n_fft))
+def bin_frequencies(cfg: MetricsConfig) -> str:
+    return f"transform(sequence(0, {cfg.n_fft // 2}), k -> k * {cfg.sample_rate / cfg.n_fft!r}D)"
 
 
-def decibels(a) -> Column:
-    return F.transform(a if isinstance(a, Column) else F.col(a), lambda p: F.log10(p) * 10)
-
-
-def band_energies(psd, freqs, cfg: MetricsConfig) -> dict[str, Column]:
-    a, b = (A.total(A.between(psd, freqs, *band)) for band in (cfg.anthro_band, cfg.bio_band))
-    return {"anthro_energy": a, "bio_energy": b, "NDSI": safe_ratio(b - a, b + a), "ratioBA": safe_ratio(b, a)}
-
-
-def bioacoustic_index(psd, freqs, cfg: MetricsConfig) -> Column:
+def bioacoustic_index(psd: str, freqs: str, cfg: MetricsConfig) -> str:
     """Area in dB kHz of the mean spectrum above its minimum inside the band."""
     step = cfg.sample_rate / cfg.n_fft / 1000
-    return A.let(decibels(A.between(psd, freqs, *cfg.bi_band)), lambda level: A.total(level) * step - F.array_min(level) * F.size(level) * step)
+    return A.let(A.decibels(A.between(psd, freqs, *cfg.bi_band)),
+                 lambda level: f"({A.total(level)} - array_min({level}) * size({level})) * {step!r}D")
 
 
-def diversity_shares(active, n_frames: Column, freqs, cfg: MetricsConfig) -> Column:
+def diversity_shares(active: str, n_frames: str, freqs: str, cfg: MetricsConfig) -> str:
     """Share of loud cells in each band of `diversity_step` Hz that holds bins."""
     edges = np.arange(0.0, min(cfg.diversity_max, cfg.sample_rate / 2 + 1e-9), cfg.diversity_step)
     bands = [A.let(A.between(active, freqs, float(e), float(e + cfg.diversity_step)),
-                   lambda band: safe_ratio(A.total(band), F.size(band) * n_frames)) for e in edges]
-    return F.filter(F.array(*bands), lambda s: s.isNotNull())
+                   lambda band: A.ratio(A.total(band), f"size({band}) * {n_frames}")) for e in edges]
+    return f"filter(array({', '.join(bands)}), x -> x is not null)"
 
 
-def spectrum_moments(psd) -> dict[str, Column]:
-    sd = A.std(psd)
-    return {"spec_mean": A.mean(psd), "spec_std": sd, "spec_var": sd * sd, "spec_skew": A.skewness(psd), "spec_kurtosis": A.kurtosis(psd)}
-
-
-def energy_bandwidth(psd, freqs, share: float) -> Column:
+def energy_bandwidth(psd: str, freqs: str, share: float) -> str:
     """Width of the centred band that holds a share of the energy."""
-    half = share / 2
-    return A.share_frequency(psd, freqs, 0.5 + half) - A.share_frequency(psd, freqs, 0.5 - half)
-
-
-def spread(name: str, a) -> dict[str, Column]:
-    sd = A.std(a)
-    return {f"{name}_mean": A.mean(a), f"{name}_std": sd, f"{name}_var": sd * sd}
+    return f"({A.share_frequency(psd, freqs, 0.5 + share / 2)} - {A.share_frequency(psd, freqs, 0.5 - share / 2)})"
 
 
-def metric_columns(s: Column, cfg: MetricsConfig) -> dict[str, Column]:
-    """All metrics from a summary struct, in `METRICS` order, non-finite values as NULL."""
-    f, psd = bin_frequencies(cfg), s["bin_mean"]
-    shares = diversity_shares(s["bin_active"], s["n_frames"], f, cfg)
-    f_steps = F.slice(f, 1, cfg.n_fft // 2)
-    ratio = lambda a, b: F.zip_with(a, b, lambda x, y: safe_ratio(x, y))
+def base_formulas(cfg: MetricsConfig) -> dict[str, str]:
+    """SQL text of the quantities that are read from the summary struct `_s`."""
+    f, psd = bin_frequencies(cfg), "_s.bin_mean"
+    lower = f"slice({f}, 1, {cfg.n_fft // 2})"
     out = {
-        "temp_entropy": 1 - A.evenness_gap(s["envelope"]),
-        "ACI": A.total(ratio(s["bin_flux"], s["bin_mag"])), "AGI": A.total(ratio(s["bin_slope"], psd)),
-        "EAS": A.evenness_gap(psd), "ECU": A.evenness_gap(s["bin_var"]),
-        "ECV": A.evenness_gap(F.zip_with(s["bin_var"], psd, lambda v, m: safe_ratio(F.sqrt(v), m))),
-        "num_peaks": A.let(decibels(psd), lambda level: A.spaced_peaks(level, f, cfg.peak_spacing)),
-        **band_energies(psd, f, cfg), "BI": bioacoustic_index(psd, f, cfg),
-        "ADI": A.let(shares, A.entropy), "AEI": A.let(shares, A.gini), "roughness": s["roughness"],
-        "tfsd": safe_ratio(A.total(A.between(s["bin_tfsd"], f_steps, *cfg.tfsd_band)), A.total(s["bin_tfsd"])),
-        "temp_skew": safe_ratio(s["m3"], F.pow(s["m2"], F.lit(1.5))), "temp_kurtosis": safe_ratio(s["m4"], s["m2"] * s["m2"]),
-        **spread("rms", s["rms"]), **spread("zcr", s["zcr"]), "mae": s["mean_abs"], **spread("psd", psd),
-        "spec_slope": A.slope(f, psd), **spectrum_moments(psd),
-        "spec_centroid": A.mean(s["centroid"]), "spec_flatness": A.mean(s["flatness"]), "spec_rolloff": A.mean(s["rolloff"]),
-        "spec_bandwidth_mean": A.mean(s["bandwidth"]),
+        "temp_entropy": f"1D - {A.evenness_gap('_s.envelope')}",
+        "ACI": A.total(A.divided("_s.bin_flux", "_s.bin_mag")), "AGI": A.total(A.divided("_s.bin_slope", psd)),
+        "EAS": A.evenness_gap(psd), "ECU": A.evenness_gap("_s.bin_var"),
+        "ECV": A.evenness_gap(A.divided("transform(_s.bin_var, v -> sqrt(v))", psd)),
+        "num_peaks": A.let(A.decibels(psd), lambda level: A.spaced_peaks(level, f, cfg.peak_spacing)),
+        "anthro_energy": A.total(A.between(psd, f, *cfg.anthro_band)), "bio_energy": A.total(A.between(psd, f, *cfg.bio_band)),
+        "BI": bioacoustic_index(psd, f, cfg), "_shares": diversity_shares("_s.bin_active", "_s.n_frames", f, cfg),
+        "roughness": "_s.roughness",
+        "tfsd": A.ratio(A.total(A.between("_s.bin_tfsd", lower, *cfg.tfsd_band)), A.total("_s.bin_tfsd")),
+        "temp_skew": A.ratio("_s.m3", "power(_s.m2, 1.5D)"), "temp_kurtosis": A.ratio("_s.m4", "_s.m2 * _s.m2"),
+        "mae": "_s.mean_abs", "spec_slope": A.slope(f, psd),
+        "_psd_m3": A.central(psd, 3), "_psd_m4": A.central(psd, 4),
+        "spec_centroid": A.mean("_s.centroid"), "spec_flatness": A.mean("_s.flatness"), "spec_rolloff": A.mean("_s.rolloff"),
+        "spec_bandwidth_mean": A.mean("_s.bandwidth"),
         "spec_bandwidth_50%": energy_bandwidth(psd, f, 0.5), "spec_bandwidth_90%": energy_bandwidth(psd, f, 0.9),
-        **spread("mfcc", s["mfcc"]), "wav_energy_mean": A.mean(s["wav_energy"]),
+        "wav_energy_mean": A.mean("_s.wav_energy"),
     }
-    out |= {f"mfcc_{i + 1}": F.get(s["mfcc"], F.lit(i)) for i in range(MFCC)}
-    out |= {f"mfcc_delta_{i + 1}": F.get(s["mfcc_delta"], F.lit(i)) for i in range(MFCC)}
+    for name, source in (("rms", "_s.rms"), ("zcr", "_s.zcr"), ("psd", psd), ("mfcc", "_s.mfcc")):
+        out |= {f"{name}_mean": A.mean(source), f"{name}_std": A.std(source)}
+    for i in range(MFCC):
+        out |= {f"mfcc_{i + 1}": f"get(_s.mfcc, {i})", f"mfcc_delta_{i + 1}": f"get(_s.mfcc_delta, {i})"}
     for k in range(LEVELS + 1):
         name = "wav_approx" if k == 0 else f"wav_detail_lvl{LEVELS + 1 - k}"
-        sd = F.get(s["wav_std"], F.lit(k))
-        out |= {f"{name}_energy": F.get(s["wav_energy"], F.lit(k)), f"{name}_std": sd, f"{name}_var": sd * sd}
-    return {name: finite(out[name]) for name in METRICS}
+        out |= {f"{name}_energy": f"get(_s.wav_energy, {k})", f"{name}_std": f"get(_s.wav_std, {k})"}
+    return out
+
+
+def derived_formulas() -> dict[str, str]:
+    """SQL text of the metrics that are read from the base quantities."""
+    out = {
+        "NDSI": A.ratio("bio_energy - anthro_energy", "bio_energy + anthro_energy"), "ratioBA": A.ratio("bio_energy", "anthro_energy"),
+        "ADI": A.entropy("_shares"), "AEI": A.gini("_shares"), "spec_mean": "psd_mean", "spec_std": "psd_std", "spec_var": "psd_std * psd_std",
+        "spec_skew": A.ratio("_psd_m3", "power(psd_std, 3)"), "spec_kurtosis": A.ratio("_psd_m4", "power(psd_std, 4)"),
+    }
+    for name in ["rms", "zcr", "psd", "mfcc", "wav_approx"] + [f"wav_detail_lvl{i}" for i in range(1, LEVELS + 1)]:
+        out[f"{name}_var"] = f"{name}_std * {name}_std"
+    return out
+
+
+def metrics_from_summary(df: DataFrame, keep: list[str], cfg: MetricsConfig) -> DataFrame:
+    """The 102 metric columns from a summary struct `_s`, in `METRICS` order, non-finite values as NULL.
+
+    Three projections: quantities used by several metrics are computed once.
+    """
+    base, derived = base_formulas(cfg), derived_formulas()
+    names = [f"`{c}`" for c in keep]
+    step = df.selectExpr(*names, *[f"{e} as `{n}`" for n, e in base.items()])
+    step = step.selectExpr(*names, *[f"{derived.get(n, f'`{n}`')} as `{n}`" for n in METRICS])
+    return step.selectExpr(*names, *[f"if(isnan(`{n}`) or abs(`{n}`) = double('infinity'), null, double(`{n}`)) as `{n}`" for n in METRICS])
 
 
 def acoustic_metrics(df: DataFrame, samples: str, cfg: MetricsConfig = MetricsConfig()) -> DataFrame:
     """Replace the signal column by the 102 metric columns."""
     rest = [c for c in df.columns if c != samples]
-    summary = df.select(*rest, signal_summary(samples, cfg).alias("_s"))
-    return summary.select(*rest, *[c.alias(n) for n, c in metric_columns(F.col("_s"), cfg).items()])
+    return metrics_from_summary(df.select(*rest, signal_summary(samples, cfg).alias("_s")), rest, cfg)
 
 
 def spectrogram(df: DataFrame, samples: str, sample_rate: int, n_fft: int) -> DataFrame:

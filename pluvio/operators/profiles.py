@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvio.functions.scalars import safe_ratio
+from pluvio.functions.scalars import finite_sql, safe_ratio
 from pluvio.operators.ranks import exact_quantiles
 from pluvio.session import null_safe_join, small_side
 
@@ -86,8 +86,7 @@ def rare_event_share(df: DataFrame, amount: str, limit: float = 4.17) -> DataFra
 
 def long_features(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Wide to long after pruning to the needed columns; values as finite doubles or NULL."""
-    from pluvio.functions.scalars import finite
-    pruned = df.select(*ids, *[finite(f"`{f}`").alias(f) for f in features])
+    pruned = df.selectExpr(*[f"`{c}`" for c in ids], *[f"{finite_sql(f)} as `{f}`" for f in features])
     return pruned.unpivot(list(ids), list(features), "feature", "value")
 
 

@@ -76,25 +76,28 @@ def augment_draws(keys: Sequence[str | Column], seed: int = 42, noise_prob: floa
                     hash_int(seeded_hash([*keys, F.lit("noise seed")], seed)).alias("noise_seed"))
 
 
-def shift_amount(size: Column, draws: Column) -> Column:
-    low, high = (F.floor(size * r) for r in SHIFT_RANGE)
-    return F.least(low + F.floor(draws["shift_u"] * (high - low)), size - 1).cast("int")
+def shift_amount(size: str, draws: str = "_d") -> str:
+    """SQL text: shift in samples from the drawn unit number."""
+    low, high = (f"floor({size} * {r}D)" for r in SHIFT_RANGE)
+    return f"int(least({low} + floor({draws}.shift_u * ({high} - {low})), {size} - 1))"
 
 
 def cutout_length(sample_rate: int) -> int:
     return int(CUTOUT_SEC * sample_rate)
 
 
-def cutout_start(size: Column, draws: Column, sample_rate: int) -> Column:
+def cutout_start(size: str, sample_rate: int, draws: str = "_d") -> str:
+    """SQL text: first zeroed sample, NULL without a cutout draw or for a short signal."""
     length = cutout_length(sample_rate)
-    return F.when(size > length, F.floor(draws["cut_u"] * (size - length)).cast("int"))
+    return f"if({size} > {length}, int(floor({draws}.cut_u * ({size} - {length}))), null)"
 
 
-def augment_log(size: Column, draws: Column, sample_rate: int) -> Column:
-    noise = F.when(draws["noise"].isNotNull(), F.format_string("noise=%.4f", draws["noise"]))
-    cut = F.when(cutout_start(size, draws, sample_rate).isNotNull(), F.lit("cutout"))
-    text = F.concat_ws("|", F.format_string("shift=%d", shift_amount(size, draws)), F.format_string("gain=%.2f", draws["gain"]), noise, cut)
-    return F.when(size > 0, text).otherwise(F.lit("empty"))
+def augment_log(size: str, sample_rate: int, draws: str = "_d") -> str:
+    """SQL text of the log, such as `shift=12|gain=0.95|noise=0.0100|cutout`; `empty` for an empty signal."""
+    noise = f"if({draws}.noise is not null, format_string('noise=%.4f', {draws}.noise), null)"
+    cut = f"if(({cutout_start(size, sample_rate, draws)}) is not null, 'cutout', null)"
+    return (f"if({size} > 0, concat_ws('|', format_string('shift=%d', {shift_amount(size, draws)}), "
+            f"format_string('gain=%.2f', {draws}.gain), {noise}, {cut}), 'empty')")
 
 
 def noisy(samples: str | Column, draws: Column) -> Column:
@@ -112,16 +115,18 @@ def augment(df: DataFrame, samples: str, keys: Sequence[str], sample_rate: int,
 
     Only the noise needs Python; the rest is array expressions.
     """
-    out = df.withColumn("_d", augment_draws(keys, seed, noise_prob, cutout_prob)).withColumn(samples, F.col(samples).cast("array<double>"))
-    size, draws = F.size(samples), F.col("_d")
-    moved = F.when(size > 0, A.gain(A.roll(samples, shift_amount(size, draws)), draws["gain"])).otherwise(F.col(samples))
-    out = out.withColumn("aug_params", augment_log(size, draws, sample_rate)).withColumn(samples, moved)
+    out = df.withColumns({"_d": augment_draws(keys, seed, noise_prob, cutout_prob), samples: F.col(samples).cast("array<double>")})
+    size = f"size({samples})"
+    moved = A.gain(A.roll(samples, shift_amount(size)), "_d.gain")
+    out = out.withColumn("aug_params", F.expr(augment_log(size, sample_rate))).withColumn(
+        samples, F.expr(f"if({size} > 0, {moved}, {samples})"))
     if noise_prob > 0:
-        out = out.withColumn(samples, noisy(samples, draws))
-    return out.withColumn(samples, A.cutout(samples, cutout_start(size, draws, sample_rate), cutout_length(sample_rate)).cast("array<float>")).drop("_d")
+        out = out.withColumn(samples, noisy(samples, F.col("_d")))
+    cut = A.cutout(samples, cutout_start(size, sample_rate), cutout_length(sample_rate))
+    return out.withColumn(samples, F.expr(cut).cast("array<float>")).drop("_d")
 
 
 def framed(df: DataFrame, samples: str, size: int, hop: int) -> DataFrame:
     """One row per full frame: `frame_idx` and the slice."""
     rest = [c for c in df.columns if c != samples]
-    return df.select(*rest, F.posexplode(A.frames(samples, size, hop)).alias("frame_idx", samples))
+    return df.select(*rest, F.posexplode(F.expr(A.frames(samples, size, hop))).alias("frame_idx", samples))

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvio.functions.scalars import finite
+from pluvio.functions.scalars import finite_sql
 from pluvio.operators.profiles import long_features
 from pluvio.operators.ranks import exact_quantiles
 
@@ -47,7 +47,8 @@ class Imputer:
         return list(self.medians)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({f: F.coalesce(finite(q(f)), F.lit(m)) for f, m in self.medians.items()})
+        fill = {f: f"coalesce({finite_sql(f)}, {m!r}D) as `{f}`" for f, m in self.medians.items()}
+        return df.selectExpr(*[fill.get(c, f"`{c}`") for c in df.columns])
 
 
 def f_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -103,7 +104,8 @@ class Standardiser:
         return cls({f: found[f] for f in features if f in found})
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({f: (q(f) - F.lit(m)) / F.lit(s if s else 1.0) for f, (m, s) in self.moments.items()})
+        scale = {f: f"(`{f}` - ({m!r}D)) / {s if s else 1.0!r}D as `{f}`" for f, (m, s) in self.moments.items()}
+        return df.selectExpr(*[scale.get(c, f"`{c}`") for c in df.columns])
 
 
 GRAM_SCHEMA = "i int, j int, n double, si double, sj double, qi double, qj double, p double"
@@ -120,7 +122,7 @@ def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     scales = {r["feature"]: (r["m"], r["r"]) for r in long_features(df, [], names).filter("value is not null").groupBy("feature")
               .agg(F.avg("value").alias("m"), (F.max("value") - F.min("value")).alias("r")).collect()}
     live = [f for f in names if f in scales and scales[f][1] > 0]
-    centred = df.select(*[((finite(q(f)) - F.lit(scales[f][0])) / F.lit(scales[f][1])).alias(f"c{k}") for k, f in enumerate(live)])
+    centred = df.selectExpr(*[f"({finite_sql(f)} - ({scales[f][0]!r}D)) / {scales[f][1]!r}D as c{k}" for k, f in enumerate(live)])
     index = [names.index(f) for f in live]
 
     def gram(batches):
@@ -194,7 +196,7 @@ class VectorSelector:
         """Non-feature columns plus the selected, scaled features."""
         self._check()
         rest = [c for c in df.columns if c not in self.inputs]
-        return self.scaler.transform(self.imputer.transform(df)).select(*[q(c) for c in rest + self.selected])
+        return self.scaler.transform(self.imputer.transform(df)).selectExpr(*[f"`{c}`" for c in rest + self.selected])
 
     def report(self, df: DataFrame) -> DataFrame:
         """Feature report, best score first."""

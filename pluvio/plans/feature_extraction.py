@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pluvio.functions import kernels as K
-from pluvio.operators.metrics import ARRAYS, SCALARS, SUMMARY_SCHEMA, MetricsConfig, metric_columns, summarise
+from pluvio.operators.metrics import ARRAYS, SCALARS, SUMMARY_SCHEMA, MetricsConfig, metrics_from_summary, summarise
 from pluvio.operators.segments import SHIFT_RANGE, augment_draws, cutout_length, window_and_stride
 
 # Copies of one recording that one task handles together.
@@ -83,10 +83,8 @@ def segment_summaries(files: DataFrame, recordings: DataFrame, cfg: MetricsConfi
 def extract_features(files: DataFrame, recordings: DataFrame, cfg: MetricsConfig = MetricsConfig(), **options) -> DataFrame:
     """Metadata, segment position, augmentation log and the 102 metrics, one row per segment."""
     segments = segment_summaries(files, recordings, cfg, **options).filter("error is null")
-    struct = F.struct(*SCALARS, *ARRAYS)
-    metrics = segments.select("file_path", "copy_ordinal", "segment_idx", "offset_sec", "aug_params", struct.alias("_s"))
-    metrics = metrics.select("file_path", "copy_ordinal", "segment_idx", "offset_sec", "aug_params",
-                             *[c.alias(n) for n, c in metric_columns(F.col("_s"), cfg).items()])
+    keys = ["file_path", "copy_ordinal", "segment_idx", "offset_sec", "aug_params"]
+    metrics = metrics_from_summary(segments.select(*keys, F.struct(*SCALARS, *ARRAYS).alias("_s")), keys, cfg)
     meta = recordings if "copy_ordinal" in recordings.columns else recordings.withColumn("copy_ordinal", F.lit(0).cast("long"))
     return meta.join(metrics, ["file_path", "copy_ordinal"])
 

@@ -19,7 +19,7 @@ GAPS = "(SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, l_quantity, n
 
 
 def wide_embeddings(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(DIMS)])
+    return table(spark, sf, "embeddings").select("vec_id", "label", *[F.expr(f"double(get(embedding, {i}))").alias(n) for i, n in enumerate(DIMS)])
 
 
 def gappy(spark, sf):

@@ -121,7 +121,7 @@ SELECT vec_id, CAST(s AS INTEGER) AS segment_idx, s * 8 / 16 AS offset_sec, roun
 FROM x JOIN range(7) t(s) ON i >= s * 8 AND i < s * 8 + 16 GROUP BY vec_id, s""")
 def _(spark, sf):
     seg = S.segment_arrays(vectors(spark, sf), "embedding", 1.0, 0.5, 16)
-    return seg.select("vec_id", "segment_idx", "offset_sec", F.round(A.total("embedding"), 6).alias("total"),
+    return seg.select("vec_id", "segment_idx", "offset_sec", F.round(F.expr(A.total("embedding")), 6).alias("total"),
                       F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"), F.size("embedding").cast("long").alias("n"))
 
 
@@ -155,14 +155,14 @@ def _(spark, sf):
 SELECT vec_id, concat_ws('|', printf('shift=%d', shift), printf('gain=%.2f', gain), CASE WHEN noise IS NOT NULL THEN printf('noise=%.4f', noise) END,
   CASE WHEN cut IS NOT NULL THEN 'cutout' END) AS aug_params FROM d""")
 def _(spark, sf):
-    df = vectors(spark, sf).withColumn("d", S.augment_draws(["vec_id"], 42))
-    return df.select("vec_id", S.augment_log(F.size("embedding"), F.col("d"), 80).alias("aug_params"))
+    df = vectors(spark, sf).withColumn("_d", S.augment_draws(["vec_id"], 42))
+    return df.select("vec_id", F.expr(S.augment_log("size(embedding)", 80)).alias("aug_params"))
 
 
 @REG.add("augment_with_noise")
 def _(spark, sf):
     out = S.augment(vectors(spark, sf), "embedding", ["vec_id"], 80)
-    return out.select("vec_id", "aug_params", F.size("embedding").alias("n"), F.round(A.total("embedding", F.abs), 6).alias("mass"))
+    return out.select("vec_id", "aug_params", F.size("embedding").alias("n"), F.round(F.expr(A.total("embedding", "abs({})".format)), 6).alias("mass"))
 
 
 def wav_files(spark, sf):
@@ -187,8 +187,8 @@ QUANT = "WITH " + VALUES + ", y AS (SELECT vec_id, i, CAST(round(v * 32767) AS I
 @REG.add("decode_wav", QUANT + " SELECT vec_id, 16000 AS sample_rate, CAST(64 AS BIGINT) AS n_samples, round(sum(s), 6) AS total, round(sum(abs(s)), 6) AS mass FROM y GROUP BY 1")
 def _(spark, sf):
     out = R.decode_signals(wav_files(spark, sf), sample_rate=RATE).filter("error is null")
-    return out.select("vec_id", "sample_rate", "n_samples", F.round(A.total("samples"), 6).alias("total"),
-                      F.round(A.total("samples", F.abs), 6).alias("mass"))
+    return out.select("vec_id", "sample_rate", "n_samples", F.round(F.expr(A.total("samples")), 6).alias("total"),
+                      F.round(F.expr(A.total("samples", "abs({})".format)), 6).alias("mass"))
 
 
 @REG.add("decode_errors", "SELECT vec_id, 'sample rate 16000, expected 24000' AS error FROM embeddings WHERE label <> 3 UNION ALL SELECT vec_id, 'unreadable' FROM embeddings WHERE label = 3")
@@ -204,7 +204,7 @@ def _(spark, sf):
 def _(spark, sf):
     signals = R.decode_signals(wav_files(spark, sf), sample_rate=RATE).filter("error is null").withColumn("file_id", F.col("vec_id"))
     stored = R.save_signals(signals, scratch_path(spark, "signals"))
-    return stored.select("vec_id", F.size("samples").cast("long").alias("n"), F.round(A.total("samples"), 6).alias("total"))
+    return stored.select("vec_id", F.size("samples").cast("long").alias("n"), F.round(F.expr(A.total("samples")), 6).alias("total"))
 
 
 @REG.add("extract_features", QUANT + """
