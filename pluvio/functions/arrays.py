@@ -22,6 +22,16 @@ def let(value: str, body: Callable[[str], str]) -> str:
     return f"get(transform(array({value}), {v} -> {body(v)}), 0)"
 
 
+def bind(body: Callable[[str], str], **values: str) -> str:
+    """`let` for several named values at once, reached as fields.
+
+    Whatever a lambda body needs from outside goes through here: Spark cannot run a column that
+    comes from a Python function inside a lambda.
+    """
+    fields = ", ".join(f"'{k}', {v}" for k, v in values.items())
+    return let(f"named_struct({fields})", body)
+
+
 def ratio(num: str, den: str) -> str:
     """NULL when the denominator is 0."""
     return f"try_divide(double({num}), double({den}))"
@@ -38,7 +48,7 @@ def mean(a: str, f: Callable[[str], str] = lambda x: x) -> str:
 
 def central(a: str, power: int) -> str:
     """Population central moment."""
-    return let(mean(a), lambda m: mean(a, lambda x: f"power({x} - {m}, {power})"))
+    return bind(lambda b: mean(f"{b}.a", lambda x: f"power({x} - {b}.m, {power})"), a=a, m=mean(a))
 
 
 def std(a: str) -> str:
@@ -56,9 +66,10 @@ def kurtosis(a: str) -> str:
 
 def entropy(a: str) -> str:
     """Shannon entropy (natural log) of the shares of a non-negative array."""
-    def body(s: str) -> str:
-        return f"if({s} > 0, {total(a, lambda x: f'if({x} > 0, -({x} / {s}) * ln({x} / {s}), 0D)')}, null)"
-    return let(total(a), body)
+    def body(b: str) -> str:
+        share = total(f"{b}.a", lambda x: f"if({x} > 0, -({x} / {b}.s) * ln({x} / {b}.s), 0D)")
+        return f"if({b}.s > 0, {share}, null)"
+    return bind(body, a=a, s=total(a))
 
 
 def evenness_gap(a: str) -> str:
@@ -95,26 +106,28 @@ def slope(x: str, y: str) -> str:
     """Least-squares slope of y on x."""
     def body(m: str) -> str:
         a, b = _var(), _var()
-        return ratio(total(f"zip_with({x}, {y}, ({a}, {b}) -> ({a} - {m}.x) * ({b} - {m}.y))"),
-                     total(x, lambda v: f"({v} - {m}.x) * ({v} - {m}.x)"))
-    return let(f"named_struct('x', {mean(x)}, 'y', {mean(y)})", body)
+        return ratio(total(f"zip_with({m}.x, {m}.y, ({a}, {b}) -> ({a} - {m}.mx) * ({b} - {m}.my))"),
+                     total(f"{m}.x", lambda v: f"({v} - {m}.mx) * ({v} - {m}.mx)"))
+    return bind(body, x=x, y=y, mx=mean(x), my=mean(y))
 
 
 def share_frequency(values: str, freqs: str, share: float) -> str:
     """Lowest frequency at which the running sum reaches a share of the total."""
-    def scan(goal: str) -> str:
+    def scan(b: str) -> str:
         s, c, e = _var("s"), _var("c"), _var("e")
-        step = f"named_struct('run', {s}.run + {c}.v, 'at', coalesce({s}.at, if({s}.run + {c}.v >= {goal}, {c}.f, null)))"
-        return f"aggregate({zipped(values, freqs)}, named_struct('run', 0D, 'at', double(null)), ({s}, {c}) -> {step}, {e} -> {e}.at)"
-    return let(f"{total(values)} * {share * (1 - 1e-12)!r}D", scan)
+        step = f"named_struct('run', {s}.run + {c}.v, 'at', coalesce({s}.at, if({s}.run + {c}.v >= {b}.goal, {c}.f, null)))"
+        return f"aggregate({b}.z, named_struct('run', 0D, 'at', double(null)), ({s}, {c}) -> {step}, {e} -> {e}.at)"
+    return bind(scan, z=zipped(values, freqs), goal=f"{total(values)} * {share * (1 - 1e-12)!r}D")
 
 
 def local_maxima(values: str, freqs: str) -> str:
     """Array of struct(k, f) of the elements above both neighbours; k is the negated height."""
-    i, j = _var("i"), _var("i")
-    peaks = (f"filter(sequence(1, greatest(size({values}) - 2, 1)), {i} -> get({values}, {i}) > get({values}, {i} - 1) "
-             f"and get({values}, {i}) > get({values}, {i} + 1))")
-    return f"transform({peaks}, {j} -> named_struct('k', -get({values}, {j}), 'f', double(get({freqs}, {j}))))"
+    def body(b: str) -> str:
+        i, j = _var("i"), _var("i")
+        peaks = (f"filter(sequence(1, greatest(size({b}.v) - 2, 1)), {i} -> get({b}.v, {i}) > get({b}.v, {i} - 1) "
+                 f"and get({b}.v, {i}) > get({b}.v, {i} + 1))")
+        return f"transform({peaks}, {j} -> named_struct('k', -get({b}.v, {j}), 'f', double(get({b}.f, {j}))))"
+    return bind(body, v=values, f=freqs)
 
 
 def spaced_peaks(values: str, freqs: str, spacing: float) -> str:
@@ -122,7 +135,7 @@ def spaced_peaks(values: str, freqs: str, spacing: float) -> str:
     s, p, g = _var("s"), _var("p"), _var("g")
     kept = (f"aggregate(array_sort({local_maxima(values, freqs)}), cast(array() as array<double>), ({s}, {p}) -> "
             f"if(exists({s}, {g} -> abs({g} - {p}.f) < {spacing}D), {s}, array_append({s}, {p}.f)))")
-    return f"size({kept})"
+    return f"if({values} is null, null, size({kept}))"
 
 
 def sign_changes(a: str) -> str:
@@ -134,26 +147,27 @@ def sign_changes(a: str) -> str:
 
 def frames(a: str, size: int, hop: int) -> str:
     """Full frames of an array; empty when it is shorter than one frame."""
-    i = _var("i")
-    starts = f"filter(sequence(0, greatest(size({a}) - {size}, 0), {hop}), {i} -> {i} + {size} <= size({a}))"
-    j = _var("i")
-    return f"transform({starts}, {j} -> slice({a}, {j} + 1, {size}))"
+    def body(b: str) -> str:
+        i, j = _var("i"), _var("i")
+        starts = f"filter(sequence(0, greatest(size({b}) - {size}, 0), {hop}), {i} -> {i} + {size} <= size({b}))"
+        return f"transform({starts}, {j} -> slice({b}, {j} + 1, {size}))"
+    return let(a, body)
 
 
 def roll(a: str, shift: str) -> str:
     """Circular shift to the right, 0 <= shift < size."""
-    return let(shift, lambda s: f"concat(slice({a}, size({a}) - {s} + 1, {s}), slice({a}, 1, size({a}) - {s}))")
+    return bind(lambda b: f"concat(slice({b}.a, size({b}.a) - {b}.s + 1, {b}.s), slice({b}.a, 1, size({b}.a) - {b}.s))", a=a, s=shift)
 
 
 def gain(a: str, factor: str) -> str:
     x = _var()
-    return let(factor, lambda g: f"transform({a}, {x} -> {x} * {g})")
+    return bind(lambda b: f"transform({b}.a, {x} -> {x} * {b}.g)", a=a, g=factor)
 
 
 def cutout(a: str, start: str, length: int) -> str:
     """Zero `length` elements from `start`; a NULL start changes nothing."""
     x, i = _var(), _var("i")
-    return let(start, lambda s: f"transform({a}, ({x}, {i}) -> if({i} >= {s} and {i} < {s} + {length}, {x} * 0, {x}))")
+    return bind(lambda b: f"transform({b}.a, ({x}, {i}) -> if({i} >= {b}.s and {i} < {b}.s + {length}, {x} * 0, {x}))", a=a, s=start)
 
 
 def decibels(a: str) -> str:

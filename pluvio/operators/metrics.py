@@ -66,9 +66,11 @@ def summarise(x: np.ndarray, cfg: MetricsConfig) -> dict:
         return dict.fromkeys(SCALARS + ARRAYS)
     x = x.astype(np.float64)
     d = x - x.mean()
+    d2 = d * d
     frames = K.cut_frames(x, cfg.n_fft, cfg.hop)
     p = K.power_spectrogram(x, cfg.sample_rate, cfg.n_fft, cfg.hop)
-    mag, level, f = np.sqrt(p), 10 * np.log10(p), np.arange(cfg.n_fft // 2 + 1) * cfg.sample_rate / cfg.n_fft
+    mag, log_p, f = np.sqrt(p), np.log(p), np.arange(cfg.n_fft // 2 + 1) * cfg.sample_rate / cfg.n_fft
+    level = log_p * (10 / np.log(10))
     weight = mag / mag.sum(axis=1, keepdims=True)
     centroid = weight @ f
     running = np.cumsum(weight, axis=1)
@@ -76,17 +78,17 @@ def summarise(x: np.ndarray, cfg: MetricsConfig) -> dict:
     cepstra = K.mfcc(p, cfg.sample_rate, cfg.n_fft, MFCC)
     bands = K.wavelet_levels(x, LEVELS)
     return {
-        "n_frames": float(len(p)), "mean_abs": np.abs(x).mean(), "m2": (d**2).mean(), "m3": (d**3).mean(), "m4": (d**4).mean(),
+        "n_frames": float(len(p)), "mean_abs": np.abs(x).mean(), "m2": d2.mean(), "m3": (d2 * d).mean(), "m4": (d2 * d2).mean(),
         "roughness": np.abs(p - p.mean()).mean(),
         "envelope": np.abs(x[: len(x) // cfg.hop * cfg.hop]).reshape(-1, cfg.hop).max(axis=1),
-        "rms": np.sqrt((frames**2).mean(axis=1)),
+        "rms": np.sqrt(np.einsum("ij,ij->i", frames, frames) / cfg.n_fft),
         "zcr": (np.diff(np.signbit(frames), axis=1)).sum(axis=1) / cfg.n_fft,
         "bin_mean": p.mean(axis=0), "bin_var": p.var(axis=0), "bin_flux": np.abs(np.diff(mag, axis=0)).sum(axis=0),
         "bin_mag": mag.sum(axis=0), "bin_slope": step * cfg.sample_rate / cfg.hop,
         "bin_active": (level - level.max() > cfg.active_db).sum(axis=0).astype(float),
         "bin_tfsd": np.abs(np.diff(np.diff(level, axis=0), axis=1)).sum(axis=0),
         "centroid": centroid, "bandwidth": np.sqrt((weight * (f - centroid[:, None]) ** 2).sum(axis=1)),
-        "flatness": np.exp(np.log(p).mean(axis=1)) / p.mean(axis=1),
+        "flatness": np.exp(log_p.mean(axis=1)) / p.mean(axis=1),
         "rolloff": f[(running >= cfg.rolloff * (1 - 1e-12)).argmax(axis=1)],
         "mfcc": cepstra.mean(axis=0), "mfcc_delta": K.mean_delta(cepstra),
         "wav_energy": np.array([(b**2).mean() for b in bands]), "wav_std": np.array([b.std() for b in bands]),
@@ -116,8 +118,8 @@ def bioacoustic_index(psd: str, freqs: str, cfg: MetricsConfig) -> str:
 def diversity_shares(active: str, n_frames: str, freqs: str, cfg: MetricsConfig) -> str:
     """Share of loud cells in each band of `diversity_step` Hz that holds bins."""
     edges = np.arange(0.0, min(cfg.diversity_max, cfg.sample_rate / 2 + 1e-9), cfg.diversity_step)
-    bands = [A.let(A.between(active, freqs, float(e), float(e + cfg.diversity_step)),
-                   lambda band: A.ratio(A.total(band), f"size({band}) * {n_frames}")) for e in edges]
+    bands = [A.bind(lambda b: A.ratio(A.total(f"{b}.band"), f"size({b}.band) * {b}.n"),
+                    band=A.between(active, freqs, float(e), float(e + cfg.diversity_step)), n=n_frames) for e in edges]
     return f"filter(array({', '.join(bands)}), x -> x is not null)"
 
 
@@ -135,7 +137,7 @@ def base_formulas(cfg: MetricsConfig) -> dict[str, str]:
         "ACI": A.total(A.divided("_s.bin_flux", "_s.bin_mag")), "AGI": A.total(A.divided("_s.bin_slope", psd)),
         "EAS": A.evenness_gap(psd), "ECU": A.evenness_gap("_s.bin_var"),
         "ECV": A.evenness_gap(A.divided("transform(_s.bin_var, v -> sqrt(v))", psd)),
-        "num_peaks": A.let(A.decibels(psd), lambda level: A.spaced_peaks(level, f, cfg.peak_spacing)),
+        "num_peaks": A.spaced_peaks(A.decibels(psd), f, cfg.peak_spacing),
         "anthro_energy": A.total(A.between(psd, f, *cfg.anthro_band)), "bio_energy": A.total(A.between(psd, f, *cfg.bio_band)),
         "BI": bioacoustic_index(psd, f, cfg), "_shares": diversity_shares("_s.bin_active", "_s.n_frames", f, cfg),
         "roughness": "_s.roughness",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,7 +80,7 @@ def augment_draws(keys: Sequence[str | Column], seed: int = 42, noise_prob: floa
 def shift_amount(size: str, draws: str = "_d") -> str:
     """SQL text: shift in samples from the drawn unit number."""
     low, high = (f"floor({size} * {r}D)" for r in SHIFT_RANGE)
-    return f"int(least({low} + floor({draws}.shift_u * ({high} - {low})), {size} - 1))"
+    return f"int(greatest(0, least({low} + floor({draws}.shift_u * ({high} - {low})), {size} - 1)))"
 
 
 def cutout_length(sample_rate: int) -> int:
@@ -100,29 +101,42 @@ def augment_log(size: str, sample_rate: int, draws: str = "_d") -> str:
             f"format_string('gain=%.2f', {draws}.gain), {noise}, {cut}), 'empty')")
 
 
-def noisy(samples: str | Column, draws: Column) -> Column:
-    """Add the drawn noise; rows without a noise draw pass through."""
-    @F.pandas_udf("array<double>")
-    def add(x: pd.Series, factor: pd.Series, seed: pd.Series) -> pd.Series:
-        return pd.Series([add_noise(v, f, int(s)) if f == f and f is not None else v for v, f, s in zip(x, factor, seed)])
-
-    return add(as_col(samples), draws["noise"], draws["noise_seed"])
+def augmented(x: np.ndarray, draws: dict, sample_rate: int) -> tuple[np.ndarray, str]:
+    """Apply the draws of one copy to one signal; returns the signal and the log."""
+    n = len(x)
+    if n == 0:
+        return x, "empty"
+    low, high = (int(n * r) for r in SHIFT_RANGE)
+    shift = max(0, min(low + int(draws["shift_u"] * (high - low)), n - 1))
+    log = [f"shift={shift}", f"gain={draws['gain']:.2f}"]
+    x = np.roll(x, shift).astype(np.float64) * draws["gain"]
+    if not pd.isna(draws["noise"]):
+        x = add_noise(x, draws["noise"], int(draws["noise_seed"]))
+        log.append(f"noise={draws['noise']:.4f}")
+    length = cutout_length(sample_rate)
+    if not pd.isna(draws["cut_u"]) and n > length:
+        start = int(draws["cut_u"] * (n - length))
+        x[start:start + length] = 0.0
+        log.append("cutout")
+    return x, "|".join(log)
 
 
 def augment(df: DataFrame, samples: str, keys: Sequence[str], sample_rate: int, seed: int = 42,
             noise_prob: float = 0.5, cutout_prob: float = 0.5) -> DataFrame:
     """Shift, gain, noise and cutout of signals held in an array column; adds `aug_params`.
 
-    Only the noise needs Python; the rest is array expressions.
+    Without noise everything is array expressions; Gaussian noise needs one Arrow pass.
     """
-    out = df.withColumns({"_d": augment_draws(keys, seed, noise_prob, cutout_prob), samples: F.col(samples).cast("array<double>")})
+    out = df.withColumn("_d", augment_draws(keys, seed, noise_prob, cutout_prob))
     size = f"size({samples})"
-    moved = A.gain(A.roll(samples, shift_amount(size)), "_d.gain")
-    out = out.withColumn("aug_params", F.expr(augment_log(size, sample_rate))).withColumn(
-        samples, F.expr(f"if({size} > 0, {moved}, {samples})"))
+    out = out.withColumn("aug_params", F.expr(augment_log(size, sample_rate)))
     if noise_prob > 0:
-        out = out.withColumn(samples, noisy(samples, F.col("_d")))
-    cut = A.cutout(samples, cutout_start(size, sample_rate), cutout_length(sample_rate))
+        @F.pandas_udf("array<float>")
+        def apply(x: pd.Series, draws: pd.DataFrame) -> pd.Series:
+            return pd.Series([augmented(np.asarray(v), d, sample_rate)[0] for v, d in zip(x, draws.to_dict("records"))])
+        return out.withColumn(samples, apply(samples, "_d")).drop("_d")
+    moved = A.gain(A.roll(f"cast({samples} as array<double>)", shift_amount(size)), "_d.gain")
+    cut = A.cutout(moved, cutout_start(size, sample_rate), cutout_length(sample_rate))
     return out.withColumn(samples, F.expr(cut).cast("array<float>")).drop("_d")
 
 

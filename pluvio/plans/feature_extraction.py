@@ -17,31 +17,15 @@ from pyspark.sql import types as T
 
 from pluvio.functions import kernels as K
 from pluvio.operators.metrics import ARRAYS, SCALARS, SUMMARY_SCHEMA, MetricsConfig, metrics_from_summary, summarise
-from pluvio.operators.segments import SHIFT_RANGE, augment_draws, cutout_length, window_and_stride
+from pluvio.operators.segments import augment_draws, augmented, window_and_stride
 
 # Copies of one recording that one task handles together.
 COPIES_PER_TASK = 64
+# Segment rows handed back to the JVM at a time; one row holds about 30 KB.
+ROWS_PER_BATCH = 256
 SEGMENT_SCHEMA = f"file_path string, copy_ordinal long, segment_idx int, offset_sec double, aug_params string, error string, {SUMMARY_SCHEMA}"
 
 
-def augmented(x: np.ndarray, draws: dict, sample_rate: int) -> tuple[np.ndarray, str]:
-    """Apply the draws of one copy; the same steps as `operators.segments.augment`."""
-    n = len(x)
-    low, high = (int(n * r) for r in SHIFT_RANGE)
-    shift = min(low + int(draws["shift_u"] * (high - low)), n - 1)
-    log = [f"shift={shift}", f"gain={draws['gain']:.2f}"]
-    x = np.roll(x, shift).astype(np.float64) * draws["gain"]
-    if draws["noise"] is not None:
-        x = K.add_noise(x, draws["noise"], int(draws["noise_seed"]))
-        log.append(f"noise={draws['noise']:.4f}")
-    length = cutout_length(sample_rate)
-    if draws["cut_u"] is not None and n > length:
-        start = int(draws["cut_u"] * (n - length))
-        x[start:start + length] = 0.0
-        log.append("cutout")
-    return x, "|".join(log)
-
-
 def segment_summaries(files: DataFrame, recordings: DataFrame, cfg: MetricsConfig, duration: float = 10.0, overlap: float = 0.5,
                       seed: int = 42, noise_prob: float = 0.5, cutout_prob: float = 0.5, partitions: int | None = None) -> DataFrame:
     """One row per (file_path, copy_ordinal, segment) with the summary arrays; a failing file gives one `error` row.
@@ -58,24 +42,34 @@ def segment_summaries(files: DataFrame, recordings: DataFrame, cfg: MetricsConfi
     copy = F.struct("copy_ordinal", F.when(F.col("_aug"), augment_draws(["file_path", "copy_ordinal"], seed, noise_prob, cutout_prob)).alias("draws"))
     chunks = wanted.groupBy("file_path", F.floor(F.col("copy_ordinal") / COPIES_PER_TASK).alias("_c")).agg(F.collect_list(copy).alias("copies"))
     work = files.select("file_path", "content").join(chunks, "file_path").select("file_path", "content", "copies", "_c")
-    work = work.repartition(partitions, "file_path", "_c") if partitions else work.repartition("file_path", "_c")
+    # a fixed number: the work per byte is large, so small inputs must not be merged into one task
+    partitions = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = work.repartition(partitions, "file_path", "_c")
+
+    names = ["file_path", "copy_ordinal", "segment_idx", "offset_sec", "aug_params", "error"] + SCALARS + ARRAYS
+
+    def rows_of(path: str, content: bytes, one: dict) -> list[dict]:
+        blank = dict.fromkeys(names) | {"file_path": path, "copy_ordinal": one["copy_ordinal"]}
+        try:
+            _, x = K.decode_wav(content, cfg.sample_rate)
+        except ValueError as err:
+            return [blank | {"error": str(err)}]
+        x, log = augmented(x, one["draws"], cfg.sample_rate) if one["draws"] is not None else (x, "none")
+        return [blank | {"segment_idx": k, "offset_sec": start / cfg.sample_rate, "aug_params": log}
+                | summarise(np.asarray(x[start:start + window], dtype=np.float32), cfg)
+                for k, start in enumerate(range(0, len(x) - window + 1, stride))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["file_path", "copy_ordinal", "segment_idx", "offset_sec", "aug_params", "error"] + SCALARS + ARRAYS
+        rows: list[dict] = []
         for batch in batches:
             for path, content, copies in zip(batch["file_path"], batch["content"], batch["copies"]):
                 for one in copies:
-                    blank = dict.fromkeys(names) | {"file_path": path, "copy_ordinal": one["copy_ordinal"]}
-                    try:
-                        _, x = K.decode_wav(content, cfg.sample_rate)
-                        x, log = augmented(x, one["draws"], cfg.sample_rate) if one["draws"] is not None else (x, "none")
-                        rows = [blank | {"segment_idx": k, "offset_sec": start / cfg.sample_rate, "aug_params": log}
-                                | summarise(np.asarray(x[start:start + window], dtype=np.float32), cfg)
-                                for k, start in enumerate(range(0, len(x) - window + 1, stride))]
-                    except ValueError as err:
-                        rows = [blank | {"error": str(err)}]
-                    if rows:
+                    rows += rows_of(path, content, one)
+                    if len(rows) >= ROWS_PER_BATCH:
                         yield pd.DataFrame(rows, columns=names)
+                        rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return work.mapInPandas(run, T._parse_datatype_string(SEGMENT_SCHEMA))
 

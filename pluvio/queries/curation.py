@@ -164,10 +164,12 @@ SETTINGS = [("dry", 1), ("wet", 2), ("wet", 3), ("wet", 4), ("dry/wet", 2), ("dr
 
 @REG.add("granularity_maps", " UNION ALL ".join(_granularity_sql(c, g) for c, g in SETTINGS))
 def _(spark, sf):
+    # the orders are read once: rules look at the label only, so they run on the counts per label
+    counts = rain_orders(spark, sf).groupBy("category").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("amount"))
     parts = None
     for content, granularity in SETTINGS:
-        one = (X.apply_rules(rain_orders(spark, sf), "category", content, granularity).groupBy("target")
-               .agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("amount"))
+        one = (X.apply_rules(counts, "category", content, granularity).groupBy("target")
+               .agg(F.sum("n").alias("n"), F.round(F.sum("amount"), 2).alias("amount"))
                .select(F.lit(f"{content}/{granularity}").alias("setting"), "target", "n", "amount"))
         parts = one if parts is None else parts.unionByName(one)
     return parts

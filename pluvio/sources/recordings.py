@@ -29,8 +29,8 @@ def _binary(spark: SparkSession, root: str, extensions: Sequence[str]) -> DataFr
 def scan_files(spark: SparkSession, root: str, extensions: Sequence[str] = (".wav",), location: str | None = None) -> DataFrame:
     """`file_name, file_path, extension, location` of all matching files below a folder.
 
-    The content column is pruned, so no file is read. Spark skips names that start with `_` or `.`;
-    folders that start with `.` are left out as well. Sort by `file_path` on output.
+    The content column is pruned, so no file is read. Spark skips names that start with `_` or `.`
+    and files of zero bytes; folders that start with `.` are left out as well. Sort by `file_path` on output.
     """
     place = location if location is not None else root.rstrip("/").rsplit("/", 1)[-1]
     return _binary(spark, root, extensions).select(

@@ -73,7 +73,7 @@ def main():
             if name in sqls:
                 why = compare(df, con, sqls[name])
             else:
-                why = "" if df.count() else "no rows"
+                why = "" if df.collect() else "no rows"
         except Exception as err:  # report and go on
             why = f"{type(err).__name__}: {str(err)[:1200]}"
         print(f"{'ok  ' if not why else 'FAIL'} {name} {time.time() - t:.1f}s {'' if name in sqls else '(rows only)'} {why}", flush=True)
