@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pluvio.functions.scalars import safe_ratio
 from pluvio.operators.ranks import HOT_ROWS, running_totals
+from pluvio.session import small_side
 
 
 def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -23,7 +24,7 @@ def confusion_matrix(df: DataFrame, classes: Sequence, label: str = "label", pre
     kind = dict(df.dtypes)[label]
     grid = spark.createDataFrame([(a, i, b, j) for i, a in enumerate(classes) for j, b in enumerate(classes)],
                                  f"label {kind}, label_ord int, prediction {kind}, prediction_ord int")
-    full = F.broadcast(grid).join(confusion_counts(df, label, prediction), ["label", "prediction"], "left")
+    full = grid.join(confusion_counts(df, label, prediction), ["label", "prediction"], "left")
     full = full.withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     row = F.sum("n").over(Window.partitionBy("label"))
     return full.withColumn("share", safe_ratio("n", row, F.lit(0.0)))
@@ -88,13 +89,8 @@ def pr_curve(long: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """
     tied = long.groupBy("class", "score").agg(F.sum("positive").alias("pos"), F.count("*").alias("n"))
     run = running_totals(tied, ["class"], "score", ["pos", "n"], descending=True, hot_rows=hot_rows)
-    total = F.sum("pos").over(Window.partitionBy("class"))
-    if hot_rows < HOT_ROWS:  # the bucketed curve is not sorted per class; join the totals instead
-        sums = tied.groupBy("class").agg(F.sum("pos").alias("positives"))
-        run = run.join(sums, "class")
-    else:
-        run = run.withColumn("positives", total)
-    return run.withColumns({"precision": safe_ratio("cum_pos", "cum_n"), "recall": safe_ratio("cum_pos", "positives", F.lit(1.0))})
+    totals = small_side(tied.groupBy("class").agg(F.sum("pos").alias("positives")))
+    return run.join(totals, "class").withColumns({"precision": safe_ratio("cum_pos", "cum_n"), "recall": safe_ratio("cum_pos", "positives", F.lit(1.0))})
 
 
 def average_precision(long: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -151,7 +147,7 @@ def result_sheet(df: DataFrame, classes: Sequence, label: str, prediction: str,
     per = class_metrics(confusion_counts(df, label, prediction)).withColumn("class", F.col("class").cast("string"))
     ap = average_precision(score_rows(df, classes, label, scores)).select("class", "average_precision")
     known = df.sparkSession.createDataFrame([(str(c),) for c in classes], "class string")
-    rows = F.broadcast(known).join(per, "class", "left").join(ap, "class", "left").fillna(0)
+    rows = known.join(per, "class", "left").join(ap, "class", "left").fillna(0)
     at = lambda c, m: F.max(F.when(F.col("class") == str(c), F.col(m)))
     wet = F.avg(F.when(F.col("class") != str(dry), F.col("f1")))
     cells = [at(c, m).alias(f"{c}_{n}") for c in classes

@@ -26,7 +26,7 @@ def class_counts(df: DataFrame, c: str) -> DataFrame:
 def composition(df: DataFrame, c: str, classes: Sequence[str]) -> DataFrame:
     """Count, share and percent over a fixed class list; absent classes show 0."""
     counts = class_counts(df.filter(F.col(c).isin(list(classes))), c)
-    full = F.broadcast(dimension(df, classes, c)).join(counts, c, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    full = dimension(df, classes, c).join(counts, c, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     total = F.sum("n").over(Window.partitionBy())
     return (full.withColumn("total", total).withColumn("share", safe_ratio("n", "total", F.lit(0.0)))
             .withColumn("percent", F.col("share") * 100))
@@ -75,7 +75,7 @@ def grid_counts(df: DataFrame, row: str, rows: Sequence[str], c: str, classes: S
     spark = df.sparkSession
     grid = spark.createDataFrame([(r, i, v) for i, r in enumerate(rows) for v in classes], f"{row} string, ord int, {c} string")
     counts = df.groupBy(row, c).agg(F.count("*").alias("n"))
-    return F.broadcast(grid).join(counts, [row, c], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    return grid.join(counts, [row, c], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
 def rare_event_share(df: DataFrame, amount: str, limit: float = 4.17) -> DataFrame:

@@ -25,7 +25,7 @@ def value_edges(df: DataFrame, value: str | Column, buckets: int = 1024) -> list
     The one collected row has a fixed length of `buckets - 1` numbers.
     """
     fractions = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(as_col(value), fractions, 10 * buckets).alias("e")).first()
+    row = df.agg(F.percentile_approx(as_col(value), fractions, 4 * buckets).alias("e")).first()
     return sorted(set(row["e"] or []))
 
 

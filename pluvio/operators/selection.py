@@ -151,7 +151,7 @@ def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     corr = F.when((vi > 1e-18) & (vj > 1e-18), cov / F.sqrt(vi * vj))
     pairs = spark.createDataFrame([(i, j, names[i], names[j]) for i in range(len(names)) for j in range(i + 1, len(names))],
                                   "i int, j int, feature_i string, feature_j string")
-    return F.broadcast(pairs).join(sums.select("i", "j", corr.alias("corr")), ["i", "j"], "left")
+    return pairs.join(sums.select("i", "j", corr.alias("corr")), ["i", "j"], "left")
 
 
 def collinear_features(pairs: DataFrame, threshold: float = 0.85) -> list[str]:

@@ -32,6 +32,9 @@ def segment_summaries(files: DataFrame, recordings: DataFrame, cfg: MetricsConfi
 
     `files` has `file_path, content`; `recordings` has `file_path` and optionally `split`,
     `should_augment`, `copy_ordinal`. Only flagged rows of the train split are augmented.
+
+    File contents are shuffled only if `recordings` is too large to broadcast, if `partitions` asks for
+    it, or if a file has more copies than one task should handle.
     """
     window, stride = window_and_stride(duration, overlap, cfg.sample_rate)
     have = recordings.columns
@@ -42,9 +45,10 @@ def segment_summaries(files: DataFrame, recordings: DataFrame, cfg: MetricsConfi
     copy = F.struct("copy_ordinal", F.when(F.col("_aug"), augment_draws(["file_path", "copy_ordinal"], seed, noise_prob, cutout_prob)).alias("draws"))
     chunks = wanted.groupBy("file_path", F.floor(F.col("copy_ordinal") / COPIES_PER_TASK).alias("_c")).agg(F.collect_list(copy).alias("copies"))
     work = files.select("file_path", "content").join(chunks, "file_path").select("file_path", "content", "copies", "_c")
-    # a fixed number: the work per byte is large, so small inputs must not be merged into one task
-    partitions = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = work.repartition(partitions, "file_path", "_c")
+    if partitions:
+        work = work.repartition(partitions, "file_path", "_c")
+    elif "copy_ordinal" in have and not chunks.groupBy("file_path").count().filter("count > 1").isEmpty():
+        work = work.repartition("file_path", "_c")  # a file with many copies must not stay in one task
 
     names = ["file_path", "copy_ordinal", "segment_idx", "offset_sec", "aug_params", "error"] + SCALARS + ARRAYS
 

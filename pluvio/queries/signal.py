@@ -213,7 +213,7 @@ FROM y JOIN range(3) t(g) ON i >= g * 16 AND i < g * 16 + 32 GROUP BY vec_id, g"
 def _(spark, sf):
     files = wav_files(spark, sf)
     out = X.extract_features(files.select("file_path", "content"), files.select("file_path", "vec_id"), M.MetricsConfig(sample_rate=RATE, n_fft=8),
-                             duration=32 / RATE, overlap=0.5)
+                             duration=32 / RATE, overlap=0.5, partitions=spark.sparkContext.defaultParallelism)
     return out.select("vec_id", "segment_idx", "offset_sec", F.round("mae", 6).alias("mae"), "aug_params")
 
 
@@ -225,7 +225,8 @@ def _(spark, sf):
                                                  F.concat(F.lit("c"), "label").alias("category"))
     parts = split_dataset(meta, ["vec_id"], 0.1, 0.1, ["category"])
     train = balance_with_copies(parts.filter("split = 'train'"), "category", [f"c{i}" for i in range(10)], ["vec_id"])
-    out = X.extract_features(files.select("file_path", "content"), train, M.MetricsConfig(sample_rate=RATE, n_fft=8), duration=32 / RATE)
+    out = X.extract_features(files.select("file_path", "content"), train, M.MetricsConfig(sample_rate=RATE, n_fft=8), duration=32 / RATE,
+                             partitions=spark.sparkContext.defaultParallelism)
     return out.groupBy("category", "should_augment").agg(F.count("*").alias("segments"), F.countDistinct("vec_id", "copy_ordinal").alias("recordings"))
 
 
