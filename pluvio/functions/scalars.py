@@ -124,6 +124,11 @@ def hash_bucket(h: ColumnLike, digits: int = 3) -> Column:
     return F.conv(F.substring(as_col(h), 1, digits), 16, 10).cast("int")
 
 
+def hash_number(h: ColumnLike) -> Column:
+    """Leading 60 bits of an md5 text; keeps its order and fits a number column."""
+    return F.conv(F.substring(as_col(h), 1, 15), 16, 10).cast("bigint")
+
+
 def hash_int(h: ColumnLike) -> Column:
     """Leading 32 bits of an md5 text as a non-negative integer."""
     return F.conv(F.substring(as_col(h), 1, 8), 16, 10).cast("bigint")

@@ -195,7 +195,8 @@ def spectrogram(df: DataFrame, samples: str, sample_rate: int, n_fft: int) -> Da
     @F.pandas_udf("array<array<double>>")
     def run(x: pd.Series) -> pd.Series:
         return pd.Series([list(K.power_spectrogram(np.asarray(v), sample_rate, n_fft, n_fft // 2)) if len(v) >= n_fft else None for v in x])
-    return df.select(*[c for c in df.columns if c != samples], run(samples).alias("power"))
+    # non-deterministic to the optimizer, or an explode above it would evaluate the kernel twice
+    return df.select(*[c for c in df.columns if c != samples], run.asNondeterministic()(samples).alias("power"))
 
 
 def spectrogram_cells(df: DataFrame, samples: str, sample_rate: int, n_fft: int) -> DataFrame:

@@ -7,12 +7,13 @@ The key columns must identify a row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvio.functions.scalars import hash_bucket, hash_int, seeded_hash
+from pluvio.functions.scalars import hash_bucket, hash_int, hash_number, seeded_hash
 from pluvio.operators.ranks import HOT_ROWS, number_by_hash, values_at_ranks
 from pluvio.session import null_safe_join, small_side
 
@@ -35,13 +36,16 @@ def undersample_1_to_1(df: DataFrame, target: str, anchors: Sequence[str], pool:
         return listed.filter(F.lit(False))
     if counts["p"] <= counts["a"]:
         return listed
-    cut = values_at_ranks(listed.filter(in_pool).withColumn("_all", F.lit(0)), ["_all"], "shuffle_key",
-                          hash_bucket("shuffle_key"),
-                          ranks=lambda n: F.array(F.struct(F.lit(0).alias("tag"), F.lit(counts["a"]).alias("rank"))))
-    limit = cut.first()["value"]
+    limit = _cuts(listed.filter(in_pool), "shuffle_key", pool=counts["a"])["pool"]
     return listed.filter(is_anchor | (in_pool & (F.col("shuffle_key") <= limit)))
 
 
+def _cuts(df: DataFrame, h: str, **ranks: int) -> dict[str, str]:
+    """Hash at each named rank of the whole table; rank 0 has no entry."""
+    wanted = F.array(*[F.struct(F.lit(n).alias("tag"), F.lit(r).cast("long").alias("rank")) for n, r in ranks.items()])
+    return {r["tag"]: r["value"] for r in values_at_ranks(df, [], h, hash_bucket(h), ranks=lambda _: wanted).collect()}
+
+
 def _allocate(strata: DataFrame, size: str, take: str, out: str) -> DataFrame:
     """Share `take` rows (a column, the same in every row) over strata by largest remainder on the complement.
 
@@ -82,13 +86,14 @@ def split_dataset(df: DataFrame, key: Sequence[str], test_size: float = 0.2, val
     """
     if test_size + val_size >= 1.0:
         raise ValueError("test and validation shares must sum to less than 1")
-    by = list(stratify) or ["_all"]
-    src = df if stratify else df.withColumn("_all", F.lit(0))
+    by, src = list(stratify), df
+    if not by:
+        return _split_whole(df, key, test_size, val_size, seed)
     strata = small_side(src.groupBy(*by).agg(F.count("*").alias("n")))
     facts = strata.agg(F.min("n").alias("least"), F.max("n").alias("most")).first()
     if not facts["most"]:
         raise ValueError("cannot split an empty table")
-    if stratify and facts["least"] < 2:
+    if facts["least"] < 2:
         raise ValueError("every stratum needs at least two rows")
     sizes = small_side(split_sizes(strata, test_size, val_size, by).select(*by, "n_test", "n_val"))
     hashed = src.withColumn("_h", seeded_hash(list(key), seed))
@@ -97,7 +102,7 @@ def split_dataset(df: DataFrame, key: Sequence[str], test_size: float = 0.2, val
         ranked = null_safe_join(hashed, sizes, by).withColumn("_rn", rank)
         split = (F.when(F.col("_rn") <= F.col("n_test"), "test")
                  .when(F.col("_rn") <= F.col("n_test") + F.col("n_val"), "val").otherwise("train"))
-        return ranked.withColumn("split", split).drop("_h", "_rn", "n_test", "n_val", "_all")
+        return ranked.withColumn("split", split).drop("_h", "_rn", "n_test", "n_val")
     targets = sizes.select(*by, F.explode(F.array(
         F.struct(F.lit("test").alias("tag"), F.col("n_test").alias("rank")),
         F.struct(F.lit("val").alias("tag"), (F.col("n_test") + F.col("n_val")).alias("rank")))).alias("t")).select(*by, "t.*")
@@ -107,7 +112,20 @@ def split_dataset(df: DataFrame, key: Sequence[str], test_size: float = 0.2, val
     out = null_safe_join(hashed, wide, by, "left")
     split = (F.when(F.col("_h") <= F.coalesce("_test", F.lit("")), "test")
              .when(F.col("_h") <= F.coalesce("_val", F.lit("")), "val").otherwise("train"))
-    return out.withColumn("split", split).drop("_h", "_test", "_val", "_all")
+    return out.withColumn("split", split).drop("_h", "_test", "_val")
+
+
+def _split_whole(df: DataFrame, key: Sequence[str], test_size: float, val_size: float, seed: int) -> DataFrame:
+    """Unstratified split: two cut hashes of the whole table, then a projection; no row is shuffled."""
+    n = df.count()
+    if n == 0:
+        raise ValueError("cannot split an empty table")
+    n_test = math.ceil(test_size * n)
+    n_val = math.ceil(val_size / (1.0 - test_size) * (n - n_test)) if val_size > 0 else 0
+    hashed = df.withColumn("_h", seeded_hash(list(key), seed))
+    cuts = _cuts(hashed, "_h", test=n_test, val=n_test + n_val)
+    split = (F.when(F.col("_h") <= cuts.get("test", ""), "test").when(F.col("_h") <= cuts.get("val", ""), "val").otherwise("train"))
+    return hashed.withColumn("split", split).drop("_h")
 
 
 def balance_with_copies(df: DataFrame, target: str, classes: Sequence[str], key: Sequence[str], seed: int = 42) -> DataFrame:
@@ -140,8 +158,14 @@ def balance_with_copies(df: DataFrame, target: str, classes: Sequence[str], key:
 
 
 def one_per_class(df: DataFrame, c: str, key: Sequence[str], seed: int = 42) -> DataFrame:
-    """One random row per class by the smallest hash; a plain aggregate, no sort. NULL classes are left out."""
-    h = seeded_hash(list(key), seed)
+    """One random row per class, the one with the smallest hash. NULL classes are left out.
+
+    The first pass reads class and key only and keeps a number per class, so nothing is sorted; the
+    second pass compares every row with its class's number.
+    """
+    hashed = df.filter(F.col(c).isNotNull()).withColumn("_h", seeded_hash(list(key), seed))
+    hashed = hashed.withColumn("_n", hash_number("_h"))
+    least = small_side(hashed.groupBy(c).agg(F.min("_n").alias("_least")))
+    first = hashed.join(least, c).filter("_n = _least")
     rest = [x for x in df.columns if x != c]
-    return (df.filter(F.col(c).isNotNull()).groupBy(c)
-            .agg(F.min_by(F.struct(*rest), h).alias("_r")).select(c, "_r.*").select(*df.columns))
+    return first.groupBy(c).agg(F.min_by(F.struct(*rest), "_h").alias("_r")).select(c, "_r.*").select(*df.columns)

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pluvio.functions import kernels as K
 from pluvio.operators.metrics import ARRAYS, SCALARS, SUMMARY_SCHEMA, MetricsConfig, metrics_from_summary, summarise
 from pluvio.operators.segments import augment_draws, augmented, window_and_stride
+from pluvio.session import small_side
 
 # Copies of one recording that one task handles together.
 COPIES_PER_TASK = 64
@@ -44,6 +45,7 @@ def segment_summaries(files: DataFrame, recordings: DataFrame, cfg: MetricsConfi
     wanted = recordings.select("file_path", ordinal.alias("copy_ordinal"), (flagged & train).alias("_aug")).distinct()
     copy = F.struct("copy_ordinal", F.when(F.col("_aug"), augment_draws(["file_path", "copy_ordinal"], seed, noise_prob, cutout_prob)).alias("draws"))
     chunks = wanted.groupBy("file_path", F.floor(F.col("copy_ordinal") / COPIES_PER_TASK).alias("_c")).agg(F.collect_list(copy).alias("copies"))
+    chunks = small_side(chunks)
     work = files.select("file_path", "content").join(chunks, "file_path").select("file_path", "content", "copies", "_c")
     if partitions:
         work = work.repartition(partitions, "file_path", "_c")

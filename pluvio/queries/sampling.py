@@ -30,16 +30,16 @@ def _(spark, sf):
     return B.undersample_1_to_1(ev, "event_type", ["view", "click", "purchase"], ["error", "signup"], ["event_id"])
 
 
-def _split_sql(cols, test, val):
+def _split_sql(cols, test, val, source="documents", key="doc_id"):
     by, name = ", ".join(cols), " || '|' || ".join(cols)
-    return f"""WITH s AS (SELECT {by}, {name} AS name, count(*) AS n FROM documents GROUP BY {by}),
+    return f"""WITH s AS (SELECT {by}, {name} AS name, count(*) AS n FROM {source} GROUP BY {by}),
 a AS (SELECT *, n * (sum(n) OVER () - ceil(sum(n) OVER () * {test}::DOUBLE)) / sum(n) OVER () AS x, sum(n) OVER () - ceil(sum(n) OVER () * {test}::DOUBLE) AS keep FROM s),
 b AS (SELECT *, floor(x + 1e-9) + CASE WHEN row_number() OVER (ORDER BY round(x - floor(x + 1e-9), 9) DESC, name) <= keep - sum(floor(x + 1e-9)) OVER () THEN 1 ELSE 0 END AS kept FROM a),
 c AS (SELECT {by}, name, n - kept AS n_test, kept AS m, ceil(({val}::DOUBLE / (1.0::DOUBLE - {test}::DOUBLE)) * sum(kept) OVER ()) AS take, sum(kept) OVER () AS tot FROM b),
 d AS (SELECT *, m * (tot - take) / tot AS x FROM c),
 f AS (SELECT *, floor(x + 1e-9) + CASE WHEN row_number() OVER (ORDER BY round(x - floor(x + 1e-9), 9) DESC, name) <= (tot - take) - sum(floor(x + 1e-9)) OVER () THEN 1 ELSE 0 END AS kept FROM d),
-r AS (SELECT doc_id, {by}, row_number() OVER (PARTITION BY {by} ORDER BY md5(doc_id || '|42')) AS rn FROM documents)
-SELECT doc_id, {by}, CASE WHEN rn <= n_test THEN 'test' WHEN rn <= n_test + (m - kept) THEN 'val' ELSE 'train' END AS split FROM r JOIN f USING ({by})"""
+r AS (SELECT {key}, {by}, row_number() OVER (PARTITION BY {by} ORDER BY md5({key} || '|42')) AS rn FROM {source})
+SELECT {key}, {by}, CASE WHEN rn <= n_test THEN 'test' WHEN rn <= n_test + (m - kept) THEN 'val' ELSE 'train' END AS split FROM r JOIN f USING ({by})"""
 
 
 @REG.add("stratified_split", _split_sql(["lang"], 0.1, 0.1))
@@ -47,10 +47,10 @@ def _(spark, sf):
     return B.split_dataset(table(spark, sf, "documents").select("doc_id", "lang"), ["doc_id"], 0.1, 0.1, ["lang"])
 
 
-@REG.add("stratified_split_two_columns", _split_sql(["lang", "source"], 0.2, 0.15))
+@REG.add("stratified_split_two_columns", _split_sql(["o_orderstatus", "o_orderpriority"], 0.2, 0.15, "orders", "o_orderkey"))
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
-    return B.split_dataset(docs, ["doc_id"], 0.2, 0.15, ["lang", "source"])
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return B.split_dataset(orders, ["o_orderkey"], 0.2, 0.15, ["o_orderstatus", "o_orderpriority"])
 
 
 @REG.add("plain_split", """
