@@ -45,7 +45,7 @@ def segment_summaries(files: DataFrame, recordings: DataFrame, cfg: MetricsConfi
     wanted = recordings.select("file_path", ordinal.alias("copy_ordinal"), (flagged & train).alias("_aug")).distinct()
     copy = F.struct("copy_ordinal", F.when(F.col("_aug"), augment_draws(["file_path", "copy_ordinal"], seed, noise_prob, cutout_prob)).alias("draws"))
     chunks = wanted.groupBy("file_path", F.floor(F.col("copy_ordinal") / COPIES_PER_TASK).alias("_c")).agg(F.collect_list(copy).alias("copies"))
-    chunks = small_side(chunks)
+    chunks = small_side(chunks, 20_000)  # a row holds up to COPIES_PER_TASK draws
     work = files.select("file_path", "content").join(chunks, "file_path").select("file_path", "content", "copies", "_c")
     if partitions:
         work = work.repartition(partitions, "file_path", "_c")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["curation", "profiles", "sampling", "evaluation", "selection", "signal", "models"]
+THEMES = ["curation", "profiles", "sampling", "evaluation", "selection", "signal", "scale", "models"]
 
 
 def all_registries():

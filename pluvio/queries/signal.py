@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from pluvio.functions import arrays as A
+from pluvio.functions.kernels import DB4
 from pluvio.functions.scalars import finite
 from pluvio.operators import metrics as M
 from pluvio.operators import segments as S
@@ -111,6 +112,53 @@ for _name, _group in GROUPS.items():
     REG.add(_name, _sql)(_fn)
 
 
+def _wavelet_sql() -> str:
+    """Five filter-and-halve steps with mirrored edges, each a join of the signal with the eight taps."""
+    taps = ", ".join(f"({j}, {float(lo)!r}::DOUBLE, {float(hi)!r}::DOUBLE)" for j, (lo, hi) in
+                     enumerate(zip(DB4, DB4[::-1] * np.where(np.arange(8) % 2 == 0, -1.0, 1.0))))
+    parts, n, src = [VALUES, f"taps(j, lo, hi) AS (VALUES {taps})"], 64, "x"
+    for level in range(1, 6):
+        i = "2 * k + 1 - j"
+        parts.append(f"""l{level} AS (SELECT vec_id, CAST(k AS INTEGER) AS i, sum(lo * v) AS v, sum(hi * v) AS d FROM (SELECT k, j, lo, hi,
+  CASE WHEN {i} < 0 THEN -1 - ({i}) WHEN {i} >= {n} THEN {2 * n - 1} - ({i}) ELSE {i} END AS i FROM range({(n + 7) // 2}) r(k), taps) JOIN {src} USING (i) GROUP BY vec_id, k)""")
+        n, src = (n + 7) // 2, f"l{level}"
+    stats = [f"s{lvl} AS (SELECT vec_id, avg(d * d) AS e, stddev_pop(d) AS s FROM l{lvl} GROUP BY 1)" for lvl in range(1, 6)]
+    parts += stats + ["s0 AS (SELECT vec_id, avg(v * v) AS e, stddev_pop(v) AS s FROM l5 GROUP BY 1)"]
+    cols = ", ".join(f"round(s{lvl}.e, 6) AS {n}_energy, round(s{lvl}.s, 6) AS {n}_std, round(s{lvl}.s * s{lvl}.s, 6) AS {n}_var"
+                     for lvl, n in [(0, "wav_approx")] + [(k, f"wav_detail_lvl{k}") for k in range(1, 6)])
+    joins = " ".join(f"JOIN s{lvl} USING (vec_id)" for lvl in range(1, 6))
+    return f"WITH {', '.join(parts)} SELECT vec_id, {cols}, round((s0.e + s1.e + s2.e + s3.e + s4.e + s5.e) / 6, 6) AS wav_energy_mean FROM s0 {joins}"
+
+
+WAVELET = [f"{n}_{s}" for n in ["wav_approx"] + [f"wav_detail_lvl{k}" for k in range(1, 6)] for s in ("energy", "std", "var")] + ["wav_energy_mean"]
+_fn, _sql = metric_query(WAVELET, {}, _wavelet_sql())
+REG.add("metrics_wavelet", _sql)(_fn)
+
+
+MFCC_SQL = "WITH " + VALUES + """,
+w AS (SELECT vec_id, t, n, v * (0.5 - 0.5 * cos(2 * pi() * n / 8)) AS h FROM x JOIN (SELECT t, n, t * 4 + n AS i FROM range(15) a(t), range(8) b(n)) USING (i)),
+d AS (SELECT vec_id, t, k, sum(h * cos(2 * pi() * k * n / 8)) AS re, sum(h * sin(2 * pi() * k * n / 8)) AS im FROM w, range(5) c(k) GROUP BY ALL),
+c AS (SELECT vec_id, t, k, greatest((re * re + im * im) / (16000 * 3) * CASE WHEN k BETWEEN 1 AND 3 THEN 2 ELSE 1 END, 1e-12) AS p FROM d),
+top AS (SELECT 15 + ln(8.0) / (ln(6.4) / 27) AS mel),
+hz AS (SELECT b, CASE WHEN m < 15 THEN m * 200 / 3 ELSE 1000 * exp(ln(6.4) / 27 * (m - 15)) END AS f FROM (SELECT b, mel * b / 129 AS m FROM range(130) r(b), top)),
+tri AS (SELECT l.b, l.f AS lo, m.f AS mid, u.f AS hi FROM hz l JOIN hz m ON m.b = l.b + 1 JOIN hz u ON u.b = l.b + 2),
+mw AS (SELECT b, k, greatest(0, least((k * 2000 - lo) / (mid - lo), (hi - k * 2000) / (hi - mid))) * 2 / (hi - lo) AS wt FROM tri, range(5) r(k)),
+me AS (SELECT vec_id, t, b, 10 * log10(greatest(sum(p * wt), 1e-10)) AS db FROM c JOIN mw USING (k) GROUP BY vec_id, t, b),
+cl AS (SELECT vec_id, t, b, greatest(db, max(db) OVER (PARTITION BY vec_id) - 80) AS db FROM me),
+ce AS (SELECT vec_id, t, q, sum(db * cos(pi() * q * (2 * b + 1) / 256)) * CASE WHEN q = 0 THEN sqrt(1 / 128) ELSE sqrt(2 / 128) END AS m FROM cl, range(20) r(q) GROUP BY vec_id, t, q),
+av AS (SELECT vec_id, q, avg(m) AS m FROM ce GROUP BY ALL),
+sl AS (SELECT e.vec_id, e.q, sum((e.t - g.c) * e.m) / 60 / 15 AS dm FROM (SELECT t AS t0, greatest(4, least(t, 10)) AS c FROM range(15) r(t)) g JOIN ce e ON e.t BETWEEN g.c - 4 AND g.c + 4 GROUP BY e.vec_id, e.q)
+SELECT vec_id, """ + ", ".join(f"round(max(m) FILTER (WHERE q = {i}), 6) AS mfcc_{i + 1}, round(max(dm) FILTER (WHERE q = {i}), 6) AS mfcc_delta_{i + 1}" for i in range(20)) + """,
+  round(avg(m), 6) AS mfcc_mean, round(stddev_pop(m), 6) AS mfcc_std, round(var_pop(m), 6) AS mfcc_var FROM av JOIN sl USING (vec_id, q) GROUP BY vec_id"""
+
+
+@REG.add("metrics_mfcc", MFCC_SQL)
+def _(spark, sf):
+    names = [f"mfcc_{d}{i}" for i in range(1, 21) for d in ("", "delta_")] + ["mfcc_mean", "mfcc_std", "mfcc_var"]
+    out = M.acoustic_metrics(vectors(spark, sf), "embedding", M.MetricsConfig(sample_rate=RATE, n_fft=8))
+    return out.selectExpr("vec_id", *[f"round({n}, 6) as {n}" for n in names])
+
+
 @REG.add("metrics_all")
 def _(spark, sf):
     return M.acoustic_metrics(vectors(spark, sf), "embedding", M.MetricsConfig(sample_rate=RATE, n_fft=8))
