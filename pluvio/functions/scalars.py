@@ -22,7 +22,8 @@ def as_col(c: ColumnLike) -> Column:
 def named_groups(pattern: str) -> tuple[str, dict[str, int]]:
     """Pattern in Java syntax without group names, plus name -> group number."""
     groups = dict(re.compile(pattern).groupindex)
-    return re.sub(r"\(\?P<[^>]+>", "(", pattern), groups
+    plain = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\{groups[m.group(1)]}", pattern)
+    return re.sub(r"\(\?P<[^>]+>", "(", plain), groups
 
 
 def regex_group(c: ColumnLike, java_pattern: str, index: int) -> Column:
@@ -103,7 +104,7 @@ def normalise_label(c: ColumnLike) -> Column:
 
 def title_case(c: ColumnLike) -> Column:
     """Every run of letters starts upper case, the rest lower (a slash or dash also starts a word)."""
-    words = F.regexp_extract_all(F.lower(as_col(c)), F.lit(r"([a-z]+|[^a-z]+)"), F.lit(1))
+    words = F.regexp_extract_all(F.lower(as_col(c)), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
     return F.array_join(F.transform(words, lambda w: F.initcap(w)), "")
 
 

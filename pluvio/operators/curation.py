@@ -88,8 +88,9 @@ def merge_labels(df: DataFrame, labels: DataFrame, key: str = "file_name", renam
                  no_overwrite: Sequence[str] = (), ordinal: str | Column | None = None) -> DataFrame:
     """Left join of recordings with ground truth.
 
-    One label row per key (the first by `ordinal`), label values win over raw ones unless they are
-    NULL or the column is protected. Labels are joined by AQE's choice: broadcast if measured small.
+    One label row per key (the first by `ordinal`; tables have no file order, so without it the
+    smallest row wins), label values win over raw ones unless they are NULL or the column is
+    protected. Labels are joined by AQE's choice: broadcast if measured small.
     """
     gt = labels.withColumnsRenamed(dict(LABEL_RENAMES if renames is None else renames))
     require_columns(df, key)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pluvio.functions.scalars import safe_ratio
 from pluvio.operators.ranks import HOT_ROWS, running_totals
-from pluvio.session import small_side
+from pluvio.session import small_side, stage
 
 
 def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -86,8 +86,9 @@ def pr_curve(long: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Precision-recall points per class, one per distinct score, from high to low.
 
     Tied scores are grouped before anything is ordered, so a score shared by a third of all rows is one row.
+    The grouped table is staged, because sizes, totals and running sums all read it.
     """
-    tied = long.groupBy("class", "score").agg(F.sum("positive").alias("pos"), F.count("*").alias("n"))
+    tied = stage(long.groupBy("class", "score").agg(F.sum("positive").alias("pos"), F.count("*").alias("n")))
     run = running_totals(tied, ["class"], "score", ["pos", "n"], descending=True, hot_rows=hot_rows)
     totals = small_side(tied.groupBy("class").agg(F.sum("pos").alias("positives")))
     return run.join(totals, "class").withColumns({"precision": safe_ratio("cum_pos", "cum_n"), "recall": safe_ratio("cum_pos", "positives", F.lit(1.0))})

@@ -94,7 +94,12 @@ def test_experiment_rules(spark):
     assert roles["features"] == ["a", "b"] and "is_rain" in roles["metadata"]
 
 
+def test_named_groups():
+    java, groups = S.named_groups(r"(?P<a_b>x+)-(?:y)(?P<c>z)(?P=a_b)")
+    assert java == r"(x+)-(?:y)(z)\1" and groups == {"a_b": 1, "c": 2}
+
+
 def test_title_and_base_name(spark):
-    df = spark.createDataFrame([("light/moderate", "a/b/c.wav"), ("NO RAIN", r"x\y.wav"), (None, "z.wav")], "t string, p string")
+    df = spark.createDataFrame([("light/moderate", "a/b/c.wav"), ("NO RAIN", r"x\y.wav"), (None, "z.wav"), ("ÁGUA-fria", "/a/b/")], "t string, p string")
     rows = df.select(S.title_case("t").alias("t"), S.base_name("p").alias("p")).collect()
-    assert [tuple(r) for r in rows] == [("Light/Moderate", "c.wav"), ("No Rain", "y.wav"), (None, "z.wav")]
+    assert [tuple(r) for r in rows] == [("Light/Moderate", "c.wav"), ("No Rain", "y.wav"), (None, "z.wav"), ("Água-Fria", "b")]
