@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Largest row count of a table that may be broadcast. Beyond it the same join runs as a shuffle join.
 MAX_BROADCAST_ROWS = 100_000
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "pluvio", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,7 +29,25 @@ def build_session(app: str = "pluvio", master: str | None = None, **conf: str) -
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give the Python workers this package, once per application.
+
+    The archive is packed on the driver and handed to every executor by Spark itself, so tasks can
+    import the kernels wherever the driver was started.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="pluvio-ship-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
+        sc.addPyFile(str(archive))
+        _SHIPPED.add(sc.applicationId)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
