@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvio.operators.evaluation import f1_summary, pr_auc_summary
-from pluvio.session import small_side
+from pluvio.session import small_side, stage
 
 WEIGHT = "weight"
 
@@ -152,8 +152,10 @@ SCORERS = ("f1_macro", "f1_micro", "f1_weighted", "accuracy", "pr_auc_macro")
 def evaluate(fitted: FittedClassifier, df: DataFrame, label: str) -> DataFrame:
     """One row: F1 averages, accuracy and PR-AUC averages on held-out data."""
     pred = fitted.predict(df.withColumn("_truth", F.col(label).cast("string")))
+    pred = stage(pred.select("_truth", "prediction", "scores"))  # scored once, read by both summaries
     auc = pr_auc_summary(pred, fitted.classes, "_truth", [F.get("scores", F.lit(i)) for i in range(len(fitted.classes))])
-    return f1_summary(pred, "_truth").withColumns({c: auc.select(c).scalar() for c in auc.columns})
+    row = auc.select(F.struct(*auc.columns).alias("_auc")).scalar()
+    return f1_summary(pred, "_truth").withColumn("_auc", row).select("*", "_auc.*").drop("_auc")
 
 
 @dataclass
