@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -19,6 +20,8 @@ from pluvio.operators.evaluation import f1_summary, pr_auc_summary
 from pluvio.session import small_side, stage
 
 WEIGHT = "weight"
+# Fewest training rows worth a task of their own.
+ROWS_PER_TASK = 20_000
 
 
 def with_class_weights(df: DataFrame, label: str, out: str = WEIGHT) -> DataFrame:
@@ -131,19 +134,36 @@ def _vectorised(df: DataFrame, features: str | Sequence[str]) -> DataFrame:
 
 def fit_classifier(spec: Classifier, train: DataFrame, features: str | Sequence[str], label: str) -> FittedClassifier:
     """Fit on rows with a label; classes are indexed in sorted order. `features` is an array column or names."""
-    return _fit(spec, _prepare(train, features, label), features)
+    prepared = _prepare(train, features, label)
+    try:
+        return _fit(spec, prepared, features)
+    finally:
+        prepared.cached.unpersist()
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """Training rows in the form the estimators read, cached once for all fits."""
+
+    ready: DataFrame
+    cached: DataFrame
+    rows: int
+    classes: list[str]
 
 
-def _prepare(train: DataFrame, features, label: str):
+def _prepare(train: DataFrame, features, label: str) -> Prepared:
     known = train.filter(F.col(label).isNotNull()).withColumn("_label", F.col(label).cast("string"))
     indexer = StringIndexer(inputCol="_label", outputCol="label_index", stringOrderType="alphabetAsc").fit(known)
     ready = _vectorised(with_class_weights(indexer.transform(known), "label_index"), features)
-    return ready.select("features", "label_index", WEIGHT).persist(StorageLevel.MEMORY_AND_DISK), list(indexer.labels)
+    cached = ready.select("features", "label_index", WEIGHT).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = cached.count()
+    # every solver step is a job over this table: few rows should not be spread over many tasks
+    compact = cached.coalesce(max(1, math.ceil(rows / ROWS_PER_TASK)))
+    return Prepared(compact, cached, rows, list(indexer.labels))
 
 
-def _fit(spec: Classifier, prepared, features) -> FittedClassifier:
-    ready, classes = prepared
-    return FittedClassifier(spec.build(ready.count()).fit(ready), classes, features)
+def _fit(spec: Classifier, prepared: Prepared, features) -> FittedClassifier:
+    return FittedClassifier(spec.build(prepared.rows).fit(prepared.ready), prepared.classes, features)
 
 
 SCORERS = ("f1_macro", "f1_micro", "f1_weighted", "accuracy", "pr_auc_macro")
@@ -186,6 +206,6 @@ def tune(spec: Classifier, grid: Mapping[str, Sequence], train: DataFrame, valid
         best = max(range(len(points)), key=lambda i: (scores[i], -i))
         champion = _fit(spec.with_params(points[best]), prepared, features)
     finally:
-        prepared[0].unpersist()
+        prepared.cached.unpersist()
         held.unpersist()
     return Tuned(champion, points[best], scores[best], list(zip(points, scores)))
