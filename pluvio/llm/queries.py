@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pluvio.llm.common import documents
+from pluvio.llm.decontaminate import contamination
 from pluvio.llm.near_dedup import near_duplicates
 from pluvio.queries.base import Registry
 
@@ -26,3 +27,22 @@ from comp left join n using (doc_id)""")
 def op2(spark, sf_dir):
     """Links of 3-word shingle sets at a similarity of 0.85 or more, over all documents."""
     return near_duplicates(documents(spark, sf_dir), k=3, num=85, den=100)
+
+
+@REG.add("op3_benchmark_decontamination", rf"""
+with dw as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+iw as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+ig as (select distinct item_id, least(13, len(w)) as n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') as g
+       from iw, unnest(range(1, len(w) - least(13, len(w)) + 2)) as u(i) where len(w) > 0),
+dg as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as g
+       from dw, (select distinct n from ig), unnest(range(1, len(w) - n + 2)) as u(i)),
+hit as (select doc_id, item_id, dg.n, i from dg join ig using (n, g)),
+words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by doc_id),
+ids as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids
+        from (select distinct doc_id, cast(item_id as varchar) as id from hit) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from dw left join words using (doc_id) left join ids using (doc_id)""")
+def op3(spark, sf_dir):
+    """Winnowed matches of all benchmark items in all documents."""
+    return contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
