@@ -61,7 +61,7 @@ def main():
     only = args[1:]
     sf_dir = f"/root/testdata/sf{sf}"
     spark = build_session("compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
-                          spark__driver__memory="16g")
+                          spark__driver__memory="16g", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, failed = connect(sf_dir), oracle_sql(), []
     for name, fn in queries().items():
