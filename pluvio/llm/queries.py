@@ -5,6 +5,7 @@ from __future__ import annotations
 from pluvio.llm.common import documents
 from pluvio.llm.decontaminate import contamination
 from pluvio.llm.near_dedup import near_duplicates
+from pluvio.llm.quality_model import quality
 from pluvio.queries.base import Registry
 
 REG = Registry()
@@ -46,3 +47,9 @@ from dw left join words using (doc_id) left join ids using (doc_id)""")
 def op3(spark, sf_dir):
     """Winnowed matches of all benchmark items in all documents."""
     return contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+@REG.add("op7_quality_classifier")
+def op7(spark, sf_dir):
+    """Perplexity of all documents under a model of all trusted documents."""
+    return quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
