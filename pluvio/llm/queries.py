@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from pluvio.llm.common import documents
 from pluvio.llm.decontaminate import contamination
 from pluvio.llm.near_dedup import near_duplicates
+from pluvio.llm.packing import pack
 from pluvio.llm.quality_model import quality
+from pluvio.llm.tokens import token_counts
 from pluvio.queries.base import Registry
 
 REG = Registry()
@@ -53,3 +57,15 @@ def op3(spark, sf_dir):
 def op7(spark, sf_dir):
     """Perplexity of all documents under a model of all trusted documents."""
     return quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+@REG.add("op4_token_counts")
+def op4(spark, sf_dir):
+    """Byte-level BPE tokens of all documents."""
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@REG.add("op10_best_fit_packing")
+def op10(spark, sf_dir):
+    """All documents in sequences of 2048 tokens."""
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
