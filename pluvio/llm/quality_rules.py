@@ -16,6 +16,7 @@ LOST = 0.5  # a document goes when more than this share of its word characters s
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _CLOSED = re.compile(rb"""(?:[.!?:;]|\xe2\x80\xa6|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)(?:["')\]]|\xe2\x80\x9d|\xe2\x80\x99|\xc2\xbb)*$""")
+_INNER = re.compile(rb"[.!?:;,][\x20\x09]")  # a long line with these is prose that lacks only its last sign
 _SEPARATORS = re.compile(rb"[|>]|\xc2\xbb|\xe2\x80\xa2|\xc2\xb7|\xe2\x80\xba")
 _BOILERPLATE = re.compile(rb"cookie|javascript|privacy policy|terms of (?:use|service)|all rights reserved|lorem ipsum|sign in|log in"
                           rb"|subscribe|newsletter|click here|read more|share (?:this|on)|follow us|skip to|add to cart|back to top")
@@ -37,7 +38,9 @@ def line_fails(line: bytes, words: list[bytes]) -> str:
         return "capitals"
     if n >= 12 and 4 * len(set(words)) < n:
         return "repetition"
-    return "" if _CLOSED.search(line.rstrip()) else "punctuation"
+    if _CLOSED.search(line.rstrip()) or n >= 10 and _INNER.search(line):
+        return ""
+    return "punctuation"
 
 
 def measure(text: str) -> tuple:
