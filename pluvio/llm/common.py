@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pluvio.session import scratch_path, ship_package
 
 BATCH_ROWS = 256  # rows a Python worker holds at once; texts may be long
+BATCH_BYTES = 32 << 20
 FILTER_SLOTS = 1 << 18  # most rows of a broadcast remainder filter, whatever the input size
 
 
@@ -22,6 +23,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """`mapInArrow` over small batches, with this package shipped to the workers."""
     spark = ship_package(df.sparkSession)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 

@@ -13,29 +13,29 @@ MAX_ROUNDS = 200
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in `links` (a, b); `component` is the least id reachable.
 
-    Each round maps every vertex to the neighbour (or itself) that comes first in a hash order drawn anew,
-    and joins vertices that were mapped alike. Random orders shrink chains and stars by a constant factor a
+    Each round maps every vertex to the neighbour (or itself) that comes first in a hash order,
+    and joins vertices that were mapped alike. A random order shrinks chains and stars by a constant factor a
     round, so the number of rounds is logarithmic. Self links and repeated links are allowed.
     """
-    edges = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    label = None
-    for turn in range(MAX_ROUNDS):
-        rank = F.xxhash64(F.col("b"), F.lit(turn))
-        parent = (edges.groupBy("a").agg(F.min_by("b", rank).alias("best"), F.min(rank).alias("best_rank"))
-                  .select("a", F.when(F.col("best_rank") < F.xxhash64(F.col("a"), F.lit(turn)), F.col("best"))
-                          .otherwise(F.col("a")).alias("p")))
-        parent = staged(parent, "parent")
-        if label is None:
-            label = parent.select(F.col("a").alias("id"), F.col("p").alias("at"))
-        else:
-            label = (label.join(parent, label["at"] == parent["a"], "left")
-                     .select("id", F.coalesce("p", "at").alias("at")))
-        label = staged(label, "label")
-        left = parent.select(F.col("a").alias("l"), F.col("p").alias("pa"))
-        right = parent.select(F.col("a").alias("r"), F.col("p").alias("pb"))
-        edges = staged(edges.join(left, edges["a"] == left["l"]).join(right, edges["b"] == right["r"])
-                       .where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
+    edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    maps = []
+    for _ in range(MAX_ROUNDS):
+        rank = F.xxhash64("b")
+        best = edges.groupBy("a").agg(F.min_by("b", rank).alias("best"), F.min(rank).alias("rank"))
+        own = F.xxhash64("a")
+        maps.append(staged(best.select("a", F.when(F.col("rank") < own, F.col("best")).otherwise(F.col("a")).alias("p")), "parent"))
+        left = maps[-1].select("a", F.col("p").alias("pa"))
+        right = maps[-1].select(F.col("a").alias("b"), F.col("p").alias("pb"))
+        edges = staged(edges.join(left, "a").join(right, "b").where("pa <> pb")
+                       .select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
         if is_empty(edges):
-            least = label.groupBy("at").agg(F.min("id").alias("component"))
-            return staged(label.join(least, "at").select("id", "component"), "components")
-    raise RuntimeError("components did not settle")
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    if is_empty(maps[0]):
+        return maps[0].select(F.col("a").alias("id"), F.col("p").alias("component"))
+    label = maps[0].select(F.col("a").alias("id"), F.col("p").alias("at"))
+    for parent in maps[1:]:  # a vertex that has no link left is at its component's last place
+        label = label.join(parent, label["at"] == parent["a"], "left").select("id", F.coalesce("p", "at").alias("at"))
+    label = staged(label, "label")
+    return label.join(label.groupBy("at").agg(F.min("id").alias("component")), "at").select("id", "component")

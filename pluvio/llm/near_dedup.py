@@ -6,17 +6,19 @@ s share a given child with probability s, so they part at the root of all trees
 (1 - s) ** (TREES * BRANCHES): 2.6e-7 at 0.85, 2.6e-6 at 0.8. Deeper levels lose them with
 q = (1 - s + s * q) ** BRANCHES per tree at most, 9e-7 and 1e-5 over four trees.
 
-A node is small when at most SMALL members lie outside its largest known component; these are compared with
-every member on their sketches. In larger nodes two pivots (the text with most copies, and one by hash) are
-compared with every member, and after their links are known the node branches on. Members of one component need no
-further comparison, so a group of near copies is used up by its pivots and never gives all its pairs. Nodes that
-are still large at depth MAX_DEPTH are compared exhaustively in blocks of SMALL members, so there is no cap.
-Every candidate is confirmed on the full sets.
+Members of one component need no further comparison. So a level has two steps. First, nodes with at most SMALL
+members outside their largest known component are compared exhaustively, and in larger ones two pivots (the text with
+most copies, and one by hash) are compared with every member; a group of near copies is mostly used up by its
+pivots, and never gives all its pairs. Then, with the new components known, nodes with at most FULL members outside the largest
+are compared exhaustively, those members with all, in blocks; only larger ones branch on. At MAX_DEPTH all that is left
+is compared in blocks, so there is no cap. A pair that meets in several roots is put forward in the first of them only.
+Members of a block pair with a similar pair are a group of at most about 2 * BLOCK candidates, whose full sets are compared.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,9 @@ from pluvio.llm.common import arrow_map, is_empty, prefilter, staged
 from pluvio.llm.components import components
 from pluvio.llm.words import mix, shingle_set
 
-POSITIONS, TREES, BRANCHES, SMALL, MAX_DEPTH = 128, 4, 2, 24, 5
+POSITIONS, TREES, BRANCHES, MAX_DEPTH = 128, 4, 2, 12
+SMALL, FULL, BLOCK = 64, 4096, 32  # members outside the largest component; members of a block
+LEAD = TREES * BRANCHES
 
 
 def _multipliers() -> np.ndarray:
@@ -54,44 +58,75 @@ def _describe(k: int):
                 out["doc_id"].append(doc_id)
                 out["n_shingles"].append(len(found))
                 out["key"].append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                out["sketch"].append((tokens & 0xFF).astype(np.uint8).tobytes())
+                out["sketch"].append((tokens & 0xFF).astype(np.uint8).tobytes() + tokens[_ROOTS].tobytes() if len(found) else b"")
                 out["tokens"].append(tokens.tobytes())
             yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()),
                                                              ("sketch", pa.binary()), ("tokens", pa.binary())]))
     return run
 
 
+def _places(node: np.ndarray, b: int) -> np.ndarray:
+    """The token position by which a node sends its members to its b-th child; an odd stride keeps them apart."""
+    first = mix(node * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7))
+    step = (first >> np.uint64(32)) % np.uint64(POSITIONS // 2)
+    return ((first + np.uint64(b) * (np.uint64(2) * step + np.uint64(1))) % np.uint64(POSITIONS)).astype(np.int64)
+
+
+#: Token positions of the roots' children, in the order of `slot`.
+with np.errstate(over="ignore"):
+    _ROOTS = np.concatenate([_places(np.arange(TREES, dtype=np.uint64), b) for b in range(BRANCHES)])
+
+
 def _children(batches):
-    """(node, rep, tokens) to the BRANCHES children of each; a root has its tree's number as its node."""
+    """(node, rep, tokens) to its BRANCHES children; a root's children have a slot, their place among all of these."""
     with np.errstate(over="ignore"):
         for batch in batches:
             node = batch["node"].to_numpy(zero_copy_only=False).view(np.uint64)
             tokens = np.frombuffer(b"".join(batch["tokens"].to_pylist()), np.uint32).reshape(len(node), POSITIONS)
-            rows, children = np.arange(len(node)), []
-            first = mix(node * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7))
-            step = (first >> np.uint64(32)) % np.uint64(POSITIONS // 2)
-            for b in range(BRANCHES):  # an odd stride keeps the positions of one node apart
-                at = (first + np.uint64(b) * (np.uint64(2) * step + np.uint64(1))) % np.uint64(POSITIONS)
-                token = tokens[rows, at.astype(np.int64)].astype(np.uint64)
-                children.append(mix(mix(node + np.uint64(b + 1) * np.uint64(0xD6E8FEB86659FD93)) + (token << np.uint64(8)) + at).view(np.int64))
-            yield pa.RecordBatch.from_pydict({"node": np.concatenate(children), "rep": pa.array(batch["rep"].to_pylist() * BRANCHES, pa.int64())})
+            rows, children, slots = np.arange(len(node)), [], []
+            for b in range(BRANCHES):
+                at = _places(node, b)
+                token = tokens[rows, at].astype(np.uint64)
+                children.append(mix(mix(node + np.uint64(b + 1) * np.uint64(0xD6E8FEB86659FD93)) + (token << np.uint64(8)) + at.astype(np.uint64)).view(np.int64))
+                slots.append(np.where(node < TREES, node + np.uint64(b * TREES), np.uint64(0)).astype(np.int32))
+            yield pa.RecordBatch.from_pydict({"node": np.concatenate(children), "slot": np.concatenate(slots), "rep": pa.array(batch["rep"].to_pylist() * BRANCHES, pa.int64())})
+
+
+def _lists(column: pa.ListArray):
+    """Per row: reps, components and sketches (one a line) of a list of structs."""
+    width = POSITIONS + 4 * LEAD
+    flat, offsets = column.flatten(), column.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    rep, comp = flat.field("rep").to_numpy(), flat.field("comp").to_numpy()
+    sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, width)
+    return [(rep[lo:hi], comp[lo:hi], sketch[lo:hi]) for lo, hi in zip(offsets[:-1], offsets[1:])]
 
 
 def _similar(least: int):
-    """Pairs of a member and listed members of other components whose sketches agree in at least `least` positions."""
+    """(group, reps): the listed members of which some pair of two components agrees in at least `least` positions.
+
+    A pair that already met in a root's child of a lower slot is left to that one; deeper nodes have slot 0.
+    """
     def run(batches):
         for batch in batches:
-            a, b = [], []
-            for rep, comp, sketch, others in zip(*(batch[c].to_pylist() for c in ("rep", "comp", "sketch", "others"))):
-                others = [o for o in others if o["comp"] != comp]
-                if not others:
-                    continue
-                own = np.frombuffer(sketch, np.uint8)
-                each = np.frombuffer(b"".join(o["sketch"] for o in others), np.uint8).reshape(len(others), -1)
-                for i in np.flatnonzero((each == own).sum(1) >= least):
-                    a.append(min(rep, others[i]["rep"]))
-                    b.append(max(rep, others[i]["rep"]))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            groups, reps = [], []
+            for rows in (batch.slice(i, 32) for i in range(0, len(batch), 32)):
+                for slot, (rep, comp, sketch), (other, its, each) in zip(rows["slot"].to_pylist(), _lists(rows["members"]), _lists(rows["others"])):
+                    close = comp[:, None] != its[None, :]
+                    if not close.any():
+                        continue
+                    agree = np.zeros(close.shape, np.uint16)
+                    for at in range(POSITIONS):
+                        agree += sketch[:, None, at] == each[None, :, at]
+                    i, j = np.nonzero(close & (agree >= least))
+                    if slot and len(i):
+                        lead = sketch[i, POSITIONS:].copy().view(np.uint32)[:, :slot] == each[j, POSITIONS:].copy().view(np.uint32)[:, :slot]
+                        i, j = i[~lead.any(1)], j[~lead.any(1)]
+                    if len(i):
+                        found = np.unique(np.concatenate([rep[i], other[j]]))
+                        groups.append(int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True))
+                        reps.append(found.tolist())
+            yield pa.RecordBatch.from_pydict({"group": pa.array(groups, pa.int64()), "reps": pa.array(reps, pa.list_(pa.int64()))})
     return run
 
 
@@ -103,35 +138,93 @@ def _sets(k: int):
     return run
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of a few sets, by products of their incidence matrix, some columns at a time."""
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    some = times[column] > 1  # what only one set has is in no intersection of two
+    rank = np.cumsum(times > 1) - 1
+    owner, column = owner[some], rank[column[some]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, (at, at + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[lo:hi], column[lo:hi] - at] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
 def _confirm(num: int, den: int):
+    """Links within each group, judged on the full sets; each member is given with the first one that links lead to."""
     def run(batches):
         for batch in batches:
             a, b = [], []
-            for x, y, one, two in zip(*(batch[c].to_pylist() for c in ("a", "b", "set_a", "set_b"))):
-                one, two = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-                if len(one) > len(two):
-                    one, two = two, one
-                if den * len(one) < num * len(two):
-                    continue
-                at = np.minimum(np.searchsorted(two, one), len(two) - 1)
-                shared = int((two[at] == one).sum())
-                if den * shared >= num * (len(one) + len(two) - shared):
-                    a.append(x)
-                    b.append(y)
+            for members in batch["members"].to_pylist():
+                rep = np.array([m["rep"] for m in members], np.int64)
+                order = np.argsort(rep, kind="stable")
+                rep, sets = rep[order], [np.frombuffer(members[i]["shingles"], np.uint64) for i in order]
+                size = np.array([len(s) for s in sets], np.int64)
+                shared = shared_counts(sets)
+                linked = den * shared >= num * (size[:, None] + size[None, :] - shared)
+                linked |= rep[:, None] == rep[None, :]
+                first = np.arange(len(rep))
+                while True:  # the least member that any linked one leads to, until nothing changes
+                    new = np.where(linked, first[None, :], len(rep)).min(1)
+                    if (new == first).all():
+                        break
+                    first = new
+                other = rep[first] != rep
+                a += rep[first][other].tolist()
+                b += rep[other].tolist()
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The candidate pairs whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    ids = staged(ids, "ids")
+def _verified(docs: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect, in each group of candidates, what the links between full sets connect."""
+    members = staged(groups.select("group", F.explode("reps").alias("rep")).distinct(), "candidates")
+    ids = members.select("rep").distinct()
     texts = prefilter(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", ids, "rep").join(ids, "rep")
     sets = staged(arrow_map(texts, _sets(k), "rep long, shingles binary"), "sets")
-    one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a"))
-    two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
-    return staged(arrow_map(both, _confirm(num, den), "a long, b long").distinct(), "links")
+    whole = members.join(sets, "rep").groupBy("group").agg(F.collect_list(F.struct("rep", "shingles")).alias("members"))
+    return staged(arrow_map(whole.select("members"), _confirm(num, den), "a long, b long").distinct(), "links")
+
+
+def _with_components(members: DataFrame, comps: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Members of nodes of several components: (node, slot, rep, comp, top, outside, inside); and the sizes of these nodes.
+
+    `top` is the node's largest component, `inside` how many members are in it and `outside` how many are not.
+    """
+    if comps is None:
+        at = members.withColumn("comp", F.col("rep"))
+    else:
+        at = members.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    sizes = at.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("node").agg(
+        F.max_by("comp", "m").alias("top"), (F.sum("m") - F.max("m")).alias("outside"), F.max("m").alias("inside"))
+    sizes = staged(sizes.where("outside > 0"), "sizes")
+    return staged(at.join(sizes, "node").select("node", "slot", "rep", "comp", "top", "outside", "inside"), "seen"), sizes
+
+
+def _outsiders(seen: DataFrame, limit: int | None) -> DataFrame:
+    """(node, block, rep, comp) of the members outside the largest component, of nodes with at most `limit` of them."""
+    block = F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("outside") / BLOCK))
+    some = seen if limit is None else seen.where(F.col("outside") <= limit)
+    return some.where("comp <> top").select("node", block.alias("block"), "rep", "comp")
+
+
+def _blocks(rows: DataFrame, reps: DataFrame, *keys: str) -> DataFrame:
+    """(keys, list) of the rows of each block, with their sketches; about BLOCK rows each."""
+    return (rows.join(reps.select("rep", "sketch"), "rep").groupBy(*keys, "block")
+            .agg(F.collect_list(F.struct("rep", "comp", "sketch")).alias("list")).drop("block"))
+
+
+def _pivots(seen: DataFrame) -> DataFrame:
+    """(node, block, rep, comp) of two members of each node: the text with most copies, and one by hash."""
+    order = F.xxhash64("rep", "node")
+    best = seen.groupBy("node").agg(F.max_by(F.struct("rep", "comp"), F.struct("copies", order)).alias("one"), F.max_by(F.struct("rep", "comp"), order).alias("two"))
+    return best.select("node", F.explode(F.array_distinct(F.array("one", "two"))).alias("p")).select("node", F.lit(-1).cast("long").alias("block"), "p.rep", "p.comp")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -152,53 +245,43 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     reps = staged(own.select("rep", "copies", "sketch", "tokens"), "reps")
     least = int(POSITIONS * num / den - 6 * (POSITIONS * num / den * (1 - num / den)) ** 0.5)
 
-    links, comps = None, None
+    links, comps = [], None
     roots = reps.select(F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)])).alias("node"), "rep", "tokens")
-    members = arrow_map(roots, _children, "node long, rep long")
+    members = arrow_map(roots, _children, "node long, slot int, rep long")
+    # A root's child of one member has nothing to compare; most end here.
+    shared = staged(members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    members = members.join(shared.select("node"), "node")
     for depth in range(1, MAX_DEPTH + 1):
-        if comps is None:
-            # A node of one member has nothing to compare; most nodes end here.
-            shared = staged(members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-            at = staged(members.join(shared, "node").select("node", "rep", F.col("rep").alias("comp")), "members")
-        else:
-            known = comps.withColumnRenamed("id", "rep").withColumnRenamed("component", "comp")
-            at = staged(members.join(known, "rep", "left").select("node", "rep", F.coalesce("comp", "rep").alias("comp")), "members")
-        sizes = (at.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("node")
-                 .agg(F.max_by("comp", "m").alias("top"), (F.sum("m") - F.max("m")).alias("outside")))
-        sizes = staged(sizes.where("outside > 0"), "sizes")
-        if is_empty(sizes):
-            break
-        last = depth == MAX_DEPTH
-        seen = at.join(sizes, "node").join(reps.select("rep", "copies", "sketch"), "rep")
-        seen = staged(seen, "seen")
-        small = seen if last else seen.where(F.col("outside") <= SMALL)
-        block = F.pmod(F.xxhash64("rep", "node"), F.greatest(F.lit(1), F.ceil(F.col("outside") / SMALL)))
-        lists = (small.where("comp <> top").groupBy("node", block.alias("block"))
-                 .agg(F.collect_list(F.struct("rep", "comp", "sketch")).alias("others")).select("node", "others"))
-        if not last:
-            large = seen.where(F.col("outside") > SMALL)
-            order = F.xxhash64("rep", "node")
-            pivots = large.groupBy("node").agg(F.max_by("rep", F.struct("copies", order)).alias("one"), F.max_by("rep", order).alias("two"))
-            pivots = pivots.select("node", F.explode(F.array_distinct(F.array("one", "two"))).alias("rep"))
-            pivots = pivots.join(large.select("node", "rep", "comp", "sketch"), ["node", "rep"])
-            lists = lists.union(pivots.select("node", F.array(F.struct("rep", "comp", "sketch")).alias("others")))
-        lists = staged(lists, "lists")
-        pairs = arrow_map(seen.join(lists, "node").select("rep", "comp", "sketch", "others"), _similar(least), "a long, b long")
-        pairs = staged(pairs.distinct(), "pairs")
-        if not is_empty(pairs):
-            new = _verified(docs, pairs, k, num, den)
-            links = new if links is None else links.union(new)
-            if not is_empty(links):
-                comps = components(links)
-        if last:
+        members = staged(members, "members")
+        for full in (False, True):
+            seen, sizes = _with_components(members, comps)
+            if is_empty(sizes):
+                members = None
+                break
+            if full:
+                limit = None if depth == MAX_DEPTH else FULL
+                lists = _outsiders(seen, limit)
+            else:
+                lists = _outsiders(seen, SMALL).union(_pivots(seen.where(F.col("outside") > SMALL).join(reps.select("rep", "copies"), "rep")))
+            wanted = staged(_blocks(lists, reps, "node").withColumnRenamed("list", "others"), "lists")
+            whole = F.pmod(F.xxhash64("rep", "node"), F.ceil((F.col("outside") + F.col("inside")) / BLOCK))
+            own = seen.join(wanted.select("node").distinct(), "node").select("node", "slot", whole.alias("block"), "rep", "comp")
+            both = _blocks(own, reps, "node", "slot").withColumnRenamed("list", "members").join(wanted, "node")
+            groups = staged(arrow_map(both.select("slot", "members", "others"), _similar(least), "group long, reps array<long>"), "groups")
+            if not is_empty(groups):
+                links.append(_verified(docs, groups, k, num, den))
+                comps = staged(components(reduce(DataFrame.union, links)), "components")
+            if not full and is_empty(sizes.where(F.col("outside") > SMALL)):
+                members = None
+                break
+        if members is None or depth == MAX_DEPTH:
             break
-        rest = sizes.where(F.col("outside") > SMALL)
-        if is_empty(rest):
+        seen, sizes = _with_components(members, comps)
+        large = sizes.where(F.col("outside") > FULL)
+        if is_empty(large):
             break
-        parents = at.join(rest.select("node"), "node").select("node", "rep").join(reps.select("rep", "tokens"), "rep")
-        members = arrow_map(parents.select("node", "rep", "tokens"), _children, "node long, rep long").distinct()
-        if comps is None:
-            comps = at.limit(0).select(F.col("rep").alias("id"), F.col("comp").alias("component"))
+        parents = members.join(large.select("node"), "node").join(reps.select("rep", "tokens"), "rep")
+        members = arrow_map(parents.select("node", "rep", "tokens"), _children, "node long, slot int, rep long").distinct()
 
     base = described.select("doc_id", "n_shingles", "key").join(classes.select("key", "rep"), "key", "left")
     if comps is not None:
