@@ -30,7 +30,7 @@ from pluvio.llm.components import components
 from pluvio.llm.words import mix, shingle_set
 
 POSITIONS, TREES, BRANCHES, MAX_DEPTH = 128, 4, 2, 12
-SMALL, FULL, BLOCK = 64, 4096, 32  # members outside the largest component; members of a block
+SMALL, FULL, BLOCK = 64, 4096, 64  # members outside the largest component; members of a block
 LEAD = TREES * BRANCHES
 
 
