@@ -6,6 +6,7 @@ They turn one signal into short arrays; all statistics on those arrays are Spark
 from __future__ import annotations
 
 import io
+import struct
 import wave
 from functools import lru_cache
 
@@ -17,28 +18,77 @@ DB4 = np.array([-0.010597401784997278, 0.032883011666982945, 0.03084138183598696
 FLOOR = 1e-12
 
 
-def decode_wav(content: bytes, want_rate: int | None = None, duration: float | None = None) -> tuple[int, np.ndarray]:
-    """PCM WAV bytes to (rate, mono float32 in [-1, 1)); raises ValueError with the reason."""
+def _float_wav(content: bytes) -> tuple[int, int, int, bytes] | None:
+    """(rate, sample width, channels, data) of an IEEE-float WAV, which the wave module refuses; None for any other."""
+    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+        return None
+    at, shape = 12, None
+    while at + 8 <= len(content):
+        name, size = content[at:at + 4], int.from_bytes(content[at + 4:at + 8], "little")
+        body = content[at + 8:at + 8 + size]
+        if name == b"fmt " and len(body) >= 16:
+            kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", body[:16])
+            if kind == 0xFFFE and len(body) >= 26:  # the extensible form names the kind further on
+                kind = int.from_bytes(body[24:26], "little")
+            shape = (rate, bits // 8, channels) if kind == 3 and bits in (32, 64) else None
+        elif name == b"data" and shape:
+            return *shape, body
+        at += 8 + size + size % 2
+    return None
+
+
+def resample(x: np.ndarray, rate: int, want: int, taps: int = 32) -> np.ndarray:
+    """Windowed-sinc resampling; the band is cut at the lower of both Nyquist limits. Keeps the duration."""
+    n = int(np.ceil(len(x) * want / rate))
+    cut = min(1.0, want / rate)
+    half = int(np.ceil(taps / cut))
+    padded = np.pad(x.astype(np.float64), (half, half + 1))
+    out = np.empty(n, np.float32)
+    for lo in range(0, n, 1 << 14):
+        at = np.arange(lo, min(n, lo + (1 << 14))) * (rate / want)
+        first = np.floor(at).astype(np.int64) - half + 1
+        near = first[:, None] + np.arange(2 * half)
+        gap = at[:, None] - near
+        weight = cut * np.sinc(cut * gap) * np.cos(np.pi * gap / (2 * half + 2)) ** 2
+        out[lo:lo + len(at)] = (padded[np.clip(near + half, 0, len(padded) - 1)] * weight).sum(1)
+    return out
+
+
+def decode_wav(content: bytes, want_rate: int | None = None, duration: float | None = None, convert: bool = True) -> tuple[int, np.ndarray]:
+    """PCM or float WAV bytes to (rate, mono float32); raises ValueError with the reason.
+
+    Another rate than `want_rate` is resampled, or refused without `convert`.
+    """
+    numbers = _float_wav(content) if content is not None else None
     try:
-        with wave.open(io.BytesIO(content)) as w:
-            rate, width, channels = w.getframerate(), w.getsampwidth(), w.getnchannels()
-            n = w.getnframes() if duration is None else min(w.getnframes(), int(duration * rate))
-            raw = w.readframes(n)
+        if numbers:
+            rate, width, channels, raw = numbers
+            raw = raw if duration is None else raw[:int(duration * rate) * width * channels]
+        else:
+            with wave.open(io.BytesIO(content)) as w:
+                rate, width, channels = w.getframerate(), w.getsampwidth(), w.getnchannels()
+                n = w.getnframes() if duration is None else min(w.getnframes(), int(duration * rate))
+                raw = w.readframes(n)
     except (wave.Error, EOFError) as err:
         raise ValueError(f"not a readable PCM WAV: {err}") from err
-    if want_rate is not None and rate != want_rate:
+    if not numbers and width not in (1, 2, 3, 4):
+        raise ValueError(f"samples of {width} bytes")
+    if want_rate is not None and rate != want_rate and not convert:
         raise ValueError(f"sample rate {rate}, expected {want_rate}")
     raw = raw[: len(raw) // (width * channels) * width * channels]
     if not raw:
         raise ValueError("no samples")
-    if width == 1:
+    if numbers:
+        x = np.frombuffer(raw, f"<f{width}").astype(np.float32)
+    elif width == 1:
         x = (np.frombuffer(raw, "u1").astype(np.float32) - 128.0) / 128.0
     elif width == 3:
         b = np.frombuffer(raw, "u1").reshape(-1, 3).astype(np.int32)
         x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8).astype(np.float32) / np.float32(1 << 23)
     else:
         x = np.frombuffer(raw, f"<i{width}").astype(np.float32) / np.float32(1 << (8 * width - 1))
-    return rate, x.reshape(-1, channels).mean(axis=1, dtype=np.float32)
+    x = x.reshape(-1, channels).mean(axis=1, dtype=np.float32)
+    return (rate, x) if want_rate in (None, rate) else (want_rate, resample(x, rate, want_rate))
 
 
 def cut_frames(x: np.ndarray, size: int, hop: int) -> np.ndarray:

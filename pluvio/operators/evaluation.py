@@ -144,7 +144,10 @@ def append_run(row: DataFrame, path: str) -> DataFrame:
 
 def result_sheet(df: DataFrame, classes: Sequence, label: str, prediction: str, scores: Sequence[str | Column],
                  dry: str, algorithm: str, params: str, features: str) -> DataFrame:
-    """One wide row per run: global scores, dry and wet F1, and four scores per class."""
+    """One wide row per run: global scores, dry and wet F1, and four scores per class.
+
+    Fixed values: the column names are those of the published sheets.
+    """
     per = class_metrics(confusion_counts(df, label, prediction)).withColumn("class", F.col("class").cast("string"))
     ap = average_precision(score_rows(df, classes, label, scores)).select("class", "average_precision")
     known = df.sparkSession.createDataFrame([(str(c),) for c in classes], "class string")

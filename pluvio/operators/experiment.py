@@ -13,6 +13,7 @@ from pluvio.functions.scalars import literal_map, normalise_label
 METADATA = ["file_name", "timestamp", "period", "is_rain", "mm_5min", "mm_hr", "category", "recorder",
             "location", "file_path", "extension", "year", "month", "day", "hour", "minute", "second", "wet",
             "split", "should_augment", "copy_ordinal", "segment_idx", "offset_sec", "aug_params"]
+# The published classes.
 DRY = "no rain"
 WET_CLASSES = ["light", "moderate", "heavy", "violent"]
 

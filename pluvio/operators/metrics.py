@@ -45,6 +45,7 @@ class MetricsConfig:
 
 MFCC = 20
 LEVELS = 5
+# The published metric names, in their order.
 METRICS = (["temp_entropy", "ACI", "AGI", "EAS", "ECU", "ECV", "num_peaks", "NDSI", "ratioBA", "anthro_energy", "bio_energy",
             "BI", "ADI", "AEI", "roughness", "tfsd", "temp_skew", "temp_kurtosis", "rms_mean", "rms_std", "rms_var",
             "zcr_mean", "zcr_std", "zcr_var", "mae", "psd_mean", "psd_std", "psd_var", "spec_slope", "spec_mean", "spec_std",

@@ -20,7 +20,7 @@ from pluvio.operators.evaluation import f1_summary, pr_auc_summary
 from pluvio.session import small_side, stage
 
 WEIGHT = "weight"
-# Fewest training rows worth a task of their own.
+# Training rows of a task.
 ROWS_PER_TASK = 20_000
 
 
@@ -72,28 +72,55 @@ def _settings(params: dict, names: Mapping[str, str], defaults: Mapping) -> dict
 COMMON = {"featuresCol": "features", "labelCol": "label_index"}
 
 
+MAX_TREE_DEPTH = 30  # the library's own limit; beyond it a setting raises
+
+
+def _penalty(params: dict) -> float | None:
+    """Share of the L1 part in `penalty` and `l1_ratio`; None for no penalty."""
+    name, ratio = params.pop("penalty", "l2"), params.pop("l1_ratio", None)
+    shares = {"l2": 0.0, "l1": 1.0, "elasticnet": 0.15 if ratio is None else float(ratio), None: None, "none": None}
+    if name not in shares:
+        raise ValueError(f"unknown penalty {name!r}; known: l1, l2, elasticnet, None")
+    return shares[name]
+
+
+def _weighting(params: dict) -> dict:
+    """The weight column, unless `class_weight` is None."""
+    wish = params.pop("class_weight", "balanced")
+    if wish not in ("balanced", None):
+        raise ValueError(f"class_weight must be 'balanced' or None, not {wish!r}")
+    return {"weightCol": WEIGHT} if wish else {}
+
+
 @register("lr")
 def _logistic(params, seed, rows):
     strength = float(params.pop("C", 1.0))
+    weigh, share = _weighting(params), _penalty(params)
+    reg = 0.0 if share is None else 1.0 / (strength * max(rows, 1))
     out = _settings(params, {"max_iter": "maxIter", "tol": "tol"}, {"maxIter": 2000})
-    return LogisticRegression(**COMMON, weightCol=WEIGHT, standardization=False, regParam=1.0 / (strength * max(rows, 1)), **out)
+    return LogisticRegression(**COMMON, **weigh, standardization=False, regParam=reg, elasticNetParam=share or 0.0, **out)
 
 
 @register("sgd")
 def _linear_log_loss(params, seed, rows):
-    params.pop("penalty", None)
+    weigh, share = _weighting(params), _penalty(params)
     out = _settings(params, {"alpha": "regParam", "max_iter": "maxIter", "tol": "tol"}, {"regParam": 1e-4, "maxIter": 1000})
-    base = LogisticRegression(**COMMON, weightCol=WEIGHT, standardization=False, **out)
-    return OneVsRest(**COMMON, weightCol=WEIGHT, classifier=base, parallelism=4)
+    if share is None:
+        out["regParam"] = 0.0
+    base = LogisticRegression(**COMMON, **weigh, standardization=False, elasticNetParam=share or 0.0, **out)
+    return OneVsRest(**COMMON, **weigh, classifier=base, parallelism=4)
 
 
 @register("rf")
 def _forest(params, seed, rows):
-    if "max_depth" in params and params["max_depth"] is not None:
-        params["max_depth"] = min(int(params["max_depth"]), 30)  # Spark's own limit
-    out = _settings(params, {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode"},
-                    {"numTrees": 100, "maxDepth": 30})
-    return RandomForestClassifier(**COMMON, weightCol=WEIGHT, seed=seed, **out)
+    weigh = _weighting(params)
+    if (params.get("max_depth") or 0) > MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth {params['max_depth']}: trees of more than {MAX_TREE_DEPTH} levels are not supported")
+    if params.get("max_features") is not None:
+        params["max_features"] = str(params["max_features"])
+    out = _settings(params, {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode",
+                             "max_features": "featureSubsetStrategy", "criterion": "impurity"}, {"numTrees": 100, "maxDepth": MAX_TREE_DEPTH})
+    return RandomForestClassifier(**COMMON, **weigh, seed=seed, **out)
 
 
 @register("xgb")
@@ -155,11 +182,13 @@ def _prepare(train: DataFrame, features, label: str) -> Prepared:
     known = train.filter(F.col(label).isNotNull()).withColumn("_label", F.col(label).cast("string"))
     indexer = StringIndexer(inputCol="_label", outputCol="label_index", stringOrderType="alphabetAsc").fit(known)
     ready = _vectorised(with_class_weights(indexer.transform(known), "label_index"), features)
-    cached = ready.select("features", "label_index", WEIGHT).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = cached.count()
-    # every solver step is a job over this table: few rows should not be spread over many tasks
-    compact = cached.coalesce(max(1, math.ceil(rows / ROWS_PER_TASK)))
-    return Prepared(compact, cached, rows, list(indexer.labels))
+    rows = known.count()
+    # Every solver step is a job over this table. Tasks and row order depend on the rows alone, so that a forest
+    # drawn from them is the same on any cluster.
+    place = F.xxhash64(vector_to_array("features"), "label_index")
+    dealt = ready.select("features", "label_index", WEIGHT, place.alias("_place")).repartition(max(1, math.ceil(rows / ROWS_PER_TASK)), "_place")
+    cached = dealt.sortWithinPartitions("_place").drop("_place").persist(StorageLevel.MEMORY_AND_DISK)
+    return Prepared(cached, cached, rows, list(indexer.labels))
 
 
 def _fit(spec: Classifier, prepared: Prepared, features) -> FittedClassifier:

@@ -33,9 +33,9 @@ def bucket_of(value: str | Column, edges: Sequence) -> Column:
     """Number of edges below the value: a binary search over a constant array."""
     if not edges:
         return F.lit(0)
-    kind = "bigint" if all(isinstance(e, int) for e in edges) else "double"
+    kind = "bigint" if all(isinstance(e, int) for e in edges) else "double" if all(isinstance(e, float) for e in edges) else "decimal(38,18)"
     # one text literal instead of a thousand number nodes; the optimizer folds it to a constant array
-    v, table = as_col(value), F.split(F.lit(",".join(repr(e) for e in edges)), ",").cast(f"array<{kind}>")
+    v, table = as_col(value), F.split(F.lit(",".join(str(e) if kind.startswith("dec") else repr(e) for e in edges)), ",").cast(f"array<{kind}>")
     steps = [1 << k for k in reversed(range(len(edges).bit_length()))]
     return F.aggregate(
         F.lit(steps), F.lit(0),
@@ -49,24 +49,31 @@ def _before(sum_of: str, by: Sequence[str], order: Sequence) -> Column:
 
 
 def number_rows(df: DataFrame, by: Sequence[str], order: str, out: str = "row_idx",
-                hot_rows: int = HOT_ROWS, buckets: int = 1024) -> DataFrame:
-    """0-based position of every row inside its group by an orderable number or timestamp column.
+                hot_rows: int = HOT_ROWS, buckets: int = 1024, ties: Sequence[str] = ()) -> DataFrame:
+    """0-based position of every row inside its group by a number, date or timestamp column, then by `ties`.
+
+    Other types are refused whatever the size of the table, and both ways of counting give the same positions. Give
+    `ties` where `order` may repeat: rows that are equal in all these columns come in any order.
 
     Small groups are sorted as they are. Groups above `hot_rows` are cut into buckets first; their
     number is bounded by rows / hot_rows, so their list is small by construction.
     """
-    by = list(by)
+    by, kind = list(by), dict(df.dtypes)[order]
+    if not kind.startswith(("timestamp", "date", "decimal")) and kind not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        raise TypeError(f"rows cannot be numbered by {order}, a {kind}")
+    sort = [order, *ties]
     hot = small_side(df.groupBy(*by).count().filter(F.col("count") > hot_rows).select(*by, F.lit(True).alias("_hot")))
     if hot.isEmpty():
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("long") - 1)
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*sort)).cast("long") - 1)
     flagged = null_safe_join(df, hot, by, "left")
-    kind = dict(df.dtypes)[order]
-    number = F.unix_micros(F.col(order).cast("timestamp")) if kind.startswith("timestamp") else F.col(order)
+    number = F.unix_micros(F.col(order).cast("timestamp")) if kind.startswith("timestamp") else F.unix_date(order) if kind == "date" else F.col(order)
+    if kind.startswith("decimal"):
+        number = number.cast("decimal(38,18)")
     edges = value_edges(flagged.filter("_hot"), number, buckets)
     keyed = flagged.withColumn("_b", F.when(F.col("_hot"), bucket_of(number, edges)).otherwise(F.lit(0))).drop("_hot")
     offsets = (keyed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
                .withColumn("_off", _before("_n", by, ["_b"])).drop("_n"))
-    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(order)).cast("long") - 1
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*sort)).cast("long") - 1
     return (null_safe_join(keyed, offsets, [*by, "_b"])
             .withColumn(out, inside + F.col("_off")).drop("_b", "_off"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvio.functions.scalars import hash_bucket, hash_int, hash_number, seeded_hash
-from pluvio.operators.ranks import HOT_ROWS, number_by_hash, values_at_ranks
+from pluvio.operators.ranks import number_by_hash, values_at_ranks
 from pluvio.session import null_safe_join, small_side
 
 # Copies made by one explode; keeps a large deficit spread over many tasks.
@@ -78,11 +78,11 @@ def split_sizes(strata: DataFrame, test_size: float, val_size: float, stratify:
 
 
 def split_dataset(df: DataFrame, key: Sequence[str], test_size: float = 0.2, val_size: float = 0.0,
-                  stratify: Sequence[str] = (), seed: int = 42, hot_rows: int = HOT_ROWS) -> DataFrame:
+                  stratify: Sequence[str] = (), seed: int = 42) -> DataFrame:
     """Add `split` in {train, val, test}: in hash order test comes first, then validation, per stratum.
 
-    Small strata are ranked directly. Beyond `hot_rows` per stratum two cut hashes per stratum are
-    found first and the rows are only compared with them.
+    Two cut hashes per stratum are found first and the rows are only compared with them, at any size. Rows
+    that share a key share a hash and stay together.
     """
     if test_size + val_size >= 1.0:
         raise ValueError("test and validation shares must sum to less than 1")
@@ -97,12 +97,6 @@ def split_dataset(df: DataFrame, key: Sequence[str], test_size: float = 0.2, val
         raise ValueError("every stratum needs at least two rows")
     sizes = small_side(split_sizes(strata, test_size, val_size, by).select(*by, "n_test", "n_val"))
     hashed = src.withColumn("_h", seeded_hash(list(key), seed))
-    if facts["most"] <= hot_rows:
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy("_h"))
-        ranked = null_safe_join(hashed, sizes, by).withColumn("_rn", rank)
-        split = (F.when(F.col("_rn") <= F.col("n_test"), "test")
-                 .when(F.col("_rn") <= F.col("n_test") + F.col("n_val"), "val").otherwise("train"))
-        return ranked.withColumn("split", split).drop("_h", "_rn", "n_test", "n_val")
     targets = sizes.select(*by, F.explode(F.array(
         F.struct(F.lit("test").alias("tag"), F.col("n_test").alias("rank")),
         F.struct(F.lit("val").alias("tag"), (F.col("n_test") + F.col("n_val")).alias("rank")))).alias("t")).select(*by, "t.*")

@@ -64,7 +64,7 @@ def segment_ordered_rows(df: DataFrame, by: Sequence[str], order: str, value: st
             .filter(F.col("n") == window))
 
 
-def augment_draws(keys: Sequence[str | Column], seed: int = 42, noise_prob: float = 0.5, cutout_prob: float = 0.5) -> Column:
+def augment_draws(keys: Sequence[str | Column], seed: int = 42, noise_prob: float = 0.2, cutout_prob: float = 0.3) -> Column:
     """Random draws of one copy as a struct; a function of the keys and the seed only."""
     def unit(purpose: str) -> Column:
         return hash_unit([*keys, F.lit(purpose)], seed)
@@ -122,7 +122,7 @@ def augmented(x: np.ndarray, draws: dict, sample_rate: int) -> tuple[np.ndarray,
 
 
 def augment(df: DataFrame, samples: str, keys: Sequence[str], sample_rate: int, seed: int = 42,
-            noise_prob: float = 0.5, cutout_prob: float = 0.5) -> DataFrame:
+            noise_prob: float = 0.2, cutout_prob: float = 0.3) -> DataFrame:
     """Shift, gain, noise and cutout of signals held in an array column; adds `aug_params`.
 
     Without noise everything is array expressions; Gaussian noise needs one Arrow pass.

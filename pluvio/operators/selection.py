@@ -8,6 +8,7 @@ class costs nothing extra: partial sums combine on the map side.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -71,6 +72,11 @@ def f_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     return totals.select("feature", score.alias("score"))
 
 
+def finite_score(score: float | None) -> float:
+    """Scores as finite numbers: a missing one is the lowest double, an infinite one the highest."""
+    return -sys.float_info.max if score is None else max(min(score, sys.float_info.max), -sys.float_info.max)
+
+
 def select_percentile(scores: dict[str, float | None], order: Sequence[str], percentile: int) -> list[str]:
     """Names above the (100 - p) percentile; ties at the limit fill up in column order to int(k * p / 100)."""
     if not 1 <= percentile <= 100:
@@ -78,12 +84,12 @@ def select_percentile(scores: dict[str, float | None], order: Sequence[str], per
     names = [f for f in order if f in scores]
     if percentile == 100:
         return names
-    low = -math.inf
-    ranked = sorted((low if scores[f] is None else scores[f]) for f in names)
+    value = {f: finite_score(scores[f]) for f in names}
+    ranked = sorted(value.values())
     pos = (len(ranked) - 1) * (100 - percentile) / 100
     a, b = ranked[math.floor(pos)], ranked[math.ceil(pos)]
-    limit = a if a == b else a + (b - a) * (pos - math.floor(pos))
-    value = {f: low if scores[f] is None else scores[f] for f in names}
+    share = pos - math.floor(pos)
+    limit = a if a == b else a * (1 - share) + b * share
     kept = {f for f in names if value[f] > limit}
     room = int(len(names) * percentile / 100) - len(kept)
     kept.update([f for f in names if value[f] == limit][:max(room, 0)])
@@ -98,6 +104,8 @@ class Standardiser:
 
     @classmethod
     def fit(cls, df: DataFrame, features: Sequence[str]) -> "Standardiser":
+        if not features:
+            return cls({})
         rows = (long_features(df, [], features).filter("value is not null").groupBy("feature")
                 .agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).collect())
         found = {r["feature"]: (r["m"], r["s"]) for r in rows}

@@ -11,14 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pluvio.functions import kernels as K
 from pluvio.operators.metrics import ARRAYS, SCALARS, SUMMARY_SCHEMA, MetricsConfig, metrics_from_summary, summarise
 from pluvio.operators.segments import augment_draws, augmented, window_and_stride
-from pluvio.session import small_side
 
 # Copies of one recording that one task handles together.
 COPIES_PER_TASK = 64
@@ -27,15 +26,22 @@ ROWS_PER_BATCH = 256
 SEGMENT_SCHEMA = f"file_path string, copy_ordinal long, segment_idx int, offset_sec double, aug_params string, error string, {SUMMARY_SCHEMA}"
 
 
+def copy_chunks(wanted: DataFrame, copy) -> DataFrame:
+    """(file_path, copies): the draws of each file's copies, COPIES_PER_TASK a row."""
+    nth = F.row_number().over(Window.partitionBy("file_path").orderBy("copy_ordinal")) - 1
+    chunk = F.floor(nth / COPIES_PER_TASK).alias("_c")
+    return wanted.select("file_path", copy.alias("_one"), chunk).groupBy("file_path", "_c").agg(F.collect_list("_one").alias("copies"))
+
+
 def segment_summaries(files: DataFrame, recordings: DataFrame, cfg: MetricsConfig, duration: float = 10.0, overlap: float = 0.5,
-                      seed: int = 42, noise_prob: float = 0.5, cutout_prob: float = 0.5, partitions: int | None = None) -> DataFrame:
+                      seed: int = 42, noise_prob: float = 0.2, cutout_prob: float = 0.3) -> DataFrame:
     """One row per (file_path, copy_ordinal, segment) with the summary arrays; a failing file gives one `error` row.
 
     `files` has `file_path, content`; `recordings` has `file_path` and optionally `split`,
     `should_augment`, `copy_ordinal`. Only flagged rows of the train split are augmented.
 
-    File contents are shuffled only if `recordings` is too large to broadcast, if `partitions` asks for
-    it, or if a file has more copies than one task should handle.
+    The copies of a file are numbered per file and handed out in chunks of COPIES_PER_TASK draws, so a file has as many
+    chunks as its own copies need. How `files` meets them is left to the optimizer, which knows their bytes.
     """
     window, stride = window_and_stride(duration, overlap, cfg.sample_rate)
     have = recordings.columns
@@ -44,13 +50,7 @@ def segment_summaries(files: DataFrame, recordings: DataFrame, cfg: MetricsConfi
     ordinal = (F.col("copy_ordinal") if "copy_ordinal" in have else F.lit(0)).cast("long")
     wanted = recordings.select("file_path", ordinal.alias("copy_ordinal"), (flagged & train).alias("_aug")).distinct()
     copy = F.struct("copy_ordinal", F.when(F.col("_aug"), augment_draws(["file_path", "copy_ordinal"], seed, noise_prob, cutout_prob)).alias("draws"))
-    chunks = wanted.groupBy("file_path", F.floor(F.col("copy_ordinal") / COPIES_PER_TASK).alias("_c")).agg(F.collect_list(copy).alias("copies"))
-    chunks = small_side(chunks, 20_000)  # a row holds up to COPIES_PER_TASK draws
-    work = files.select("file_path", "content").join(chunks, "file_path").select("file_path", "content", "copies", "_c")
-    if partitions:
-        work = work.repartition(partitions, "file_path", "_c")
-    elif "copy_ordinal" in have and not chunks.groupBy("file_path").count().filter("count > 1").isEmpty():
-        work = work.repartition("file_path", "_c")  # a file with many copies must not stay in one task
+    work = files.select("file_path", "content").join(copy_chunks(wanted, copy), "file_path").select("file_path", "content", "copies")
 
     names = ["file_path", "copy_ordinal", "segment_idx", "offset_sec", "aug_params", "error"] + SCALARS + ARRAYS
 
@@ -60,7 +60,7 @@ def segment_summaries(files: DataFrame, recordings: DataFrame, cfg: MetricsConfi
             _, x = K.decode_wav(content, cfg.sample_rate)
         except ValueError as err:
             return [blank | {"error": str(err)}]
-        x, log = augmented(x, one["draws"], cfg.sample_rate) if one["draws"] is not None else (x, "none")
+        x, log = augmented(x, one["draws"], cfg.sample_rate) if one["draws"] is not None else (x, "raw")
         return [blank | {"segment_idx": k, "offset_sec": start / cfg.sample_rate, "aug_params": log}
                 | summarise(np.asarray(x[start:start + window], dtype=np.float32), cfg)
                 for k, start in enumerate(range(0, len(x) - window + 1, stride))]
@@ -89,7 +89,11 @@ def extract_features(files: DataFrame, recordings: DataFrame, cfg: MetricsConfig
     return meta.join(metrics, ["file_path", "copy_ordinal"])
 
 
-def failed_files(files: DataFrame, cfg: MetricsConfig = MetricsConfig()) -> DataFrame:
-    """Files that cannot be decoded and why."""
+def failed_files(files: DataFrame, cfg: MetricsConfig = MetricsConfig(), recordings: DataFrame | None = None) -> DataFrame:
+    """Files that cannot be decoded and why; with `recordings`, also those of its files that are not there."""
     from pluvio.sources.recordings import decode_signals
-    return decode_signals(files, sample_rate=cfg.sample_rate).filter("error is not null").select("file_path", "error")
+    failed = decode_signals(files, sample_rate=cfg.sample_rate).filter("error is not null").select("file_path", "error")
+    if recordings is None:
+        return failed
+    absent = recordings.select("file_path").distinct().join(files.select("file_path"), "file_path", "left_anti")
+    return failed.unionByName(absent.withColumn("error", F.lit("no such file")))

@@ -8,6 +8,7 @@ from pluvio.functions import scalars as S
 from pluvio.operators import curation as C
 from pluvio.operators import experiment as X
 from pluvio.operators.flatmap import flat_map_rows
+from pluvio.plans.curation import DISCARD_RULES
 from pluvio.queries.base import Registry, table
 from pluvio.sources import catalog as K
 from pluvio.sources import tables as R
@@ -336,10 +337,6 @@ def _(spark, sf):
     return flat_map_rows(table(spark, sf, "events").select("event_id", "value"), copies, "event_id long, k long, scaled double")
 
 
-CHAIN_RULES = ["category = 'unlabeled'", "category is null or mm_5min is null or mm_hr is null",
-               "wet = true and mm_5min = 0", "wet = false and mm_5min > 0"]
-
-
 @REG.add("curation_chain", """
 WITH m AS (SELECT d.doc_id, d.source, CASE WHEN l.doc_id IS NULL THEN 'unlabeled' WHEN quality = 1 AND toxic = 1 THEN 'heavy'
                   WHEN quality = 1 THEN 'light' ELSE 'no-rain' END AS category,
@@ -354,5 +351,5 @@ def _(spark, sf):
     gt = table(spark, sf, "labels").select(
         "doc_id", F.when(q & t, "Heavy").when(q, " light").otherwise("No Rain").alias("rain_class"),
         F.when(~q, F.lit(0.0)).alias("total_rain"), (t | q).alias("wet"))
-    return (docs.transform(C.merge_labels, gt, key="doc_id").transform(C.sanitise).transform(C.discard, CHAIN_RULES)
+    return (docs.transform(C.merge_labels, gt, key="doc_id").transform(C.sanitise).transform(C.discard, DISCARD_RULES)
             .select("doc_id", "category", "mm_5min", "mm_hr"))

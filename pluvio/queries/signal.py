@@ -15,6 +15,7 @@ from pluvio.functions.scalars import finite
 from pluvio.operators import metrics as M
 from pluvio.operators import segments as S
 from pluvio.plans import feature_extraction as X
+from pluvio.queries.sampling import _split_sql
 from pluvio.queries.base import Registry, table
 from pluvio.session import scratch_path
 from pluvio.sources import recordings as R
@@ -187,9 +188,10 @@ def _(spark, sf):
 
 
 UNIT = "(CAST('0x' || substr(md5(vec_id || '|{p}|42'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+# 0.2 and 0.3 are the default shares of copies with noise and with a cutout.
 DRAWS = ("d AS (SELECT vec_id, CAST(least(6 + floor(" + UNIT.format(p="shift") + " * 51), 63) AS INTEGER) AS shift, " + UNIT.format(p="gain") + " * 0.5 + 0.7 AS gain, "
-         + "CASE WHEN " + UNIT.format(p="noise?") + " < 0.5 THEN " + UNIT.format(p="noise") + " * 0.019 + 0.001 END AS noise, "
-         + "CASE WHEN " + UNIT.format(p="cutout?") + " < 0.5 THEN CAST(floor(" + UNIT.format(p="cutout") + " * (64 - 8)) AS INTEGER) END AS cut FROM embeddings)")
+         + "CASE WHEN " + UNIT.format(p="noise?") + " < 0.2 THEN " + UNIT.format(p="noise") + " * 0.019 + 0.001 END AS noise, "
+         + "CASE WHEN " + UNIT.format(p="cutout?") + " < 0.3 THEN CAST(floor(" + UNIT.format(p="cutout") + " * (64 - 8)) AS INTEGER) END AS cut FROM embeddings)")
 
 
 @REG.add("augment_shift_gain_cutout", "WITH " + VALUES + ", " + DRAWS + """
@@ -244,10 +246,16 @@ def _(spark, sf):
     labels = table(spark, sf, "embeddings").select("vec_id", "label")
     files = wav_files(spark, sf).join(labels, "vec_id")
     broken = files.withColumn("content", F.when(F.col("label") == 3, F.substring("content", 1, 20)).otherwise(F.col("content")))
-    out = R.decode_signals(broken, sample_rate=24_000)
+    out = R.decode_signals(broken, sample_rate=24_000, convert=False)
     return out.select("vec_id", F.when(F.col("error").startswith("not a readable"), "unreadable").otherwise(F.col("error")).alias("error"))
 
 
+@REG.add("decode_resampled", "SELECT vec_id, 8000 AS sample_rate, CAST(32 AS BIGINT) AS n_samples FROM embeddings")
+def _(spark, sf):
+    out = R.decode_signals(wav_files(spark, sf), sample_rate=RATE // 2).filter("error is null")
+    return out.select("vec_id", "sample_rate", F.size("samples").cast("long").alias("n_samples"))
+
+
 @REG.add("catalog_signals_stored", QUANT + " SELECT vec_id, count(*) AS n, round(sum(s), 6) AS total FROM y GROUP BY 1")
 def _(spark, sf):
     signals = R.decode_signals(wav_files(spark, sf), sample_rate=RATE).filter("error is null").withColumn("file_id", F.col("vec_id"))
@@ -256,16 +264,19 @@ def _(spark, sf):
 
 
 @REG.add("extract_features", QUANT + """
-SELECT vec_id, CAST(g AS INTEGER) AS segment_idx, g * 16 / 16000 AS offset_sec, round(avg(abs(s)), 6) AS mae, 'none' AS aug_params
+SELECT vec_id, CAST(g AS INTEGER) AS segment_idx, g * 16 / 16000 AS offset_sec, round(avg(abs(s)), 6) AS mae, 'raw' AS aug_params
 FROM y JOIN range(3) t(g) ON i >= g * 16 AND i < g * 16 + 32 GROUP BY vec_id, g""")
 def _(spark, sf):
     files = wav_files(spark, sf)
     out = X.extract_features(files.select("file_path", "content"), files.select("file_path", "vec_id"), M.MetricsConfig(sample_rate=RATE, n_fft=8),
-                             duration=32 / RATE, overlap=0.5, partitions=spark.sparkContext.defaultParallelism)
+                             duration=32 / RATE, overlap=0.5)
     return out.select("vec_id", "segment_idx", "offset_sec", F.round("mae", 6).alias("mae"), "aug_params")
 
 
-@REG.add("extract_features_balanced")
+@REG.add("extract_features_balanced", "WITH s AS (" + _split_sql(["label"], 0.1, 0.1, "embeddings", "vec_id") + """),
+n AS (SELECT label, count(*) AS n FROM s WHERE split = 'train' GROUP BY 1), m AS (SELECT max(n) AS most FROM n)
+SELECT 'c' || label AS category, false AS should_augment, 3 * n AS segments, n AS recordings FROM n
+UNION ALL SELECT 'c' || label, true, 3 * (most - n), most - n FROM n, m WHERE n < most""")
 def _(spark, sf):
     from pluvio.operators.sampling import balance_with_copies, split_dataset
     files = wav_files(spark, sf)
@@ -273,8 +284,7 @@ def _(spark, sf):
                                                  F.concat(F.lit("c"), "label").alias("category"))
     parts = split_dataset(meta, ["vec_id"], 0.1, 0.1, ["category"])
     train = balance_with_copies(parts.filter("split = 'train'"), "category", [f"c{i}" for i in range(10)], ["vec_id"])
-    out = X.extract_features(files.select("file_path", "content"), train, M.MetricsConfig(sample_rate=RATE, n_fft=8), duration=32 / RATE,
-                             partitions=spark.sparkContext.defaultParallelism)
+    out = X.extract_features(files.select("file_path", "content"), train, M.MetricsConfig(sample_rate=RATE, n_fft=8), duration=32 / RATE)
     return out.groupBy("category", "should_augment").agg(F.count("*").alias("segments"), F.countDistinct("vec_id", "copy_ordinal").alias("recordings"))
 
 

@@ -43,8 +43,12 @@ def read_content(spark: SparkSession, root: str, extensions: Sequence[str] = (".
     return _binary(spark, root, extensions).select(F.col("path").alias("file_path"), "content")
 
 
-def decode_signals(files: DataFrame, content: str = "content", sample_rate: int | None = 24_000, duration: float | None = None) -> DataFrame:
-    """Decode WAV bytes; an unreadable file keeps its row with a reason in `error` and NULL samples."""
+def decode_signals(files: DataFrame, content: str = "content", sample_rate: int | None = 24_000, duration: float | None = None,
+                   convert: bool = True) -> DataFrame:
+    """Decode WAV bytes at a target rate; an unreadable file keeps its row with a reason in `error` and NULL samples.
+
+    Without `convert` a file of another rate is an error instead of being resampled.
+    """
     from pluvio.functions.kernels import decode_wav
 
     @F.pandas_udf(SIGNAL_SCHEMA)
@@ -52,7 +56,7 @@ def decode_signals(files: DataFrame, content: str = "content", sample_rate: int
         rows = []
         for blob in blobs:
             try:
-                rate, x = decode_wav(blob, sample_rate, duration)
+                rate, x = decode_wav(blob, sample_rate, duration, convert)
                 rows.append((rate, len(x), x, None))
             except (ValueError, TypeError) as err:
                 rows.append((None, None, None, str(err)))

@@ -9,7 +9,7 @@ from test_curation import PATTERN
 def test_curation_job(spark, tmp_path):
     names, truth = [], []
     for i in range(400):
-        name = f"SMM1_202501{i % 28 + 1:02d}_{i // 28:02d}0000_{i}.wav"
+        name = f"SMM1-202501{i % 28 + 1:02d}T{i // 28:02d}0000~{i}.wav"
         names.append((f"/d/{name}", name))
         wet = i % 4 == 0
         if i % 10:

@@ -58,8 +58,8 @@ def test_running_totals(skewed, hot_rows):
 
 
 def test_split_paths_agree_and_are_exact(skewed):
-    a = B.split_dataset(skewed, ["id"], 0.1, 0.1, ["g"], hot_rows=10**6)
-    b = B.split_dataset(skewed.repartition(3), ["id"], 0.1, 0.1, ["g"], hot_rows=10)
+    a = B.split_dataset(skewed, ["id"], 0.1, 0.1, ["g"])
+    b = B.split_dataset(skewed.repartition(3), ["id"], 0.1, 0.1, ["g"])
     assert a.select("id", "split").exceptAll(b.select("id", "split")).isEmpty()
     sizes = {r["split"]: r["count"] for r in a.groupBy("split").count().collect()}
     assert sizes == {"test": 600, "val": 600, "train": 4800}
@@ -125,3 +125,26 @@ def test_values_at_ranks_by_hash(skewed):
     for r in got.collect()[:5]:
         hs = sorted(x["h"] for x in df.filter(F.col("g") == r["g"]).select("h").collect())
         assert r["value"] == hs[math.ceil(len(hs) / 2) - 1]
+
+
+def test_numbering_by_any_ordered_type(spark):
+    from pyspark.sql import functions as F
+
+    from pluvio.operators.ranks import number_rows
+    df = spark.range(300).select((F.col("id") % 2).alias("g"), F.col("id"), (F.col("id") / 7).cast("decimal(12,4)").alias("d"),
+                                 F.expr("date_add(date'2024-01-01', int(id / 4))").alias("day"), F.col("id").cast("string").alias("s"))
+    for order in ("id", "d", "day"):
+        few = number_rows(df, ["g"], order, "n", hot_rows=10**6, ties=["id"]).select("id", "n").collect()
+        many = number_rows(df, ["g"], order, "n", hot_rows=20, buckets=16, ties=["id"]).select("id", "n").collect()
+        assert sorted(few) == sorted(many)
+    with pytest.raises(TypeError):
+        number_rows(df, ["g"], "s")
+
+
+def test_split_keeps_rows_of_a_key_together(spark):
+    from pyspark.sql import functions as F
+
+    from pluvio.operators.sampling import split_dataset
+    df = spark.range(400).select((F.col("id") % 100).alias("k"), (F.col("id") % 2).alias("c"))
+    out = split_dataset(df, ["k"], 0.2, 0.1, ["c"])
+    assert out.count() == 400 and out.select("k", "split").distinct().count() == 100

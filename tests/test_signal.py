@@ -72,7 +72,7 @@ def test_decode_stereo_and_duration():
 
 
 def test_decode_errors_are_rows(spark, folder):
-    got = {r["file_path"].rsplit("/", 1)[-1]: r for r in R.decode_signals(R.read_content(spark, folder), sample_rate=RATE).collect()}
+    got = {r["file_path"].rsplit("/", 1)[-1]: r for r in R.decode_signals(R.read_content(spark, folder), sample_rate=RATE, convert=False).collect()}
     assert got["sine.wav"]["error"] is None and got["sine.wav"]["n_samples"] == 2 * RATE
     assert got["broken.wav"]["error"] and "44100" in got["rate.wav"]["error"]
     assert len(got) == 7  # Spark does not list files of zero bytes
@@ -127,7 +127,7 @@ def test_single_metrics_run_alone(spark, folder):
     df = R.decode_signals(R.read_content(spark, folder), sample_rate=RATE).filter("error is null").select("samples")
     out = M.acoustic_metrics(df, "samples", CFG)
     for name in ["temp_entropy", "ACI", "num_peaks", "BI", "ADI", "AEI", "spec_slope", "spec_skew", "psd_std", "spec_bandwidth_50%"]:
-        assert len(out.select(F.col(f"`{name}`")).collect()) == 5
+        assert len(out.select(F.col(f"`{name}`")).collect()) == 6
 
 
 def test_spaced_peaks_brute_force(spark):
@@ -204,12 +204,14 @@ def test_feature_job(spark, folder):
     assert per == {"sine.wav": 7, "noise.WAV": 7, "silence.wav": 7, "deep.wav": 7}
     augmented = out.filter("should_augment")
     assert augmented.count() == 70 * 7 and augmented.select("aug_params").distinct().count() == 70
-    same = X.extract_features(files, train.repartition(3), CFG, duration=0.5, overlap=0.5, partitions=2)
+    same = X.extract_features(files, train.repartition(3), CFG, duration=0.5, overlap=0.5)
     key = ["file_path", "copy_ordinal", "segment_idx", "aug_params", "mae", "mfcc_1"]
     assert out.select(key).exceptAll(same.select(key)).isEmpty()
     held = X.extract_features(files, train.withColumn("split", F.lit("val")), CFG, duration=0.5)
-    assert held.filter("aug_params <> 'none'").isEmpty()
-    assert X.failed_files(files, CFG).count() == 2
+    assert held.filter("aug_params <> 'raw'").isEmpty()
+    assert X.failed_files(files, CFG).count() == 1
+    gone = train.select("file_path").union(train.limit(1).select(F.lit("/not/there.wav")))
+    assert {r["error"] for r in X.failed_files(files, CFG, gone).filter("file_path like '/not%'").collect()} == {"no such file"}
 
 
 def test_catalog(spark, folder, tmp_path):
@@ -222,4 +224,39 @@ def test_catalog(spark, folder, tmp_path):
     back = CAT.load_catalog(spark, root)
     assert back.count() == 8 and back.filter("device = 'd2'").count() == 1 and back.filter("device is null").count() == 7
     signals = R.catalog_signals(spark, files, folder, RATE)
-    assert signals.count() == 5 and "audio_id" in signals.columns
+    assert signals.count() == 6 and "audio_id" in signals.columns
+
+
+def test_decode_other_rates_and_formats():
+    import struct
+
+    from pluvio.functions.kernels import decode_wav, resample
+    t = np.arange(16000) / 16000
+    tone = np.sin(2 * np.pi * 440 * t).astype("<f4")
+    fmt = struct.pack("<HHIIHH", 3, 1, 16000, 64000, 4, 32)
+    body = b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", tone.nbytes) + tone.tobytes()
+    wav = b"RIFF" + struct.pack("<I", len(body)) + body
+    rate, x = decode_wav(wav, 16000)
+    assert rate == 16000 and np.array_equal(x, tone)
+    rate, x = decode_wav(wav, 24000)
+    assert rate == 24000 and len(x) == 24000
+    assert np.abs(x - np.sin(2 * np.pi * 440 * np.arange(24000) / 24000))[200:-200].max() < 1e-3
+    high = np.sin(2 * np.pi * 7000 * t)
+    assert np.abs(resample(high, 16000, 8000))[100:-100].max() < 0.01  # beyond the new band
+    wide = struct.pack("<HHIIHH", 1, 1, 16000, 80000, 5, 40)
+    odd = b"WAVEfmt " + struct.pack("<I", 16) + wide + b"data" + struct.pack("<I", 10) + bytes(10)
+    with pytest.raises(ValueError):
+        decode_wav(b"RIFF" + struct.pack("<I", len(odd)) + odd, 16000)
+    with pytest.raises(ValueError):
+        decode_wav(wav, 24000, convert=False)
+
+
+def test_chunks_are_counted_per_file(spark):
+    from pyspark.sql import functions as F
+
+    from pluvio.plans.feature_extraction import COPIES_PER_TASK, copy_chunks
+    copies = {"a": 1, "b": COPIES_PER_TASK, "c": 2 * COPIES_PER_TASK + 1}
+    rows = [(name, 7 * i) for name, n in copies.items() for i in range(n)]  # ordinals count per class, with gaps per file
+    out = copy_chunks(spark.createDataFrame(rows, "file_path string, copy_ordinal long"), F.struct("copy_ordinal"))
+    got = {r[0]: (r[1], r[2]) for r in out.groupBy("file_path").agg(F.count("*"), F.sum(F.size("copies"))).collect()}
+    assert got == {"a": (1, 1), "b": (1, COPIES_PER_TASK), "c": (3, 2 * COPIES_PER_TASK + 1)}

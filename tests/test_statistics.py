@@ -292,3 +292,24 @@ def test_stream_equals_batch(spark, tmp_path):
                               "1 hour", "30 minutes", "10 minutes", "2024-01-01", files_per_trigger=1)
     batch = window_stats(df, "ts", ["k"], "v", "1 hour", "30 minutes", "2024-01-01").filter("end <= timestamp'2024-01-01 05:45:00'")
     assert out.count() == batch.count() > 10 and out.exceptAll(batch).isEmpty()
+
+
+def test_percentile_with_constant_and_perfect_features():
+    from pluvio.operators.selection import Standardiser, select_percentile
+    scores = {"a": None, "b": None, "c": 1.0, "d": 2.0, "e": 3.0}
+    assert select_percentile(scores, list(scores), 60) == ["c", "d", "e"]
+    assert select_percentile({**scores, "f": float("inf")}, [*scores, "f"], 20) == ["f"]
+    assert select_percentile(dict.fromkeys(scores), list(scores), 40) == ["a", "b"]
+    assert Standardiser.fit(None, []).moments == {}
+
+
+def test_estimator_settings():
+    from pluvio.operators.models import Classifier
+    assert Classifier("lr", {"penalty": "l1"}).build(10).getElasticNetParam() == 1.0
+    assert Classifier("lr", {"penalty": None}).build(10).getRegParam() == 0.0
+    assert Classifier("sgd", {"penalty": "elasticnet", "l1_ratio": 0.4}).build(10).getClassifier().getElasticNetParam() == 0.4
+    forest = Classifier("rf", {"max_features": "sqrt", "criterion": "entropy", "class_weight": None}).build(10)
+    assert (forest.getFeatureSubsetStrategy(), forest.getImpurity(), forest.isSet("weightCol")) == ("sqrt", "entropy", False)
+    for kind, bad in (("rf", {"max_depth": 31}), ("lr", {"penalty": "l3"}), ("rf", {"class_weight": {0: 1}})):
+        with pytest.raises(ValueError):
+            Classifier(kind, bad).build(10)
