@@ -36,9 +36,12 @@ class Mapping:
     may: frozenset[str] = frozenset()
 
 
+ROW = "message_row"  # marks a record made of a table's row, whose role and text may both be null
+
+
 def _messages(name: str, each: str | None, role: str, text: str) -> Mapping:
     prefix = f"{each}[]." if each else ""
-    return Mapping(name, each, ((f"@{role}", (text,)),), frozenset() if each is None else frozenset({prefix + role}),
+    return Mapping(name, each, ((f"@{role}", (text,)),), frozenset({prefix + role if each else ROW}),
                    frozenset({prefix + text}) | (frozenset({prefix + role}) if each is None else frozenset()))
 
 
@@ -171,7 +174,8 @@ def format_chats(records: DataFrame) -> DataFrame:
 
 def message_records(rows: DataFrame) -> DataFrame:
     """Records of rows (conv_id, turn, role, text); the fields that are null stay out of the record."""
-    return rows.select("conv_id", "turn", F.to_json(F.struct(F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))).alias("record"))
+    return rows.select("conv_id", "turn", F.to_json(F.struct(F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
+                                                           F.lit(True).alias(ROW))).alias("record"))
 
 
 def _read_back(batches):

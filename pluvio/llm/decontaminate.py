@@ -37,6 +37,15 @@ def _gram(hashes: Column, at: Column, n: int) -> Column:
     return F.xxhash64(*[F.get(hashes, at + j) for j in range(n)])
 
 
+def _whole(n: int):
+    """The fingerprint of a run of n words that is a window by itself."""
+    return lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(n), _gram(F.col("h"), i, n)).alias("mark"))
+
+
+def _span(n: int):
+    return lambda x: F.struct(x["at"].alias("at"), F.lit(n).alias("length"), x["mark"].alias("mark"), F.slice("words", x["at"] + 1, n).alias("span"))
+
+
 def _windows(df: DataFrame, lengths: list[int], keep=None) -> DataFrame:
     """Adds `windows` (at, length, mark, span): the windows of the word array `words` and their fingerprints.
 
@@ -49,13 +58,10 @@ def _windows(df: DataFrame, lengths: list[int], keep=None) -> DataFrame:
     steps = WINDOW - K + 1
     least = F.transform(_positions(F.size("words") - WINDOW + 1),
                         lambda i: F.struct(i.alias("at"), F.least(*[F.get(F.col("grams"), i + j) for j in range(steps)]).alias("mark")))
-    found = [F.transform(F.filter(least, lambda x: keep(x["mark"])), lambda x: F.struct(
-        x["at"].alias("at"), F.lit(WINDOW).alias("length"), x["mark"].alias("mark"), F.slice("words", x["at"] + 1, WINDOW).alias("span")))]
+    marked = [(WINDOW, least)]
     for n in lengths:
-        marks = F.transform(_positions(F.size("words") - n + 1),
-                            lambda i, n=n: F.struct(i.alias("at"), F.xxhash64(F.lit(n), _gram(F.col("h"), i, n)).alias("mark")))
-        found.append(F.transform(F.filter(marks, lambda x: keep(x["mark"])), lambda x, n=n: F.struct(
-            x["at"].alias("at"), F.lit(n).alias("length"), x["mark"].alias("mark"), F.slice("words", x["at"] + 1, n).alias("span"))))
+        marked.append((n, F.transform(_positions(F.size("words") - n + 1), _whole(n))))
+    found = [F.transform(F.filter(marks, lambda x: keep(x["mark"])), _span(n)) for n, marks in marked]
     return df.withColumn("windows", F.concat(*found)).drop("h", "grams")
 
 
