@@ -17,7 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     and joins vertices that were mapped alike. A random order shrinks chains and stars by a constant factor a
     round, so the number of rounds is logarithmic. Self links and repeated links are allowed.
     """
-    edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     maps = []
     for _ in range(MAX_ROUNDS):
         rank = F.xxhash64("b")

@@ -11,7 +11,8 @@ members outside their largest known component are compared exhaustively, and in
 most copies, and one by hash) are compared with every member; a group of near copies is mostly used up by its
 pivots, and never gives all its pairs. Then, with the new components known, nodes with at most FULL members outside the largest
 are compared exhaustively, those members with all, in blocks; only larger ones branch on. At MAX_DEPTH all that is left
-is compared in blocks, so there is no cap. A pair that meets in several roots is put forward in the first of them only.
+is compared in blocks, so there is no cap. A pair that meets in several roots' children is put forward in the first of them
+that does not branch on.
 Members of a block pair with a similar pair are a group of at most about 2 * BLOCK candidates, whose full sets are compared.
 """
 
@@ -93,25 +94,26 @@ def _children(batches):
 
 
 def _lists(column: pa.ListArray):
-    """Per row: reps, components and sketches (one a line) of a list of structs."""
+    """Per row: reps, components, sketches (one a line) and slots of branching nodes of a list of structs."""
     width = POSITIONS + 4 * LEAD
     flat, offsets = column.flatten(), column.offsets.to_numpy()
     offsets = offsets - offsets[0]
-    rep, comp = flat.field("rep").to_numpy(), flat.field("comp").to_numpy()
+    rep, comp, still = flat.field("rep").to_numpy(), flat.field("comp").to_numpy(), flat.field("open").to_numpy()
     sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, width)
-    return [(rep[lo:hi], comp[lo:hi], sketch[lo:hi]) for lo, hi in zip(offsets[:-1], offsets[1:])]
+    return [(rep[lo:hi], comp[lo:hi], sketch[lo:hi], still[lo:hi]) for lo, hi in zip(offsets[:-1], offsets[1:])]
 
 
 def _similar(least: int):
     """(group, reps): the listed members of which some pair of two components agrees in at least `least` positions.
 
-    A pair that already met in a root's child of a lower slot is left to that one; deeper nodes have slot 0.
+    A pair that already met in a root's child of a lower slot is left to that one, unless that one is large and branches,
+    so that it does not compare all its pairs (its slot is in the bits `open`); deeper nodes have slot 0.
     """
     def run(batches):
         for batch in batches:
             groups, reps = [], []
             for rows in (batch.slice(i, 32) for i in range(0, len(batch), 32)):
-                for slot, (rep, comp, sketch), (other, its, each) in zip(rows["slot"].to_pylist(), _lists(rows["members"]), _lists(rows["others"])):
+                for slot, (rep, comp, sketch, still), (other, its, each, _) in zip(rows["slot"].to_pylist(), _lists(rows["members"]), _lists(rows["others"])):
                     close = comp[:, None] != its[None, :]
                     if not close.any():
                         continue
@@ -121,6 +123,7 @@ def _similar(least: int):
                     i, j = np.nonzero(close & (agree >= least))
                     if slot and len(i):
                         lead = sketch[i, POSITIONS:].copy().view(np.uint32)[:, :slot] == each[j, POSITIONS:].copy().view(np.uint32)[:, :slot]
+                        lead &= (still[i, None] >> np.arange(slot)) & 1 == 0
                         i, j = i[~lead.any(1)], j[~lead.any(1)]
                     if len(i):
                         found = np.unique(np.concatenate([rep[i], other[j]]))
@@ -214,10 +217,10 @@ def _outsiders(seen: DataFrame, limit: int | None) -> DataFrame:
     return some.where("comp <> top").select("node", block.alias("block"), "rep", "comp")
 
 
-def _blocks(rows: DataFrame, reps: DataFrame, *keys: str) -> DataFrame:
+def _blocks(rows: DataFrame, sketches: DataFrame, *keys: str) -> DataFrame:
     """(keys, list) of the rows of each block, with their sketches; about BLOCK rows each."""
-    return (rows.join(reps.select("rep", "sketch"), "rep").groupBy(*keys, "block")
-            .agg(F.collect_list(F.struct("rep", "comp", "sketch")).alias("list")).drop("block"))
+    return (rows.join(sketches, "rep").groupBy(*keys, "block")
+            .agg(F.collect_list(F.struct("rep", "comp", "sketch", "open")).alias("list")).drop("block"))
 
 
 def _pivots(seen: DataFrame) -> DataFrame:
@@ -263,24 +266,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
                 lists = _outsiders(seen, limit)
             else:
                 lists = _outsiders(seen, SMALL).union(_pivots(seen.where(F.col("outside") > SMALL).join(reps.select("rep", "copies"), "rep")))
-            wanted = staged(_blocks(lists, reps, "node").withColumnRenamed("list", "others"), "lists")
+            sketches = reps.select("rep", "sketch", F.lit(0).alias("open"))
+            branching = seen.where(F.col("outside") > FULL)
+            if depth == 1 and not is_empty(branching):
+                slots = branching.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1, slot)")).alias("o"))
+                sketches = sketches.join(slots, "rep", "left").select("rep", "sketch", F.coalesce("o", "open").alias("open"))
+            wanted = staged(_blocks(lists, sketches, "node").withColumnRenamed("list", "others"), "lists")
             whole = F.pmod(F.xxhash64("rep", "node"), F.ceil((F.col("outside") + F.col("inside")) / BLOCK))
             own = seen.join(wanted.select("node").distinct(), "node").select("node", "slot", whole.alias("block"), "rep", "comp")
-            both = _blocks(own, reps, "node", "slot").withColumnRenamed("list", "members").join(wanted, "node")
+            both = _blocks(own, sketches, "node", "slot").withColumnRenamed("list", "members").join(wanted, "node")
             groups = staged(arrow_map(both.select("slot", "members", "others"), _similar(least), "group long, reps array<long>"), "groups")
             if not is_empty(groups):
                 links.append(_verified(docs, groups, k, num, den))
                 comps = staged(components(reduce(DataFrame.union, links)), "components")
-            if not full and is_empty(sizes.where(F.col("outside") > SMALL)):
+            # All others were compared exhaustively: every link of their members is known.
+            members = seen.where(F.col("outside") > (FULL if full else SMALL)).select("node", "slot", "rep")
+            if depth == MAX_DEPTH and full or is_empty(members):
                 members = None
                 break
-        if members is None or depth == MAX_DEPTH:
+        if members is None:
             break
-        seen, sizes = _with_components(members, comps)
-        large = sizes.where(F.col("outside") > FULL)
-        if is_empty(large):
-            break
-        parents = members.join(large.select("node"), "node").join(reps.select("rep", "tokens"), "rep")
+        parents = members.join(reps.select("rep", "tokens"), "rep")
         members = arrow_map(parents.select("node", "rep", "tokens"), _children, "node long, slot int, rep long").distinct()
 
     base = described.select("doc_id", "n_shingles", "key").join(classes.select("key", "rep"), "key", "left")
