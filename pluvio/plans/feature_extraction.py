@@ -41,7 +41,7 @@ def segment_summaries(files: DataFrame, recordings: DataFrame, cfg: MetricsConfi
     `should_augment`, `copy_ordinal`. Only flagged rows of the train split are augmented.
 
     The copies of a file are numbered per file and handed out in chunks of COPIES_PER_TASK draws, so a file has as many
-    chunks as its own copies need. How `files` meets them is left to the optimizer, which knows their bytes.
+    chunks as its own copies need and is decoded once for each. How `files` meets them is left to the optimizer, which knows their bytes.
     """
     window, stride = window_and_stride(duration, overlap, cfg.sample_rate)
     have = recordings.columns
@@ -54,12 +54,10 @@ def segment_summaries(files: DataFrame, recordings: DataFrame, cfg: MetricsConfi
 
     names = ["file_path", "copy_ordinal", "segment_idx", "offset_sec", "aug_params", "error"] + SCALARS + ARRAYS
 
-    def rows_of(path: str, content: bytes, one: dict) -> list[dict]:
+    def rows_of(path: str, x: np.ndarray | None, error: str | None, one: dict) -> list[dict]:
         blank = dict.fromkeys(names) | {"file_path": path, "copy_ordinal": one["copy_ordinal"]}
-        try:
-            _, x = K.decode_wav(content, cfg.sample_rate)
-        except ValueError as err:
-            return [blank | {"error": str(err)}]
+        if error is not None:
+            return [blank | {"error": error}]
         x, log = augmented(x, one["draws"], cfg.sample_rate) if one["draws"] is not None else (x, "raw")
         return [blank | {"segment_idx": k, "offset_sec": start / cfg.sample_rate, "aug_params": log}
                 | summarise(np.asarray(x[start:start + window], dtype=np.float32), cfg)
@@ -69,8 +67,12 @@ def segment_summaries(files: DataFrame, recordings: DataFrame, cfg: MetricsConfi
         rows: list[dict] = []
         for batch in batches:
             for path, content, copies in zip(batch["file_path"], batch["content"], batch["copies"]):
+                try:
+                    (_, x), error = K.decode_wav(content, cfg.sample_rate), None
+                except ValueError as err:
+                    x, error = None, str(err)
                 for one in copies:
-                    rows += rows_of(path, content, one)
+                    rows += rows_of(path, x, error, one)
                     if len(rows) >= ROWS_PER_BATCH:
                         yield pd.DataFrame(rows, columns=names)
                         rows = []
