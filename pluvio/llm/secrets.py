@@ -21,7 +21,7 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{16,}")  # whole runs, like [0-9a-f]+ with the shorter ones dropped
 
 WINDOW = 20  # characters whose entropy is looked at together
-#: Least entropy of a window in bits a character, by the narrowest class that holds the candidate.
+#: Least entropy of a window in bits a character, by the narrowest class that holds the window.
 FLOOR = {"hex": 2.9, "alnum": 3.6, "base64": 3.75}
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
 #: Strings that look random but are not secrets: one kind of letters only, numbers, words joined by signs,
@@ -29,11 +29,15 @@ _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
 ALLOWED = (rb"[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9_=+/-]+", rb"(?:[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{0,8})(?:[-_/+=]+(?:[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{0,8}))*",
            rb"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", rb".*(?:example|placeholder|dummy|x{6}|0{8}|1234567890).*")
 _HEXSET, _ALNUM = frozenset(b"0123456789abcdefABCDEF"), frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+# The tokens of a run by class: a window lies in a hex or an alnum token, or in what stands between `=` signs.
+_TOKENS = {"hex": re.compile(rb"[0-9a-fA-F]{%d,}" % WINDOW), "alnum": re.compile(rb"[A-Za-z0-9]{%d,}" % WINDOW),
+           "base64": re.compile(rb"[A-Za-z0-9+/_-]+=*")}
+_NAMES = re.compile(rb"(?:(?:[A-Z]?[a-z]+|[A-Z]+)[/_-]+)*")  # words of a path or a name before a token
 _PART = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
 
 
 def entropy_spans(string: bytes) -> list[tuple[int, int]]:
-    """Unions of all windows whose entropy reaches the floor of the string's class.
+    """Unions of all windows of a token whose entropy reaches the floor of the token's class.
 
     Counts change by one character in and one out a step, and so does the sum of c * log2(c).
     """
@@ -54,6 +58,33 @@ def entropy_spans(string: bytes) -> list[tuple[int, int]]:
     return spans
 
 
+def _tokens(run: bytes) -> list[tuple[int, int]]:
+    """The tokens of a run, whatever class; the words before a base64 token do not belong to it."""
+    out = {m.span() for kind in ("hex", "alnum") for m in _TOKENS[kind].finditer(run)}
+    for m in _TOKENS["base64"].finditer(run):
+        start = _NAMES.match(run, m.start(), m.end()).end()
+        if m.end() - start >= WINDOW:
+            out.add((start, m.end()))
+    return sorted(out)
+
+
+def hits(run: bytes, allowed: re.Pattern) -> list[tuple[int, int]]:
+    """Unions of the tokens of a run that are not allowed and hold a window that reaches the floor of its class.
+
+    A key is covered whole, though single windows of it stay below the floor, and whatever name or path stands before it.
+    """
+    out = []
+    for start, end in _tokens(run):
+        token = run[start:end]
+        if allowed.fullmatch(token) or not entropy_spans(token):
+            continue
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def find_spans(text: str, allowed: re.Pattern) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans in code points, in order; base spans are never suppressed."""
     data = text.encode("utf-8", "replace")
@@ -66,9 +97,9 @@ def find_spans(text: str, allowed: re.Pattern) -> list[tuple[int, int, int]]:
     base = sorted(found)
     for m in _CANDIDATE.finditer(data):
         string = m[0]
-        if string.isalpha() and string.islower() or allowed.fullmatch(string):
+        if string.isalpha() and string.islower():
             continue
-        for start, end in entropy_spans(string):
+        for start, end in hits(string, allowed):
             start, end = start + m.start(), end + m.start()
             if not any(s <= start and end <= e for s, _, e in base):
                 found.append((start, 3, end))

@@ -1,7 +1,10 @@
 """Cases in which an operator once did less than its whole job."""
 
+import re
+
 import numpy as np
 
+from pluvio.llm import secrets
 from pluvio.llm.quality_model import quality
 
 
@@ -17,3 +20,22 @@ def test_quality_of_held_out_toxic_documents(spark):
     assert share(lambda r: r.quality == 1 and r.toxic == 0) >= 0.97
     assert share(lambda r: r.toxic == 1 and r.lang == "en") <= 0.15 and share(lambda r: r.quality == 0) <= 0.05
     assert [r.kept for r in out.where("doc_id < 0").collect()] == [False, False]
+
+
+def test_keys_after_names_and_paths():
+    """Keys are covered whole after NAME=, path/ and id-; an allowed word, name or id before a key does not allow the key."""
+    rng = np.random.default_rng(5)
+    allowed = re.compile(b"|".join(b"(?:%s)" % p for p in secrets.ALLOWED), re.S)
+    classes = {"hex": "0123456789ABCDEF", "alnum": "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)]))}
+    classes["base64"] = classes["alnum"] + "+/"
+    for name, signs in classes.items():
+        for before in ("", "CLIENT_KEY=", "keys/", "id-", "example/", "a-placeholder=", "x=1/", "Deploy_Keys-2024_"):
+            missed = 0
+            for _ in range(100):
+                key = "".join(rng.choice(list(signs), 64))
+                spans = secrets.find_spans(f"see {before}{key} there", allowed)
+                inside = {i for s, _, e in spans for i in range(s, e)}
+                missed += len(set(range(4 + len(before), 4 + len(before) + 64)) - inside)
+            assert missed <= (0 if name == "hex" else 64), (name, before)
+    for text in ("id-550e8400-e29b-41d4-a716-446655440000", "path/to/550e8400-e29b-41d4-a716-446655440000", "KEY=placeholder_of_the_secret_key", "a/long/path/of-words/2024-11-30/ends_here"):
+        assert secrets.find_spans(text, allowed) == []
