@@ -1,8 +1,9 @@
 """Chat formatting: schema fingerprints choose the mapping that turns a record into canonical turns.
 
 A record is a JSON object. The paths of its non-null leaves (list positions left out) are its layout; the hash of the sorted paths that
-any mapping knows is its fingerprint, and each mapping is registered under the fingerprints of its layouts. So a
-record finds its mapping by one lookup, and other fields, such as ids or scores, do not disturb it.
+a mapping knows is its fingerprint for that mapping, and each mapping is registered under the fingerprints of its layouts. So
+other fields, such as ids, scores or those of another mapping, do not disturb a record. Where several mappings find their
+layout, a list of messages goes before single fields, then the one with more of the record's paths, then the earlier one.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import hashlib
 import json
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 
 import pyarrow as pa
@@ -34,6 +36,7 @@ class Mapping:
     turns: tuple[tuple[str, tuple[str, ...]], ...]
     needs: frozenset[str]
     may: frozenset[str] = frozenset()
+    first: str | None = None  # field of the record with the system's text, before the list of messages
 
 
 ROW = "message_row"  # marks a record made of a table's row, whose role and text may both be null
@@ -42,7 +45,7 @@ ROW = "message_row"  # marks a record made of a table's row, whose role and text
 def _messages(name: str, each: str | None, role: str, text: str) -> Mapping:
     prefix = f"{each}[]." if each else ""
     return Mapping(name, each, ((f"@{role}", (text,)),), frozenset({prefix + role if each else ROW}),
-                   frozenset({prefix + text}) | (frozenset({prefix + role}) if each is None else frozenset()))
+                   frozenset({prefix + text, "system" if each else role}), "system" if each else None)
 
 
 def _fields(name: str, turns, needs, may=()) -> Mapping:
@@ -55,11 +58,12 @@ MAPPINGS = (
     _messages("from and value", "conversations", "from", "value"),
     _messages("role and text", "turns", "role", "text"),
     _fields("prompt and response", (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))), {"prompt", "response"}, {"system"}),
-    _fields("prompt and completion", (("user", ("prompt",)), ("assistant", ("completion",))), {"prompt", "completion"}),
+    _fields("prompt and completion", (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",))), {"prompt", "completion"}, {"system"}),
     _fields("question and answer", (("system", ("context",)), ("user", ("question",)), ("assistant", ("answer",))), {"question", "answer"}, {"context"}),
-    _fields("instruction and output", (("user", ("instruction", "input")), ("assistant", ("output",))), {"instruction", "output"}, {"input"}),
+    _fields("instruction and output", (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), {"instruction", "output"}, {"system", "input"}),
+    _fields("instruction and response", (("user", ("instruction", "context")), ("assistant", ("response",))), {"instruction", "response"}, {"context"}),
+    _fields("question and response", (("system", ("system_prompt",)), ("user", ("question",)), ("assistant", ("response",))), {"question", "response"}, {"system_prompt"}),
 )
-KNOWN = frozenset().union(*(m.needs | m.may for m in MAPPINGS))
 
 
 def paths(value, prefix: str = "") -> set[str]:
@@ -72,7 +76,7 @@ def paths(value, prefix: str = "") -> set[str]:
 
 
 def fingerprint(found: set[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(found & KNOWN)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
 
 
 def registry(mappings=MAPPINGS) -> dict[str, Mapping]:
@@ -89,12 +93,23 @@ def registry(mappings=MAPPINGS) -> dict[str, Mapping]:
     return out
 
 
+def _chooser(mappings=MAPPINGS):
+    """A function from the paths of a record to its mapping, or None; the last layouts are remembered."""
+    known = registry(mappings)
+
+    @lru_cache(1 << 12)
+    def choose(found: frozenset[str]) -> Mapping | None:
+        fits = [m for m in mappings if known.get(fingerprint(found & (m.needs | m.may))) is m]
+        return max(fits, key=lambda m: (m.each is not None, len(found & (m.needs | m.may))), default=None)
+    return choose
+
+
 def _text(value) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
 def turns_of(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
-    out = []
+    out = [("system", _text(record[mapping.first]))] if mapping.first and record.get(mapping.first) is not None else []
     for message in [record] if mapping.each is None else record[mapping.each]:
         if not isinstance(message, dict):
             continue
@@ -139,7 +154,7 @@ _TURN = re.compile(re.escape(START) + r"((?:(?!<\|)[^\n])*)\n((?:(?!<\|).)*)" +
 
 
 def _format(batches):
-    known = registry()
+    choose = _chooser()
     for batch in batches:
         out = {c: [] for c in ("conv_id", "turn", "nth", "layout", "segment", "loss_start", "loss_end")}
         for conv_id, turn, raw in zip(*(batch[c].to_pylist() for c in ("conv_id", "turn", "record"))):
@@ -147,7 +162,7 @@ def _format(batches):
                 record = json.loads(raw, strict=False) if raw else {}
             except ValueError:
                 record = None
-            mapping = known.get(fingerprint(paths(record))) if isinstance(record, dict) else None
+            mapping = choose(frozenset(paths(record))) if isinstance(record, dict) else None
             turns = turns_of(record, mapping) if mapping else []
             for nth, (role, text) in enumerate(turns):
                 row = (conv_id, turn, nth, mapping.name, *render(role, text))

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from pluvio.llm import secrets
+from pluvio.llm import chat, secrets
 from pluvio.llm.quality_model import quality
 
 
@@ -39,3 +39,15 @@ def test_keys_after_names_and_paths():
             assert missed <= (0 if name == "hex" else 64), (name, before)
     for text in ("id-550e8400-e29b-41d4-a716-446655440000", "path/to/550e8400-e29b-41d4-a716-446655440000", "KEY=placeholder_of_the_secret_key", "a/long/path/of-words/2024-11-30/ends_here"):
         assert secrets.find_spans(text, allowed) == []
+
+
+def test_records_with_a_field_of_another_mapping(spark):
+    records = ['{"instruction":"q","input":"","output":"a","text":"whole"}', '{"prompt":"q","prompt_id":"7","messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}',
+               '{"system":"s","conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', '{"instruction":"q","context":"c","response":"a","category":"x"}',
+               '{"id":1,"system_prompt":"s","question":"q","response":"a"}', '{"prompt":"q","response":"a","text":"whole","role":"x"}']
+    df = spark.createDataFrame(list(enumerate(records)), "conv_id long, record string").selectExpr("conv_id", "0L as turn", "record")
+    got = {}
+    for r in sorted(chat.format_chats(df).collect(), key=lambda r: (r.conv_id, r.nth)):
+        got.setdefault(r.conv_id, []).append(r.segment)
+    system, q, a = (chat.render(*x)[0] for x in (("system", "s"), ("user", "q"), ("assistant", "a")))
+    assert got == {0: [chat.render("user", "q\n\n")[0], a], 1: [q, a], 2: [system, q, a], 3: [chat.render("user", "q\n\nc")[0], a], 4: [system, q, a], 5: [q, a]}
