@@ -3,7 +3,8 @@
 Outcomes of labelled pages are shrunk from suffix to registered domain to host. At each level the bad share of a node
 is a draw from a Beta around its parent's posterior mean; how tightly is estimated from the spread between the
 nodes of that level (method of moments). A page is blocked when the lower posterior bound of its host's bad share
-is above the limit, so a host without clear evidence is allowed.
+is above the limit, so a host without clear evidence is allowed. A host without outcomes is a new draw from its registered
+domain, or, when that has none either, from its suffix: the bound then holds the spread between the nodes of the levels below.
 """
 
 from __future__ import annotations
@@ -61,25 +62,50 @@ def _weight(nodes: DataFrame) -> float:
     return round(min(max(1 / rho - 1, WEAKEST), STRONGEST), 6) if rho else STRONGEST
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """host, n, bad, share, low from labelled pages (host, bad 0/1): posterior mean and lower bound of the bad share."""
+def _low(share: Column, n, weight: float) -> Column:
+    return share - Z * F.sqrt(share * (1 - share) / (n + weight + 1))
+
+
+def reputation(outcomes: DataFrame) -> dict[str, DataFrame]:
+    """(node, n, bad, share, low) of each suffix, domain and host of labelled pages (host, bad 0/1).
+
+    `share` is the posterior mean of the bad share, `low` its lower bound: for a host that of the host, for a domain or suffix
+    that of a host below it that has no outcomes.
+    """
     hosts = _levels(outcomes.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")))
     hosts = staged(hosts, "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     nodes = hosts.withColumn("prior", F.lit((total["bad"] + 1) / (total["n"] + 2) if total["n"] else 0.5))
+    levels, weights = {}, {}
     for level in ("suffix", "domain"):
         keys = ["suffix"] if level == "suffix" else ["suffix", "domain"]
         here = nodes.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.first("prior").alias("prior"))
         here = staged(here, "level")  # a domain may hold most hosts; a join of two tables can be split by key
-        weight = _weight(here)
+        weights[level] = weight = _weight(here)
         share = (F.col("bad") + weight * F.col("prior")) / (F.col("n") + weight)
+        levels[level] = here.withColumn("share", share)
         nodes = nodes.drop("prior").join(here.select(*keys, share.alias("prior")), keys)
         nodes = staged(nodes, "nodes")
-    weight = _weight(nodes)
-    share = (F.col("bad") + weight * F.col("prior")) / (F.col("n") + weight)
-    return (nodes.withColumn("share", share)
-            .withColumn("low", F.col("share") - Z * F.sqrt(F.col("share") * (1 - F.col("share")) / (F.col("n") + weight + 1)))
-            .select("host", "n", "bad", "share", "low"))
+    weights["host"] = weight = _weight(nodes)
+    levels["host"] = nodes.withColumn("share", (F.col("bad") + weight * F.col("prior")) / (F.col("n") + weight))
+    # Share of p (1 - p) by which a new host differs from its domain; below a suffix its domain is new as well.
+    of_host, of_domain = 1 / (weight + 1), 1 / (weights["domain"] + 1)
+    new = {"domain": of_host, "suffix": of_domain + (1 - of_domain) * of_host}
+    return {level: df.withColumn("low", _low(F.col("share"), F.col("n"), weight) if level == "host" else _low(F.col("share"), 0, 1 / new[level] - 1))
+            .select(F.col(level).alias("node"), "n", "bad", "share", "low") for level, df in levels.items()}
+
+
+def host_reputation(outcomes: DataFrame) -> DataFrame:
+    """host, n, bad, share, low from labelled pages (host, bad 0/1): posterior mean and lower bound of the bad share."""
+    return reputation(outcomes)["host"].withColumnRenamed("node", "host")
+
+
+def blocked_hosts(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The rows of `hosts` (host, distinct) whose bound is above LIMIT, at the deepest level that has outcomes."""
+    found = _levels(hosts)
+    for level, nodes in reputation(outcomes).items():
+        found = found.join(nodes.select(F.col("node").alias(level), F.col("low").alias(f"{level}_low")), level, "left")
+    return found.where(F.coalesce("host_low", "domain_low", "suffix_low") > LIMIT).select("host")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=None) -> DataFrame:
@@ -87,7 +113,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules=None) -> DataFrame:
 
     `labels` (doc_id, quality, toxic) gives outcomes of pages with that id: bad is quality 0 or toxic 1; a row without id or
     quality is no outcome, and a page with several outcomes has each. Without a rule a page gets its host's verdict: block when
-    the lower bound of the host's bad share is above LIMIT, else allow, also for hosts without outcomes and empty hosts.
+    the lower bound of the host's bad share is above LIMIT, else allow. A host without outcomes is judged by its registered domain, a
+    domain without outcomes by its suffix; without any outcome, and for an empty host, the verdict is allow.
     Repeated rows get a row each. Empty tables give no rows, or no outcomes.
     """
     host, path = parts(F.col("url"))
@@ -95,7 +122,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules=None) -> DataFrame:
     outcome = labels.where("doc_id is not null and quality is not null").select(
         F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("long").alias("bad"))
     outcomes = rows.join(outcome, F.col("page_id") == F.col("id")).where("host <> ''").select("host", "bad")
-    blocked = staged(host_reputation(outcomes).where(F.col("low") > LIMIT).select(F.col("host").alias("blocked")), "blocked")
+    hosts = staged(rows.where("host <> ''").select("host").distinct(), "page_hosts")
+    blocked = staged(blocked_hosts(hosts, outcomes).select(F.col("host").alias("blocked")), "blocked")
     found = rows.join(blocked, F.col("host") == F.col("blocked"), "left").withColumn("r", matching_rule(F.col("host"), F.col("path"), rules))
     own = F.when(F.col("blocked").isNotNull(), "block").otherwise("allow")
     return found.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", own).alias("verdict"))

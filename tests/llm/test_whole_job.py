@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from pluvio.llm import chat, secrets
+from pluvio.llm import chat, secrets, url_filter
 from pluvio.llm.quality_model import quality
 
 
@@ -51,3 +51,14 @@ def test_records_with_a_field_of_another_mapping(spark):
         got.setdefault(r.conv_id, []).append(r.segment)
     system, q, a = (chat.render(*x)[0] for x in (("system", "s"), ("user", "q"), ("assistant", "a")))
     assert got == {0: [chat.render("user", "q\n\n")[0], a], 1: [q, a], 2: [system, q, a], 3: [chat.render("user", "q\n\nc")[0], a], 4: [system, q, a], 5: [q, a]}
+
+
+def test_hosts_without_outcomes(spark):
+    """A host without labelled pages is judged by its registered domain, or by its suffix."""
+    hosts = [f"h{i}.{d}" for d in ("spam.com", "fine.com", "a.bad", "b.bad", "c.bad", "d.bad") for i in range(20)] + [f"{'no' if i % 2 else 'ok'}{i}.mixed.org" for i in range(20)]
+    pages = [(20 * n + i, f"http://{host}/{i}") for n, host in enumerate(hosts) for i in range(20)]
+    outcome = [(i, 0 if "spam.com" in url or ".bad/" in url or "//no" in url else 1, 0) for i, url in pages]
+    new = {-1: "new.spam.com", -2: "new.fine.com", -3: "www.new.bad", -4: "new.mixed.org", -5: "other.com", -6: "x.unseen"}
+    df = spark.createDataFrame(pages + [(i, f"http://{h}/") for i, h in new.items()], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(df, spark.createDataFrame(outcome, "doc_id long, quality int, toxic int"), []).where("page_id < 0").collect()}
+    assert got == {-1: "block", -2: "allow", -3: "block", -4: "allow", -5: "allow", -6: "allow"}
