@@ -34,6 +34,54 @@ TEMPLATES = {
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
                "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
 }
+_GNU = {"gpl": "General", "lgpl": "Lesser General", "agpl": "Affero General"}
+for _name, _version in (("gpl", "2"), ("lgpl", "3"), ("lgpl", "2.1"), ("agpl", "3")):
+    _full = _version if "." in _version else f"{_version}.0"
+    TEMPLATES[f"{_name}-{_full}-line" if _name == "gpl" or "." in _version else f"{_name}-line"] = f"This work is licensed under the GNU {_GNU[_name]} Public License, version {_version}."
+    TEMPLATES[f"{_name}-{_full}"] = TEMPLATES["gpl-3.0"].replace("General", _GNU[_name]).replace("version 3", f"version {_version}")
+for _name, _version, _date in (("gpl", "2", "June 1991"), ("gpl", "3", "29 June 2007"), ("lgpl", "2.1", "February 1999"), ("lgpl", "3", "29 June 2007"), ("agpl", "3", "19 November 2007")):
+    TEMPLATES[f"{_name}-{_version if '.' in _version else _version + '.0'}-text"] = (
+        f"GNU {_GNU[_name]} Public License Version {_version}, {_date} Copyright (C) Free Software Foundation, Inc. "
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.")
+for _kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"):
+    TEMPLATES.setdefault(f"cc-{_kind.lower()}-line", f"Licensed under CC {_kind} 4.0.")
+    _names = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+    TEMPLATES[f"cc-{_kind.lower()}"] = f"This work is licensed under a Creative Commons {'-'.join(_names[k] for k in _kind.split('-'))} 4.0 International License."
+TEMPLATES |= {
+    "cc0-line": "Licensed under CC0 1.0.",
+    "cc0": "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work "
+           "worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.",
+    "bsd-line": "Released under the BSD License.",
+    "isc-line": "Released under the ISC License.",
+    "mpl-2.0-line": "Licensed under the Mozilla Public License, Version 2.0.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+               "file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mpl-2.0-text": "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, "
+                    "contributes to the creation of, or owns Covered Software.",
+    "epl-2.0-line": "Licensed under the Eclipse Public License, Version 2.0.",
+    "epl-1.0-line": "Licensed under the Eclipse Public License, Version 1.0.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+               "https://www.eclipse.org/legal/epl-2.0/",
+    "epl-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this "
+               "distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "epl-2.0-text": "Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\"). "
+                    "ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT.",
+    "apache-2.0-text": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND "
+                       "DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined "
+                       "by Sections 1 through 9 of this document.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+           "above copyright notice and this permission notice appear in all copies.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+                 "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by "
+                 "any means.",
+    "bsd-3-clause": TEMPLATES["bsd"] + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+                    "products derived from this software without specific prior written permission.",
+}
+#: Words that tell a license from others: an occurrence has all that its template has, and its version.
+NAMES = frozenset("mit apache bsd isc mpl mozilla eclipse gpl lgpl agpl general lesser affero creative commons cc cc0 nc sa nd attribution noncommercial "
+                  "sharealike noderivatives unencumbered neither".split())
+_VERSION = re.compile(r"\b(?:version |license |v\. |(?=v\d))(?:- v )?(v?\d+(?:\.\d+)?)(?![\d/])", re.I)
+LONG = 20  # words from which a template is no single line
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -104,6 +152,12 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 class Template:
     def __init__(self, name: str, text: str):
         self.name, self.words = name, words_of(text)
+        numbers = {w for m in _VERSION.finditer(text) for w in words_of(m[1])}
+        if len(self.words) <= LONG:
+            self.needs = {i for i, w in enumerate(self.words) if w in NAMES or w == "by" or not w.isalpha()}
+        else:  # a name that a long template repeats is needed once
+            self.needs = {self.words.index(w) for w in self.words if w in NAMES or w in numbers}
+        self.must = {self.words[i] for i in self.needs}
         self.least = -int(-COVERAGE * len(self.words) // 1)  # words that an occurrence needs
         # An occurrence lacks at most `spare` of the template's words, so it has one of any spare + 1: the longest are the rarest.
         spare, rare = len(self.words) - self.least, set()
@@ -127,7 +181,7 @@ class Template:
                 lo = max(done, at - where - m // 4 - 1, 0)
                 hi = min(len(words), at - where + m + m // 4 + 1)
                 pairs = align(self.words, words[lo:hi])
-                if len(pairs) >= self.least and (best is None or len(pairs) > best[2]):
+                if len(pairs) >= self.least and self.needs <= {i for i, _ in pairs} and (best is None or len(pairs) > best[2]):
                     best = (lo + pairs[0][1], lo + pairs[-1][1] + 1, len(pairs))
             if best:
                 out.append(best)
@@ -136,9 +190,12 @@ class Template:
 
 
 def scan(text: str, templates: list[Template]) -> list[tuple[str, int, int, float]]:
-    """(license, first word, end, coverage) of all occurrences in a text, by place and name."""
+    """(license, first word, end, coverage) of all occurrences in a text, by place and name.
+
+    Of occurrences that overlap, the one with the most words of its template stays, then the best covered.
+    """
     lower = text.lower()
-    likely = [t for t in templates if any(w in lower for w in t.rare)]
+    likely = [t for t in templates if all(w in lower for w in t.must) and any(w in lower for w in t.rare)]
     if not likely:
         return []
     words = _WORD.findall(lower)
@@ -146,8 +203,14 @@ def scan(text: str, templates: list[Template]) -> list[tuple[str, int, int, floa
     for i, w in enumerate(words):
         if w in wanted:
             places.setdefault(w, []).append(i)
-    found = [(t.name, s, e, n / len(t.words)) for t in likely for s, e, n in t.occurrences(words, places)]
-    return sorted(found, key=lambda f: (f[1], f[0]))
+    found = [(n, n / len(t.words), t.name, s, e) for t in likely for s, e, n in t.occurrences(words, places)]
+    starts, out = [], []
+    for _, share, name, s, e in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
+        at = bisect_left(starts, s)
+        if (at == len(out) or e <= starts[at]) and (not at or out[at - 1][2] <= s):
+            starts.insert(at, s)
+            out.insert(at, (name, s, e, share))
+    return out
 
 
 def _scan(templates: dict[str, str]):
@@ -169,7 +232,8 @@ def _scan(templates: dict[str, str]):
 def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_licenses, licenses, coverage, spans for every row of `docs` (doc_id, text; other columns are ignored).
 
-    An occurrence of a template has at least COVERAGE of its words in order, aligned around one of its rare words. `licenses` are the
+    An occurrence of a template has at least COVERAGE of its words in order, aligned around one of its rare words, and all words that
+    tell the license from others (NAMES, versions). Occurrences do not overlap: the longer one stays. `licenses` are the
     names found, sorted; `spans` name:first word:end by place; `coverage` the largest share, 0 without any. Null and empty texts have
     none. Several and repeated occurrences each count; repeated rows are scanned each, a null doc_id stays null.
     """

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from pluvio.llm import chat, secrets, url_filter
+from pluvio.llm import chat, licenses, secrets, url_filter
 from pluvio.llm.quality_model import quality
 
 
@@ -62,3 +62,18 @@ def test_hosts_without_outcomes(spark):
     df = spark.createDataFrame(pages + [(i, f"http://{h}/") for i, h in new.items()], "page_id long, url string")
     got = {r.page_id: r.verdict for r in url_filter.judge(df, spark.createDataFrame(outcome, "doc_id long, quality int, toxic int"), []).where("page_id < 0").collect()}
     assert got == {-1: "block", -2: "allow", -3: "block", -4: "allow", -5: "allow", -6: "allow"}
+
+
+def test_licenses_are_told_apart():
+    known = [licenses.Template(name, text) for name, text in licenses.TEMPLATES.items()]
+    names = lambda text: [f[0] for f in licenses.scan(f"Some words stand before. {text} And some after it.", known)]
+    for name, text in licenses.TEMPLATES.items():
+        assert names(text) == [name], name
+    for text, want in {
+            "Licensed under CC BY-SA 4.0": ["cc-by-sa-line"], "Licensed under CC BY 4.0": ["cc-by-line"], "Released under the Zlib License.": [],
+            "This work is licensed under the GNU General Public License, version 2": ["gpl-2.0-line"], "Released under the BSD License": ["bsd-line"],
+            "This work is licensed under the GNU Lesser General Public License, version 3": ["lgpl-line"], "Licensed under the Apache License, Version 1.1": [],
+            "This work is licensed under the GNU Affero General Public License, version 3.": ["agpl-line"], "Licensed under CC BY-NC 3.0.": [],
+            "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\nEveryone is permitted to copy and distribute "
+            "verbatim copies of this license document, but changing it is not allowed.": ["gpl-3.0-text"]}.items():
+        assert names(text) == want, text
