@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ with their SQL twins where SQL can state the same rows."""
+"""The queries op1_ to op13_ with their SQL twins where SQL can state the same rows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import public_tokenizers
 from pluvio.llm.chat import digests, format_chats, message_records
 from pluvio.llm.common import documents
 from pluvio.llm.decontaminate import contamination
+from pluvio.llm.filter_audit import audit
 from pluvio.llm.licenses import find_licenses
 from pluvio.llm.near_dedup import near_duplicates
 from pluvio.llm.packing import pack
@@ -113,3 +114,28 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     """Base patterns and high-entropy strings in all documents."""
     return find_secrets(documents(spark, sf_dir))
+
+
+@REG.add("op11_filter_interaction_audit", r"""
+with f as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+m as (select doc_id, part, (len(w) < 100)::int + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::int
+        + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::int + 8 * regexp_matches(text, '[#$%&*|]')::int
+        + 16 * coalesce(doc_id > min(doc_id) over (partition by text), false)::int as failed from f),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+c as (select part, failed, coalesce(good, false) as good, coalesce(toxic, false) as toxic, count(*) as n from m left join l using (doc_id) group by all),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+o as (select a.f || b.f || c.f || d.f || e.f as filter_order from x a, x b, x c, x d, x e where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s as (select filter_order, step, substr(filter_order, step, 1) as letter, (1 << (instr('ABCDE', substr(filter_order, step, 1)) - 1)::int) as own,
+        coalesce(list_sum([(1 << (instr('ABCDE', substr(filter_order, j, 1)) - 1)::int) for j in range(1, step)]), 0)::int as earlier from o, range(1, 6) as r(step)),
+r as (select part, filter_order, step::int as step, letter, sum(case when failed & (own | earlier) = 0 then n else 0 end)::bigint as kept,
+        sum(case when failed & own <> 0 and failed & earlier = 0 then n else 0 end)::bigint as removed,
+        sum(case when failed & own <> 0 and failed & earlier <> 0 then n else 0 end)::bigint as redundant,
+        sum(case when failed = own then n else 0 end)::bigint as unique_fails,
+        sum(case when failed & own <> 0 and failed & earlier = 0 and good then n else 0 end)::bigint as good_lost,
+        sum(case when failed & own <> 0 and failed & earlier = 0 and toxic then n else 0 end)::bigint as toxic_lost
+      from c, s group by part, filter_order, step, letter)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) over (partition by part, letter)::bigint as shapley from r""")
+def op11(spark, sf_dir):
+    """What each of five filters removes in every order, over all documents."""
+    return audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
