@@ -13,6 +13,7 @@ from pluvio.llm.near_dedup import near_duplicates
 from pluvio.llm.packing import pack
 from pluvio.llm.quality_model import quality
 from pluvio.llm.quality_rules import clean_lines
+from pluvio.llm.repeats import periodic_runs, run_digests, with_periodic_tails
 from pluvio.llm.secrets import find_secrets
 from pluvio.llm.tokens import token_counts
 from pluvio.llm.url_filter import judge
@@ -139,3 +140,9 @@ select part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 def op11(spark, sf_dir):
     """What each of five filters removes in every order, over all documents."""
     return audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+@REG.add("op13_periodic_run_detection")
+def op13(spark, sf_dir):
+    """Periodic runs of words in all documents, a tenth of them with a periodic tail."""
+    return run_digests(periodic_runs(with_periodic_tails(documents(spark, sf_dir))))
