@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from pluvio.llm.chat import digests, format_chats, message_records
+from pluvio.llm.chunk_bpe import decode_documents, encode_documents, token_digests
 from pluvio.llm.common import documents
 from pluvio.llm.decontaminate import contamination
 from pluvio.llm.filter_audit import audit
@@ -146,3 +147,10 @@ def op11(spark, sf_dir):
 def op13(spark, sf_dir):
     """Periodic runs of words in all documents, a tenth of them with a periodic tail."""
     return run_digests(periodic_runs(with_periodic_tails(documents(spark, sf_dir))))
+
+
+@REG.add("op12_bpe_encoding_and_decoding")
+def op12(spark, sf_dir):
+    """All documents encoded by shared chunks, and decoded."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_digests(decode_documents(encode_documents(documents(spark, sf_dir), path), path))
