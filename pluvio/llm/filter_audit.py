@@ -1,7 +1,8 @@
 """Filter interaction audit over a sparse document-term matrix.
 
-Tasks cut their documents into shards and encode each shard's words by a dictionary of its own, so that a frequent
-word is one row a shard and not one a document. The distinct words of all shards get dense global ids, which replace
+Tasks cut their documents into shards and number each shard's words by a dictionary of its own, ordered by BUCKETS hash
+buckets, so that what moves is one list of words per shard and bucket, and a frequent word is in it once a shard and not once a
+document. Each bucket's words are numbered together, the buckets' sizes give offsets, and the global ids replace
 the shards' own: every shard is then a CSR matrix over one vocabulary. Row sums (words) and nonzero counts (distinct
 words) decide the filters A and B, the flags that texts carry decide C to E, and counts of the combinations of
 failures are all that the 120 orders of the filters need.
@@ -10,7 +11,9 @@ failures are all that the 120 orders of the filters need.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import accumulate, permutations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 
 from pluvio.llm.common import arrow_map, staged
 
-SHARD_DOCS, SHARD_BYTES = 1024, 8 << 20  # a shard ends at either; one longer text is a shard by itself
+SHARD_DOCS, SHARD_BYTES = 4096, 16 << 20  # a shard ends at either; one longer text is a shard by itself
+BUCKETS = 4096  # of words, by hash; a task numbers one after another
 SALTS = 16  # tasks over which the copies of one text are spread
 FILTERS = "ABCDE"
 # Limits of the filters.
@@ -37,52 +41,115 @@ def _text_flags(text: str, data: bytes) -> int:
     return (100 * capitals > CAPITAL_PERCENT * len(text)) << 2 | (len(data.translate(None, SIGNS)) < len(data)) << 3
 
 
-def _shard(number: int, rows: list[dict], lengths: list[int], words: list[bytes]) -> pa.RecordBatch:
-    """One CSR shard over its own dictionary: row i has the terms[starts[i]:starts[i + 1]], as often as counts says."""
-    coded = pa.array(words, pa.binary()).dictionary_encode()
-    n = max(len(coded.dictionary), 1)
-    cells = np.repeat(np.arange(len(rows), dtype=np.int64), lengths) * n + coded.indices.to_numpy(zero_copy_only=False)
-    cells, counts = np.unique(cells, return_counts=True)
-    starts = np.searchsorted(cells, np.arange(len(rows) + 1, dtype=np.int64) * n)
-    one = {"shard": pa.array([number], pa.int64()), "rows": pa.array([rows], _ROW_TYPE), "starts": [starts.astype("<i8").tobytes()],
-           "terms": [(cells % n).astype("<i4").tobytes()], "counts": [counts.astype("<i4").tobytes()],
-           "words": pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string()))}
-    return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, pa.binary()) for k, v in one.items()})
-
-
-def _shards(batches):
-    part, made = TaskContext.get().partitionId(), 0
-    rows, lengths, words, size = [], [], [], 0
+class _Numbers(dict):
+    """Numbers of words in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+class _Shard:
+    """A CSR matrix over its own dictionary: row i has the terms[starts[i]:starts[i + 1]], as often as counts says."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.numbers, self.rows, self.terms, self.counts, self.size = buckets, _Numbers(), [], [], [], 0
+
+    def add(self, row: dict, data: bytes) -> None:
+        words = data.split()  # of bytes: at the six ASCII blanks
+        terms, counts = np.unique(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)), return_counts=True)
+        self.rows.append(row)
+        self.terms.append(terms)
+        self.counts.append(counts.astype(np.int32))
+        self.size += len(data)
+
+    def batch(self, number: int) -> pa.RecordBatch:
+        """One row. The words are numbered anew by bucket; `lists` has the words of each bucket, a line a word: no word holds a line break."""
+        words = list(self.numbers)
+        bucket = np.fromiter((crc32(w) % self.buckets for w in words), np.int32, len(words))
+        order = np.argsort(bucket, kind="stable")
+        own = np.empty(len(words), np.int32)
+        own[order] = np.arange(len(words), dtype=np.int32)
+        some, first = np.unique(bucket[order], return_index=True)
+        lists = [{"bucket": b, "words": b"\n".join([words[i] for i in order[lo:hi]])} for b, lo, hi in zip(some.tolist(), first, [*first[1:], len(words)])]
+        arrays = {"starts": np.concatenate(([0], np.cumsum([len(t) for t in self.terms]))).astype("<i8"),
+                  "terms": own[np.concatenate(self.terms)].astype("<i4"), "counts": np.concatenate(self.counts).astype("<i4")}
+        return pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int64()), "rows": pa.array([self.rows], _ROW_TYPE),
+                                           **{k: pa.array([v.tobytes()], pa.binary()) for k, v in arrays.items()},
+                                           "lists": pa.array([lists], pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())])))})
+
+
+def _shards(most_docs: int, most_bytes: int, buckets: int):
+    def run(batches):
+        part, made, shard = TaskContext.get().partitionId(), 0, _Shard(buckets)
+        for batch in batches:
+            for doc_id, lang, text in zip(batch["doc_id"].to_pylist(), batch["lang"].to_pylist(), batch["text"].to_pylist()):
+                data = (text or "").encode("utf-8", "replace")
+                digest = hashlib.blake2b(data, digest_size=16).digest()
+                shard.add({"doc_id": doc_id, "part": lang or "", "digest": digest, "failed": _text_flags(text or "", data)}, data)
+                if len(shard.rows) >= most_docs or shard.size >= most_bytes:
+                    yield shard.batch(part << 32 | made)
+                    made, shard = made + 1, _Shard(buckets)
+        if shard.rows:
+            yield shard.batch(part << 32 | made)
+    return run
+
+
+def _number(batches):
+    """(shard, bucket, nth) with the numbers of a list's words in its bucket, and after each bucket (bucket, words) with its vocabulary."""
+    def vocabulary() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"shard": pa.nulls(1, pa.int64()), "bucket": pa.array([last], pa.int32()), "nth": pa.nulls(1, pa.binary()),
+                                           "words": pa.array([b"\n".join(numbers)], pa.binary()), "n": pa.array([len(numbers)], pa.int64())})
+    last, numbers = None, _Numbers()
     for batch in batches:
-        for doc_id, lang, text in zip(batch["doc_id"].to_pylist(), batch["lang"].to_pylist(), batch["text"].to_pylist()):
-            data = (text or "").encode("utf-8", "replace")
-            own = data.split()  # of bytes: at the six ASCII blanks
-            rows.append({"doc_id": doc_id, "part": lang or "", "digest": hashlib.blake2b(data, digest_size=16).digest(), "failed": _text_flags(text or "", data)})
-            lengths.append(len(own))
-            words += own
-            size += len(data)
-            if len(rows) >= SHARD_DOCS or size >= SHARD_BYTES:
-                yield _shard(part << 32 | made, rows, lengths, words)
-                rows, lengths, words, size, made = [], [], [], 0, made + 1
-    if rows:
-        yield _shard(part << 32 | made, rows, lengths, words)
-
-
-def _relabel(batches):
-    """Shards with the terms' global ids, in ascending order within each row."""
-    for batch in batches:
-        terms, counts = [], []
-        for i in range(len(batch)):
-            local, number = (np.asarray(batch["ids"][i].values.field(c)) for c in ("local", "term"))
-            of = np.zeros(len(local), np.int64)
-            of[local] = number
-            at = np.frombuffer(batch["starts"][i].as_py(), "<i8")
-            own = of[np.frombuffer(batch["terms"][i].as_py(), "<i4")]
-            order = np.lexsort((own, np.repeat(np.arange(len(at) - 1), np.diff(at))))
-            terms.append(own[order].astype("<i8").tobytes())
-            counts.append(np.frombuffer(batch["counts"][i].as_py(), "<i4")[order].tobytes())
-        yield pa.RecordBatch.from_pydict({"shard": batch["shard"], "rows": batch["rows"].cast(_ROW_TYPE), "starts": batch["starts"],
-                                          "terms": pa.array(terms, pa.binary()), "counts": pa.array(counts, pa.binary())})
+        buckets, nth, done = batch["bucket"].to_pylist(), [], []
+        for bucket, words in zip(buckets, batch["words"].to_pylist()):
+            if bucket != last:
+                if last is not None:
+                    done.append(vocabulary())
+                last, numbers = bucket, _Numbers()
+            own = words.split(b"\n")
+            nth.append(np.fromiter(map(numbers.__getitem__, own), np.int32, len(own)).astype("<i4").tobytes())
+        n = len(buckets)
+        yield pa.RecordBatch.from_pydict({"shard": batch["shard"], "bucket": batch["bucket"], "nth": pa.array(nth, pa.binary()), "words": pa.nulls(n, pa.binary()), "n": pa.nulls(n, pa.int64())})
+        yield from done
+    if last is not None:
+        yield vocabulary()
+
+
+def _relabel(begins: dict[int, int]):
+    """Shards with the terms' global ids."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = []
+            for parts, own in zip(batch["ids"].to_pylist(), batch["terms"].to_pylist()):
+                parts = sorted(parts or (), key=lambda p: p["bucket"])
+                number = np.concatenate([np.zeros(0, np.int64), *[begins[p["bucket"]] + np.frombuffer(p["nth"], "<i4").astype(np.int64) for p in parts]])
+                terms.append(number[np.frombuffer(own, "<i4")].astype("<i8").tobytes())
+            yield pa.RecordBatch.from_pydict({"shard": batch["shard"], "rows": batch["rows"].cast(_ROW_TYPE), "starts": batch["starts"], "terms": pa.array(terms, pa.binary()), "counts": batch["counts"]})
+    return run
+
+
+def _words_of(begins: dict[int, int]):
+    def run(batches):
+        for batch in batches:
+            for bucket, words in zip(batch["bucket"].to_pylist(), batch["words"].to_pylist()):
+                own = pa.array(words.split(b"\n"), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_pydict({"word": own, "term": pa.array(begins[bucket] + np.arange(len(own), dtype=np.int64))})
+    return run
+
+
+def _numbered_shards(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """Shards with the numbers of their words by bucket, the buckets' vocabularies, and the first global id of each bucket."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    local = staged(arrow_map(rows, _shards(SHARD_DOCS, SHARD_BYTES, BUCKETS), _CSR + ", lists array<struct<bucket:int,words:binary>>"), "shards")
+    lists = local.select("shard", F.explode("lists").alias("l")).select("shard", "l.bucket", "l.words").repartition("bucket").sortWithinPartitions("bucket")
+    codes = staged(arrow_map(lists, _number, "shard long, bucket int, nth binary, words binary, n long"), "codes")
+    vocabulary = codes.where("shard is null")
+    sizes = dict(sorted((r["bucket"], r["n"]) for r in vocabulary.select("bucket", "n").collect()))  # BUCKETS rows at most
+    begins = dict(zip(sizes, accumulate(sizes.values(), initial=0)))
+    ids = codes.where("shard is not null").groupBy("shard").agg(F.collect_list(F.struct("bucket", "nth")).alias("ids"))
+    return local.drop("lists").join(ids, "shard", "left"), vocabulary.select("bucket", "words"), begins
 
 
 def document_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,18 +159,8 @@ def document_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     struct a document, and the little-endian arrays `starts` (64 bits), `terms` (64 bits) and `counts` (32 bits).
     Null and empty texts are rows without terms. An empty table gives no shards and no words.
     """
-    local = staged(arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"),
-                             _shards, _CSR + ", words array<string>"), "shards")
-    spelled = local.select("shard", F.posexplode("words").alias("local", "word"))
-    nth = F.monotonically_increasing_id()
-    places = staged(spelled.select("word").distinct().select("word", F.shiftright(nth, 33).alias("task"), nth.bitwiseAND((1 << 33) - 1).alias("nth")), "words")
-    sizes = dict(sorted((r["task"], r["n"]) for r in places.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()))  # one row a task
-    begins = docs.sparkSession.createDataFrame(list(zip(sizes, accumulate(sizes.values(), initial=0))), "task long, begin long")
-    vocabulary = places.join(F.broadcast(begins), "task").select("word", (F.col("begin") + F.col("nth")).alias("term"))
-    ids = spelled.join(vocabulary, "word").groupBy("shard").agg(F.collect_list(F.struct("local", "term")).alias("ids"))
-    numbered = local.drop("words").join(ids, "shard", "left")
-    none = F.array().cast("array<struct<local:int,term:bigint>>")
-    return vocabulary, arrow_map(numbered.withColumn("ids", F.coalesce("ids", none)), _relabel, _CSR)
+    numbered, vocabulary, begins = _numbered_shards(docs)
+    return arrow_map(vocabulary, _words_of(begins), "word string, term long"), arrow_map(numbered, _relabel(begins), _CSR)
 
 
 def _judged(batches):
@@ -124,8 +181,9 @@ def filter_failures(docs: DataFrame) -> DataFrame:
 
     A text fails E when a smaller doc_id has the same text; null counts as empty, and a row without doc_id never fails E.
     """
-    matrix = document_terms(docs)[1]
-    facts = staged(arrow_map(matrix, _judged, "doc_id long, part string, digest binary, n_words long, n_distinct long, failed int"), "facts")
+    numbered, _, begins = _numbered_shards(docs)
+    matrix = _relabel(begins)
+    facts = staged(arrow_map(numbered, lambda batches: _judged(matrix(batches)), "doc_id long, part string, digest binary, n_words long, n_distinct long, failed int"), "facts")
     known = facts.where("doc_id is not null")
     copied = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     spread = copied.select(F.col("digest").alias("d"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
