@@ -10,6 +10,8 @@ from collections.abc import Callable
 from itertools import count
 
 _names = count()
+# Fixed value: odd multiplier of the counter hash.
+MIX = 73244475
 
 
 def _var(prefix: str = "x") -> str:
@@ -170,6 +172,27 @@ def cutout(a: str, start: str, length: int) -> str:
     return bind(lambda b: f"transform({b}.a, ({x}, {i}) -> if({i} >= {b}.s and {i} < {b}.s + {length}, {x} * 0, {x}))", a=a, s=start)
 
 
+def mixed(number: str) -> str:
+    """32 well mixed bits of an integer from 0 to 2 ** 32 - 1; every product stays below 2 ** 63, as in `kernels.mixed`."""
+    step = lambda v: f"({v} ^ shiftright({v}, 16)) * {MIX}L % {1 << 32}L"
+    return let(number, lambda a: let(step(a), lambda b: let(step(b), lambda c: f"({c} ^ shiftright({c}, 16))")))
+
+
+def noise(a: str, factor: str, seed: str) -> str:
+    """Gaussian noise at a share of the peak amplitude; a NULL factor changes nothing.
+
+    The number at place i is a function of the seed and i alone (two mixed counters and the Box-Muller formula), so that any
+    engine repeats it and no generator has a state.
+    """
+    x, i, p = _var(), _var("i"), _var()
+
+    def gaussian(b: str) -> str:
+        unit = lambda counter: f"(({mixed(f'({mixed(counter)} + {b}.seed) % {1 << 32}L')}) + 0.5D) / {float(1 << 32)!r}D"
+        return f"sqrt(-2D * ln({unit(f'2L * {i}')})) * cos(2D * pi() * ({unit(f'2L * {i} + 1L')}))"
+    return bind(lambda b: f"if({b}.f is null, {b}.a, transform({b}.a, ({x}, {i}) -> {x} + {b}.f * {b}.peak * {gaussian(b)}))",
+                a=a, f=factor, seed=seed, peak=f"coalesce(array_max(transform({a}, {p} -> abs({p}))), 0D)")
+
+
 def decibels(a: str) -> str:
     x = _var()
     return f"transform({a}, {x} -> 10 * log10({x}))"

@@ -12,6 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from pluvio.functions.arrays import MIX
+
 # Daubechies-4 scaling filter (8 taps), decomposition order.
 DB4 = np.array([-0.010597401784997278, 0.032883011666982945, 0.030841381835986965, -0.18703481171888114,
                 -0.02798376941698385, 0.6308807679295904, 0.7148465705525415, 0.23037781330885523])
@@ -63,7 +65,7 @@ def decode_wav(content: bytes, want_rate: int | None = None, duration: float | N
     try:
         if numbers:
             rate, width, channels, raw = numbers
-            raw = raw if duration is None else raw[:int(duration * rate) * width * channels]
+            raw = raw if duration is None else raw[:max(0, int(duration * rate) * width * channels)]
         else:
             with wave.open(io.BytesIO(content)) as w:
                 rate, width, channels = w.getframerate(), w.getsampwidth(), w.getnchannels()
@@ -71,6 +73,8 @@ def decode_wav(content: bytes, want_rate: int | None = None, duration: float | N
                 raw = w.readframes(n)
     except (wave.Error, EOFError) as err:
         raise ValueError(f"not a readable PCM WAV: {err}") from err
+    if rate <= 0 or channels <= 0:
+        raise ValueError(f"{channels} channels at rate {rate}")
     if not numbers and width not in (1, 2, 3, 4):
         raise ValueError(f"samples of {width} bytes")
     if want_rate is not None and rate != want_rate and not convert:
@@ -91,6 +95,23 @@ def decode_wav(content: bytes, want_rate: int | None = None, duration: float | N
     return (rate, x) if want_rate in (None, rate) else (want_rate, resample(x, rate, want_rate))
 
 
+def encode_wav(x: np.ndarray, rate: int) -> bytes:
+    """A signal as a 16-bit mono WAV; samples beyond -1 and 1 are cut, NaN is silence."""
+    clean = np.nan_to_num(np.asarray(x, dtype=np.float64), nan=0.0, posinf=1.0, neginf=-1.0)
+    buffer = io.BytesIO()
+    with wave.open(buffer, "wb") as out:
+        out.setnchannels(1), out.setsampwidth(2), out.setframerate(rate)
+        out.writeframes(np.rint(clean.clip(-1, 1) * 32767).astype("<i2").tobytes())
+    return buffer.getvalue()
+
+
+def reason(err: Exception) -> str:
+    """Why a recording could not be read, in one line."""
+    if isinstance(err, FileNotFoundError):
+        return "no such file"
+    return str(err) if isinstance(err, ValueError) and str(err) else f"{type(err).__name__}: {err}"
+
+
 def cut_frames(x: np.ndarray, size: int, hop: int) -> np.ndarray:
     if len(x) < size:
         return np.empty((0, size), dtype=x.dtype)
@@ -153,7 +174,19 @@ def wavelet_levels(x: np.ndarray, levels: int = 5) -> list[np.ndarray]:
     return [a] + details[::-1]
 
 
+def mixed(number: np.ndarray) -> np.ndarray:
+    """32 well mixed bits of integers from 0 to 2 ** 32 - 1."""
+    for _ in range(2):
+        number = (number ^ number >> 16) * MIX % (1 << 32)
+    return number ^ number >> 16
+
+
+def gaussian(seed: int, n: int) -> np.ndarray:
+    """Normal numbers for the places 0 to n - 1 of a seed, by the Box-Muller formula on two mixed counters."""
+    one, two = ((mixed((mixed(2 * np.arange(n, dtype=np.int64) + j) + seed) % (1 << 32)) + 0.5) / (1 << 32) for j in (0, 1))
+    return np.sqrt(-2 * np.log(one)) * np.cos(2 * np.pi * two)
+
+
 def add_noise(x: np.ndarray, factor: float, seed: int) -> np.ndarray:
-    """Gaussian noise at a share of the peak amplitude, seeded per row and copy."""
-    sigma = factor * float(np.max(np.abs(x), initial=0.0))
-    return x + np.random.default_rng(seed).normal(scale=sigma, size=len(x))
+    """Gaussian noise at a share of the peak amplitude, the same as `arrays.noise`."""
+    return x + factor * float(np.max(np.abs(x), initial=0.0)) * gaussian(seed, len(x))

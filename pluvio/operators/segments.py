@@ -43,16 +43,17 @@ def segment_arrays(df: DataFrame, samples: str, duration: float, overlap: float,
 
 
 def segment_ordered_rows(df: DataFrame, by: Sequence[str], order: str, value: str, window: int, stride: int,
-                         hot_rows: int = HOT_ROWS) -> DataFrame:
+                         hot_rows: int = HOT_ROWS, ties: Sequence[str] = ()) -> DataFrame:
     """Windows over signals stored one sample per row: `segment_idx, n, rms, mae, min, max` per full window.
 
+    Samples of equal `order` are taken by the columns `ties`, and then by value, so that the windows are the same in every run.
     A sample goes to each window that covers it and partial sums combine on the map side, so a key with
     a third of all samples is spread over its many windows.
     """
     if not 0 < stride <= window:
         raise ValueError("need 0 < stride <= window")
     by = list(by)
-    rows = number_rows(df.select(*by, order, F.col(value).cast("double").alias("_v")), by, order, "_i", hot_rows)
+    rows = number_rows(df.select(*by, order, *ties, F.col(value).cast("double").alias("_v")), by, order, "_i", hot_rows, ties=[*ties, "_v"])
     i = F.col("_i")
     first = F.greatest(F.lit(0).cast("long"), F.floor((i - window) / F.lit(stride)) + 1)
     last = F.floor(i / F.lit(stride))
@@ -123,19 +124,13 @@ def augmented(x: np.ndarray, draws: dict, sample_rate: int) -> tuple[np.ndarray,
 
 def augment(df: DataFrame, samples: str, keys: Sequence[str], sample_rate: int, seed: int = 42,
             noise_prob: float = 0.2, cutout_prob: float = 0.3) -> DataFrame:
-    """Shift, gain, noise and cutout of signals held in an array column; adds `aug_params`.
-
-    Without noise everything is array expressions; Gaussian noise needs one Arrow pass.
-    """
+    """Shift, gain, noise and cutout of signals held in an array column; adds `aug_params`. All of it is array expressions."""
     out = df.withColumn("_d", augment_draws(keys, seed, noise_prob, cutout_prob))
     size = f"size({samples})"
     out = out.withColumn("aug_params", F.expr(augment_log(size, sample_rate)))
-    if noise_prob > 0:
-        @F.pandas_udf("array<float>")
-        def apply(x: pd.Series, draws: pd.DataFrame) -> pd.Series:
-            return pd.Series([augmented(np.asarray(v), d, sample_rate)[0] for v, d in zip(x, draws.to_dict("records"))])
-        return out.withColumn(samples, apply(samples, "_d")).drop("_d")
     moved = A.gain(A.roll(f"cast({samples} as array<double>)", shift_amount(size)), "_d.gain")
+    if noise_prob > 0:
+        moved = A.noise(moved, "_d.noise", "_d.noise_seed")
     cut = A.cutout(moved, cutout_start(size, sample_rate), cutout_length(sample_rate))
     return out.withColumn(samples, F.expr(cut).cast("array<float>")).drop("_d")
 

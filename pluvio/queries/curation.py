@@ -285,6 +285,37 @@ def _(spark, sf):
     return R.read_splits(spark, path, ev.schema)
 
 
+@REG.add("split_files_csv", """
+SELECT event_id, event_type, CASE WHEN value < 20 THEN 'train' WHEN value < 100 THEN 'val' ELSE 'test' END AS split FROM events""")
+def _(spark, sf):
+    """One CSV folder per split, read back with the split as a column."""
+    from pluvio.session import scratch_path
+    v, ev = F.col("value"), table(spark, sf, "events")
+    parts = {"train": v < 20, "val": (v >= 20) & (v < 100), "test": v >= 100}
+    paths = {name: scratch_path(spark, name) for name in parts}
+    for name, rows in parts.items():
+        ev.filter(rows).select("event_id", "event_type").write.option("header", True).csv(paths[name])
+    return R.read_split_files(spark, paths, ev.select("event_id", "event_type").schema)
+
+
+@REG.add("checkpoint_in_a_chain", """
+SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, false AS reads_the_source FROM events WHERE value > 10 GROUP BY 1""")
+def _(spark, sf):
+    """A chain that goes on from a written file: what is read below no longer names the source."""
+    from pluvio.session import scratch_path
+    ev = table(spark, sf, "events").filter("value > 10").transform(R.save_checkpoint, scratch_path(spark, "checkpoint"))
+    plan = ev._jdf.queryExecution().optimizedPlan().toString()
+    return ev.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).withColumn("reads_the_source", F.lit("Filter" in plan))
+
+
+@REG.add("unlabelled_category", """
+SELECT doc_id, coalesce(CASE WHEN doc_id % 3 > 0 THEN lang END, 'unlabeled') AS category FROM documents""")
+def _(spark, sf):
+    name = F.concat(F.lit("rec"), "doc_id", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("_"), "lang")).otherwise(""), F.lit(".wav"))
+    docs = table(spark, sf, "documents").select("doc_id", name.alias("file_name"))
+    return C.extract_filename_metadata(docs, r"rec\d+(?:_(?P<category>[a-z]+))?\.wav").select("doc_id", "category")
+
+
 @REG.add("semicolon_daily_csv", """
 SELECT strftime(o_orderdate, '%Y-%m-%d') AS data, round(sum(o_totalprice), 2) AS valor FROM orders GROUP BY 1""")
 def _(spark, sf):
@@ -337,6 +368,27 @@ def _(spark, sf):
     return flat_map_rows(table(spark, sf, "events").select("event_id", "value"), copies, "event_id long, k long, scaled double")
 
 
+@REG.add("flat_map_skip", "SELECT event_id, round(100 / value, 6) AS inverse FROM events WHERE value > 1 AND event_id % 5 > 0")
+def _(spark, sf):
+    """Rows that fail are left out, and only these."""
+    return flat_map_rows(table(spark, sf, "events").select("event_id", "value"), _inverse, "event_id long, inverse double", on_error="skip")
+
+
+@REG.add("flat_map_capture", """
+SELECT CASE WHEN event_id % 5 > 0 THEN event_id END AS event_id, CASE WHEN event_id % 5 > 0 THEN round(100 / value, 6) END AS inverse, CASE WHEN event_id % 5 = 0 THEN 'ValueError: no fifth row' END AS _error
+FROM events WHERE value > 1 OR event_id % 5 = 0""")
+def _(spark, sf):
+    """Rows that fail stay with their message."""
+    return flat_map_rows(table(spark, sf, "events").select("event_id", "value"), _inverse, "event_id long, inverse double", on_error="capture")
+
+
+def _inverse(pdf):
+    if (pdf["event_id"] % 5 == 0).any():
+        raise ValueError("no fifth row")
+    large = pdf[pdf["value"] > 1]
+    return large.assign(inverse=(100 / large["value"]).round(6))[["event_id", "inverse"]]
+
+
 @REG.add("curation_chain", """
 WITH m AS (SELECT d.doc_id, d.source, CASE WHEN l.doc_id IS NULL THEN 'unlabeled' WHEN quality = 1 AND toxic = 1 THEN 'heavy'
                   WHEN quality = 1 THEN 'light' ELSE 'no-rain' END AS category,

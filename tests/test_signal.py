@@ -39,7 +39,7 @@ def folder(tmp_path_factory):
     files = {"sine.wav": wav_bytes(0.5 * np.sin(2 * np.pi * 1000 * t)), "noise.WAV": wav_bytes(0.1 * rng.normal(size=len(t)).clip(-3, 3)),
              "silence.wav": wav_bytes(np.zeros(len(t))), "short.wav": wav_bytes(np.zeros(100)), "broken.wav": b"RIFF....", "empty.wav": b"",
              "rate.wav": wav_bytes(np.zeros(100), rate=44100), "notes.txt": b"x", "sub/deep.wav": wav_bytes(0.3 * np.sin(2 * np.pi * 500 * t)),
-             ".hidden/x.wav": wav_bytes(np.zeros(9))}
+             ".hidden/x.wav": wav_bytes(np.zeros(9)), "_odd/_first.Wav": b"", ".dot.wav": b"RIFF"}
     for name, data in files.items():
         path = root / name
         path.parent.mkdir(exist_ok=True)
@@ -49,8 +49,11 @@ def folder(tmp_path_factory):
 
 def test_scan(spark, folder):
     got = R.scan_files(spark, folder).orderBy("file_path").collect()
-    assert sorted(r["file_name"] for r in got) == sorted(["sine.wav", "noise.WAV", "silence.wav", "short.wav", "broken.wav", "rate.wav", "deep.wav"])
-    assert {r["extension"] for r in got} == {".wav"} and got[0]["location"] == folder.rsplit("/", 1)[-1]
+    assert sorted(r["file_name"] for r in got) == sorted(["sine.wav", "noise.WAV", "silence.wav", "short.wav", "broken.wav", "rate.wav", "deep.wav", "empty.wav", "_first.Wav", ".dot.wav"])
+    assert {r["extension"] for r in got} == {".wav"} and {r["location"] for r in got} == {folder.rsplit("/", 1)[-1]}
+    assert {r["bytes"] for r in got if r["file_name"] in ("empty.wav", "_first.Wav")} == {0}
+    listed = {r["file_path"] for r in R.read_content(spark, folder).select("file_path").collect()}
+    assert listed < {r["file_path"] for r in got} and {r["location"] for r in R.scan_files(spark, folder + "/", location="here").collect()} == {"here"}
     assert R.scan_files(spark, folder, [".flac"]).count() == 0
     with pytest.raises(FileNotFoundError):
         R.scan_files(spark, folder + "/nothing")
@@ -195,23 +198,78 @@ def test_augment_column_and_kernel_agree(spark):
 
 
 def test_feature_job(spark, folder):
-    files = R.read_content(spark, folder)
+    files = R.scan_files(spark, folder).select("file_path")
     meta = files.select("file_path", F.lit("train").alias("split"), F.lit("a").alias("category"), F.lit(False).alias("should_augment"), F.lit(0).cast("long").alias("copy_ordinal"))
     copies = meta.filter("file_path like '%sine.wav'").select("file_path", "split", "category", F.lit(True).alias("should_augment"), F.explode(F.expr("sequence(1L, 70L)")).alias("copy_ordinal"))
     train = meta.unionByName(copies)
-    out = X.extract_features(files, train, CFG, duration=0.5, overlap=0.5)
+    out = X.extract_features(train, CFG, duration=0.5, overlap=0.5)
     per = {r["name"]: r["count"] for r in out.filter("copy_ordinal = 0").groupBy(F.element_at(F.split("file_path", "/"), -1).alias("name")).count().collect()}
     assert per == {"sine.wav": 7, "noise.WAV": 7, "silence.wav": 7, "deep.wav": 7}
     augmented = out.filter("should_augment")
     assert augmented.count() == 70 * 7 and augmented.select("aug_params").distinct().count() == 70
-    same = X.extract_features(files, train.repartition(3), CFG, duration=0.5, overlap=0.5)
+    same = X.extract_features(train.repartition(3), CFG, duration=0.5, overlap=0.5)
     key = ["file_path", "copy_ordinal", "segment_idx", "aug_params", "mae", "mfcc_1"]
     assert out.select(key).exceptAll(same.select(key)).isEmpty()
-    held = X.extract_features(files, train.withColumn("split", F.lit("val")), CFG, duration=0.5)
+    held = X.extract_features(train.withColumn("split", F.lit("val")), CFG, duration=0.5)
     assert held.filter("aug_params <> 'raw'").isEmpty()
-    assert X.failed_files(files, CFG).count() == 1
-    gone = train.select("file_path").union(train.limit(1).select(F.lit("/not/there.wav")))
-    assert {r["error"] for r in X.failed_files(files, CFG, gone).filter("file_path like '/not%'").collect()} == {"no such file"}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and plan.count("Exchange") <= 6
+    gone = meta.unionByName(meta.limit(1).withColumn("file_path", F.lit("/not/there.wav"))).unionByName(meta.limit(1).withColumn("file_path", F.lit(None).cast("string")))
+    run = X.feature_run(gone, CFG, duration=0.5, overlap=0.5)
+    errors = {(r["file_path"] or "null").rsplit("/", 1)[-1]: r["error"] for r in run.errors.collect()}
+    assert set(errors) == {"broken.wav", "empty.wav", "_first.Wav", ".dot.wav", "there.wav", "null"} and errors["there.wav"] == "no such file" and run.failures == 6
+    assert run.features.count() == run.segments and run.features.columns == out.columns
+    with pytest.raises(ValueError):
+        X.extract_features(train.withColumn("mae", F.lit(1.0)), CFG)
+    assert X.extract_features(train.limit(0), CFG).count() == 0
+
+
+def test_no_recording_ends_the_job(spark, tmp_path):
+    """Rate 0, no channels, odd widths and cut headers are errors of their rows."""
+    import struct
+
+    def riff(kind, channels, rate, bits, data=b"\0" * 64, size=None):
+        fmt = struct.pack("<HHIIHH", kind, channels, rate, rate * channels * bits // 8, channels * bits // 8, bits)
+        body = b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(data) if size is None else size) + data
+        return b"RIFF" + struct.pack("<I", len(body)) + body
+    bad = {"rate0": riff(1, 1, 0, 16), "channels0": riff(1, 0, 8000, 16), "float0": riff(3, 0, 8000, 32), "floatrate0": riff(3, 1, 0, 32), "bits4": riff(1, 1, 8000, 4),
+           "bits40": riff(1, 1, 8000, 40), "long": riff(1, 1, 8000, 16, size=1 << 31), "law": riff(7, 1, 8000, 8), "cut": riff(1, 1, 8000, 16)[:30]}
+    readable = {"long", "bits4"}  # what is there is read, and samples of up to a byte are bytes
+    for name, data in bad.items():
+        (tmp_path / f"{name}.wav").write_bytes(data)
+        try:
+            K.decode_wav(data, RATE)
+        except ValueError:
+            pass
+        else:
+            assert name in readable
+    table = R.read_content(spark, str(tmp_path))
+    rows = {r["file_path"].rsplit("/", 1)[-1][:-4]: r["error"] for r in R.decode_signals(table, sample_rate=RATE).collect()}
+    assert set(rows) == set(bad) and all(rows[n] for n in set(bad) - readable)
+    run = X.feature_run(R.scan_files(spark, str(tmp_path)), CFG, duration=0.5)
+    assert run.failures == len(bad) - 2 and run.segments == 0
+
+
+def test_write_recordings(spark, tmp_path):
+    rows = [("a.wav", [0.0, 0.5, -0.5, 2.0], 8000), ("_b.wav", [float("nan")] * 3, 16000), (None, [0.1], 8000), ("c.wav", None, 8000), ("d.wav", [], 8000)]
+    root = str(tmp_path / "out" / "deep")
+    done = R.write_recordings(spark.createDataFrame(rows, "file_name string, samples array<float>, sample_rate int"), root)
+    assert sorted(r["file_path"] for r in done.collect()) == sorted(r["file_path"] for r in R.scan_files(spark, root).collect()) and done.count() == 3
+    back = {r["file_name"]: r for r in R.read_signals(R.scan_files(spark, root), sample_rate=None).collect()}
+    assert np.allclose(back["a.wav"]["samples"], [0, 0.5, -0.5, 1], atol=1e-3) and back["_b.wav"]["sample_rate"] == 16000 and back["d.wav"]["error"] == "no samples"
+
+
+def test_walk_is_shared_out(spark, tmp_path, monkeypatch):
+    from pluvio.sources import inventory as I
+    for i in range(12):
+        (tmp_path / f"f{i}" / "g" / "h").mkdir(parents=True)
+        (tmp_path / f"f{i}" / "g" / "h" / "x.wav").write_bytes(b"")
+        (tmp_path / f"f{i}" / "y.FLAC").write_bytes(b"ab")
+    for most in (1, 5, 20, 256):
+        monkeypatch.setattr(I, "PLANNED_FOLDERS", most)
+        reader = I.InventoryReader(str(tmp_path), (".wav", ".flac"), None)
+        found = [row for part in reader.partitions() for row in reader.read(part)]
+        assert len(found) == len(set(found)) == 24 and {r[2] for r in found} == {".wav", ".flac"} and len(reader.partitions()) >= min(most, 13) - 1
 
 
 def test_catalog(spark, folder, tmp_path):
@@ -222,8 +280,8 @@ def test_catalog(spark, folder, tmp_path):
     more = files.withColumn("device", F.lit("d1")).unionAll(files.limit(1).withColumns({"audio_id": F.lit("new"), "device": F.lit("d2")}))
     assert CAT.save_catalog(CAT.register(CAT.load_catalog(spark, root), more), root) == 2
     back = CAT.load_catalog(spark, root)
-    assert back.count() == 8 and back.filter("device = 'd2'").count() == 1 and back.filter("device is null").count() == 7
-    signals = R.catalog_signals(spark, files, folder, RATE)
+    assert back.count() == 11 and back.filter("device = 'd2'").count() == 1 and back.filter("device is null").count() == 10
+    signals = R.catalog_signals(files, RATE)
     assert signals.count() == 6 and "audio_id" in signals.columns
 
 
@@ -260,3 +318,11 @@ def test_chunks_are_counted_per_file(spark):
     out = copy_chunks(spark.createDataFrame(rows, "file_path string, copy_ordinal long"), F.struct("copy_ordinal"))
     got = {r[0]: (r[1], r[2]) for r in out.groupBy("file_path").agg(F.count("*"), F.sum(F.size("copies"))).collect()}
     assert got == {"a": (1, 1), "b": (1, COPIES_PER_TASK), "c": (3, 2 * COPIES_PER_TASK + 1)}
+
+
+def test_gaussian_counters():
+    """Mean, spread, tails and independence of places and seeds."""
+    z = np.stack([K.gaussian(int(s), 4000) for s in np.random.default_rng(2).integers(0, 1 << 32, 50)])
+    assert abs(z.mean()) < 0.01 and abs(z.std() - 1) < 0.01 and abs((np.abs(z) > 1.96).mean() - 0.05) < 0.003
+    assert abs((z[:, 1:] * z[:, :-1]).mean()) < 0.01 and np.abs(np.corrcoef(z) - np.eye(50)).max() < 0.1
+    assert np.isfinite(z).all() and np.array_equal(K.gaussian(7, 10), K.gaussian(7, 20)[:10])
