@@ -1,8 +1,8 @@
 """Global positions and running totals inside groups, without one task per group.
 
-A group may hold a third of the data, so nothing here sorts a whole group at once. Rows are put
-into order-preserving buckets, the buckets are counted (map-side partial counts), the small count
-table gives every bucket its offset, and only single buckets are sorted.
+A group may hold a third of the data, so nothing here sorts a whole group at once. Quantile sketches, which combine on the
+map side, give each group edges of its own in the type of its values; rows between two edges are counted, the
+counts give offsets, and only what lies between two edges is sorted together.
 """
 
 from __future__ import annotations
@@ -15,32 +15,30 @@ from pyspark.sql import functions as F
 from pluvio.functions.scalars import as_col
 from pluvio.session import null_safe_join, small_side
 
-# Rows above which a group of `number_rows` is split into buckets; at most rows / HOT_ROWS groups are.
+# Rows that one task sorts; larger groups of `number_rows` and `running_totals` are cut into buckets of about as many.
 HOT_ROWS = 2_000_000
 
 
-def value_edges(df: DataFrame, value: str | Column, buckets: int = 1024) -> list:
-    """Edges that cut a column into buckets of about equal size (a sketch; any edges give exact results).
+def bucket_of(value: str | Column, edges: str | Column, most: int = 1024) -> Column:
+    """Number of edges below the value in a sorted array column of fewer than `most`: a binary search. A NULL value is in bucket 0."""
+    v, table = as_col(value), as_col(edges)
+    steps = F.lit([1 << k for k in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(table, low + step - 1) < v, low + step).otherwise(low))
 
-    The one collected row has a fixed length of `buckets - 1` numbers.
-    """
-    fractions = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(as_col(value), fractions, 4 * buckets).alias("e")).first()
-    return sorted(set(row["e"] or []))
 
+def _bucketed(df: DataFrame, by: Sequence[str], order: str, hot_rows: int, buckets: int) -> DataFrame | None:
+    """`df` with `_b`, which keeps the order of `order` and splits groups above `hot_rows`; None when there are none.
 
-def bucket_of(value: str | Column, edges: Sequence) -> Column:
-    """Number of edges below the value: a binary search over a constant array."""
-    if not edges:
-        return F.lit(0)
-    kind = "bigint" if all(isinstance(e, int) for e in edges) else "double" if all(isinstance(e, float) for e in edges) else "decimal(38,18)"
-    # one text literal instead of a thousand number nodes; the optimizer folds it to a constant array
-    v, table = as_col(value), F.split(F.lit(",".join(str(e) if kind.startswith("dec") else repr(e) for e in edges)), ",").cast(f"array<{kind}>")
-    steps = [1 << k for k in reversed(range(len(edges).bit_length()))]
-    return F.aggregate(
-        F.lit(steps), F.lit(0),
-        lambda low, step: F.when(F.get(table, low + step - 1) < v, low + step).otherwise(low),
-    )
+    A group's number of buckets follows from its row count, up to `buckets`; there are at most rows / hot_rows such groups.
+    """
+    fractions = [i / buckets for i in range(1, buckets)]
+    sketch = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(order, fractions, 4 * buckets).alias("_e"))
+    every = F.greatest(F.floor(F.lit(buckets) * hot_rows / F.col("_n")), F.lit(1))
+    hot = small_side(sketch.filter(F.col("_n") > hot_rows).select(*by, F.array_distinct(F.filter("_e", lambda e, i: i % every == 0)).alias("_e")))
+    if hot.isEmpty():
+        return None
+    flagged = null_safe_join(df, hot, by, "left")
+    return flagged.withColumn("_b", F.when(F.col("_e").isNotNull(), bucket_of(order, "_e", buckets)).otherwise(F.lit(0))).drop("_e")
 
 
 def _before(sum_of: str, by: Sequence[str], order: Sequence) -> Column:
@@ -62,15 +60,9 @@ def number_rows(df: DataFrame, by: Sequence[str], order: str, out: str = "row_id
     if not kind.startswith(("timestamp", "date", "decimal")) and kind not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
         raise TypeError(f"rows cannot be numbered by {order}, a {kind}")
     sort = [order, *ties]
-    hot = small_side(df.groupBy(*by).count().filter(F.col("count") > hot_rows).select(*by, F.lit(True).alias("_hot")))
-    if hot.isEmpty():
+    keyed = _bucketed(df, by, order, hot_rows, buckets)
+    if keyed is None:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*sort)).cast("long") - 1)
-    flagged = null_safe_join(df, hot, by, "left")
-    number = F.unix_micros(F.col(order).cast("timestamp")) if kind.startswith("timestamp") else F.unix_date(order) if kind == "date" else F.col(order)
-    if kind.startswith("decimal"):
-        number = number.cast("decimal(38,18)")
-    edges = value_edges(flagged.filter("_hot"), number, buckets)
-    keyed = flagged.withColumn("_b", F.when(F.col("_hot"), bucket_of(number, edges)).otherwise(F.lit(0))).drop("_hot")
     offsets = (keyed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
                .withColumn("_off", _before("_n", by, ["_b"])).drop("_n"))
     inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*sort)).cast("long") - 1
@@ -116,65 +108,63 @@ def values_at_ranks(df: DataFrame, by: Sequence[str], value: str | Column, bucke
             .select(*by, "tag", F.col("_v").alias("value")))
 
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the largest group; partial counts combine on the map side."""
-    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-
-
-def _positions(n: Column, probs: Sequence[float]) -> list[tuple[Column, Column, Column]]:
-    """1-based ranks below and above every quantile position, and the fraction between them."""
-    out = []
-    for p in probs:
-        pos = (n - 1) * F.lit(float(p))
-        out.append((F.floor(pos) + 1, F.ceil(pos) + 1, pos - F.floor(pos)))
-    return out
-
-
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000) -> DataFrame:
     """One row per (group, prob) with the linearly interpolated quantile; NULL values are skipped.
 
-    While every group fits one task's sort this is one shuffle of the values; with a larger group it is
-    the bucket method of `values_at_ranks`.
+    A sketch of each group, right to one in `accuracy` of its rows, gives a span that surely holds each quantile: five times as
+    wide on both sides. A second pass counts what lies between the spans and the values inside of them, both combined on the
+    map side. Only one span's distinct values, about a thousandth of a group, are sorted together. Groups of at most
+    `accuracy` rows have one span from the least value to the greatest.
     """
-    by, ps = list(by), [float(p) for p in probs]
+    by, ps, margin = list(by), [float(p) for p in probs], 5 / accuracy
     src = df.select(*by, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    if largest_group(src, by) <= hot_rows:
-        group = Window.partitionBy(*by)
-        ranked = (src.withColumn("_rn", F.row_number().over(group.orderBy("_x")))
-                  .withColumn("_n", F.count("*").over(group)))
-        spots = _positions(F.col("_n"), ps)
-        wanted = F.lit(False)
-        for low, high, _ in spots:
-            wanted = wanted | (F.col("_rn") == low) | (F.col("_rn") == high)
-        at = lambda rank: F.max(F.when(F.col("_rn") == rank, F.col("_x")))
-        cells = [F.struct(F.lit(p).alias("prob"), (at(low) + (at(high) - at(low)) * F.max(frac)).alias("quantile"))
-                 for p, (low, high, frac) in zip(ps, spots)]
-        return ranked.filter(wanted).groupBy(*by).agg(F.array(*cells).alias("_q")).select(*by, F.inline("_q"))
-
-    def ranks(n: Column) -> Column:
-        return F.array(*[
-            F.struct(F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), frac.alias("frac")).alias("tag"), rank.alias("rank"))
-            for i, (low, high, frac) in enumerate(_positions(n, ps)) for side, rank in (("lo", low), ("hi", high))])
-
-    got = values_at_ranks(src, by, "_x", bucket_of("_x", value_edges(src, "_x")), ranks=ranks)
-    low, high = (F.max(F.when(F.col("tag.side") == s, F.col("value"))) for s in ("lo", "hi"))
-    index = F.col("tag.i").alias("_i")
-    return (got.groupBy(*by, index).agg((low + (high - low) * F.max("tag.frac")).alias("quantile"))
-            .withColumn("prob", F.get(F.lit(ps), F.col("_i"))).select(*by, "prob", "quantile"))
+    wanted = sorted(set(ps))
+    points = [0.0, *[max(0.0, p - margin) for p in wanted], *[min(1.0, p + margin) for p in wanted], 1.0]
+    sketch = src.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", points, accuracy).alias("_e"))
+    span = lambda lo, hi: F.struct(F.get("_e", F.lit(lo)).alias("lo"), F.get("_e", F.lit(hi)).alias("hi"))
+    spans = F.when(F.col("_n") <= accuracy, F.array(span(0, len(points) - 1))).otherwise(F.array(*[span(1 + i, 1 + len(wanted) + i) for i in range(len(wanted))]))
+    groups = small_side(sketch.select(*by, "_n", spans.alias("_s")))
+    keyed = null_safe_join(src, groups, by)
+    x = F.col("_x")
+    cells = keyed.select(*by, "_n", F.size(F.filter("_s", lambda s: s["hi"] < x)).alias("_k"),
+                         F.when(F.exists("_s", lambda s: (s["lo"] <= x) & (x <= s["hi"])), x).alias("_v"))
+    # Before a span stands the count of what lies between it and the one below, with a NULL value.
+    cells = cells.groupBy(*by, "_n", "_k", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = cells.groupBy(*by, "_k").agg(F.sum("_c").alias("_t")).withColumn("_off", _before("_t", by, ["_k"])).drop("_t")
+    upto = Window.partitionBy(*by, "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = null_safe_join(cells, offsets, [*by, "_k"]).withColumn("_to", F.col("_off") + F.sum("_c").over(upto))
+
+    def at(rank: Column) -> Column:
+        found = F.max(F.when((rank <= F.col("_to")) & (rank > F.col("_to") - F.col("_c")), F.col("_v")))
+        return F.coalesce(found, F.raise_error(F.lit("a quantile lies outside the span of its sketch")).cast("double"))
+
+    out = []
+    for p, (low, high, share) in zip(ps, _positions(F.col("_n"), ps)):
+        below = at(low)
+        out.append(F.struct(F.lit(p).alias("prob"), (below + (at(high) - below) * F.max(share)).alias("quantile")))
+    return placed.groupBy(*by).agg(F.array(*out).alias("_q")).select(*by, F.inline("_q"))
 
 
 def running_totals(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], descending: bool = False,
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inclusive running sums inside each group by a numeric column that is unique in the group."""
+                   hot_rows: int = HOT_ROWS, buckets: int = 1024) -> DataFrame:
+    """Inclusive running sums inside each group by a column that is unique in the group."""
     by, sums = list(by), list(sums)
     arrow = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     upto = lambda keys: Window.partitionBy(*keys).orderBy(arrow(order)).rowsBetween(Window.unboundedPreceding, 0)
-    if largest_group(df, by) <= hot_rows:
+    keyed = _bucketed(df, by, order, hot_rows, buckets)
+    if keyed is None:
         return df.withColumns({f"cum_{c}": F.sum(c).over(upto(by)) for c in sums})
-    keyed = df.withColumn("_b", bucket_of(order, value_edges(df, order)))
     offsets = keyed.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_n_{c}") for c in sums])
     offsets = offsets.select(*by, "_b", *[_before(f"_n_{c}", by, [arrow("_b")]).alias(f"_off_{c}") for c in sums])
     return (null_safe_join(keyed, offsets, [*by, "_b"])
             .withColumns({f"cum_{c}": F.sum(c).over(upto([*by, "_b"])) + F.col(f"_off_{c}") for c in sums})
             .drop("_b", *[f"_off_{c}" for c in sums]))
+
+
+def _positions(n: Column, probs: Sequence[float]) -> list[tuple[Column, Column, Column]]:
+    """1-based ranks below and above every quantile position, and the fraction between them."""
+    out = []
+    for p in probs:
+        pos = (n - 1) * F.lit(float(p))
+        out.append((F.floor(pos) + 1, F.ceil(pos) + 1, pos - F.floor(pos)))
+    return out

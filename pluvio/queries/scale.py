@@ -14,7 +14,7 @@ from pluvio.queries.signal import _segment_sql
 
 REG = Registry()
 
-# rows above which a group takes the bucket method here; the library default is ranks.HOT_ROWS
+# rows of a bucket, and of a group that is ranked whole, here; the library's defaults are larger
 HOT = 20
 
 
@@ -22,7 +22,7 @@ HOT = 20
 SELECT o_orderpriority, p AS prob, round(quantile_cont(o_totalprice, [0.01, 0.25, 0.5, 0.9, 0.99])[i], 4) AS quantile
 FROM orders, (VALUES (1, 0.01::DOUBLE), (2, 0.25::DOUBLE), (3, 0.5::DOUBLE), (4, 0.9::DOUBLE), (5, 0.99::DOUBLE)) t(i, p) GROUP BY o_orderpriority, i, p""")
 def _(spark, sf):
-    out = R.exact_quantiles(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice", [0.01, 0.25, 0.5, 0.9, 0.99], hot_rows=HOT)
+    out = R.exact_quantiles(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice", [0.01, 0.25, 0.5, 0.9, 0.99], accuracy=HOT)
     return out.withColumn("quantile", F.round("quantile", 4))
 
 
