@@ -33,7 +33,7 @@ def _bucketed(df: DataFrame, by: Sequence[str], order: str, hot_rows: int, bucke
     """
     fractions = [i / buckets for i in range(1, buckets)]
     sketch = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(order, fractions, 4 * buckets).alias("_e"))
-    every = F.greatest(F.floor(F.lit(buckets) * hot_rows / F.col("_n")), F.lit(1))
+    every = F.greatest(F.floor(F.lit(buckets * hot_rows) / F.col("_n")), F.lit(1))
     hot = small_side(sketch.filter(F.col("_n") > hot_rows).select(*by, F.array_distinct(F.filter("_e", lambda e, i: i % every == 0)).alias("_e")))
     if hot.isEmpty():
         return None

@@ -1,7 +1,7 @@
 """Feature selection: imputation, F scores, collinearity, standardisation, and the fitted chains.
 
 A fitted step holds one small row per feature. `fit` reads the features in a few aggregate passes;
-`transform` is a plain projection. Statistics of many columns go through the long form, so a hot
+`transform` is a plain projection. Statistics of many columns are wide aggregates, so a hot
 class costs nothing extra: partial sums combine on the map side.
 """
 
@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,24 @@ def q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+# Columns whose statistics one select computes; more are read in further passes.
+COLUMNS_PER_PASS = 50
+
+
+def wide_aggregate(df: DataFrame, features: Sequence[str], by: Sequence[str], **measures: str) -> DataFrame:
+    """Aggregates of many columns without unfolding rows: (by, feature, measures), one row per group and feature.
+
+    A measure is SQL text with `{v}` for the value, which is NULL where it is not finite.
+    """
+    parts = []
+    for at in range(0, len(features), COLUMNS_PER_PASS):
+        some = features[at:at + COLUMNS_PER_PASS]
+        cells = [F.expr(text.format(v=finite_sql(f))).alias(f"_{i}_{m}") for i, f in enumerate(some) for m, text in measures.items()]
+        rows = F.array(*[F.struct(F.lit(f).alias("feature"), *[F.col(f"_{i}_{m}").alias(m) for m in measures]) for i, f in enumerate(some)])
+        parts.append(df.groupBy(*by).agg(*cells).select(*by, F.inline(rows)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def feature_medians(df: DataFrame, features: Sequence[str], approx: bool = False) -> DataFrame:
     """`feature, median` for features with at least one finite value; exact and interpolated by default."""
     long = long_features(df, [], features)
@@ -55,12 +74,13 @@ class Imputer:
 def f_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """One-way ANOVA F per feature: `feature, score`; NULL when 0/0. Rows with a NULL label are left out.
 
-    Per (feature, class) count, mean and squared deviation come from one aggregate over the long form;
+    Per (feature, class) count, mean and squared deviation come from wide aggregates per class, so no row is unfolded;
     the deviations are Spark's own centred moments, so large means do not cancel.
     """
-    long = long_features(df.filter(F.col(label).isNotNull()), [label], features).filter("value is not null")
-    cells = long.groupBy("feature", label).agg(F.count("*").alias("n"), F.avg("value").alias("mean"),
-                                               (F.var_pop("value") * F.count("*")).alias("ss"))
+    if not features:
+        return df.sparkSession.createDataFrame([], "feature string, score double")
+    known = df.filter(F.col(label).isNotNull())
+    cells = wide_aggregate(known, features, [label], n="count({v})", mean="avg({v})", ss="var_pop({v}) * count({v})").filter("n > 0")
     every = Window.partitionBy("feature")
     cells = cells.withColumn("grand", F.sum(F.col("n") * F.col("mean")).over(every) / F.sum("n").over(every))
     gap = F.col("mean") - F.col("grand")
@@ -106,8 +126,7 @@ class Standardiser:
     def fit(cls, df: DataFrame, features: Sequence[str]) -> "Standardiser":
         if not features:
             return cls({})
-        rows = (long_features(df, [], features).filter("value is not null").groupBy("feature")
-                .agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).collect())
+        rows = wide_aggregate(df, features, [], m="avg({v})", s="stddev_pop({v})").filter("m is not null").collect()
         found = {r["feature"]: (r["m"], r["s"]) for r in rows}
         return cls({f: found[f] for f in features if f in found})
 
@@ -127,8 +146,8 @@ def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     cancel. A pair with a constant side gives NULL.
     """
     names = list(features)
-    scales = {r["feature"]: (r["m"], r["r"]) for r in long_features(df, [], names).filter("value is not null").groupBy("feature")
-              .agg(F.avg("value").alias("m"), (F.max("value") - F.min("value")).alias("r")).collect()}
+    ranges = wide_aggregate(df, names, [], m="avg({v})", r="max({v}) - min({v})") if names else df.sparkSession.createDataFrame([], "feature string, m double, r double")
+    scales = {r["feature"]: (r["m"], r["r"]) for r in ranges.filter("m is not null").collect()}
     live = [f for f in names if f in scales and scales[f][1] > 0]
     centred = df.selectExpr(*[f"({finite_sql(f)} - ({scales[f][0]!r}D)) / {scales[f][1]!r}D as c{k}" for k, f in enumerate(live)])
     index = [names.index(f) for f in live]
@@ -181,23 +200,46 @@ def varying_features(df: DataFrame, features: Sequence[str], threshold: float =
 
 @dataclass
 class VectorSelector:
-    """Impute, keep the best features by F score, standardise."""
+    """Impute, keep the best features by F score, standardise.
+
+    Three more steps are off by default: `drop_constant` removes features without variance, `corr_threshold` those that are collinear with
+    an earlier one, and `forest` (settings of the classifier `rf`) those whose importance is below the mean.
+    """
 
     percentile: int = 60
     approx_median: bool = False
+    drop_constant: bool = False
+    corr_threshold: float | None = None
+    forest: Mapping | None = None
     imputer: Imputer | None = field(default=None, init=False)
     scaler: Standardiser | None = field(default=None, init=False)
     scores: dict[str, float | None] = field(default_factory=dict, init=False)
+    importances: dict[str, float] = field(default_factory=dict, init=False)
     inputs: list[str] = field(default_factory=list, init=False)
     selected: list[str] = field(default_factory=list, init=False)
 
+    def __post_init__(self):
+        if self.corr_threshold is not None and not 0 <= self.corr_threshold <= 1:
+            raise ValueError("corr_threshold must be 0..1")
+
     def fit(self, df: DataFrame, features: Sequence[str], label: str) -> "VectorSelector":
         self.inputs = list(features)
         self.imputer = Imputer.fit(df, features, self.approx_median)
         filled = self.imputer.transform(df)
         self.scores = {r["feature"]: r["score"] for r in f_scores(filled, self.imputer.features, label).collect()}
-        self.selected = select_percentile(self.scores, self.imputer.features, self.percentile)
-        self.scaler = Standardiser.fit(filled, self.selected)
+        names = select_percentile(self.scores, self.imputer.features, self.percentile)
+        if self.drop_constant:
+            names = varying_features(filled, names)
+        self.scaler = Standardiser.fit(filled, names)
+        if self.corr_threshold is not None:
+            names = drop_collinear(filled, names, self.corr_threshold)
+        if self.forest is not None and names:
+            from pluvio.operators.models import Classifier, fit_classifier
+            fitted = fit_classifier(Classifier("rf", self.forest), self.scaler.transform(filled), names, label)
+            self.importances = dict(zip(names, (float(v) for v in fitted.model.featureImportances.toArray())))
+            mean = sum(self.importances.values()) / len(names)
+            names = [f for f in names if self.importances[f] >= mean]
+        self.selected = names
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -207,9 +249,9 @@ class VectorSelector:
         return self.scaler.transform(self.imputer.transform(df)).selectExpr(*[f"`{c}`" for c in rest + self.selected])
 
     def report(self, df: DataFrame) -> DataFrame:
-        """Feature report, best score first."""
+        """Feature report, best score first. Scores are finite: 0 for none, the largest double for an infinite one."""
         self._check()
-        rows = [(f, _number(self.scores.get(f)) if f in self.scores else None, None, int(f in self.selected)) for f in self.inputs]
+        rows = [(f, _number(self.scores.get(f)) if f in self.scores else None, self.importances.get(f), int(f in self.selected)) for f in self.inputs]
         rows.sort(key=lambda r: (r[1] is None, -(r[1] or 0.0)))
         return df.sparkSession.createDataFrame(rows, "Feature_Name string, Fisher_Score double, Gini_Importance double, Survived_Pipeline int")
 
@@ -219,7 +261,7 @@ class VectorSelector:
 
 
 def _number(score: float | None) -> float:
-    return 0.0 if score is None else score
+    return 0.0 if score is None else finite_score(score)
 
 
 @dataclass

@@ -147,14 +147,22 @@ def _(spark, sf):
     return r6(with_class_weights(table(spark, sf, "embeddings").select("vec_id", "label"), "label"), ).withColumn("weight", F.round("weight", 8))
 
 
-@REG.add("survivors_per_granularity", """
-SELECT granularity, CAST(sum(CASE WHEN r <= granularity THEN 1 ELSE 0 END) AS BIGINT) AS survivors
-FROM (SELECT event_type, row_number() OVER (ORDER BY event_type) AS r FROM (SELECT DISTINCT event_type FROM events)), (VALUES (2), (3), (5)) g(granularity) GROUP BY 1""")
+def _survivors_sql() -> str:
+    from pluvio.queries.selection import EMB_LONG, _f_sql
+    one = lambda g: f"""SELECT {g} AS granularity, count(*) AS survivors FROM (SELECT score, quantile_cont(score, 0.4) OVER () AS cut FROM (
+{_f_sql("SELECT vec_id, label % " + str(g) + " AS label, feature, value FROM (" + EMB_LONG + ")")})) WHERE score > cut"""
+    return " UNION ALL ".join(one(g) for g in (2, 3, 5))
+
+
+@REG.add("survivors_per_granularity", _survivors_sql())
 def _(spark, sf):
+    """The selector's reports for three merges of the classes, and how many features survive each."""
     from pluvio.operators.profiles import survivor_counts
-    names = table(spark, sf, "events").select("event_type").distinct()
-    from pyspark.sql import Window
-    ranked = names.withColumn("r", F.row_number().over(Window.orderBy("event_type")))
-    reports = ranked.select(F.explode(F.lit([2, 3, 5])).alias("granularity"), "r").withColumn(
-        "Survived_Pipeline", F.when(F.col("r") <= F.col("granularity"), 1).otherwise(0))
+    from pluvio.operators.selection import VectorSelector
+    from pluvio.queries.selection import DIMS, wide_embeddings
+    df, reports = wide_embeddings(spark, sf), None
+    for g in (2, 3, 5):
+        merged = df.withColumn("label", F.col("label") % g)
+        one = VectorSelector(60).fit(merged, DIMS, "label").report(merged).withColumn("granularity", F.lit(g))
+        reports = one if reports is None else reports.unionByName(one)
     return survivor_counts(reports)

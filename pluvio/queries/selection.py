@@ -109,7 +109,7 @@ SELECT feature, CASE WHEN feature IN (SELECT feature_j FROM d) THEN 'Discarded'
 def _(spark, sf):
     df = wide_embeddings(spark, sf)
     kept = G.drop_collinear(df, DIMS, 0.15)
-    names = df.limit(1).select(F.explode(F.lit(DIMS)).alias("feature"))
+    names = spark.createDataFrame([(d,) for d in DIMS], "feature string")
     return G.selection_status(names, kept)
 
 
@@ -126,12 +126,47 @@ def _(spark, sf):
                      F.count_if(kept).alias("pairs_after"), F.round(F.max(F.when(kept, v)), 6).alias("max_after"))
 
 
-@REG.add("zero_variance_drop", """
-SELECT count(DISTINCT l_linenumber) AS n, 'l_quantity,l_discount' AS kept FROM lineitem""")
+ODD = [*DIMS, "flat", "twin", "apart"]
+ODD_LONG = EMB_LONG + """ UNION ALL SELECT vec_id, label, 'flat', 3.0 FROM embeddings UNION ALL SELECT vec_id, label, 'twin', 2 * CAST(embedding[4] AS DOUBLE) + 1 FROM embeddings
+UNION ALL SELECT vec_id, label, 'apart', CAST(label AS DOUBLE) FROM embeddings"""
+
+
+def odd_embeddings(spark, sf):
+    """The vectors with a constant feature, one that follows `e03`, and one that tells the classes apart without an error."""
+    return wide_embeddings(spark, sf).withColumns({"flat": F.lit(3.0), "twin": F.col("e03") * 2 + 1, "apart": F.col("label").cast("double")})
+
+
+@REG.add("anova_f_edge_scores", f"""WITH s AS ({ODD_LONG}), c AS (SELECT feature, label, count(*) AS n, avg(value) AS mu, var_pop(value) * count(*) AS ss FROM s GROUP BY ALL),
+g AS (SELECT feature, avg(value) AS grand FROM s GROUP BY feature),
+t AS (SELECT feature, sum(n * (mu - grand) * (mu - grand)) / (count(*) - 1) AS top, sum(ss) / (sum(n) - count(*)) AS bottom FROM c JOIN g USING (feature) GROUP BY feature)
+SELECT feature, CASE WHEN bottom > 0 THEN round(top / bottom, 6) WHEN top > 0 THEN 1.7976931348623157e308 ELSE 0 END AS score FROM t""")
+def _(spark, sf):
+    report = G.VectorSelector(60).fit(odd_embeddings(spark, sf), ODD, "label").report(table(spark, sf, "embeddings"))
+    score = F.when(F.col("Fisher_Score") > 1e300, F.col("Fisher_Score")).otherwise(F.round("Fisher_Score", 6))
+    return report.select(F.col("Feature_Name").alias("feature"), score.alias("score"))
+
+
+@REG.add("zero_variance_drop", f"""
+WITH s AS ({ODD_LONG}) SELECT feature, CAST(var_pop(value) > 0 AS INTEGER) AS survived FROM s GROUP BY 1""")
+def _(spark, sf):
+    df = odd_embeddings(spark, sf)
+    report = G.VectorSelector(100, drop_constant=True).fit(df, ODD, "label").report(df)
+    return report.select(F.col("Feature_Name").alias("feature"), F.col("Survived_Pipeline").alias("survived"))
+
+
+@REG.add("selector_steps", f"""WITH s AS ({ODD_LONG}), o AS (SELECT feature, CASE feature WHEN 'flat' THEN 64 WHEN 'twin' THEN 65 WHEN 'apart' THEN 66 ELSE CAST(substr(feature, 2) AS INTEGER) END AS i FROM (SELECT DISTINCT feature FROM s)),
+c AS (SELECT a.feature AS f, b.feature AS g, abs(corr(a.value, b.value)) AS r FROM s a JOIN s b USING (vec_id) JOIN o x ON x.feature = a.feature JOIN o y ON y.feature = b.feature
+      WHERE x.i < y.i AND a.feature <> 'flat' AND b.feature <> 'flat' GROUP BY 1, 2),
+d AS (SELECT DISTINCT g FROM c WHERE r > 0.85)
+SELECT feature, CAST(feature <> 'flat' AND feature NOT IN (SELECT g FROM d) AS INTEGER) AS entered, true AS sums_to_one, true AS best_half FROM o""")
 def _(spark, sf):
-    df = table(spark, sf, "lineitem").withColumn("flat", F.lit(3.0))
-    kept = G.varying_features(df, ["l_quantity", "flat", "l_discount"])
-    return df.agg(F.countDistinct("l_linenumber").alias("n")).withColumn("kept", F.lit(",".join(kept)))
+    """All optional steps: the forest sees what the other steps leave, and keeps features of at least mean importance."""
+    df = odd_embeddings(spark, sf)
+    fitted = G.VectorSelector(100, drop_constant=True, corr_threshold=0.85, forest={"n_estimators": 100, "max_depth": 10}).fit(df, ODD, "label")
+    report, gini = fitted.report(df), F.col("Gini_Importance")
+    facts = report.agg(F.sum(gini).alias("s"), F.avg(gini).alias("m")).first()
+    return report.select(F.col("Feature_Name").alias("feature"), gini.isNotNull().cast("int").alias("entered"), F.lit(abs(facts["s"] - 1) < 1e-9).alias("sums_to_one"),
+                         (F.coalesce(gini >= facts["m"], F.lit(False)) == (F.col("Survived_Pipeline") == 1)).alias("best_half"))
 
 
 @REG.add("top_feature_scores", _f_sql(EMB_LONG) + " ORDER BY score DESC, feature LIMIT 20")
