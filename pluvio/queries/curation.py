@@ -274,6 +274,22 @@ def _(spark, sf):
     return K.load_catalog(spark, root)
 
 
+@REG.add("catalog_incremental", """
+SELECT n.version, n.rows, c.rows AS stored FROM (SELECT 1 AS version, count(*) AS rows FROM customer WHERE c_nationkey < 10 UNION ALL SELECT 2, count(*) FROM customer WHERE c_nationkey >= 10
+UNION ALL SELECT 3, 1) n, (SELECT count(*) + 1 AS rows FROM customer) c""")
+def _(spark, sf):
+    """Four saves, of which the last has nothing new: every part holds the new rows alone."""
+    from pluvio.session import scratch_path
+    cust = table(spark, sf, "customer")
+    rows = cust.select(S.hash_id("c_name").alias("audio_id"), F.col("c_name").alias("file_name"), F.lit(24000).alias("sample_rate"), F.concat(F.lit("/a/"), "c_name").alias("file_path"), "c_nationkey")
+    root = scratch_path(spark, "catalog")
+    K.save_catalog(rows.filter("c_nationkey < 10"), root)
+    K.save_catalog(rows, root)
+    K.save_catalog(rows.unionByName(rows.limit(1).withColumns({"audio_id": F.lit("one more"), "device": F.lit("d")}), allowMissingColumns=True), root)
+    K.save_catalog(rows, root)
+    return K.manifest(spark, root).select(F.col("version").cast("int").alias("version"), "rows").withColumn("stored", F.lit(K.load_catalog(spark, root).count()))
+
+
 @REG.add("split_tables_round_trip", """
 SELECT event_id, event_type, CASE WHEN value < 20 THEN 'train' WHEN value < 100 THEN 'val' ELSE 'test' END AS split FROM events""")
 def _(spark, sf):

@@ -326,3 +326,25 @@ def test_gaussian_counters():
     assert abs(z.mean()) < 0.01 and abs(z.std() - 1) < 0.01 and abs((np.abs(z) > 1.96).mean() - 0.05) < 0.003
     assert abs((z[:, 1:] * z[:, :-1]).mean()) < 0.01 and np.abs(np.corrcoef(z) - np.eye(50)).max() < 0.1
     assert np.isfinite(z).all() and np.array_equal(K.gaussian(7, 10), K.gaussian(7, 20)[:10])
+
+
+def test_catalog_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    """Another writer commits first, with some of the same ids."""
+    root = str(tmp_path / "cat")
+    rows = lambda ids, **more: spark.createDataFrame([(i, f"{i}.wav", 8000, f"/x/{i}") for i in ids], CAT.BASE_SCHEMA).withColumns({k: F.lit(v) for k, v in more.items()})
+    assert CAT.save_catalog(rows("ab"), root) == 1 and CAT.save_catalog(rows("ab"), root) == 1
+    commit, others = CAT._commit, [rows("cd", device="other"), rows("e")]
+
+    def late(*args):
+        if others:
+            mine, CAT._commit = CAT._commit, commit
+            CAT.save_catalog(others.pop(0), root)
+            CAT._commit = mine
+        return commit(*args)
+    monkeypatch.setattr(CAT, "_commit", late)
+    assert CAT.save_catalog(rows("bcef", device="mine"), root) == 4
+    monkeypatch.setattr(CAT, "_commit", commit)
+    got = {r["audio_id"]: r["device"] for r in CAT.load_catalog(spark, root).collect()}
+    assert got == {"a": None, "b": None, "c": "other", "d": "other", "e": None, "f": "mine"} and CAT.load_catalog(spark, root).count() == 6
+    assert sorted(r["rows"] for r in CAT.manifest(spark, root).collect()) == [1, 1, 2, 2]
+    assert CAT.save_catalog(rows([None, "g"]), root) == 5 and CAT.load_catalog(spark, root).count() == 7
