@@ -10,12 +10,14 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Model
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pluvio.operators.boosting import BoostedTrees
+from pluvio.operators.calibration import CalibratedMargins
 from pluvio.operators.evaluation import f1_summary, pr_auc_summary
 from pluvio.session import small_side, stage
 
@@ -125,15 +127,16 @@ def _forest(params, seed, rows):
 
 @register("xgb")
 def _boosted(params, seed, rows):
-    out = _settings(params, {"max_depth": "maxDepth", "learning_rate": "stepSize", "n_estimators": "maxIter", "subsample": "subsamplingRate"},
-                    {"maxDepth": 6, "stepSize": 0.3, "maxIter": 100})
-    return OneVsRest(**COMMON, classifier=GBTClassifier(**COMMON, seed=seed, **out), parallelism=4)
+    names = {"n_estimators": "rounds", "early_stopping_rounds": "patience"}
+    names |= {n: n for n in ("max_depth", "learning_rate", "subsample", "reg_lambda", "gamma", "min_child_weight", "max_bin")}
+    return BoostedTrees(**_settings(params, names, {"seed": seed}))
 
 
 @register("nusvc")
 def _margin(params, seed, rows):
+    folds = int(params.pop("folds", 5))
     out = _settings(params, {"reg": "regParam", "max_iter": "maxIter", "tol": "tol"}, {"regParam": 0.01, "maxIter": 200})
-    return OneVsRest(**COMMON, weightCol=WEIGHT, classifier=LinearSVC(**COMMON, weightCol=WEIGHT, **out), parallelism=4)
+    return CalibratedMargins(OneVsRest(**COMMON, weightCol=WEIGHT, classifier=LinearSVC(**COMMON, weightCol=WEIGHT, **out), parallelism=4), folds, seed)
 
 
 @dataclass
@@ -147,10 +150,14 @@ class FittedClassifier:
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds `prediction` (class name) and `scores` (one number per class, in class order)."""
         scored = self.model.transform(_vectorised(df, self.features))
-        source = "probability" if "probability" in scored.columns else "rawPrediction"
-        named = scored.withColumn("scores", vector_to_array(source)).withColumnRenamed("prediction", "_index")
+        if "probability" in scored.columns:
+            scores = vector_to_array("probability")
+        else:  # one-vs-rest log-odds: the chance of each class alone, divided by their sum
+            alone = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(F.least(-m, F.lit(700.0)))))
+            scores = F.transform(alone, lambda p: p / F.aggregate(alone, F.lit(0.0), lambda t, q: t + q))
+        named = scored.withColumn("scores", scores).withColumnRenamed("prediction", "_index")
         back = IndexToString(inputCol="_index", outputCol="prediction", labels=self.classes)
-        return back.transform(named).drop("_index", "rawPrediction", "probability", "features")
+        return back.transform(named).drop("_index", "rawPrediction", "probability", "features", "margins")
 
 
 def _vectorised(df: DataFrame, features: str | Sequence[str]) -> DataFrame:
@@ -159,11 +166,14 @@ def _vectorised(df: DataFrame, features: str | Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
 
-def fit_classifier(spec: Classifier, train: DataFrame, features: str | Sequence[str], label: str) -> FittedClassifier:
-    """Fit on rows with a label; classes are indexed in sorted order. `features` is an array column or names."""
+def fit_classifier(spec: Classifier, train: DataFrame, features: str | Sequence[str], label: str, validation: DataFrame | None = None) -> FittedClassifier:
+    """Fit on rows with a label; classes are indexed in sorted order. `features` is an array column or names.
+
+    Boosted trees stop when the loss on `validation` does; the other kinds have no use for it.
+    """
     prepared = _prepare(train, features, label)
     try:
-        return _fit(spec, prepared, features)
+        return _fit(spec, prepared, features, _indexed(validation, prepared, features, label))
     finally:
         prepared.cached.unpersist()
 
@@ -191,8 +201,18 @@ def _prepare(train: DataFrame, features, label: str) -> Prepared:
     return Prepared(cached, cached, rows, list(indexer.labels))
 
 
-def _fit(spec: Classifier, prepared: Prepared, features) -> FittedClassifier:
-    return FittedClassifier(spec.build(prepared.rows).fit(prepared.ready), prepared.classes, features)
+def _indexed(df: DataFrame | None, prepared: Prepared, features, label: str) -> DataFrame | None:
+    """Held-out rows in the form of the training rows; classes that these do not have are left out."""
+    if df is None:
+        return None
+    place = F.array_position(F.lit(prepared.classes), F.col(label).cast("string")) - 1
+    return _vectorised(df.withColumn("label_index", place.cast("double")).filter("label_index >= 0"), features).select("features", "label_index")
+
+
+def _fit(spec: Classifier, prepared: Prepared, features, validation: DataFrame | None = None) -> FittedClassifier:
+    estimator = spec.build(prepared.rows)
+    model = estimator.fit(prepared.ready, validation) if isinstance(estimator, BoostedTrees) else estimator.fit(prepared.ready)
+    return FittedClassifier(model, prepared.classes, features)
 
 
 SCORERS = ("f1_macro", "f1_micro", "f1_weighted", "accuracy", "pr_auc_macro")
@@ -217,7 +237,10 @@ class Tuned:
 
 def tune(spec: Classifier, grid: Mapping[str, Sequence], train: DataFrame, validation: DataFrame, features, label: str,
          metric: str = "f1_macro", parallel: int = 2) -> Tuned:
-    """Grid search on a given validation set; models see the train rows only, the first best point wins."""
+    """Grid search on a given validation set; models see the train rows only, the first best point wins.
+
+    Boosted trees also watch the validation set while they are fitted, and the champion keeps the rounds that served it best.
+    """
     if not grid:
         raise ValueError("the parameter grid is empty")
     if metric not in SCORERS:
@@ -226,14 +249,15 @@ def tune(spec: Classifier, grid: Mapping[str, Sequence], train: DataFrame, valid
     points = [dict(zip(names, values)) for values in itertools.product(*(grid[n] for n in names))]
     prepared = _prepare(train, features, label)
     held = validation.persist(StorageLevel.MEMORY_AND_DISK)
+    watched = _indexed(held, prepared, features, label)
     try:
         def score(point: dict) -> float:
-            fitted = _fit(spec.with_params(point), prepared, features)
+            fitted = _fit(spec.with_params(point), prepared, features, watched)
             return float(evaluate(fitted, held, label).first()[metric])
         with ThreadPoolExecutor(parallel) as pool:
             scores = list(pool.map(score, points))
         best = max(range(len(points)), key=lambda i: (scores[i], -i))
-        champion = _fit(spec.with_params(points[best]), prepared, features)
+        champion = _fit(spec.with_params(points[best]), prepared, features, watched)
     finally:
         prepared.cached.unpersist()
         held.unpersist()
