@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from itertools import accumulate
 from math import log2
 
 import numpy as np
@@ -25,15 +27,17 @@ WINDOW = 20  # characters whose entropy is looked at together
 FLOOR = {"hex": 2.9, "alnum": 3.6, "base64": 3.75}
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
 #: Strings that look random but are not secrets: one kind of letters only, numbers, words joined by signs,
-#: UUIDs, dates and placeholders. Callers may pass more patterns.
-ALLOWED = (rb"[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9_=+/-]+", rb"(?:[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{0,8})(?:[-_/+=]+(?:[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{0,8}))*",
+#: UUIDs, dates and placeholders. Callers may pass more patterns; what can match a string in several ways takes time that grows
+#: by the power of its length, so the words between signs are never empty here and no word is of two kinds.
+_WORD = rb"(?:[a-z]+|[A-Z][a-z]*|[A-Z]{2,}|[0-9]{1,8})"
+ALLOWED = (rb"[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9_=+/-]+", rb"%b?(?:[-_/+=]+%b)*[-_/+=]*" % (_WORD, _WORD),
            rb"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", rb".*(?:example|placeholder|dummy|x{6}|0{8}|1234567890).*")
 _HEXSET, _ALNUM = frozenset(b"0123456789abcdefABCDEF"), frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 # The tokens of a run by class: a window lies in a hex or an alnum token, or in what stands between `=` signs.
 _TOKENS = {"hex": re.compile(rb"[0-9a-fA-F]{%d,}" % WINDOW), "alnum": re.compile(rb"[A-Za-z0-9]{%d,}" % WINDOW),
            "base64": re.compile(rb"[A-Za-z0-9+/_-]+=*")}
 _NAMES = re.compile(rb"(?:(?:[A-Z]?[a-z]+|[A-Z]+)[/_-]+)*")  # words of a path or a name before a token
-_PART = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
+_PART = [0.0] + [c * log2(c) for c in range(1, WINDOW + 2)]  # the new character is counted before the old one goes
 
 
 def entropy_spans(string: bytes) -> list[tuple[int, int]]:
@@ -76,7 +80,7 @@ def hits(run: bytes, allowed: re.Pattern) -> list[tuple[int, int]]:
     out = []
     for start, end in _tokens(run):
         token = run[start:end]
-        if allowed.fullmatch(token) or not entropy_spans(token):
+        if not entropy_spans(token) or allowed.fullmatch(token):
             continue
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], max(end, out[-1][1]))
@@ -95,13 +99,15 @@ def find_spans(text: str, allowed: re.Pattern) -> list[tuple[int, int, int]]:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(data) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(data)]
     base = sorted(found)
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))  # reach: the furthest end so far
     for m in _CANDIDATE.finditer(data):
         string = m[0]
         if string.isalpha() and string.islower():
             continue
         for start, end in hits(string, allowed):
             start, end = start + m.start(), end + m.start()
-            if not any(s <= start and end <= e for s, _, e in base):
+            before = bisect_right(starts, start)
+            if not before or reach[before - 1] < end:  # else inside a base span
                 found.append((start, 3, end))
     if found and len(data) != len(text):  # byte offsets to code points
         points = np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))
