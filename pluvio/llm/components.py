@@ -39,3 +39,17 @@ def components(links: DataFrame) -> DataFrame:
         label = label.join(parent, label["at"] == parent["a"], "left").select("id", F.coalesce("p", "at").alias("at"))
     label = staged(label, "label")
     return label.join(label.groupBy("at").agg(F.min("id").alias("component")), "at").select("id", "component")
+
+
+def merged_components(known: DataFrame, links: DataFrame) -> DataFrame:
+    """`components` of the links that made `known` (id, component) and of `links` (a, b), by contracting only what is new."""
+    def of(column: str, name: str) -> DataFrame:
+        return known.select(F.col("id").alias(column), F.col("component").alias(name))
+    mapped = (links.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
+              .select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a <> b").distinct())
+    mapped = staged(mapped, "new-links")
+    if is_empty(mapped):
+        return known
+    fresh = staged(components(mapped), "fresh").select(F.col("id").alias("at"), F.col("component").alias("to"))
+    moved = known.join(fresh, known["component"] == fresh["at"], "left").select("id", F.coalesce("to", "component").alias("component"))
+    return moved.union(fresh.join(known, fresh["at"] == known["id"], "left_anti").select(F.col("at").alias("id"), F.col("to").alias("component")))

@@ -6,20 +6,25 @@ s share a given child with probability s, so they part at the root of all trees
 (1 - s) ** (TREES * BRANCHES): 2.6e-7 at 0.85, 2.6e-6 at 0.8. Deeper levels lose them with
 q = (1 - s + s * q) ** BRANCHES per tree at most, 9e-7 and 1e-5 over four trees.
 
-Members of one component need no further comparison. So a level has two steps. First, nodes with at most SMALL
-members outside their largest known component are compared exhaustively, and in larger ones two pivots (the text with
-most copies, and one by hash) are compared with every member; a group of near copies is mostly used up by its
-pivots, and never gives all its pairs. Then, with the new components known, nodes with at most FULL members outside the largest
-are compared exhaustively, those members with all, in blocks; only larger ones branch on. At MAX_DEPTH all that is left
-is compared in blocks, so there is no cap. A pair that meets in several roots' children is put forward in the first of them
-that does not branch on.
-Members of a block pair with a similar pair are a group of at most about 2 * BLOCK candidates, whose full sets are compared.
+What moves is a sketch: the low bytes of all tokens, and the whole tokens of the roots' positions. Pairs that agree in
+clearly fewer positions than the threshold asks for are no candidates; all others are judged on their full sets.
+
+Nodes with at most SMALL members are compared exhaustively, each by one task. Candidates that hang together are judged as one group
+when there are few; of many, such as hundreds of near copies, each is first judged with a leader that it is a candidate of, and
+what that leaves apart is compared once more. Members that are known to be connected are never compared.
+
+In larger nodes two pivots (the text with most copies, and one by hash) are compared with every member, which
+connects most of a group of near copies. Each node is then cut by the agreement with its pivot: members of a candidate pair differ in it
+by at most the positions in which they may disagree, so that the near and the far side, which overlap by this, hold all candidates
+between them, and the pivot's group does not meet what is far from it. A side whose members are all connected is done; one whose
+members outside its largest component, times all its members, are at most FULL * FULL is compared exhaustively in blocks, and others
+branch on. At MAX_DEPTH all that is left is compared in blocks, so there is no cap. A pair that meets in several roots'
+children is put forward in the first of them that is not large.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvio.llm.common import arrow_map, is_empty, prefilter, staged
-from pluvio.llm.components import components
+from pluvio.llm.components import components, merged_components
 from pluvio.llm.words import mix, shingle_set
 
 POSITIONS, TREES, BRANCHES, MAX_DEPTH = 128, 4, 2, 12
-SMALL, FULL, BLOCK = 64, 4096, 64  # members outside the largest component; members of a block
+SMALL, FULL = 1024, 4096  # members of a node that one task compares; bound of the exhaustive comparison of larger ones
+GROUP, BLOCK = 64, 1024  # members judged together on their full sets; members of a list of a large node
 LEAD = TREES * BRANCHES
+WIDTH = POSITIONS + 4 * LEAD
 
 
 def _multipliers() -> np.ndarray:
@@ -52,17 +59,15 @@ def _tokens(found: np.ndarray) -> np.ndarray:
 def _describe(k: int):
     def run(batches):
         for batch in batches:
-            out = {"doc_id": [], "n_shingles": [], "key": [], "sketch": [], "tokens": []}
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            out = {"n_shingles": [], "key": [], "sketch": []}
+            for text in batch["text"].to_pylist():
                 found = shingle_set(text, k)
-                tokens = _tokens(found) if len(found) else np.zeros(0, np.uint32)
-                out["doc_id"].append(doc_id)
+                tokens = _tokens(found)
                 out["n_shingles"].append(len(found))
                 out["key"].append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 out["sketch"].append((tokens & 0xFF).astype(np.uint8).tobytes() + tokens[_ROOTS].tobytes() if len(found) else b"")
-                out["tokens"].append(tokens.tobytes())
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()),
-                                                             ("sketch", pa.binary()), ("tokens", pa.binary())]))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "tag": batch["tag"], "n_shingles": pa.array(out["n_shingles"], pa.int64()),
+                                              "key": pa.array(out["key"], pa.binary()), "sketch": pa.array(out["sketch"], pa.binary())})
     return run
 
 
@@ -78,66 +83,181 @@ with np.errstate(over="ignore"):
     _ROOTS = np.concatenate([_places(np.arange(TREES, dtype=np.uint64), b) for b in range(BRANCHES)])
 
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    """One line of WIDTH bytes a row: the low bytes of the tokens, then the whole tokens of the roots' children."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH)
+
+
+def _child(node: np.ndarray, b: int, at: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mix(mix(node + np.uint64(b + 1) * np.uint64(0xD6E8FEB86659FD93)) + (token << np.uint64(8)) + at.astype(np.uint64)).view(np.int64)
+
+
+def _root_children(batches):
+    """(rep, sketch) to the children of all roots, by whole tokens; `slot` is the place among these children."""
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            n, nodes, slots = len(batch), [], []
+            lead = _sketches(batch["sketch"])[:, POSITIONS:].copy().view(np.uint32).astype(np.uint64)
+            for slot in range(LEAD):
+                root = np.full(n, slot % TREES, np.uint64)
+                nodes.append(_child(root, slot // TREES, np.full(n, _ROOTS[slot]), lead[:, slot]))
+                slots.append(np.full(n, slot, np.int32))
+            yield pa.RecordBatch.from_pydict({"node": np.concatenate(nodes), "slot": np.concatenate(slots), "rep": pa.array(batch["rep"].to_pylist() * LEAD, pa.int64())})
+
+
 def _children(batches):
-    """(node, rep, tokens) to its BRANCHES children; a root's children have a slot, their place among all of these."""
+    """(node, rep, sketch) to its BRANCHES children, by the low bytes of the tokens: equal tokens have equal bytes."""
     with np.errstate(over="ignore"):
         for batch in batches:
             node = batch["node"].to_numpy(zero_copy_only=False).view(np.uint64)
-            tokens = np.frombuffer(b"".join(batch["tokens"].to_pylist()), np.uint32).reshape(len(node), POSITIONS)
-            rows, children, slots = np.arange(len(node)), [], []
+            sketch, rows, children = _sketches(batch["sketch"]), np.arange(len(node)), []
             for b in range(BRANCHES):
                 at = _places(node, b)
-                token = tokens[rows, at].astype(np.uint64)
-                children.append(mix(mix(node + np.uint64(b + 1) * np.uint64(0xD6E8FEB86659FD93)) + (token << np.uint64(8)) + at.astype(np.uint64)).view(np.int64))
-                slots.append(np.where(node < TREES, node + np.uint64(b * TREES), np.uint64(0)).astype(np.int32))
-            yield pa.RecordBatch.from_pydict({"node": np.concatenate(children), "slot": np.concatenate(slots), "rep": pa.array(batch["rep"].to_pylist() * BRANCHES, pa.int64())})
+                children.append(_child(node, b, at, sketch[rows, at].astype(np.uint64)))
+            yield pa.RecordBatch.from_pydict({"node": np.concatenate(children), "slot": np.zeros(len(node) * BRANCHES, np.int32),
+                                              "rep": pa.array(batch["rep"].to_pylist() * BRANCHES, pa.int64())})
 
 
 def _lists(column: pa.ListArray):
-    """Per row: reps, components, sketches (one a line) and slots of branching nodes of a list of structs."""
-    width = POSITIONS + 4 * LEAD
+    """Per row: reps, components, slots of large nodes (bits) and sketches of a list of structs."""
     flat, offsets = column.flatten(), column.offsets.to_numpy()
     offsets = offsets - offsets[0]
-    rep, comp, still = flat.field("rep").to_numpy(), flat.field("comp").to_numpy(), flat.field("open").to_numpy()
-    sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, width)
-    return [(rep[lo:hi], comp[lo:hi], sketch[lo:hi], still[lo:hi]) for lo, hi in zip(offsets[:-1], offsets[1:])]
+    rep, comp, large = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp", "large"))
+    sketch = _sketches(flat.field("sketch"))
+    return [(rep[lo:hi], comp[lo:hi], large[lo:hi], sketch[lo:hi]) for lo, hi in zip(offsets[:-1], offsets[1:])]
 
 
-def _similar(least: int):
-    """(group, reps): the listed members of which some pair of two components agrees in at least `least` positions.
+def _candidates(one, two, slot: int, least: int) -> np.ndarray:
+    """For the members of two lists: whether a pair of different components agrees in at least `least` positions.
 
-    A pair that already met in a root's child of a lower slot is left to that one, unless that one is large and branches,
-    so that it does not compare all its pairs (its slot is in the bits `open`); deeper nodes have slot 0.
+    A pair that met in a root's child of a lower slot is left to that one, unless that one is large (its slot is in the bits `large`).
+    """
+    (_, comp, large, sketch), (_, its, _, other) = one, two
+    close = comp[:, None] != its[None, :]
+    for at in range(0, len(comp), max(1, (1 << 22) // (POSITIONS * max(len(its), 1)))):
+        rows = slice(at, at + max(1, (1 << 22) // (POSITIONS * max(len(its), 1))))
+        if close[rows].any():
+            close[rows] &= (sketch[rows, None, :POSITIONS] == other[None, :, :POSITIONS]).sum(2, dtype=np.uint8) >= least
+    if slot and close.any():
+        i, j = np.nonzero(close)
+        met = sketch[i, POSITIONS:].copy().view(np.uint32)[:, :slot] == other[j, POSITIONS:].copy().view(np.uint32)[:, :slot]
+        met &= (large[i, None] >> np.arange(slot)) & 1 == 0
+        met = met.any(1)
+        close[i[met], j[met]] = False
+    return close
+
+
+def _connected(linked: np.ndarray) -> np.ndarray:
+    """For each member the least one that any link leads to."""
+    first = np.arange(len(linked))
+    while True:
+        new = np.minimum(np.where(linked, first[None, :], len(linked)).min(1, initial=len(linked)), first)
+        if (new == first).all():
+            return first
+        first = new
+
+
+def _stars(linked: np.ndarray, some: np.ndarray, size: int):
+    """Groups of at most `size` of the members `some`, that hang together: leaders with candidates that no leader had before."""
+    left = np.zeros(len(linked), bool)
+    left[some] = True
+    for leader in some[np.argsort(-linked[some].sum(1), kind="stable")]:
+        if not left[leader]:
+            continue
+        ball = np.flatnonzero(linked[leader] & left)
+        left[leader] = left[ball] = False
+        if not len(ball):
+            ball = np.flatnonzero(linked[leader])[:1]
+        for at in range(0, len(ball), size - 1):
+            yield np.append(ball[at:at + size - 1], leader)
+
+
+def _squares(rep: np.ndarray, other: np.ndarray, close: np.ndarray, size: int):
+    """Groups that hold all candidate pairs, by squares of the members that have any."""
+    i, j = np.flatnonzero(close.any(1)), np.flatnonzero(close.any(0))
+    for a in range(0, len(i), size):
+        for b in range(0, len(j), size):
+            hit = close[np.ix_(i[a:a + size], j[b:b + size])]
+            if hit.any():
+                yield np.concatenate([rep[i[a:a + size][hit.any(1)]], other[j[b:b + size][hit.any(0)]]])
+
+
+def _batch_of(groups: list[np.ndarray], **more) -> pa.RecordBatch:
+    """A row a group; its number is a hash of its members, so that equal groups are judged once."""
+    groups = [np.unique(g) for g in groups]
+    numbers = [int.from_bytes(hashlib.blake2b(g.tobytes(), digest_size=8).digest(), "little", signed=True) if len(g) else 0 for g in groups]
+    return pa.RecordBatch.from_pydict({"group": pa.array(numbers, pa.int64()), "reps": pa.array([g.tolist() for g in groups], pa.list_(pa.int64()))} | more)
+
+
+def _compare(least: int, last: bool, size: int):
+    """(group, reps, open) for nodes of at most SMALL members. Candidates that hang together are one group, or, if they are many, several.
+
+    Without `last` many are grouped around leaders, and a row with the node in `open` says that it is to be compared again once
+    these are judged. With it, the groups hold every candidate pair.
     """
     def run(batches):
         for batch in batches:
-            groups, reps = [], []
-            for rows in (batch.slice(i, 32) for i in range(0, len(batch), 32)):
-                for slot, (rep, comp, sketch, still), (other, its, each, _) in zip(rows["slot"].to_pylist(), _lists(rows["members"]), _lists(rows["others"])):
-                    close = comp[:, None] != its[None, :]
-                    if not close.any():
-                        continue
-                    agree = np.zeros(close.shape, np.uint16)
-                    for at in range(POSITIONS):
-                        agree += sketch[:, None, at] == each[None, :, at]
-                    i, j = np.nonzero(close & (agree >= least))
-                    if slot and len(i):
-                        lead = sketch[i, POSITIONS:].copy().view(np.uint32)[:, :slot] == each[j, POSITIONS:].copy().view(np.uint32)[:, :slot]
-                        lead &= (still[i, None] >> np.arange(slot)) & 1 == 0
-                        i, j = i[~lead.any(1)], j[~lead.any(1)]
-                    if len(i):
-                        found = np.unique(np.concatenate([rep[i], other[j]]))
-                        groups.append(int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True))
-                        reps.append(found.tolist())
-            yield pa.RecordBatch.from_pydict({"group": pa.array(groups, pa.int64()), "reps": pa.array(reps, pa.list_(pa.int64()))})
+            groups, again = [], []
+            for rows in (batch.slice(i, 64) for i in range(0, len(batch), 64)):
+                for node, slot, members in zip(rows["node"].to_pylist(), rows["slot"].to_pylist(), _lists(rows["members"])):
+                    close = _candidates(members, members, slot, least)
+                    some = np.flatnonzero(close.any(1))
+                    close, rep = close[np.ix_(some, some)], members[0][some]
+                    first = _connected(close)
+                    for root in np.unique(first):
+                        own = np.flatnonzero(first == root)
+                        if len(own) <= size:
+                            groups.append(rep[own])
+                        elif last:
+                            groups += _squares(rep[own], rep[own], np.triu(close[np.ix_(own, own)]), size)
+                        else:
+                            groups += [rep[g] for g in _stars(close, own, size)]
+                            again.append(node)
+            yield _batch_of(groups + [np.zeros(0, np.int64)] * len(again), open=pa.array([None] * len(groups) + again, pa.int64()))
     return run
 
 
-def _sets(k: int):
+def _between(least: int, size: int):
+    """(group, reps, open) with all candidate pairs of two lists of a large node; nothing is left open."""
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({
-                "rep": batch["rep"], "shingles": pa.array([shingle_set(t, k).tobytes() for t in batch["text"].to_pylist()], pa.binary())})
+            groups = []
+            for rows in (batch.slice(i, 8) for i in range(0, len(batch), 8)):
+                for members, others in zip(_lists(rows["members"]), _lists(rows["others"])):
+                    groups += _squares(members[0], others[0], _candidates(members, others, 0, least), size)
+            yield _batch_of(groups, open=pa.nulls(len(groups), pa.int64()))
+    return run
+
+
+def _pivot_pairs(least: int, size: int):
+    """(group, reps, open): blocks of a large node's members that are candidates of one of its pivots, with this pivot."""
+    def run(batches):
+        for batch in batches:
+            groups = []
+            for rows in (batch.slice(i, 8) for i in range(0, len(batch), 8)):
+                for members, pivots in zip(_lists(rows["members"]), _lists(rows["others"])):
+                    close = _candidates(members, pivots, 0, least)
+                    for j in range(close.shape[1]):
+                        ball = np.flatnonzero(close[:, j])
+                        groups += [np.append(members[0][ball[at:at + size - 1]], pivots[0][j]) for at in range(0, len(ball), size - 1)]
+            yield _batch_of(groups, open=pa.nulls(len(groups), pa.int64()))
+    return run
+
+
+def _sides(least: int):
+    """(node, rep, sketch) with the node of the near side, the far side or both, by the agreement of `sketch` and the pivot's `p`."""
+    far = least - 4
+    near = far - (POSITIONS - least)
+
+    def run(batches):
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                node = batch["node"].to_numpy(zero_copy_only=False).view(np.uint64)
+                agree = (_sketches(batch["sketch"])[:, :POSITIONS] == _sketches(batch["p"])[:, :POSITIONS]).sum(1)
+                parts = [(agree >= near, np.uint64(0x8CB92BA72F3D8DD7)), (agree <= far, np.uint64(0xABCC5167CCAD925F))]
+                both = pa.array(np.concatenate([np.flatnonzero(own) for own, _ in parts]))
+                yield pa.RecordBatch.from_pydict({"node": np.concatenate([mix(node[own] + by).view(np.int64) for own, by in parts]),
+                                                  "rep": batch["rep"].take(both), "sketch": batch["sketch"].take(both)})
     return run
 
 
@@ -159,25 +279,19 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _confirm(num: int, den: int):
+def _confirm(k: int, num: int, den: int):
     """Links within each group, judged on the full sets; each member is given with the first one that links lead to."""
     def run(batches):
         for batch in batches:
             a, b = [], []
-            for members in batch["members"].to_pylist():
-                rep = np.array([m["rep"] for m in members], np.int64)
+            for members in batch["members"]:
+                rep = members.values.field("rep").to_numpy()
                 order = np.argsort(rep, kind="stable")
-                rep, sets = rep[order], [np.frombuffer(members[i]["shingles"], np.uint64) for i in order]
+                texts = members.values.field("text")
+                rep, sets = rep[order], [shingle_set(texts[int(i)].as_py(), k) for i in order]
                 size = np.array([len(s) for s in sets], np.int64)
                 shared = shared_counts(sets)
-                linked = den * shared >= num * (size[:, None] + size[None, :] - shared)
-                linked |= rep[:, None] == rep[None, :]
-                first = np.arange(len(rep))
-                while True:  # the least member that any linked one leads to, until nothing changes
-                    new = np.where(linked, first[None, :], len(rep)).min(1)
-                    if (new == first).all():
-                        break
-                    first = new
+                first = _connected(den * shared >= num * (size[:, None] + size[None, :] - shared))
                 other = rep[first] != rep
                 a += rep[first][other].tolist()
                 b += rep[other].tolist()
@@ -185,49 +299,119 @@ def _confirm(num: int, den: int):
     return run
 
 
-def _verified(docs: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect, in each group of candidates, what the links between full sets connect."""
-    members = staged(groups.select("group", F.explode("reps").alias("rep")).distinct(), "candidates")
-    ids = members.select("rep").distinct()
-    texts = prefilter(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", ids, "rep").join(ids, "rep")
-    sets = staged(arrow_map(texts, _sets(k), "rep long, shingles binary"), "sets")
-    whole = members.join(sets, "rep").groupBy("group").agg(F.collect_list(F.struct("rep", "shingles")).alias("members"))
-    return staged(arrow_map(whole.select("members"), _confirm(num, den), "a long, b long").distinct(), "links")
+def _verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect, in each group of candidates, what the links between full sets connect.
 
+    Each class is judged by the text of one row, which its (own, tag) names.
+    """
+    once = groups.groupBy("group").agg(F.first("reps").alias("reps"))  # the same members meet in several nodes
+    members = staged(once.select("group", F.explode("reps").alias("rep")), "candidates")
+    ids = staged(members.select("rep").distinct().join(classes.select("rep", "own", "tag"), "rep"), "wanted")
+    rows = prefilter(docs.select(F.col("doc_id").alias("own"), "tag", "text"), "own", ids, "own")
+    texts = rows.dropDuplicates(["own", "tag"]).join(ids, ["own", "tag"]).select("rep", "text")
+    whole = members.join(texts, "rep").groupBy("group").agg(F.collect_list(F.struct("rep", "text")).alias("members"))
+    return staged(arrow_map(whole.select("members"), _confirm(k, num, den), "a long, b long").distinct(), "links")
 
-def _with_components(members: DataFrame, comps: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Members of nodes of several components: (node, slot, rep, comp, top, outside, inside); and the sizes of these nodes.
 
-    `top` is the node's largest component, `inside` how many members are in it and `outside` how many are not.
-    """
-    if comps is None:
-        at = members.withColumn("comp", F.col("rep"))
-    else:
-        at = members.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    sizes = at.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("node").agg(
-        F.max_by("comp", "m").alias("top"), (F.sum("m") - F.max("m")).alias("outside"), F.max("m").alias("inside"))
-    sizes = staged(sizes.where("outside > 0"), "sizes")
-    return staged(at.join(sizes, "node").select("node", "slot", "rep", "comp", "top", "outside", "inside"), "seen"), sizes
+class _Links:
+    """The components that the links found so far make."""
+
+    def __init__(self, judge):
+        self.judge, self.components = judge, None
+
+    def add(self, links: DataFrame) -> None:
+        if not is_empty(links):
+            self.components = staged(components(links) if self.components is None else merged_components(self.components, links), "components")
+
+    def judged(self, groups: DataFrame) -> None:
+        if not is_empty(groups):
+            self.add(self.judge(groups))
+
+    def of(self, members: DataFrame) -> DataFrame:
+        """`members` with `comp`, the component of `rep`."""
+        if self.components is None:
+            return members.withColumn("comp", F.col("rep"))
+        known = self.components.select(F.col("id").alias("rep"), "component")
+        return members.join(known, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+
+
+_CANDIDATES = "group long, reps array<long>, open long"
+_MEMBER = ("rep", "comp", "large", "sketch")
 
 
-def _outsiders(seen: DataFrame, limit: int | None) -> DataFrame:
-    """(node, block, rep, comp) of the members outside the largest component, of nodes with at most `limit` of them."""
-    block = F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("outside") / BLOCK))
-    some = seen if limit is None else seen.where(F.col("outside") <= limit)
-    return some.where("comp <> top").select("node", block.alias("block"), "rep", "comp")
+def _listed(rows: DataFrame, *keys: str, name: str = "members") -> DataFrame:
+    return rows.groupBy(*keys).agg(F.collect_list(F.struct(*_MEMBER)).alias(name))
 
 
-def _blocks(rows: DataFrame, sketches: DataFrame, *keys: str) -> DataFrame:
-    """(keys, list) of the rows of each block, with their sketches; about BLOCK rows each."""
-    return (rows.join(sketches, "rep").groupBy(*keys, "block")
-            .agg(F.collect_list(F.struct("rep", "comp", "sketch", "open")).alias("list")).drop("block"))
+def _compare_small(members: DataFrame, sketches: DataFrame, known: _Links, least: int) -> None:
+    """Judge all candidates of the nodes of `members` (node, slot, rep), which have at most SMALL members each."""
+    for last in (False, True):
+        rows = known.of(members).join(prefilter(sketches, "rep", members, "rep"), "rep")
+        lists = _listed(rows, "node", "slot").where(F.size("members") > 1)
+        found = staged(arrow_map(lists, _compare(least, last, GROUP), _CANDIDATES), "groups")
+        known.judged(found.where("open is null").select("group", "reps"))
+        again = found.where("open is not null").select(F.col("open").alias("node"))
+        if last or is_empty(again):
+            return
+        members = staged(members.join(again.distinct(), "node"), "again")
 
 
-def _pivots(seen: DataFrame) -> DataFrame:
-    """(node, block, rep, comp) of two members of each node: the text with most copies, and one by hash."""
-    order = F.xxhash64("rep", "node")
-    best = seen.groupBy("node").agg(F.max_by(F.struct("rep", "comp"), F.struct("copies", order)).alias("one"), F.max_by(F.struct("rep", "comp"), order).alias("two"))
-    return best.select("node", F.explode(F.array_distinct(F.array("one", "two"))).alias("p")).select("node", F.lit(-1).cast("long").alias("block"), "p.rep", "p.comp")
+def _sizes(seen: DataFrame) -> DataFrame:
+    """(node, top, outside, inside) of nodes of several components: the largest, and the members outside and inside it."""
+    each = seen.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("m"))
+    sizes = each.groupBy("node").agg(F.max_by("comp", "m").alias("top"), (F.sum("m") - F.max("m")).alias("outside"), F.max("m").alias("inside"))
+    return staged(sizes.where("outside > 0"), "sizes")
+
+
+def _chunk(rows: DataFrame, size) -> DataFrame:
+    return rows.withColumn("block", F.pmod(F.xxhash64("rep", "node"), F.ceil(size / BLOCK)))
+
+
+def _compare_large(members: DataFrame, sketches: DataFrame, known: _Links, least: int, deepest: bool) -> DataFrame | None:
+    """Judge what can be judged of the nodes of `members` (node, rep, n), which are large; (node, rep, sketch) of what is to branch on.
+
+    `sketches` has rep, copies and sketch of all reps.
+    """
+    no_slot = F.lit(0).alias("large")
+    rows = staged(members.join(prefilter(sketches.select("rep", "copies", "sketch"), "rep", members, "rep"), "rep"), "large-nodes")
+    order, one = F.xxhash64("rep", "node"), F.struct("rep", "sketch")
+    best = staged(rows.groupBy("node").agg(F.max_by(one, F.struct("copies", order)).alias("one"), F.max_by(one, order).alias("two")), "pivots")
+    pivots = best.select("node", F.explode(F.array_distinct(F.array("one", "two"))).alias("p")).select("node", "p.rep", "p.sketch")
+    listed = _listed(known.of(pivots).withColumn("large", no_slot), "node", name="others")
+    chunks = _listed(_chunk(known.of(rows).withColumn("large", no_slot), F.col("n")), "node", "block").join(listed, "node")
+    known.judged(staged(arrow_map(chunks.select("members", "others"), _pivot_pairs(least, GROUP), _CANDIDATES), "groups"))
+
+    sided = rows.select("node", "rep", "sketch").join(best.select("node", F.col("one.sketch").alias("p")), "node")
+    seen = staged(known.of(arrow_map(sided, _sides(least), "node long, rep long, sketch binary")).withColumn("large", no_slot), "seen")
+    some = seen.join(_sizes(seen), "node")
+    cheap = F.lit(True) if deepest else F.col("outside") * (F.col("outside") + F.col("inside")) <= FULL * FULL
+    outsiders = _listed(_chunk(some.where(cheap & (F.col("comp") != F.col("top"))), F.col("outside")), "node", "block", name="others").drop("block")
+    chunks = _listed(_chunk(some.where(cheap), F.col("outside") + F.col("inside")), "node", "block").join(outsiders, "node")
+    known.judged(staged(arrow_map(chunks.select("members", "others"), _between(least, GROUP), _CANDIDATES), "groups"))
+    if deepest:
+        return None
+    left = staged(some.where(~cheap).select("node", "rep", "sketch"), "branching")
+    return None if is_empty(left) else left
+
+
+def _classes(described: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct shingle sets (key, rep, own, tag, copies, sketch), and links (a, b) between those that share a doc_id.
+
+    `rep` is the smallest doc_id that has the set; where several sets have the same, all but one get a number above 2 ** 62.
+    """
+    real = described.where("n_shingles > 0 and doc_id is not null")
+    classes = real.groupBy("key").agg(F.min(F.struct("doc_id", "tag")).alias("m"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
+    classes = staged(classes.select("key", F.col("m.doc_id").alias("own"), F.col("m.tag").alias("tag"), "copies", "sketch"), "classes")
+    name = F.xxhash64("key")
+    several = staged(real.groupBy("doc_id").agg(F.min(name).alias("x"), F.max(name).alias("y")).where("x <> y").select("doc_id"), "several")
+    if is_empty(several):
+        return classes.withColumn("rep", F.col("own")), several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    firsts = classes.groupBy("own").agg(F.min(name).alias("first"))
+    other = F.lit(1 << 62).bitwiseOR(name.bitwiseAND((1 << 62) - 1))
+    classes = staged(classes.join(firsts, "own").withColumn("rep", F.when(name == F.col("first"), F.col("own")).otherwise(other)).drop("first"), "classes")
+    sets = real.join(several, "doc_id").select("doc_id", "key").distinct().join(classes.select("key", "rep"), "key")
+    first = sets.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return classes, staged(sets.join(first, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct(), "same-ids")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -236,62 +420,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     Two documents are linked when den * |A and B| >= num * |A or B| over their sets of distinct k-word shingles;
     a text of fewer words is one shingle. `component_id` is the smallest doc_id reachable over links and `kept`
     says that it is the row's own. Null, empty and blank texts have no shingles, link with nothing and are kept.
-    Rows that share a doc_id count as one document. A row without doc_id joins no other row, has a null
-    component_id and is kept. An empty table gives an empty result.
+    Rows that share a doc_id are one document: what one of their texts links to, all do, and all have one component.
+    A row without doc_id joins no other row, has a null component_id and is kept. An empty table gives an empty result.
     """
-    described = staged(arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _describe(k),
-                                 "doc_id long, n_shingles long, key binary, sketch binary, tokens binary"), "described")
-    real = described.where("n_shingles > 0 and doc_id is not null")
-    classes = staged(real.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    own = described.join(classes.select("rep", F.col("key").alias("k"), "copies"),
-                         (described["doc_id"] == F.col("rep")) & (described["key"] == F.col("k")))
-    reps = staged(own.select("rep", "copies", "sketch", "tokens"), "reps")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "text")
+    described = staged(arrow_map(docs, _describe(k), "doc_id long, tag long, n_shingles long, key binary, sketch binary"), "described")
+    classes, same_ids = _classes(described)
+    known = _Links(lambda groups: _verified(docs, classes, groups, k, num, den))
+    known.add(same_ids)
     least = int(POSITIONS * num / den - 6 * (POSITIONS * num / den * (1 - num / den)) ** 0.5)
 
-    links, comps = [], None
-    roots = reps.select(F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)])).alias("node"), "rep", "tokens")
-    members = arrow_map(roots, _children, "node long, slot int, rep long")
-    # A root's child of one member has nothing to compare; most end here.
-    shared = staged(members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    members = members.join(shared.select("node"), "node")
+    sketches = classes.select("rep", "copies", F.lit(0).alias("large"), "sketch")
+    members = arrow_map(classes.select("rep", "sketch"), _root_children, "node long, slot int, rep long")
     for depth in range(1, MAX_DEPTH + 1):
-        members = staged(members, "members")
-        for full in (False, True):
-            seen, sizes = _with_components(members, comps)
-            if is_empty(sizes):
-                members = None
-                break
-            if full:
-                limit = None if depth == MAX_DEPTH else FULL
-                lists = _outsiders(seen, limit)
-            else:
-                lists = _outsiders(seen, SMALL).union(_pivots(seen.where(F.col("outside") > SMALL).join(reps.select("rep", "copies"), "rep")))
-            sketches = reps.select("rep", "sketch", F.lit(0).alias("open"))
-            branching = seen.where(F.col("outside") > FULL)
-            if depth == 1 and not is_empty(branching):
-                slots = branching.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1, slot)")).alias("o"))
-                sketches = sketches.join(slots, "rep", "left").select("rep", "sketch", F.coalesce("o", "open").alias("open"))
-            wanted = staged(_blocks(lists, sketches, "node").withColumnRenamed("list", "others"), "lists")
-            whole = F.pmod(F.xxhash64("rep", "node"), F.ceil((F.col("outside") + F.col("inside")) / BLOCK))
-            own = seen.join(wanted.select("node").distinct(), "node").select("node", "slot", whole.alias("block"), "rep", "comp")
-            both = _blocks(own, sketches, "node", "slot").withColumnRenamed("list", "members").join(wanted, "node")
-            groups = staged(arrow_map(both.select("slot", "members", "others"), _similar(least), "group long, reps array<long>"), "groups")
-            if not is_empty(groups):
-                links.append(_verified(docs, groups, k, num, den))
-                comps = staged(components(reduce(DataFrame.union, links)), "components")
-            # All others were compared exhaustively: every link of their members is known.
-            members = seen.where(F.col("outside") > (FULL if full else SMALL)).select("node", "slot", "rep")
-            if depth == MAX_DEPTH and full or is_empty(members):
-                members = None
-                break
-        if members is None:
+        # A node of one member has nothing to compare; most end here.
+        sizes = staged(members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "nodes")
+        members = staged(members.join(sizes, "node"), "members")
+        large, branching, own = members.where(F.col("n") > SMALL), None, sketches
+        if not is_empty(large):
+            branching = _compare_large(large.select("node", "rep", "n"), sketches, known, least, depth == MAX_DEPTH)
+            if depth == 1:
+                slots = large.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1, slot)")).alias("slots"))
+                own = sketches.join(slots, "rep", "left").select("rep", "copies", F.coalesce("slots", "large").alias("large"), "sketch")
+        _compare_small(members.where(F.col("n") <= SMALL).select("node", "slot", "rep"), own, known, least)
+        if branching is None:
             break
-        parents = members.join(reps.select("rep", "tokens"), "rep")
-        members = arrow_map(parents.select("node", "rep", "tokens"), _children, "node long, slot int, rep long").distinct()
+        members = arrow_map(branching, _children, "node long, slot int, rep long").distinct()
 
     base = described.select("doc_id", "n_shingles", "key").join(classes.select("key", "rep"), "key", "left")
-    if comps is not None:
-        base = base.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+    if known.components is not None:
+        base = base.join(known.components.withColumnRenamed("id", "rep"), "rep", "left")
     else:
         base = base.withColumn("component", F.lit(None).cast("long"))
     group = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
@@ -303,7 +461,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 def first_of_each_group(docs: DataFrame, **settings) -> DataFrame:
     """The rows of `docs`, all columns, that `near_duplicates` keeps: one document of each group.
 
-    Rows without doc_id stay. Of rows that repeat a kept doc_id all stay, since they are one document.
+    Rows without doc_id, and rows without words, stay. Of rows that repeat a kept doc_id all stay, since they are one document.
     """
-    dropped = near_duplicates(docs, **settings).where("not kept").select(F.col("doc_id").alias("__dropped"))
+    dropped = near_duplicates(docs, **settings).where("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
     return docs.join(dropped, docs["doc_id"] == dropped["__dropped"], "left_anti")

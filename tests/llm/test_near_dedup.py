@@ -84,3 +84,72 @@ def test_shared_counts():
     sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in (1, 50, 5000, 8000)]
     full = N.shared_counts(sets)
     assert all(full[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(4) for j in range(4) if i != j)
+
+
+@pytest.mark.parametrize("small,full,group", [(12, 4, 5), (12, 60, 64), (2000, 4096, 5)])
+def test_large_nodes_and_groups(spark, monkeypatch, small, full, group):
+    """Nodes that are cut and branch on, hundreds of near copies around one text, and groups that are judged in parts."""
+    monkeypatch.setattr(N, "SMALL", small)
+    monkeypatch.setattr(N, "FULL", full)
+    monkeypatch.setattr(N, "GROUP", group)
+    monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "MAX_DEPTH", 5)
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(90)]
+    near = []
+    for i in range(120):
+        copy = list(base)
+        for _ in range(rng.randint(1, 3)):
+            copy[rng.randrange(90)] = f"x{rng.randrange(999)}"
+        near.append(" ".join(copy))
+    rows = texts(6, 8) + [(1000 + i, t) for i, t in enumerate(near)]
+    out = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == expected(rows, 3, 85, 100)
+
+
+def test_shared_ids_are_one_document(spark):
+    rows = [(3, "x y z"), (5, "x y z"), (5, " ".join(f"b{i}" for i in range(60))), (7, " ".join(f"b{i}" for i in range(61))), (5, "c d e"), (9, "c d e f"), (10, "c d e")]
+    out = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == [(3, 3, True)] + [(5, 3, False)] * 3 + [(7, 3, False), (9, 9, True), (10, 3, False)]
+    kept = N.first_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=85, den=100)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 9]
+
+
+def test_repeated_rows(spark):
+    """A thousand rows of two documents cost and give no more than a thousand rows."""
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"a{i}" for i in range(81))
+    out = N.near_duplicates(spark.createDataFrame([(1, a), (2, b)] * 500 + [(None, a)] * 20, "doc_id long, text string"), 3, 85, 100).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in out) == [(0, 0, True)] * 20 + [(1, 1, True)] * 500 + [(2, 1, False)] * 500
+
+
+def test_sides_part_no_candidates(spark):
+    """Members of a pair that agrees in enough positions share a side, whatever the pivot."""
+    import numpy as np
+    import pyarrow as pa
+    rng, least = np.random.default_rng(4), 84
+    pivot = rng.integers(0, 256, N.WIDTH, np.uint8)
+    pairs = []
+    for _ in range(3000):
+        one = np.where(rng.random(N.WIDTH) < rng.random(), pivot, rng.integers(0, 256, N.WIDTH, np.uint8))
+        two = one.copy()
+        two[rng.permutation(N.POSITIONS)[:N.POSITIONS - least]] = rng.integers(0, 256)
+        pairs += [one.tobytes(), two.tobytes()]
+    batch = pa.RecordBatch.from_pydict({"node": pa.array([7] * len(pairs), pa.int64()), "rep": pa.array(range(len(pairs)), pa.int64()), "sketch": pa.array(pairs, pa.binary()),
+                                        "p": pa.array([pivot.tobytes()] * len(pairs), pa.binary())})
+    side = {}
+    for out in N._sides(least)([batch]):
+        for node, rep in zip(out["node"].to_pylist(), out["rep"].to_pylist()):
+            side.setdefault(rep, set()).add(node)
+    assert all(side[i] & side[i + 1] for i in range(0, len(pairs), 2)) and any(len(side[i]) == 1 for i in side)
+
+
+def test_merged_components(spark):
+    from pluvio.llm.components import merged_components
+    rng = random.Random(9)
+    links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(240)]
+    known = components(spark.createDataFrame(links[:80], "a long, b long"))
+    for part in (links[80:160], links[160:], links[:5]):
+        known = merged_components(known, spark.createDataFrame(part, "a long, b long"))
+    want = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = [(r.id, r.component) for r in known.collect()]
+    assert len(got) == len(dict(got)) and {i: c for i, c in got if i in want and (i != c or want[i] != i)} == {i: c for i, c in want.items() if i != c}
