@@ -165,4 +165,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Every row is judged by its own doc_id and text, so of rows that share a doc_id, or have none, only contaminated ones go.
     """
     bad = _judged(docs.select("doc_id", "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("__bad"), F.col("tag").alias("__tag")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")) & (_tag(docs["text"]) == F.col("__tag")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]) & (_tag(docs["text"]) == bad["__tag"]), "left_anti")

@@ -77,3 +77,43 @@ def test_licenses_are_told_apart():
             "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\nEveryone is permitted to copy and distribute "
             "verbatim copies of this license document, but changing it is not allowed.": ["gpl-3.0-text"]}.items():
         assert names(text) == want, text
+
+
+def test_rows_of_signs_end():
+    """Ten thousand signs in a row, around and between words, and words that fit the allow-list in no or several ways."""
+    import time
+    allowed = re.compile(b"|".join(b"(?:%s)" % p for p in secrets.ALLOWED), re.S)
+    key = "aB3x9Q7kLmP2sT8v"
+    for sign in "-_=+/":
+        row = sign * 10_000
+        for text in (row, row + key, key + row, row + "aB3x9Q7" + row, ("A" + sign) * 5000 + "a1B2c3", ("Ab" + sign) * 5000 + "!", ("a1" + sign) * 3000, sign * 11 + key, sign * 20 + key + key):
+            start = time.perf_counter()
+            spans = secrets.find_spans(text, allowed)
+            assert time.perf_counter() - start < 0.1, (sign, len(text))
+            assert key + key not in text or spans
+    assert secrets.find_spans("0" * 3000 + " " + "ab" * 4000, allowed)[0][:2] == (0, 2)
+    dump = "\n".join(f"{i:032x}" for i in range(30_000))
+    start = time.perf_counter()
+    assert len(secrets.find_spans(dump, allowed)) >= 30_000 and time.perf_counter() - start < 5
+
+
+def test_rows_without_an_id_are_judged_alone(spark):
+    """A bad row without doc_id, or with the id of a good one, takes no good row with it."""
+    from pluvio.llm.decontaminate import clean_documents
+    from pluvio.llm.quality_model import trusted_documents
+    words = [f"word{i}" for i in range(40)]
+    leak = " ".join(words[:20])
+    clean = "nothing of the benchmark stands in this text at all , not even a part of it"
+    rows = [(None, leak, "en"), (None, clean, "en"), (None, clean + " more", "en"), (1, leak, "en"), (1, clean, "en"), (2, None, "en"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'t' as tag", "1 as __tag")
+    left = clean_documents(docs, spark.createDataFrame([("i", leak)], "item_id string, text string"))
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted((i or 0, t or "") for i, t, _ in rows if t != leak)
+
+    good = ["the quick brown fox jumps over the lazy dog and runs away into the old wood " * 3 + str(i) for i in range(200)]
+    trusted = [(i, t, "en") for i, t in enumerate(good)]
+    odd = [(None, "", "en"), (None, good[153], "en"), (None, None, "en"), (157, "", "en")]
+    docs = spark.createDataFrame(trusted + odd, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    kept = [(r.doc_id, r.text) for r in trusted_documents(docs, labels).collect()]
+    assert (153, good[153]) in kept and (None, good[153]) in kept and (157, good[157]) in kept  # the bad rows beside them go alone
+    assert not {(None, ""), (None, None), (157, "")} & set(kept)
