@@ -7,7 +7,7 @@ s share a given child with probability s, so they part at the root of all trees
 q = (1 - s + s * q) ** BRANCHES per tree at most, 9e-7 and 1e-5 over four trees.
 
 What moves is a sketch: the low bytes of all tokens, and the whole tokens of the roots' positions. Pairs that agree in
-clearly fewer positions than the threshold asks for are no candidates; all others are judged on their full sets.
+clearly fewer positions than the threshold asks for (five standard deviations) are no candidates; all others are judged on their full sets.
 
 Nodes with at most SMALL members are compared exhaustively, each by one task. Candidates that hang together are judged as one group
 when there are few; of many, such as hundreds of near copies, each is first judged with a leader that it is a candidate of, and
@@ -38,6 +38,7 @@ from pluvio.llm.words import mix, shingle_set
 POSITIONS, TREES, BRANCHES, MAX_DEPTH = 128, 4, 2, 12
 SMALL, FULL = 1024, 4096  # members of a node that one task compares; bound of the exhaustive comparison of larger ones
 GROUP, BLOCK = 64, 1024  # members judged together on their full sets; members of a list of a large node
+DEVIATIONS = 5  # by which a pair at the threshold may agree in fewer positions: 3e-7 do so, as few as the trees lose
 LEAD = TREES * BRANCHES
 WIDTH = POSITIONS + 4 * LEAD
 
@@ -428,7 +429,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     classes, same_ids = _classes(described)
     known = _Links(lambda groups: _verified(docs, classes, groups, k, num, den))
     known.add(same_ids)
-    least = int(POSITIONS * num / den - 6 * (POSITIONS * num / den * (1 - num / den)) ** 0.5)
+    least = int(POSITIONS * num / den - DEVIATIONS * (POSITIONS * num / den * (1 - num / den)) ** 0.5)
 
     sketches = classes.select("rep", "copies", F.lit(0).alias("large"), "sketch")
     members = arrow_map(classes.select("rep", "sketch"), _root_children, "node long, slot int, rep long")
