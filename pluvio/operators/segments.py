@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pluvio.functions import arrays as A
 from pluvio.functions.kernels import add_noise
-from pluvio.functions.scalars import as_col, hash_int, hash_unit, seeded_hash
+from pluvio.functions.scalars import hash_int, hash_unit, seeded_hash
 from pluvio.operators.ranks import HOT_ROWS, number_rows
 
 # Ranges of the random draws.

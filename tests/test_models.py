@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import functions as F
 
 from pluvio.operators import models as M
 from pluvio.operators.boosting import BoostedTrees, Tree, binned, softmax
