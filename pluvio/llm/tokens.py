@@ -17,7 +17,7 @@ from pluvio.llm.common import arrow_map
 
 CACHE = 300_000  # pre-tokens in each of a worker's two generations of remembered results
 #: Texts of these characters are split here; a text with any other character goes to the library as a whole.
-#: tests/llm/test_tokens.py holds every one of them against the library.
+#: tests/llm/test_text_operators.py holds every one of them against the library.
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u0148\u014a-\u017e"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPACES = "\\t\\n\\r "

@@ -117,3 +117,37 @@ def test_rows_without_an_id_are_judged_alone(spark):
     kept = [(r.doc_id, r.text) for r in trusted_documents(docs, labels).collect()]
     assert (153, good[153]) in kept and (None, good[153]) in kept and (157, good[157]) in kept  # the bad rows beside them go alone
     assert not {(None, ""), (None, None), (157, "")} & set(kept)
+
+
+def test_kneser_ney_against_a_plain_model(spark):
+    """The same probabilities from dictionaries: continuation counts, three discounts an order, interpolation down to equal chances."""
+    from collections import Counter
+
+    from pluvio.llm.quality_model import kneser_ney
+    rng = np.random.default_rng(12)
+    text = rng.choice(6, 900, p=[0.4, 0.25, 0.15, 0.1, 0.07, 0.03]).tolist()
+    whole = Counter(tuple(text[i:i + 4]) for i in range(len(text) - 3))
+    tables = {4: whole}
+    for order in (3, 2, 1):
+        tables[order] = Counter(g[1:] for g in tables[order + 1])
+    code = lambda gram: int(sum(c * 64 ** i for i, c in enumerate(reversed(gram))))
+    want, below = [], {(): 1 / 64}
+    for order in range(1, 5):
+        n = Counter(tables[order].values())
+        if n[1] and n[2]:
+            y = n[1] / (n[1] + 2 * n[2])
+            raw = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 0.9]
+            take = [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
+        else:
+            take = [0.5, 0.75, 0.9]
+        total, lost = Counter(), Counter()
+        for gram, c in tables[order].items():
+            total[gram[:-1]] += c
+            lost[gram[:-1]] += take[min(c, 3) - 1]
+        now = {g: (c - take[min(c, 3) - 1]) / total[g[:-1]] + lost[g[:-1]] / total[g[:-1]] * below[g[1:] if order > 1 else ()] for g, c in tables[order].items()}
+        want.append({code(g): p for g, p in now.items()})
+        below = now
+    counts = spark.createDataFrame([(code(g), c) for g, c in whole.items()], "gram long, n long")
+    for (seen, _), plain in zip(kneser_ney(counts), want):
+        got = {r.gram: r.p for r in seen.collect()}
+        assert got.keys() == plain.keys() and all(abs(got[g] - p) < 1e-12 for g, p in plain.items())
