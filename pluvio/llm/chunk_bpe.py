@@ -1,17 +1,19 @@
 """BPE encoding by content-defined chunks, and decoding.
 
 A rolling hash over 16 bytes cuts texts where their content says so, so that passages that documents share are cut alike
-wherever they stand. Chunks that occur more than once in the whole table are encoded once; texts that hold
-any of them are put together from these ids, and the words that a cut went through are encoded again, in windows that grow until
-the ids on both sides agree with those of the chunks. Texts without a shared chunk are encoded where they are.
+wherever they stand. Chunks that occur more than once in the whole table are encoded once. A text that holds any of them takes
+their ids; between two chunks the word that the cut went through is encoded again, in a window that grows to the next blank
+on either side, over further chunks if need be, and the ids of a chunk are used only as far as they agree with those of its own
+cut words. Texts without a shared chunk are encoded where they are, and so are the stretches between shared chunks.
 
-Which chunks are shared is counted over all documents by 64-bit marks. Before any text is moved, tasks test their chunks in a
+Which chunks are shared is counted over all documents by 64-bit marks. Before anything is moved, tasks test their chunks in a
 bit table of the shared marks, of eight bits a mark and MOST_BITS in all; a fuller table lets more chunks
-and texts through and changes no result. Ids are taken over only for a chunk of the same 128-bit digest.
+through and changes no result. Ids are taken over only for a chunk whose 128-bit digest is the same. No text moves but that of
+the shared chunks, once a task; ids move in 16 bits where the vocabulary allows.
 
 A text's ids are those of its parts between ASCII blanks, one after another: no token, special string or
-composed character spans a blank, and the file's normaliser and its pre-tokens look at nothing beyond one. So a window that begins and
-ends at blanks and agrees in whole words on both sides is exact.
+composed character spans a blank, and the file's normaliser and its pre-tokens look at nothing beyond one. So ids that end or begin
+at a blank are those of the whole text.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ BLOCK = 1 << 20  # bytes hashed at once
 BITS_A_MARK, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 27  # 16 MB at most, whatever the corpus
 SEEN = 1 << 18  # chunks that a task remembers to have handed on; a forgotten one goes out again
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) << np.uint64(17))
-_LAST_WORDS, _FIRST_WORDS = re.compile(rb"[\x20\x09-\x0D]+[^\x20\x09-\x0D]*"), re.compile(rb"[^\x20\x09-\x0D]*[\x20\x09-\x0D]+")
+_blank = re.compile(rb"[\x20\x09-\x0D]").search
 
 
 def _rolled(data: bytes) -> np.ndarray:
@@ -70,6 +72,10 @@ def _mark(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
+def _rest(digest: bytes) -> int:
+    return int.from_bytes(digest[8:], "little", signed=True)
+
+
 def _key(text: str) -> int:
     return _mark(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest())
 
@@ -88,10 +94,10 @@ class Shared:
     def __init__(self, broadcast, bits: int):
         self.broadcast, self.bits, self.table = broadcast, bits, None
 
-    def __call__(self, digest: bytes) -> bool:
+    def __call__(self, mark: int) -> bool:
         if self.table is None:
             self.table = self.broadcast.value
-        slot = _mark(digest) & self.bits - 1
+        slot = mark & self.bits - 1
         return bool(self.table[slot >> 3] >> (slot & 7) & 1)
 
     def __getstate__(self):
@@ -111,81 +117,90 @@ def _bit_table(shared: DataFrame) -> Shared:
 
 
 def _shared_chunks(is_shared: Shared):
-    """(mark, chunk) of the chunks that may be shared, each once as long as the task remembers it."""
+    """(mark, rest, chunk) of the chunks that may be shared, each once as long as the task remembers it."""
     def run(batches):
         seen: set[bytes] = set()
         for batch in batches:
-            marks, found = [], []
+            digests, found = [], []
             for text in batch["text"].to_pylist():
                 for chunk, digest in chunks(text):
-                    if digest not in seen and is_shared(digest):
+                    if digest not in seen and is_shared(_mark(digest)):
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(digest)
-                        marks.append(_mark(digest))
+                        digests.append(digest)
                         found.append(chunk)
-            yield pa.RecordBatch.from_pydict({"mark": pa.array(marks, pa.int64()), "chunk": pa.array(found, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"mark": pa.array(map(_mark, digests), pa.int64()), "rest": pa.array(map(_rest, digests), pa.int64()), "chunk": pa.array(found, pa.binary())})
     return run
 
 
-def _encode_chunks(path: str):
+def _shared_places(is_shared: Shared):
+    """(key, mark) of a text's chunks that may be shared."""
     def run(batches):
-        encode = encoder(path)
         for batch in batches:
-            texts = batch["chunk"].to_pylist()
-            yield pa.RecordBatch.from_pydict({"mark": batch["mark"], "digest": pa.array([hashlib.blake2b(c, digest_size=16).digest() for c in texts], pa.binary()),
-                                              "ids": pa.array([encode(c.decode()) for c in texts], pa.binary())})
+            keys, marks = [], []
+            for key, own in zip(batch["key"].to_pylist(), batch["marks"].to_pylist()):
+                some = {m for m in own if is_shared(m)}
+                keys += [key] * len(some)
+                marks += some
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "mark": pa.array(marks, pa.int64())})
     return run
 
 
-class Piece:
-    """A stretch of a text and the ids of that stretch by itself."""
-
-    def __init__(self, data: bytes, ids: bytes):
-        self.data, self.ids = data, ids
+@lru_cache(maxsize=2)
+def _short(path: str):
+    """(encode, kind): ids as bytes of 16 bits where the vocabulary allows, else of 32."""
+    encode, kind = encoder(path), "<u2" if max(library(path).get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4"
+    if kind == "<u4":
+        return lambda data: encode(data.decode()), kind
+    return lambda data: np.frombuffer(encode(data.decode()), "<u4").astype("<u2").tobytes(), kind
 
 
-def _join(left: Piece, right: Piece, encode: Callable[[str], bytes]) -> Piece:
-    """The piece of both: the words around the cut are encoded again, more of them until both sides agree."""
-    of = lambda data: encode(data.decode())
-    blanks_left, blanks_right = [m.start() for m in _LAST_WORDS.finditer(left.data[-4096:])], [m.end() for m in _FIRST_WORDS.finditer(right.data[:4096])]
-    skipped, words = max(0, len(left.data) - 4096), 2
-    while words <= min(len(blanks_left), len(blanks_right)):
-        start, end = skipped + blanks_left[-words], blanks_right[words - 1]
-        window = of(left.data[start:] + right.data[:end])
-        whole_left, whole_right = of(left.data[start:skipped + blanks_left[-1]]), of(right.data[blanks_right[0]:end])
-        own_left, own_right = of(left.data[start:]), of(right.data[:end])
-        if window.startswith(whole_left) and window.endswith(whole_right) and left.ids.endswith(own_left) and right.ids.startswith(own_right):
-            return Piece(left.data + right.data, left.ids[:len(left.ids) - len(own_left)] + window + right.ids[len(own_right):])
-        words *= 2
-    return Piece(left.data + right.data, of(left.data + right.data))  # a side without so many blanks: the window is both pieces
+def _encode_chunks(path: str):
+    def run(batches):
+        encode, _ = _short(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"mark": batch["mark"], "rest": batch["rest"], "ids": pa.array([encode(c) for c in batch["chunk"].to_pylist()], pa.binary())})
+    return run
 
 
-def assemble(text: str, known: dict[bytes, bytes], encode: Callable[[str], bytes]) -> bytes:
-    """Ids of a text from those of its `known` chunks, by digest; the stretches between these are encoded here.
+def plan(found: list[tuple[bytes, bytes]], is_shared: Callable[[int], bool], encode: Callable[[bytes], bytes]) -> list[dict]:
+    """How a text's ids are put together: `ids` that are known here, and shared chunks by `rest` with the ids of their cut words.
 
-    Pieces are joined in pairs, pairs of pairs and so on, so that every byte is copied a logarithmic number of times.
+    The cut words around a shared chunk are encoded with what stands beyond the cut; `head` and `tail` are the ids that they have in the chunk.
     """
-    pieces, own = [], []
-    for chunk, digest in chunks(text):
-        ids = known.get(digest)
-        if ids is None:
-            own.append(chunk)
+    parts, open_window = [], []
+    for chunk, digest in found:
+        first = _blank(chunk) if is_shared(_mark(digest)) else None
+        if first is None:  # not shared, or without a blank: the window grows over it
+            open_window.append(chunk)
             continue
-        if own:
-            pieces.append(Piece(b"".join(own), encode(b"".join(own).decode())))
-            own = []
-        pieces.append(Piece(chunk, ids))
-    if own:
-        pieces.append(Piece(b"".join(own), encode(b"".join(own).decode())))
-    while len(pieces) > 1:
-        pieces = [_join(*pieces[i:i + 2], encode) if i + 1 < len(pieces) else pieces[i] for i in range(0, len(pieces), 2)]
-    return pieces[0].ids if pieces else b""
+        last = len(chunk) - _blank(chunk[::-1]).start()
+        head, tail = chunk[:first.start()], chunk[last:]
+        parts.append({"ids": encode(b"".join([*open_window, head]))})
+        parts.append({"mark": _mark(digest), "rest": _rest(digest), "head": encode(head), "tail": encode(tail)})
+        open_window = [tail]
+    return parts + [{"ids": encode(b"".join(open_window))}]
+
+
+def assemble(parts: list[dict], known: dict[tuple[int, int], bytes]) -> bytes:
+    """The ids of a text from its plan and the ids of the shared chunks by mark and rest."""
+    out = []
+    for part in parts:
+        if part.get("mark") is None:
+            out.append(part["ids"])
+            continue
+        ids, head, tail = known[part["mark"], part["rest"]], part["head"], part["tail"]
+        if not (ids.startswith(head) and ids.endswith(tail) and len(head) + len(tail) <= len(ids)):
+            raise ValueError("a chunk's ids do not agree with those of its cut words")
+        out.append(ids[len(head):len(ids) - len(tail)])
+    return b"".join(out)
 
 
-def _ids_column(found: list[bytes]) -> pa.Array:
-    lengths = np.array([len(ids) // 4 for ids in found], np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32)))
+def _ids_column(found: list[bytes], kind: str) -> pa.Array:
+    width = int(kind[-1])
+    lengths = np.array([len(ids) // width for ids in found], np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(np.frombuffer(b"".join(found), kind).astype(np.int32)))
 
 
 def _encode_alone(path: str, is_shared: Shared):
@@ -194,28 +209,39 @@ def _encode_alone(path: str, is_shared: Shared):
         encode = encoder(path)
         for batch in batches:
             texts = batch["text"].to_pylist()
-            alone = [i for i, t in enumerate(texts) if not any(is_shared(d) for _, d in chunks(t))]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].take(pa.array(alone, pa.int64())), "ids": _ids_column([encode(texts[i] or "") for i in alone])})
+            alone = [i for i, t in enumerate(texts) if not any(is_shared(_mark(d)) for _, d in chunks(t))]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].take(pa.array(alone, pa.int64())), "ids": _ids_column([encode(texts[i] or "") for i in alone], "<u4")})
     return run
 
 
-def _with_shared(is_shared: Shared):
-    """The other rows, with the key of their text."""
+_PARTS = "array<struct<mark:bigint,rest:bigint,head:binary,tail:binary,ids:binary>>"
+_PART_TYPE = pa.list_(pa.struct([("mark", pa.int64()), ("rest", pa.int64()), ("head", pa.binary()), ("tail", pa.binary()), ("ids", pa.binary())]))
+
+
+def _plan_shared(path: str, is_shared: Shared):
+    """The other rows: the key of the text and its plan."""
     def run(batches):
+        encode, _ = _short(path)
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            some = pa.array([i for i, t in enumerate(texts) if any(is_shared(d) for _, d in chunks(t))], pa.int64())
-            rows = batch.take(some)
-            yield pa.RecordBatch.from_pydict({"doc_id": rows["doc_id"], "text": rows["text"], "key": pa.array([_key(t) for t in rows["text"].to_pylist()], pa.int64())})
+            ids, keys, plans = [], [], []
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+                found = chunks(text)
+                if any(is_shared(_mark(d)) for _, d in found):
+                    ids.append(doc_id)
+                    keys.append(_key(text))
+                    plans.append(plan(found, is_shared, encode))
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()), "plan": pa.array(plans, _PART_TYPE)})
     return run
 
 
 def _assemble_rows(path: str):
     def run(batches):
-        encode = encoder(path)
+        _, kind = _short(path)
         for batch in batches:
-            found = [assemble(text, {p["digest"]: p["ids"] for p in parts or ()}, encode) for text, parts in zip(batch["text"].to_pylist(), batch["parts"].to_pylist())]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "ids": _ids_column(found)})
+            found = []
+            for own, shared in zip(batch["plan"].to_pylist(), batch["parts"].to_pylist()):
+                found.append(assemble(own, {(p["mark"], p["rest"]): p["ids"] for p in shared or ()}))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "ids": _ids_column(found, kind)})
     return run
 
 
@@ -230,14 +256,15 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     marked = staged(arrow_map(rows.select("text"), _marks, "key long, marks array<long>"), "marks")
     shared = staged(marked.select(F.explode("marks").alias("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark"), "shared")
     is_shared = _bit_table(shared)
-    handed = arrow_map(rows.select("text"), _shared_chunks(is_shared), "mark long, chunk binary").join(shared, "mark")
-    once = handed.groupBy("mark").agg(F.first("chunk").alias("chunk"))
-    encoded = staged(arrow_map(once, _encode_chunks(path), "mark long, digest binary, ids binary"), "encoded")
-    places = marked.groupBy("key").agg(F.first("marks").alias("marks")).select("key", F.explode(F.array_distinct("marks")).alias("mark"))
-    parts = places.join(encoded, "mark").groupBy("key").agg(F.collect_list(F.struct("digest", "ids")).alias("parts"))
-    joined = arrow_map(rows, _with_shared(is_shared), "doc_id long, text string, key long").join(parts, "key", "left")
+    handed = arrow_map(rows.select("text"), _shared_chunks(is_shared), "mark long, rest long, chunk binary")
+    once = handed.groupBy("mark", "rest").agg(F.first("chunk").alias("chunk"))
+    encoded = staged(arrow_map(once, _encode_chunks(path), "mark long, rest long, ids binary"), "encoded")
+    texts = marked.groupBy("key").agg(F.first("marks").alias("marks"))
+    places = arrow_map(texts, _shared_places(is_shared), "key long, mark long")
+    parts = places.join(encoded, "mark").groupBy("key").agg(F.collect_list(F.struct("mark", "rest", "ids")).alias("parts"))
+    planned = arrow_map(rows, _plan_shared(path, is_shared), f"doc_id long, key long, plan {_PARTS}").join(parts, "key", "left")
     return (arrow_map(rows, _encode_alone(path, is_shared), "doc_id long, ids array<int>")
-            .union(arrow_map(joined.select("doc_id", "text", "parts"), _assemble_rows(path), "doc_id long, ids array<int>")))
+            .union(arrow_map(planned.select("doc_id", "plan", "parts"), _assemble_rows(path), "doc_id long, ids array<int>")))
 
 
 @lru_cache(maxsize=2)

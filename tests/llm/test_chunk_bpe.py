@@ -7,8 +7,7 @@ from conftest import EDGE, LONG
 from tokenizers import Tokenizer
 
 from pluvio.llm import chunk_bpe
-from pluvio.llm.chunk_bpe import assemble, chunk_bounds, chunks, decode_documents, encode_documents, token_digests
-from pluvio.llm.tokens import encoder
+from pluvio.llm.chunk_bpe import assemble, chunk_bounds, chunks, decode_documents, encode_documents, plan, token_digests
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -46,18 +45,24 @@ def test_cuts_follow_the_content():
         chunk_bpe.BLOCK = chunk_bpe_block
 
 
+def assembled(text, every):
+    """The ids of a text of which every so manieth chunk is shared."""
+    encode, kind = chunk_bpe._short(PATH)
+    found = chunks(text)
+    some = {chunk_bpe._mark(d) for _, d in found[::every]}
+    known = {(chunk_bpe._mark(d), chunk_bpe._rest(d)): encode(c) for c, d in found}
+    return np.frombuffer(assemble(plan(found, some.__contains__, encode), known), kind).tolist()
+
+
 def test_assembled_ids_equal_the_library(library):
-    encode = encoder(PATH)
     for text in hard_texts():
-        parts = chunks(text)
-        assert b"".join(c for c, _ in parts).decode() == text
-        want = ids_of(library, text)
+        assert b"".join(c for c, _ in chunks(text)).decode() == text
         for every in (1, 2, 3):
-            known = {d: encode(c.decode()) for c, d in parts[::every]}
-            assert np.frombuffer(assemble(text, known, encode), "<u4").tolist() == want
+            assert assembled(text, every) == ids_of(library, text)
     text = " ".join(f"Wörd{i} don't" for i in range(3000)) + "x" * 9000 + " end"
-    known = {d: encode(c.decode()) for c, d in chunks(text)}
-    assert len(known) > 50 and np.frombuffer(assemble(text, known, encode), "<u4").tolist() == ids_of(library, text)
+    assert len(chunks(text)) > 50 and assembled(text, 1) == assembled(text, 2) == ids_of(library, text)
+    with pytest.raises(ValueError):
+        assemble([{"mark": 1, "rest": 2, "head": b"ab", "tail": b""}], {(1, 2): b"cdef"})
 
 
 def test_query_against_the_library(spark, library):
@@ -83,7 +88,7 @@ def test_edge_cases(spark, edge, nothing, library):
 
 def test_full_bit_table_and_equal_keys_change_nothing(spark, library, monkeypatch):
     """Every chunk passes as shared, and all texts share one key: only work changes."""
-    monkeypatch.setattr(chunk_bpe.Shared, "__call__", lambda self, digest: True)
+    monkeypatch.setattr(chunk_bpe.Shared, "__call__", lambda self, mark: True)
     texts = [LONG[:20000], "Some line that two texts hold, " * 40 + "end", "x " + "Some line that two texts hold, " * 40, None, "", LONG[5000:20000]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted((r.doc_id, r.ids) for r in encode_documents(docs, PATH).collect()) == [(i, ids_of(library, t)) for i, t in enumerate(texts)]
