@@ -1,6 +1,6 @@
 """BPE encoding by content-defined chunks, and decoding.
 
-A rolling hash over 16 bytes cuts texts where their content says so, so that passages that documents share are cut alike
+A rolling hash over 8 bytes cuts texts where their content says so, so that passages that documents share are cut alike
 wherever they stand. Chunks that occur more than once in the whole table are encoded once. A text that holds any of them takes
 their ids; between two chunks the word that the cut went through is encoded again, in a window that grows to the next blank
 on either side, over further chunks if need be, and the ids of a chunk are used only as far as they agree with those of its own
@@ -32,19 +32,19 @@ from pluvio.llm.common import arrow_map, staged
 from pluvio.llm.tokens import encoder, library
 from pluvio.llm.words import mix
 
-CUT_BITS, LEAST_BYTES = 8, 64  # a cut follows one of 2 ** CUT_BITS windows, this far from the cut before
+CUT_BITS, LEAST_BYTES = 9, 64  # a cut follows one of 2 ** CUT_BITS windows, this far from the cut before
 BLOCK = 1 << 20  # bytes hashed at once
 BITS_A_MARK, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 27  # 16 MB at most, whatever the corpus
 SEEN = 1 << 18  # chunks that a task remembers to have handed on; a forgotten one goes out again
-_GEAR = mix(np.arange(1, 257, dtype=np.uint64) << np.uint64(17))
+_GEAR = (mix(np.arange(1, 257, dtype=np.uint64) << np.uint64(17)) >> np.uint64(32)).astype(np.uint32)
 _blank = re.compile(rb"[\x20\x09-\x0D]").search
 
 
 def _rolled(data: bytes) -> np.ndarray:
-    """For each byte the hash of the 16 bytes that end with it, four bits a byte further on."""
+    """For each byte the hash of the 8 bytes that end with it, four bits a byte further on."""
     h = _GEAR[np.frombuffer(data, np.uint8)]
-    for step in (1, 2, 4, 8):
-        h[step:] = h[step:] + (h[:-step] << np.uint64(4 * step))
+    for step in (1, 2, 4):
+        h[step:] = h[step:] + (h[:-step] << np.uint32(4 * step))
     return h
 
 
@@ -52,9 +52,9 @@ def chunk_bounds(data: bytes) -> list[int]:
     """0, the cuts of UTF-8 bytes, and their length; cuts are between characters."""
     bounds = [0]
     for at in range(0, len(data), BLOCK):
-        before = min(at, 15)
+        before = min(at, 7)
         part = data[at - before:at + BLOCK]
-        hit = at - before + 1 + np.flatnonzero(_rolled(part) >> np.uint64(64 - CUT_BITS) == 0)
+        hit = at - before + 1 + np.flatnonzero(_rolled(part) < np.uint32(1 << 32 - CUT_BITS))
         for end in hit[hit > at].tolist():
             if LEAST_BYTES <= end - bounds[-1] and end < len(data) and data[end] & 0xC0 != 0x80:
                 bounds.append(end)
