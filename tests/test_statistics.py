@@ -250,6 +250,37 @@ def test_flat_map(spark):
         flat_map_rows(df, fn, "n int", "ignore")
 
 
+def test_flat_map_retries_in_parts_over_all_cores(spark):
+    import os
+    import pandas as pd
+    calls = spark.sparkContext.accumulator(0)
+
+    def fn(rows):
+        calls.add(1)
+        if (rows["id"] % 100 == 7).any():
+            raise ValueError(f"row {rows['id'].iloc[0]}" if len(rows) == 1 else "some row")
+        return pd.DataFrame({"id": rows["id"], "task": os.getpid()})[rows["id"] % 3 > 0]
+
+    df = spark.range(0, 4000, 1, 1)
+    rows = flat_map_rows(df, fn, "id long, task long", "capture").collect()
+    bad = [i for i in range(4000) if i % 100 == 7]
+    assert sorted(r["id"] for r in rows if r["_error"] is None) == [i for i in range(4000) if i % 3 and i not in bad]
+    assert sorted(r["_error"] for r in rows if r["_error"]) == sorted(f"ValueError: row {i}" for i in bad)
+    assert len({r["task"] for r in rows if r["task"]}) > 1  # one task had all of them
+    assert calls.value < 2000  # single rows would be 4001
+    assert flat_map_rows(df, fn, "id long, task long", "skip").count() == len(rows) - len(bad)
+
+
+def test_flat_map_keeps_large_numbers_beside_nulls(spark):
+    def fn(rows):
+        if len(rows) > 1:
+            raise ValueError("one by one")
+        return rows.assign(id=float("nan")) if rows["id"].iloc[0] % 2 else rows
+
+    rows = flat_map_rows(spark.range(2**60, 2**60 + 6, 1, 1), fn, "id long", "skip", 1).collect()
+    assert sorted(r["id"] for r in rows if r["id"] is not None) == [2**60, 2**60 + 2, 2**60 + 4] and len(rows) == 6
+
+
 def test_label_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         T.read_labels(spark, str(tmp_path / "none.csv"))
