@@ -38,6 +38,7 @@ from pluvio.llm.words import mix, shingle_set
 POSITIONS, TREES, BRANCHES, MAX_DEPTH = 128, 4, 2, 12
 SMALL, FULL = 1024, 4096  # members of a node that one task compares; bound of the exhaustive comparison of larger ones
 GROUP, BLOCK = 64, 1024  # members judged together on their full sets; members of a list of a large node
+SQUARE = 256  # members of each side of a square of a large node's candidates, where these hang together
 DEVIATIONS = 5  # by which a pair at the threshold may agree in fewer positions: 3e-7 do so, as few as the trees lose
 LEAD = TREES * BRANCHES
 WIDTH = POSITIONS + 4 * LEAD
@@ -173,6 +174,30 @@ def _stars(linked: np.ndarray, some: np.ndarray, size: int):
             yield np.append(ball[at:at + size - 1], leader)
 
 
+def _joined(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the lines and the columns of candidate pairs the least line that they hang together with; all have a candidate."""
+    line = np.arange(len(close))
+    while True:
+        column = np.where(close, line[:, None], len(line)).min(0, initial=len(line))
+        new = np.minimum(np.where(close, column[None, :], len(line)).min(1, initial=len(line)), line)
+        if (new == line).all():
+            return line, column
+        line = new
+
+
+def _rectangles(rep: np.ndarray, other: np.ndarray, close: np.ndarray, size: int):
+    """Groups that hold all candidate pairs of two lists: what hangs together is one, or squares of `size` where it is larger.
+
+    Families that share a node thus meet themselves only; squares over all members would grow with the product of the lists.
+    """
+    i, j = np.flatnonzero(close.any(1)), np.flatnonzero(close.any(0))
+    rep, other, close = rep[i], other[j], close[np.ix_(i, j)]
+    line, column = _joined(close)
+    for root in np.unique(line):
+        own, its = np.flatnonzero(line == root), np.flatnonzero(column == root)
+        yield from _squares(rep[own], other[its], close[np.ix_(own, its)], size)
+
+
 def _squares(rep: np.ndarray, other: np.ndarray, close: np.ndarray, size: int):
     """Groups that hold all candidate pairs, by squares of the members that have any."""
     i, j = np.flatnonzero(close.any(1)), np.flatnonzero(close.any(0))
@@ -225,7 +250,7 @@ def _between(least: int, size: int):
             groups = []
             for rows in (batch.slice(i, 8) for i in range(0, len(batch), 8)):
                 for members, others in zip(_lists(rows["members"]), _lists(rows["others"])):
-                    groups += _squares(members[0], others[0], _candidates(members, others, 0, least), size)
+                    groups += _rectangles(members[0], others[0], _candidates(members, others, 0, least), size)
             yield _batch_of(groups, open=pa.nulls(len(groups), pa.int64()))
     return run
 
@@ -246,7 +271,7 @@ def _pivot_pairs(least: int, size: int):
 
 
 def _sides(least: int):
-    """(node, rep, sketch) with the node of the near side, the far side or both, by the agreement of `sketch` and the pivot's `p`."""
+    """The rows, with the node of the near side, the far side or both, by the agreement of `sketch` and the pivot's `p`."""
     far = least - 4
     near = far - (POSITIONS - least)
 
@@ -258,7 +283,7 @@ def _sides(least: int):
                 parts = [(agree >= near, np.uint64(0x8CB92BA72F3D8DD7)), (agree <= far, np.uint64(0xABCC5167CCAD925F))]
                 both = pa.array(np.concatenate([np.flatnonzero(own) for own, _ in parts]))
                 yield pa.RecordBatch.from_pydict({"node": np.concatenate([mix(node[own] + by).view(np.int64) for own, by in parts]),
-                                                  "rep": batch["rep"].take(both), "sketch": batch["sketch"].take(both)})
+                                                  **{c: batch[c].take(both) for c in ("rep", "comp", "sketch") if c in batch.schema.names}})
     return run
 
 
@@ -382,13 +407,14 @@ def _compare_large(members: DataFrame, sketches: DataFrame, known: _Links, least
     chunks = _listed(_chunk(known.of(rows).withColumn("large", no_slot), F.col("n")), "node", "block").join(listed, "node")
     known.judged(staged(arrow_map(chunks.select("members", "others"), _pivot_pairs(least, GROUP), _CANDIDATES), "groups"))
 
-    sided = rows.select("node", "rep", "sketch").join(best.select("node", F.col("one.sketch").alias("p")), "node")
-    seen = staged(known.of(arrow_map(sided, _sides(least), "node long, rep long, sketch binary")).withColumn("large", no_slot), "seen")
+    sided = known.of(rows.select("node", "rep", "sketch")).join(best.select("node", F.col("one.sketch").alias("p")), "node")
+    sided = sided.select("node", "rep", "comp", "sketch", "p")  # with components already: a member of both sides asks for its own once
+    seen = staged(arrow_map(sided, _sides(least), "node long, rep long, comp long, sketch binary").withColumn("large", no_slot), "seen")
     some = seen.join(_sizes(seen), "node")
     cheap = F.lit(True) if deepest else F.col("outside") * (F.col("outside") + F.col("inside")) <= FULL * FULL
     outsiders = _listed(_chunk(some.where(cheap & (F.col("comp") != F.col("top"))), F.col("outside")), "node", "block", name="others").drop("block")
     chunks = _listed(_chunk(some.where(cheap), F.col("outside") + F.col("inside")), "node", "block").join(outsiders, "node")
-    known.judged(staged(arrow_map(chunks.select("members", "others"), _between(least, GROUP), _CANDIDATES), "groups"))
+    known.judged(staged(arrow_map(chunks.select("members", "others"), _between(least, SQUARE), _CANDIDATES), "groups"))
     if deepest:
         return None
     left = staged(some.where(~cheap).select("node", "rep", "sketch"), "branching")

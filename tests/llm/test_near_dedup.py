@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pluvio.llm import near_dedup as N
@@ -153,3 +155,32 @@ def test_merged_components(spark):
     want = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     got = [(r.id, r.component) for r in known.collect()]
     assert len(got) == len(dict(got)) and {i: c for i, c in got if i in want and (i != c or want[i] != i)} == {i: c for i, c in want.items() if i != c}
+
+
+def test_families_of_a_node_meet_themselves_only():
+    families, each = 20, 16
+    a, b = np.arange(families * each), 10_000 + np.arange(families * each)
+    close = (a % families)[:, None] == (a % families)[None, :]
+    groups = list(N._rectangles(a, b, close, 64))
+    assert sum(map(len, groups)) == 2 * families * each  # squares in the order of the lists: five times as many
+    met = np.zeros_like(close)
+    for g in groups:
+        met[np.ix_(g[g < 10_000], g[g >= 10_000] - 10_000)] = True
+    assert (met == close).all()
+    rng = np.random.default_rng(5)
+    for share, size in ((0.001, 8), (0.01, 8), (0.3, 16), (1.0, 7), (0.0, 4)):
+        close, met = rng.random((120, 90)) < share, np.zeros((120, 90), bool)
+        for g in N._rectangles(np.arange(120), 1000 + np.arange(90), close, size):
+            assert len(g) <= 2 * size
+            met[np.ix_(g[g < 1000], g[g >= 1000] - 1000)] = True
+        assert (met | ~close).all()
+
+
+def test_sides_carry_components():
+    sketch = np.zeros((2, N.WIDTH), np.uint8)
+    sketch[1] = 1
+    column = pa.array([row.tobytes() for row in sketch], pa.binary())
+    pivot = pa.array([sketch[0].tobytes()] * 2, pa.binary())
+    batch = pa.RecordBatch.from_pydict({"node": pa.array([5, 5]), "rep": pa.array([1, 2]), "comp": pa.array([8, 9]), "sketch": column, "p": pivot})
+    rows = [r for out in N._sides(88)([batch]) for r in out.to_pylist()]
+    assert sorted((r["rep"], r["comp"]) for r in rows) == [(1, 8), (2, 9)]
