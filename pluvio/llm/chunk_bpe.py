@@ -20,11 +20,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,11 +62,15 @@ def chunk_bounds(data: bytes) -> list[int]:
     return bounds + [len(data)] if data else [0]
 
 
-def chunks(text: str | None) -> list[tuple[bytes, bytes]]:
-    """(bytes, digest) of the chunks of a text; null and empty texts have none."""
+def _each_chunk(text: str | None) -> Iterator[tuple[bytes, bytes]]:
     data = (text or "").encode("utf-8", "replace")
     bounds = chunk_bounds(data)
-    return [(data[lo:hi], hashlib.blake2b(data[lo:hi], digest_size=16).digest()) for lo, hi in zip(bounds, bounds[1:])]
+    return ((data[lo:hi], hashlib.blake2b(data[lo:hi], digest_size=16).digest()) for lo, hi in zip(bounds, bounds[1:]))
+
+
+def chunks(text: str | None) -> list[tuple[bytes, bytes]]:
+    """(bytes, digest) of the chunks of a text; null and empty texts have none."""
+    return list(_each_chunk(text))
 
 
 def _mark(digest: bytes) -> int:
@@ -209,7 +214,7 @@ def _encode_alone(path: str, is_shared: Shared):
         encode = encoder(path)
         for batch in batches:
             texts = batch["text"].to_pylist()
-            alone = [i for i, t in enumerate(texts) if not any(is_shared(_mark(d)) for _, d in chunks(t))]
+            alone = [i for i, t in enumerate(texts) if not any(is_shared(_mark(d)) for _, d in _each_chunk(t))]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].take(pa.array(alone, pa.int64())), "ids": _ids_column([encode(texts[i] or "") for i in alone], "<u4")})
     return run
 
@@ -279,10 +284,14 @@ def _spelled(path: str) -> list[str]:
 
 def _decode(path: str):
     def run(batches):
-        spelled = _spelled(path)
+        spelled = pa.array(_spelled(path), pa.string())
         for batch in batches:
-            texts = [" ".join([spelled[i] for i in ids or ()]) for ids in batch["ids"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "ids": batch["ids"], "decoded": pa.array(texts, pa.string())})
+            lists = batch["ids"].fill_null([])
+            flat = lists.flatten()
+            if flat.null_count:
+                raise ValueError("a null is no id")
+            words = pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), spelled.take(flat))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "ids": batch["ids"], "decoded": pc.binary_join(words, " ")})
     return run
 
 

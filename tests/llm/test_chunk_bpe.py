@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import EDGE, LONG
 from tokenizers import Tokenizer
@@ -92,3 +93,41 @@ def test_full_bit_table_and_equal_keys_change_nothing(spark, library, monkeypatc
     texts = [LONG[:20000], "Some line that two texts hold, " * 40 + "end", "x " + "Some line that two texts hold, " * 40, None, "", LONG[5000:20000]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted((r.doc_id, r.ids) for r in encode_documents(docs, PATH).collect()) == [(i, ids_of(library, t)) for i, t in enumerate(texts)]
+
+
+def test_decode_makes_no_python_list_of_ids():
+    from pluvio.llm import chunk_bpe as C
+    spelled = C._spelled(PATH)
+    ids = [[5, 6, 7], [], None, list(range(300)), [0]]
+
+    class Column:  # an Arrow column that refuses to become Python numbers
+        def __init__(self, array):
+            self.array = array
+
+        def fill_null(self, value):
+            return self.array.fill_null(value)
+
+        def to_pylist(self):
+            raise AssertionError("ids as Python lists")
+
+        def __arrow_array__(self, type=None, **more):
+            return self.array
+
+    column = pa.array(ids, pa.list_(pa.int32()))
+    for lo, n in ((0, 5), (1, 4), (3, 0)):
+        batch = dict(doc_id=pa.array(range(n), pa.int64()), ids=Column(column.slice(lo, n)))
+        out = next(C._decode(PATH)([batch]))
+        assert out["decoded"].to_pylist() == [" ".join(spelled[i] for i in own or ()) for own in ids[lo:lo + n]]
+
+
+def test_alone_texts_stop_at_the_first_shared_chunk(monkeypatch):
+    from pluvio.llm import chunk_bpe as C
+    text, asked = " ".join(f"word{i}" for i in range(5000)), []
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1], pa.int64()), "text": [text]})
+    out = next(C._encode_alone(PATH, lambda mark: asked.append(mark) or True)([batch]))
+    assert out.num_rows == 0 and len(asked) == 1
+    digests = []
+    real = C.hashlib.blake2b
+    monkeypatch.setattr(C.hashlib, "blake2b", lambda *a, **k: digests.append(1) or real(*a, **k))
+    next(C._encode_alone(PATH, lambda mark: True)([batch]))
+    assert len(digests) == 1  # was one for every chunk
