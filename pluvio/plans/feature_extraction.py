@@ -96,7 +96,7 @@ def segment_summaries(recordings: DataFrame, cfg: MetricsConfig, duration: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             copies, rows, at = batch["copies"].flatten(), [], []
-            meta, draws, ends = copies.field("meta"), copies.field("draws").to_pylist(), np.cumsum(batch["copies"].value_lengths())
+            meta, draws, ends = copies.field("meta"), copies.field("draws"), np.cumsum(batch["copies"].value_lengths())
             first = 0
             for path, end in zip(batch["file_path"].to_pylist(), ends.tolist()):
                 try:
@@ -104,7 +104,7 @@ def segment_summaries(recordings: DataFrame, cfg: MetricsConfig, duration: float
                 except Exception as err:  # one bad recording must not end the job
                     x, error = None, K.reason(err)
                 for i in range(first, end):
-                    for row in segments(x, error, draws[i]):
+                    for row in segments(x, error, draws[i].as_py()):
                         rows.append(row)
                         at.append(i)
                         if len(rows) >= ROWS_PER_BATCH:

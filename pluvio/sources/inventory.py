@@ -35,6 +35,27 @@ def read_file(path: str) -> bytes:
         return stream.read()
 
 
+def _entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, str, int | None]]:
+    """(name, place, bytes) of the folders and files directly below a folder; a folder has None for bytes.
+
+    Local folders are read as they go, since one may hold any number of files.
+    """
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(folder) as entries:
+            for e in entries:
+                try:
+                    if e.is_dir():
+                        yield e.name, e.path, None
+                    elif e.is_file():
+                        yield e.name, e.path, e.stat().st_size
+                except FileNotFoundError:  # gone since it was listed
+                    continue
+        return
+    for e in system.get_file_info(fs.FileSelector(folder)):
+        if e.type in (fs.FileType.Directory, fs.FileType.File):
+            yield e.base_name, e.path, e.size if e.type == fs.FileType.File else None
+
+
 @dataclass
 class Folder(InputPartition):
     path: str
@@ -50,12 +71,11 @@ class InventoryReader(DataSourceReader):
         self.root, self.extensions = root, extensions
         self.location = location if location is not None else root.rstrip("/").rsplit("/", 1)[-1]
 
-    def _listed(self, system: fs.FileSystem, folder: str) -> tuple[list[str], list[tuple[str, str, int]]]:
-        """Folders and (name, place, bytes) of wanted files directly below a folder."""
-        entries = system.get_file_info(fs.FileSelector(folder))
-        folders = [e.path for e in entries if e.type == fs.FileType.Directory and not e.base_name.startswith(".")]
-        files = [(e.base_name, e.path, e.size) for e in entries if e.type == fs.FileType.File and e.base_name.lower().endswith(self.extensions)]
-        return folders, files
+    def _listed(self, system: fs.FileSystem, folder: str) -> Iterator[tuple[str, str, int | None]]:
+        """(name, place, bytes) of the folders, which have None for bytes, and the wanted files directly below a folder."""
+        for name, place, size in _entries(system, folder):
+            if not name.startswith(".") if size is None else name.lower().endswith(self.extensions):
+                yield name, place, size
 
     def partitions(self) -> list[Folder]:
         system, top, _ = open_path(self.root)
@@ -63,17 +83,18 @@ class InventoryReader(DataSourceReader):
         while waiting and len(plan) + len(waiting) < PLANNED_FOLDERS:
             folder = waiting.pop(0)
             plan.append(Folder(folder, False))
-            waiting += self._listed(system, folder)[0]
+            waiting += [place for _, place, size in self._listed(system, folder) if size is None]
         return plan + [Folder(folder, True) for folder in waiting]
 
     def read(self, partition: Folder) -> Iterator[tuple]:
         system, _, before = open_path(self.root)
         waiting = [partition.path]
         while waiting:
-            folders, files = self._listed(system, waiting.pop())
-            if partition.deep:
-                waiting += folders
-            for name, place, size in files:
+            for name, place, size in self._listed(system, waiting.pop()):
+                if size is None:
+                    if partition.deep:
+                        waiting.append(place)
+                    continue
                 suffix = re.search(r"\.[^.]+$", name)
                 yield name, before + place, suffix[0].lower() if suffix else "", self.location, size
 

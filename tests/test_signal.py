@@ -272,6 +272,25 @@ def test_walk_is_shared_out(spark, tmp_path, monkeypatch):
         assert len(found) == len(set(found)) == 24 and {r[2] for r in found} == {".wav", ".flac"} and len(reader.partitions()) >= min(most, 13) - 1
 
 
+def test_a_folder_is_not_held_whole(tmp_path):
+    import tracemalloc
+    from pluvio.sources import inventory as I
+    for i in range(5000):
+        (tmp_path / f"_{i:06d}.wav").touch()
+    (tmp_path / ".hidden").mkdir()
+    (tmp_path / "gone.wav").symlink_to(tmp_path / "nowhere")
+    reader = I.InventoryReader(str(tmp_path), (".wav",), None)
+    tracemalloc.start()
+    try:
+        parts = reader.partitions()
+        found = sum(1 for part in parts for _ in reader.read(part))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == 5000 and len(parts) == 1
+    assert peak < 500_000  # a list of all files takes more than 1 MB
+
+
 def test_catalog(spark, folder, tmp_path):
     root = str(tmp_path / "cat")
     assert CAT.load_catalog(spark, root).columns == ["audio_id", "file_name", "sample_rate", "file_path"]
