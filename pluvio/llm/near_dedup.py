@@ -1,12 +1,12 @@
 """Near-duplicate documents by a Chosen Path set similarity join.
 
-Every distinct shingle set gets POSITIONS minwise tokens. A tree node picks BRANCHES token positions from its own
-hash and sends each member to the child of its token there; TREES trees do so independently. Two sets of similarity
-s share a given child with probability s, so they part at the root of all trees with probability
-(1 - s) ** (TREES * BRANCHES): 2.6e-7 at 0.85, 2.6e-6 at 0.8. Deeper levels lose them with
-q = (1 - s + s * q) ** BRANCHES per tree at most, 9e-7 and 1e-5 over four trees.
+Every distinct shingle set gets POSITIONS minwise tokens. Each of TREES roots picks two token positions and sends each
+member to the child of its tokens there. Two sets of similarity s share such a child with probability s * s, so they part at
+all roots with probability (1 - s * s) ** TREES: 6e-8 at 0.85, 2e-6 at 0.8. One token alone is shared by more and more
+unrelated texts as the corpus grows, two are not. Deeper nodes pick BRANCHES positions from their own hash, one token a child, and
+lose a pair with q = (1 - s + s * q) ** BRANCHES at most, which makes (1 - s * s + s * s * q) ** TREES: 2e-7 and 7e-6.
 
-What moves is a sketch: the low bytes of all tokens, and the whole tokens of the roots' positions. Pairs that agree in
+What moves is a sketch: the low bytes of all tokens, and a hash of the tokens of each root. Pairs that agree in
 clearly fewer positions than the threshold asks for (five standard deviations) are no candidates; all others are judged on their full sets.
 
 Nodes with at most SMALL members are compared exhaustively, each by one task. Candidates that hang together are judged as one group
@@ -19,7 +19,7 @@ by at most the positions in which they may disagree, so that the near and the fa
 between them, and the pivot's group does not meet what is far from it. A side whose members are all connected is done; one whose
 members outside its largest component, times all its members, are at most FULL * FULL is compared exhaustively in blocks, and others
 branch on. At MAX_DEPTH all that is left is compared in blocks, so there is no cap. A pair that meets in several roots'
-children is put forward in the first of them that is not large.
+children is put forward in the first of them that does not branch on.
 """
 
 from __future__ import annotations
@@ -35,13 +35,12 @@ from pluvio.llm.common import arrow_map, is_empty, prefilter, staged
 from pluvio.llm.components import components, merged_components
 from pluvio.llm.words import mix, shingle_set
 
-POSITIONS, TREES, BRANCHES, MAX_DEPTH = 128, 4, 2, 12
+POSITIONS, TREES, BRANCHES, MAX_DEPTH = 128, 13, 2, 12
 SMALL, FULL = 1024, 4096  # members of a node that one task compares; bound of the exhaustive comparison of larger ones
 GROUP, BLOCK = 64, 1024  # members judged together on their full sets; members of a list of a large node
 SQUARE = 256  # members of each side of a square of a large node's candidates, where these hang together
 DEVIATIONS = 5  # by which a pair at the threshold may agree in fewer positions: 3e-7 do so, as few as the trees lose
-LEAD = TREES * BRANCHES
-WIDTH = POSITIONS + 4 * LEAD
+WIDTH = POSITIONS + 4 * TREES
 
 
 def _multipliers() -> np.ndarray:
@@ -67,7 +66,7 @@ def _describe(k: int):
                 tokens = _tokens(found)
                 out["n_shingles"].append(len(found))
                 out["key"].append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                out["sketch"].append((tokens & 0xFF).astype(np.uint8).tobytes() + tokens[_ROOTS].tobytes() if len(found) else b"")
+                out["sketch"].append((tokens & 0xFF).astype(np.uint8).tobytes() + _leads(tokens).tobytes() if len(found) else b"")
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "tag": batch["tag"], "n_shingles": pa.array(out["n_shingles"], pa.int64()),
                                               "key": pa.array(out["key"], pa.binary()), "sketch": pa.array(out["sketch"], pa.binary())})
     return run
@@ -80,13 +79,15 @@ def _places(node: np.ndarray, b: int) -> np.ndarray:
     return ((first + np.uint64(b) * (np.uint64(2) * step + np.uint64(1))) % np.uint64(POSITIONS)).astype(np.int64)
 
 
-#: Token positions of the roots' children, in the order of `slot`.
-with np.errstate(over="ignore"):
-    _ROOTS = np.concatenate([_places(np.arange(TREES, dtype=np.uint64), b) for b in range(BRANCHES)])
+def _leads(tokens: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of the two tokens of each root, no two roots with a position in common."""
+    one, two = tokens[:TREES].astype(np.uint64), tokens[TREES:2 * TREES].astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return (mix((one << np.uint64(32)) | two) >> np.uint64(32)).astype(np.uint32)
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
-    """One line of WIDTH bytes a row: the low bytes of the tokens, then the whole tokens of the roots' children."""
+    """One line of WIDTH bytes a row: the low bytes of the tokens, then the hashes of the roots' tokens."""
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH)
 
 
@@ -95,16 +96,15 @@ def _child(node: np.ndarray, b: int, at: np.ndarray, token: np.ndarray) -> np.nd
 
 
 def _root_children(batches):
-    """(rep, sketch) to the children of all roots, by whole tokens; `slot` is the place among these children."""
+    """(rep, sketch) to its child of each root, by the hash of the root's two tokens; `slot` is the number of the root."""
     with np.errstate(over="ignore"):
         for batch in batches:
             n, nodes, slots = len(batch), [], []
             lead = _sketches(batch["sketch"])[:, POSITIONS:].copy().view(np.uint32).astype(np.uint64)
-            for slot in range(LEAD):
-                root = np.full(n, slot % TREES, np.uint64)
-                nodes.append(_child(root, slot // TREES, np.full(n, _ROOTS[slot]), lead[:, slot]))
+            for slot in range(TREES):
+                nodes.append(_child(np.full(n, slot, np.uint64), 0, np.full(n, slot), lead[:, slot]))
                 slots.append(np.full(n, slot, np.int32))
-            yield pa.RecordBatch.from_pydict({"node": np.concatenate(nodes), "slot": np.concatenate(slots), "rep": pa.array(batch["rep"].to_pylist() * LEAD, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"node": np.concatenate(nodes), "slot": np.concatenate(slots), "rep": pa.array(batch["rep"].to_pylist() * TREES, pa.int64())})
 
 
 def _children(batches):
@@ -121,20 +121,20 @@ def _children(batches):
 
 
 def _lists(column: pa.ListArray):
-    """Per row: reps, components, slots of large nodes (bits) and sketches of a list of structs."""
+    """Per row: reps, components, slots of nodes that branch on (bits) and sketches of a list of structs."""
     flat, offsets = column.flatten(), column.offsets.to_numpy()
     offsets = offsets - offsets[0]
-    rep, comp, large = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp", "large"))
+    rep, comp, branching = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp", "branching"))
     sketch = _sketches(flat.field("sketch"))
-    return [(rep[lo:hi], comp[lo:hi], large[lo:hi], sketch[lo:hi]) for lo, hi in zip(offsets[:-1], offsets[1:])]
+    return [(rep[lo:hi], comp[lo:hi], branching[lo:hi], sketch[lo:hi]) for lo, hi in zip(offsets[:-1], offsets[1:])]
 
 
 def _candidates(one, two, slot: int, least: int) -> np.ndarray:
     """For the members of two lists: whether a pair of different components agrees in at least `least` positions.
 
-    A pair that met in a root's child of a lower slot is left to that one, unless that one is large (its slot is in the bits `large`).
+    A pair that met in a root's child of a lower slot is left to that one, unless a side of that one branches on (its slot is in the bits `branching`).
     """
-    (_, comp, large, sketch), (_, its, _, other) = one, two
+    (_, comp, branching, sketch), (_, its, _, other) = one, two
     close = comp[:, None] != its[None, :]
     for at in range(0, len(comp), max(1, (1 << 22) // (POSITIONS * max(len(its), 1)))):
         rows = slice(at, at + max(1, (1 << 22) // (POSITIONS * max(len(its), 1))))
@@ -143,7 +143,7 @@ def _candidates(one, two, slot: int, least: int) -> np.ndarray:
     if slot and close.any():
         i, j = np.nonzero(close)
         met = sketch[i, POSITIONS:].copy().view(np.uint32)[:, :slot] == other[j, POSITIONS:].copy().view(np.uint32)[:, :slot]
-        met &= (large[i, None] >> np.arange(slot)) & 1 == 0
+        met &= (branching[i, None] >> np.arange(slot)) & 1 == 0
         met = met.any(1)
         close[i[met], j[met]] = False
     return close
@@ -249,8 +249,8 @@ def _between(least: int, size: int):
         for batch in batches:
             groups = []
             for rows in (batch.slice(i, 8) for i in range(0, len(batch), 8)):
-                for members, others in zip(_lists(rows["members"]), _lists(rows["others"])):
-                    groups += _rectangles(members[0], others[0], _candidates(members, others, 0, least), size)
+                for slot, members, others in zip(rows["slot"].to_pylist(), _lists(rows["members"]), _lists(rows["others"])):
+                    groups += _rectangles(members[0], others[0], _candidates(members, others, slot, least), size)
             yield _batch_of(groups, open=pa.nulls(len(groups), pa.int64()))
     return run
 
@@ -283,7 +283,7 @@ def _sides(least: int):
                 parts = [(agree >= near, np.uint64(0x8CB92BA72F3D8DD7)), (agree <= far, np.uint64(0xABCC5167CCAD925F))]
                 both = pa.array(np.concatenate([np.flatnonzero(own) for own, _ in parts]))
                 yield pa.RecordBatch.from_pydict({"node": np.concatenate([mix(node[own] + by).view(np.int64) for own, by in parts]),
-                                                  **{c: batch[c].take(both) for c in ("rep", "comp", "sketch") if c in batch.schema.names}})
+                                                  **{c: batch[c].take(both) for c in ("slot", "rep", "comp", "sketch") if c in batch.schema.names}})
     return run
 
 
@@ -334,9 +334,9 @@ def _verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, nu
     members = staged(once.select("group", F.explode("reps").alias("rep")), "candidates")
     ids = staged(members.select("rep").distinct().join(classes.select("rep", "own", "tag"), "rep"), "wanted")
     rows = prefilter(docs.select(F.col("doc_id").alias("own"), "tag", "text"), "own", ids, "own")
-    texts = rows.dropDuplicates(["own", "tag"]).join(ids, ["own", "tag"]).select("rep", "text")
+    texts = rows.join(ids, ["own", "tag"]).dropDuplicates(["rep"]).select("rep", "text")  # dealt as the join below needs them
     whole = members.join(texts, "rep").groupBy("group").agg(F.collect_list(F.struct("rep", "text")).alias("members"))
-    return staged(arrow_map(whole.select("members"), _confirm(k, num, den), "a long, b long").distinct(), "links")
+    return staged(arrow_map(whole.select("members"), _confirm(k, num, den), "a long, b long"), "links")
 
 
 class _Links:
@@ -362,7 +362,7 @@ class _Links:
 
 
 _CANDIDATES = "group long, reps array<long>, open long"
-_MEMBER = ("rep", "comp", "large", "sketch")
+_MEMBER = ("rep", "comp", "branching", "sketch")
 
 
 def _listed(rows: DataFrame, *keys: str, name: str = "members") -> DataFrame:
@@ -394,31 +394,39 @@ def _chunk(rows: DataFrame, size) -> DataFrame:
 
 
 def _compare_large(members: DataFrame, sketches: DataFrame, known: _Links, least: int, deepest: bool) -> DataFrame | None:
-    """Judge what can be judged of the nodes of `members` (node, rep, n), which are large; (node, rep, sketch) of what is to branch on.
+    """Judge what can be judged of the nodes of `members` (node, slot, rep, n), which are large; (node, slot, rep, sketch) of what is to branch on.
 
-    `sketches` has rep, copies and sketch of all reps.
+    `sketches` has rep, copies and sketch of all reps. Near copies share most of the roots' children; each pair is judged in the first of them.
     """
-    no_slot = F.lit(0).alias("large")
+    none = F.lit(0).alias("branching")
     rows = staged(members.join(prefilter(sketches.select("rep", "copies", "sketch"), "rep", members, "rep"), "rep"), "large-nodes")
     order, one = F.xxhash64("rep", "node"), F.struct("rep", "sketch")
     best = staged(rows.groupBy("node").agg(F.max_by(one, F.struct("copies", order)).alias("one"), F.max_by(one, order).alias("two")), "pivots")
     pivots = best.select("node", F.explode(F.array_distinct(F.array("one", "two"))).alias("p")).select("node", "p.rep", "p.sketch")
-    listed = _listed(known.of(pivots).withColumn("large", no_slot), "node", name="others")
-    chunks = _listed(_chunk(known.of(rows).withColumn("large", no_slot), F.col("n")), "node", "block").join(listed, "node")
+    listed = _listed(known.of(pivots).withColumn("branching", none), "node", name="others")
+    chunks = _listed(_chunk(known.of(rows).withColumn("branching", none), F.col("n")), "node", "block").join(listed, "node")
     known.judged(staged(arrow_map(chunks.select("members", "others"), _pivot_pairs(least, GROUP), _CANDIDATES), "groups"))
 
-    sided = known.of(rows.select("node", "rep", "sketch")).join(best.select("node", F.col("one.sketch").alias("p")), "node")
-    sided = sided.select("node", "rep", "comp", "sketch", "p")  # with components already: a member of both sides asks for its own once
-    seen = staged(arrow_map(sided, _sides(least), "node long, rep long, comp long, sketch binary").withColumn("large", no_slot), "seen")
+    sided = known.of(rows.select("node", "slot", "rep", "sketch")).join(best.select("node", F.col("one.sketch").alias("p")), "node")
+    sided = sided.select("node", "slot", "rep", "comp", "sketch", "p")  # with components already: a member of both sides asks for its own once
+    seen = staged(arrow_map(sided, _sides(least), "node long, slot int, rep long, comp long, sketch binary"), "seen")
     some = seen.join(_sizes(seen), "node")
     cheap = F.lit(True) if deepest else F.col("outside") * (F.col("outside") + F.col("inside")) <= FULL * FULL
-    outsiders = _listed(_chunk(some.where(cheap & (F.col("comp") != F.col("top"))), F.col("outside")), "node", "block", name="others").drop("block")
-    chunks = _listed(_chunk(some.where(cheap), F.col("outside") + F.col("inside")), "node", "block").join(outsiders, "node")
-    known.judged(staged(arrow_map(chunks.select("members", "others"), _between(least, SQUARE), _CANDIDATES), "groups"))
-    if deepest:
-        return None
-    left = staged(some.where(~cheap).select("node", "rep", "sketch"), "branching")
-    return None if is_empty(left) else left
+    left = None if deepest else staged(some.where(~cheap).select("node", "slot", "rep", "sketch"), "branching")
+    left = None if left is None or is_empty(left) else left
+    some = _with_branching(some.where(cheap), left)
+    outsiders = _listed(_chunk(some.where(F.col("comp") != F.col("top")), F.col("outside")), "node", "block", name="others").drop("block")
+    chunks = _listed(_chunk(some, F.col("outside") + F.col("inside")), "node", "slot", "block").join(outsiders, "node")
+    known.judged(staged(arrow_map(chunks.select("slot", "members", "others"), _between(least, SQUARE), _CANDIDATES), "groups"))
+    return left
+
+
+def _with_branching(rows: DataFrame, left: DataFrame | None) -> DataFrame:
+    """`rows` with the bits of the slots in which `rep` is in `left` (slot, rep), whose pairs are not judged in these nodes."""
+    if left is None:
+        return rows.withColumn("branching", F.lit(0))
+    slots = left.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1, slot)")).alias("slots"))
+    return rows.join(slots, "rep", "left").withColumn("branching", F.coalesce("slots", F.lit(0))).drop("slots")
 
 
 def _classes(described: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -457,7 +465,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     known.add(same_ids)
     least = int(POSITIONS * num / den - DEVIATIONS * (POSITIONS * num / den * (1 - num / den)) ** 0.5)
 
-    sketches = classes.select("rep", "copies", F.lit(0).alias("large"), "sketch")
+    sketches = classes.select("rep", "copies", F.lit(0).alias("branching"), "sketch")
     members = arrow_map(classes.select("rep", "sketch"), _root_children, "node long, slot int, rep long")
     for depth in range(1, MAX_DEPTH + 1):
         # A node of one member has nothing to compare; most end here.
@@ -465,10 +473,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         members = staged(members.join(sizes, "node"), "members")
         large, branching, own = members.where(F.col("n") > SMALL), None, sketches
         if not is_empty(large):
-            branching = _compare_large(large.select("node", "rep", "n"), sketches, known, least, depth == MAX_DEPTH)
-            if depth == 1:
-                slots = large.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1, slot)")).alias("slots"))
-                own = sketches.join(slots, "rep", "left").select("rep", "copies", F.coalesce("slots", "large").alias("large"), "sketch")
+            branching = _compare_large(large.select("node", "slot", "rep", "n"), sketches, known, least, depth == MAX_DEPTH)
+            own = _with_branching(sketches, branching) if depth == 1 else sketches  # deeper nodes have no slot
         _compare_small(members.where(F.col("n") <= SMALL).select("node", "slot", "rep"), own, known, least)
         if branching is None:
             break

@@ -184,3 +184,34 @@ def test_sides_carry_components():
     batch = pa.RecordBatch.from_pydict({"node": pa.array([5, 5]), "rep": pa.array([1, 2]), "comp": pa.array([8, 9]), "sketch": column, "p": pivot})
     rows = [r for out in N._sides(88)([batch]) for r in out.to_pylist()]
     assert sorted((r["rep"], r["comp"]) for r in rows) == [(1, 8), (2, 9)]
+
+
+def test_unrelated_texts_seldom_meet():
+    """Texts that share a passage are at a similarity of about a quarter; by one token a quarter of their pairs would meet in each root's children."""
+    rng = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(40))
+    some = [passage + " " + " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(60)) for _ in range(60)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "tag": [0] * 60, "text": some})
+    described = next(N._describe(3)([batch]))
+    children = next(N._root_children([pa.RecordBatch.from_pydict({"rep": described["doc_id"], "sketch": described["sketch"]})]))
+    _, n = np.unique(children["node"].to_numpy(), return_counts=True)
+    assert (n * (n - 1) // 2).sum() < 0.12 * len(np.unique(children["slot"])) * 60 * 59 / 2
+
+
+def test_pairs_of_large_nodes_are_judged_once():
+    """A pair that met in an earlier child is left to it, unless one of its sides branches on."""
+    sketch = np.zeros((2, N.WIDTH), np.uint8).tobytes()
+    for met, branching, groups in ((True, 0, 0), (True, 1, 1), (False, 0, 1)):
+        member = [{"rep": i, "comp": i, "branching": branching, "sketch": sketch[:N.WIDTH - 1] + bytes([0]) if met else sketch[:N.POSITIONS] + bytes([i] * (N.WIDTH - N.POSITIONS))} for i in (1, 2)]
+        batch = pa.RecordBatch.from_pydict({"slot": [1], "members": [member[:1]], "others": [member[1:]]})
+        assert sum(len(out) for out in N._between(88, 256)([batch])) == groups
+
+
+def test_few_links_are_not_dealt_to_tasks(spark, monkeypatch):
+    from pluvio.llm import components as module
+    plans, write = [], module.staged
+    monkeypatch.setattr(module, "staged", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(4)
+    known = module.merged_components(module.components(links), spark.createDataFrame([(40, 90), (91, 92)], "a long, b long").repartition(4))
+    assert {(r.id, r.component) for r in known.collect()} == {(i, 0) for i in [*range(41), 90]} | {(91, 91), (92, 91)}
+    assert len(plans) > 4 and not [p for p in plans if "Exchange hashpartitioning" in p]
