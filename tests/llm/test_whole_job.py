@@ -151,3 +151,79 @@ def test_kneser_ney_against_a_plain_model(spark):
     for (seen, _), plain in zip(kneser_ney(counts), want):
         got = {r.gram: r.p for r in seen.collect()}
         assert got.keys() == plain.keys() and all(abs(got[g] - p) < 1e-12 for g, p in plain.items())
+
+
+def plain_costs(texts):
+    """Costs of four UTF-16 units by dictionaries, digits read as 0, from the trusted `texts`; unseen ones by their back-off."""
+    from collections import Counter
+    grams = lambda text: [tuple(u[i:i + 4]) for u in [[10] * 3 + np.frombuffer(re.sub(r"\d", "0", text).encode("utf-16-le"), np.uint16).tolist()] for i in range(len(u) - 3)]
+    tables = {4: Counter(g for text in texts for g in grams(text))}
+    for order in (3, 2, 1):
+        tables[order] = Counter(g[1:] for g in tables[order + 1])
+    total, lost, take = Counter(), Counter(), {}
+    for order, table in tables.items():
+        n = Counter(table.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else None
+        raw = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 0.9] if y else None
+        take[order] = [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)] if raw else [0.5, 0.75, 0.9]
+        for gram, c in table.items():
+            total[gram[:-1], order] += c
+            lost[gram[:-1], order] += take[order][min(c, 3) - 1]
+
+    def p(gram):
+        order = len(gram)
+        if not order:
+            return 1 / 65536
+        if not total[gram[:-1], order]:
+            return p(gram[1:])
+        c = tables[order][gram]
+        return (c - take[order][min(c, 3) - 1] if c else 0) / total[gram[:-1], order] + lost[gram[:-1], order] / total[gram[:-1], order] * p(gram[1:])
+    return lambda text: sum(round(-1000 * np.log(max(p(g), 1e-25))) for g in grams(text))
+
+
+SCRIPTS = ["съешь же ещё этих мягких французских булок да выпей чаю", "ξεσκεπάζω την ψυχοφθόρα βδελυγμία", "いろはにほへと 散りぬるを 我が世誰ぞ 常ならむ",
+           "the quick brown fox jumps over 12 lazy dogs", "نص حكيم له سر قاطع وذو شأن عظيم", "\U0001f600\U0001f601 é́ \U00020000"]
+
+
+def scripts(n):
+    rng = np.random.default_rng(21)
+    return [" ".join(rng.permutation(SCRIPTS[i % 6].split()).tolist() * (1 + i % 3)) for i in range(n)]
+
+
+def test_sums_of_count_joins_against_a_plain_model(spark):
+    """The sums of each document by the model of all trusted texts and by that of the other fold, in every script, over several blocks and rows without id."""
+    from pyspark.sql import functions as F
+
+    from pluvio.llm import quality_model as Q
+    texts = scripts(90) + ["", None, "unseen signs: กข ა ٣7"]
+    rows = [(i, text, i % 2) for i, text in enumerate(texts)] + [(None, texts[0], 0), (3, texts[4], 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fold int").selectExpr("*", "'x' as lang", "doc_id as tag").repartition(3)
+    trusted = {i for i in range(90) if i % 5}
+    good = [r for r in rows if r[0] in trusted]
+    by = [plain_costs([t for _, t, fold in good if fold != i]) for i in (0, 1, 2)]
+    want = sorted((-1 if i is None else i, by[2](text or ""), by[fold](text or "") if i in trusted else 0) for i, text, fold in rows)
+    scored = Q._scored(docs, spark.createDataFrame([(i,) for i in trusted], "id long"))
+    got = sorted(tuple(r) for r in scored.select(F.coalesce("doc_id", F.lit(-1)), "millinats", "unseen").collect())
+    assert len(got) == len(want) and [g[0] for g in got] == [w[0] for w in want]
+    assert all(abs(a - b) <= 2 for g, w in zip(got, want) for a, b in zip(g, w))  # of sums of rounded costs, which may be halves
+
+
+def test_joined_costs_are_those_of_the_listed_table(spark):
+    from pluvio.llm.quality_model import ORDER, SYMBOLS, cost_table, costs, gram_counts, kneser_ney
+    model = kneser_ney(gram_counts(spark.createDataFrame([("the cat sat on the mat. " * 20,), ("a dog ran to the cat and sat. " * 15,)], "text string")))
+    seen = [r.gram for r in model[-1][0].collect()]
+    wanted = sorted({*seen, *(g % SYMBOLS ** 3 for g in seen), *np.random.default_rng(2).integers(0, SYMBOLS ** ORDER, 3000).tolist()})
+    table = cost_table(model)
+    got = {r.gram: r.cost for r in costs(model, spark.createDataFrame([(0, g) for g in wanted], "model int, gram long")).collect()}
+    assert sorted(got) == wanted and all(abs(got[g] - int(table[g])) <= 1 for g in wanted)
+
+
+def test_quality_in_every_script(spark):
+    """Letters in random order are not kept, whatever the script; once all letters beyond Latin-1 were one symbol."""
+    texts = scripts(960)
+    rng = np.random.default_rng(22)
+    junk = ["".join(rng.permutation(list(SCRIPTS[i] * 4)).tolist()) for i in range(5)]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(-1 - i, t, "x") for i, t in enumerate(junk)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(900)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+    assert not any(kept[-1 - i] for i in range(5)) and np.mean([kept[i] for i in range(900, 960)]) >= 0.9
