@@ -1,7 +1,8 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of characters, trained on trusted text.
 
-Symbols are the UTF-16 units of a text, so every character of every script is its own symbol (or pair of them) and ORDER of them
-fit one long; only decimal digits are read as 0, since which number stands in a text says little about it and widens the thresholds. Every document's n-grams are counted and sent once, in blocks of documents, to the shard of the n-gram. In the
+Symbols are UTF-16 units, so ORDER of them fit one long. A character beyond the first plane, which has two, takes one that no text uses (`_given`):
+every character of every script is one symbol. Only decimal digits are read as 0, since which number stands in a text says little about it
+and widens the thresholds. Every document's n-grams are counted and sent once, in blocks of documents, to the shard of the n-gram. In the
 shards they are joined with which documents are trusted, which gives the counts to train on, and then with the costs of the n-grams,
 which gives each document's sum. Continuation counts, context totals, discounts and costs, with their back-off, are group-bys and
 joins; no table of the model is on the driver or broadcast.
@@ -44,18 +45,64 @@ def _symbols() -> np.ndarray:
 
 
 _SYMBOL = _symbols()
+_FAR_DIGITS = np.array([point for point in range(1 << UNIT, 2 << UNIT) if unicodedata.category(chr(point)) == "Nd"], np.uint32)  # later planes have none
+#: Characters beyond the first plane that are one symbol, in order, and their symbols.
+_FAR = _FAR_DIGITS, np.full(len(_FAR_DIGITS), 48, np.uint16)
+
+
+def _met(batches):
+    """Characters beyond ASCII in the texts of a task, each once."""
+    met = np.zeros(0x110000, bool)
+    for batch in batches:
+        for text in batch["text"].to_pylist():
+            if text and not text.isascii():
+                for at in range(0, len(text), _PIECE):
+                    met[np.frombuffer(text[at:at + _PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)] = True
+    met[:128] = False
+    yield pa.RecordBatch.from_pydict({"point": pa.array(np.flatnonzero(met), pa.int32())})
+
+
+def _given(met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`_FAR` with the characters beyond the first plane among those met: each takes a unit that is not met. Were there more of them than such units, the last stay pairs."""
+    points, symbols = _FAR
+    far, free = np.setdiff1d(met[met >= 1 << UNIT], points), np.setdiff1d(np.arange(128, 1 << UNIT), met)
+    free = free[_SYMBOL[free] == free]
+    if len(far) > len(free):
+        free = free[free >> 11 != 0xD800 >> 11]  # pairs need theirs
+        far = far[:len(free)]
+    points, symbols = np.concatenate([points, far]).astype(np.uint32), np.concatenate([symbols, free[:len(far)]]).astype(np.uint16)
+    order = np.argsort(points)
+    return points[order], symbols[order]
+
+
+def _alone(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """`_given` for all texts of `docs`; distinct characters come to the driver, of which Unicode has 1.1 million."""
+    return _given(arrow_map(docs.select("text"), _met, "point int").distinct().toArrow()["point"].to_numpy())
+
+
+def _units(text: str, far: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The symbols of a text: its UTF-16 units, but one for each character in `far`."""
+    units = _SYMBOL[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)]
+    if len(units) > len(text):
+        points, symbols = far
+        high = np.flatnonzero((units[:-1] >> 10 == 0xD800 >> 10) & (units[1:] >> 10 == 0xDC00 >> 10))
+        point = ((units[high].astype(np.uint32) & 0x3FF) << 10 | units[high + 1] & 0x3FF) + 0x10000
+        at = np.minimum(np.searchsorted(points, point), len(points) - 1)
+        one = points[at] == point
+        units[high[one]] = symbols[at[one]]
+        units = np.delete(units, high[one] + 1)
+    return units
 
 
 def _tag(text):
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _grams(text: str, bits: int = UNIT):
+def _grams(text: str, bits: int = UNIT, far=_FAR):
     """Codes of the ORDER-grams that end at each symbol, in pieces of bounded size; line breaks stand before the text."""
     carry = np.full(ORDER - 1, 10, np.uint64)
     for at in range(0, len(text), _PIECE):
-        units = np.frombuffer(text[at:at + _PIECE].encode("utf-16-le", "surrogatepass"), np.uint16)
-        line = np.concatenate([carry, (_SYMBOL[units] & np.uint16((1 << bits) - 1)).astype(np.uint64)])
+        line = np.concatenate([carry, (_units(text[at:at + _PIECE], far) & np.uint16((1 << bits) - 1)).astype(np.uint64)])
         code = line[:-(ORDER - 1)].copy()
         for j in range(1, ORDER):
             code = (code << np.uint64(bits)) | line[j:len(line) - (ORDER - 1) + j]
@@ -72,9 +119,9 @@ def _summed_up(grams, counts):
     return grams[first], np.add.reduceat(counts[order], first, axis=0)
 
 
-def _distinct(text: str, bits: int = UNIT):
+def _distinct(text: str, bits: int = UNIT, far=_FAR):
     """Distinct ORDER-grams of a text, in order, and how often each occurs."""
-    found = [np.unique(codes, return_counts=True) for codes in _grams(text, bits)]
+    found = [np.unique(codes, return_counts=True) for codes in _grams(text, bits, far)]
     if len(found) == 1:
         return found[0]
     return _summed_up(*zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -240,12 +287,12 @@ def _block(at: int, rows: list, grams: list, counts: list):
             yield shard, block, _squeezed(np.array([len(rows)], np.uint32), gram[a:b][new], np.diff(place, prepend=np.uint64(0)), n[a:b])
 
 
-def _blocks(batches):
+def _blocks(batches, far):
     def sent():
         at, size, rows, grams, counts = 0, 0, [], [], []
         for batch in batches:
             for doc_id, text, lang, tag, fold in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "lang", "tag", "fold"))):
-                found, n = _distinct(text or "")
+                found, n = _distinct(text or "", UNIT, far)
                 rows.append((doc_id, lang, tag, fold, len(text or "")))
                 grams.append(found)
                 counts.append(n)
@@ -376,10 +423,10 @@ def _added(items):
         yield _message({"block": pa.array(np.full(len(total), block), pa.int64()), "place": pa.array(np.arange(len(total)), pa.int32()), "millinats": pa.array(total), "unseen": pa.array(unseen)})
 
 
-def _scored(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def _scored(docs: DataFrame, trusted: DataFrame, far=_FAR) -> DataFrame:
     """doc_id, lang, tag, n_chars, millinats, and for trusted rows `unseen`: millinats by the model of the folds the row is not in."""
     spark = docs.sparkSession
-    blocks = _by_part(arrow_map(docs.select("doc_id", "text", "lang", "tag", "fold"), _blocks, "part int, block long, message binary"))
+    blocks = _by_part(arrow_map(docs.select("doc_id", "text", "lang", "tag", "fold"), lambda batches: _blocks(batches, far), "part int, block long, message binary"))
     rows = staged(_table(spark, blocks.mapPartitionsWithIndex(_rows_of), "block long, place int, doc_id long, lang string, tag long, fold int, n_chars long"), "rows")
     mark = F.col("place") * (2 * FOLDS) + F.col("fold") + F.when(F.col("id").isNotNull(), FOLDS).otherwise(0)
     marks = rows.join(trusted, F.col("doc_id") == F.col("id"), "left").groupBy(F.col("block").alias("told")).agg(F.array_sort(F.collect_list(mark.cast("long"))).alias("marks"))
@@ -404,7 +451,7 @@ def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = (labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("id"))
                .agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good")).where("good = 1"))
     trusted = staged(trusted.select("id").join(docs, F.col("id") == F.col("doc_id"), "left_semi"), "trusted")  # labels may be of more than these rows
-    scored = staged(_scored(docs, trusted), "scored")
+    scored = staged(_scored(docs, trusted, _alone(docs)), "scored")
     known = scored.join(trusted, F.col("doc_id") == F.col("id")).where("n_chars > 0")
     spread, mean = SPREAD / F.sqrt("n_chars"), F.col("millinats") / F.col("n_chars") / 1000
     bounds = (F.percentile_approx(F.col("unseen") / F.col("n_chars") / 1000 - spread, QUANTILE, 10000).alias("limit"), F.min(mean + spread).alias("floor"))

@@ -227,3 +227,31 @@ def test_quality_in_every_script(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(900)], "doc_id long, quality int, toxic int")
     kept = {r.doc_id: r.kept for r in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
     assert not any(kept[-1 - i] for i in range(5)) and np.mean([kept[i] for i in range(900, 960)]) >= 0.9
+
+
+def test_quality_of_characters_beyond_the_first_plane(spark):
+    """Each letter follows from the two before it. Any letter may follow any one, which is all that four UTF-16 units see of such a script."""
+    rng = np.random.default_rng(23)
+
+    def text(jumps):
+        letters = [0, 1]
+        for jump, other in zip(rng.random(400) < jumps, rng.integers(0, 9, 400)):
+            letters.append(int(other) if jump else (letters[-1] + letters[-2]) % 9)
+        return "".join(chr(0x10330 + x) for x in letters)
+    rows = [(i, text(0.1), "x") for i in range(220)] + [(-1 - i, text(1), "x") for i in range(5)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(180)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+    assert not any(kept[-1 - i] for i in range(5)) and np.mean([kept[i] for i in range(180, 220)]) >= 0.9
+
+
+def test_symbols_of_characters_beyond_the_first_plane():
+    from pluvio.llm.quality_model import _FAR, _given, _grams, _units
+    codes = lambda text, far=_FAR: np.concatenate(list(_grams(text, far=far))).tolist()
+    assert codes("a\U0001d7d7\U0001e955b") == codes("a90b") == codes("a\u0663\U000104a1b")  # decimal digits of any plane
+    some = "".join(map(chr, [*range(0x3400, 0x9FFF), *range(0x20000, 0x28000)]))
+    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    for text in (some, every):
+        far = _given(np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32)))
+        seen = [tuple(_units(c, far)) for c in text if not c.isdecimal()]
+        assert len(set(seen)) == len(seen) and {len(s) for s in seen} == ({1} if text is some else {1, 2})
+        assert _units(text[-9000:], far).tolist() == [u for s in seen[-9000:] for u in s]
